@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corploom.llm import curriculum_mix, exact_dedup, simhash_dedup
+from corploom.llm import curriculum_mix, exact_dedup, pu_toxicity, simhash_dedup
 
-MODULES = (exact_dedup, curriculum_mix, simhash_dedup)
+MODULES = (exact_dedup, pu_toxicity, curriculum_mix, simhash_dedup)
 
 
 def queries() -> dict:
