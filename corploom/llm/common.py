@@ -45,13 +45,13 @@ def crc_remainder(column: str, modulus: int) -> Column:
 SLICE_BYTES = 16 << 20
 
 
-def texts_of(batches: Iterable[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def texts_of(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches in slices whose texts stay small, with those texts (null: empty)."""
     for batch in batches:
         start = 0
         while start < batch.num_rows:
             rows = batch.num_rows - start
-            while rows > 1 and batch.column(column).slice(start, rows).nbytes > SLICE_BYTES:
+            while rows > 1 and batch.column(column).slice(start, rows).nbytes > most:
                 rows = (rows + 1) // 2
             part = batch.slice(start, rows)
             yield part, [x or "" for x in part.column(column).to_pylist()]
