@@ -30,6 +30,8 @@ MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 #: Words, or prefixes, whose counts a task remembers; then it starts afresh.
 REMEMBERED = 600_000
+#: Stands for the table of a word too long for byte counts.
+WIDE = b""
 #: Bytes of texts that a task holds at once; their tables take four to eight times as much.
 SLICE = 4 << 20
 #: Latin text without combining marks, special strings or unusual white space: split here, as the library does.
@@ -63,33 +65,34 @@ class Counter:
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.merge = self.library.model.tokenize
         self.counts: dict[str, int] = {}
-        self.tables: dict[str, np.ndarray] = {}
+        self.tables: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
-    def word(self, word: str) -> int:
-        """Tokens of a word, or of its beginning, as the library gives them."""
-        n = self.counts.get(word)
-        if n is None:
-            if len(self.counts) >= REMEMBERED:
-                self.counts.clear()
-            if _UNUSUAL.search(word):
-                n = self._encoded(word)
-            elif _WORD.fullmatch(word):
-                n = len(self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)))
-            else:
-                n = sum(map(self.word, _WORD.findall(word)))
-            self.counts[word] = n
-        return n
-
-    def prefixes(self, word: str) -> np.ndarray:
-        """Tokens of word[:1], word[:2], ... each as a text of its own."""
-        table = self.tables.get(word)
-        if table is None:
-            if len(self.tables) >= REMEMBERED // 2:
-                self.tables.clear()
-            table = self.tables[word] = np.array([self.word(word[:i]) for i in range(1, len(word) + 1)], np.int32)
+    def _merged(self, word: str) -> int:
+        """Tokens of a word, or of its beginning, in text that the fast split cuts."""
+        if word.isalpha() or _WORD.fullmatch(word):
+            return len(self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)))
+        return sum(self._merged(x) for x in _WORD.findall(word))
+
+    def prefixes(self, word: str) -> bytes:
+        """Tokens of word[:1], word[:2], ... each as a text of its own, a byte each; of a very long word, WIDE."""
+        if len(self.counts) > REMEMBERED:
+            self.counts.clear()
+        if len(self.tables) > REMEMBERED // 2:
+            self.tables.clear()
+        if len(word) > 100:  # of 2 bytes a letter at most, so that counts fit a byte
+            return WIDE
+        counts, known = self.counts, self.counts.get
+        found = []
+        for i in range(1, len(word) + 1):
+            begun = word[:i]
+            n = known(begun)
+            if n is None:
+                n = counts[begun] = self._merged(begun)
+            found.append(n)
+        table = self.tables[word] = bytes(found)
         return table
 
     def parts(self, text: str) -> tuple[str, list[str] | None]:
@@ -120,23 +123,28 @@ class Counter:
         if words is not None:
             return self._table_by_place(text, plain, words)
         words = _WORD.findall(plain)
-        out = np.zeros(len(plain) + 1, np.int32)
         if not words:
-            return out
-        known = self.tables.get
-        tables = list(map(known, words))
-        if any(t is None for t in tables):
-            tables = list(map(self.prefixes, words))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        inside = np.concatenate(tables)
+            return np.zeros(len(plain) + 1, np.int32)
+        tables = list(map(self.tables.get, words))
+        if None in tables:
+            tables = [self.prefixes(w) if t is None else t for w, t in zip(words, tables, strict=True)]
+        if WIDE in tables:
+            return self._table_by_place(text, plain, words)
+        inside = np.frombuffer(b"".join(tables), np.uint8)
+        lengths = np.fromiter(map(len, tables), np.int64, len(words))
         ends = np.cumsum(lengths)
-        total = np.concatenate([[0], np.cumsum(inside[ends - 1])])
-        # Words hold every code point that is not white space, in order.
-        code = np.frombuffer(plain.encode("utf-32-le"), np.uint32)
+        total = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(inside[ends - 1], out=total[1:])
+        # Words hold every code point that is not white space, in order; after a
+        # word, white space keeps its count.
+        code = np.frombuffer(plain.encode(), np.uint8) if plain.isascii() else np.frombuffer(plain.encode("utf-32-le"), np.uint32)
         black = (code > 32) | (code < 9)
-        out[1:][black] = inside + np.repeat(total[:-1], lengths)
-        white = np.flatnonzero(~black)
-        out[1:][white] = total[np.searchsorted(np.flatnonzero(black)[ends - 1], white)]
+        at = np.flatnonzero(black)
+        gaps = np.diff(at[ends - 1], append=len(plain)) - np.append(lengths[1:], 1)
+        out = np.zeros(len(plain) + 1, np.int32)
+        rest = out[1:]
+        rest[at] = inside + np.repeat(total[:-1], lengths)
+        rest[np.flatnonzero(~black)[at[0] :]] = np.repeat(total[1:], gaps)
         return out
 
     def _table_by_place(self, text: str, plain: str, words: list[str]) -> np.ndarray:
@@ -149,7 +157,7 @@ class Counter:
             if word in self.special:
                 out[start + 1 : at + 1] = [total + self._encoded(word[:i]) for i in range(1, len(word) + 1)]
             else:
-                out[start + 1 : at + 1] = total + self.prefixes(word)
+                out[start + 1 : at + 1] = [total + self._encoded(word[:i]) for i in range(1, len(word) + 1)]
             total = int(out[at])
         out[at + 1 :] = total
         out[-1] = self._encoded(text)
