@@ -1,4 +1,6 @@
 """Registered queries over the library's own operators, and their SQL."""
+
+from corploom.plans import cleaning
 from corploom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "cleaning"]
