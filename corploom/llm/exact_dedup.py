@@ -157,7 +157,9 @@ def exact_dedup(
     positives = screen(new, snapshot_filters(old, shards), shards)
     both = positives.join(old.select("digest"), "digest", "left_semi")
     twice = old.where("n > 1").select("digest").union(new.where("n > 1").select("digest"))
-    candidates = both.union(twice).distinct()
+    # Computed anew, the digest has no partitioning that Spark could take over:
+    # both sides of the join below get their own exchange, so hot digests split.
+    candidates = both.union(twice).select(F.concat("digest", F.lit("")).alias("digest"))
 
     # Byte check: group the candidates' texts by content. The tag keeps Spark
     # from grouping inside the join's partitioning, so copies are first counted
