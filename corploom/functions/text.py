@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,8 +86,6 @@ def normalize_text(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC, which has no built-in function: an Arrow-batched pandas UDF."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")

@@ -59,8 +59,16 @@ def extract_steps(text: Column, noise: str = "http", k: int = 5) -> Column:
     items = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*[0-9]+[.)][ \t]*(.+)$"), 1), lambda x: ~F.rlike(x, F.lit(noise)))
     at = lambda x: F.instr(x, ":")
     parts = F.transform(items, lambda x: F.struct(F.trim(F.when(at(x).between(2, 10), F.substring_index(x, ":", 1)).otherwise(F.substring(x, 1, 10))).alias("name"), F.trim(F.when(at(x).between(2, 10), F.substr(x, at(x) + 1)).otherwise(x)).alias("action")))
-    fresh = F.filter(parts, lambda x, i: (i == 0) | (F.get(parts, i - 1)["name"] != x["name"]))
-    steps = F.transform(F.slice(fresh, 1, k), lambda x, i: F.struct((i + 1).alias("step"), x["name"].alias("name"), x["action"].alias("action")))
+    # A fold, so that the items are computed once: the name before, and the first k fresh ones.
+    kind = "struct<before:string,kept:array<struct<name:string,action:string>>>"
+    start = F.struct(F.lit(None).alias("before"), F.array().alias("kept")).cast(kind)
+
+    def add(state: Column, x: Column) -> Column:
+        fresh = ~state["before"].eqNullSafe(x["name"]) & (F.size(state["kept"]) < k)
+        return F.struct(x["name"].alias("before"), F.when(fresh, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"))
+
+    kept = F.aggregate(parts, start, add, lambda state: state["kept"])
+    steps = F.transform(kept, lambda x, i: F.struct((i + 1).alias("step"), x["name"].alias("name"), x["action"].alias("action")))
     return F.when(F.size(items) >= 2, steps).otherwise(F.array().cast("array<struct<step:int,name:string,action:string>>"))
 
 
