@@ -38,10 +38,11 @@ def mentions(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     hits = docs.join(F.broadcast(lexicon.select("term")), F.contains(docs["text"], F.col("term")))
     # A look-ahead splits at every start; the parts' lengths add up to the places.
     parts = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)")), -1)
-    rows = hits.select("doc_id", "term", F.posexplode(parts).alias("i", "part"))
+    led = F.startswith("text", F.col("term"))  # a split gives no empty part before the first
+    rows = hits.select("doc_id", "term", led.alias("led"), F.posexplode(parts).alias("i", "part"))
     before = Window.partitionBy("doc_id", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("position", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int") + 1)
-    return rows.where(F.startswith("part", F.col("term"))).select("doc_id", "term", "position")
+    return rows.where("i > 0 OR led").select("doc_id", "term", "position")
 
 
 def match_status(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -161,7 +161,8 @@ def clean_book(html: Column, rights: str = "all rights reserved") -> Column:
 
 def doc_gate(docs: DataFrame, least: int = 120, script: str = "[A-Za-z]", least_of_script: int = 0) -> DataFrame:
     """Documents of at least so many code points, and so many of a script."""
-    return docs.where((F.length("text") >= least) & (F.regexp_count("text", F.lit(script)) >= least_of_script))
+    kept = docs.where(F.length("text") >= least)
+    return kept.where(F.regexp_count("text", F.lit(script)) >= least_of_script) if least_of_script else kept
 
 
 def eligibility(text: Column, mode: Column, modes: Sequence[str] = ("strict", "loose")) -> Column:

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 def split_duplicates(updates: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(updates with unique keys, duplicate keys)."""
     twice = updates.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    return updates.join(twice.select(*keys), list(keys), "left_anti"), twice
+    return updates.alias("b").join(twice.alias("u"), _same(keys), "left_anti"), twice
 
 
-def _joined(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    same = None
+def _same(keys: Sequence[str]) -> Column:
+    same = F.lit(True)
     for k in keys:
-        one = F.col(f"b.{k}").eqNullSafe(F.col(f"u.{k}"))
-        same = one if same is None else same & one
-    return base.withColumn("_b", F.lit(True)).alias("b").join(updates.withColumn("_u", F.lit(True)).alias("u"), same, "full_outer")
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"u.{k}"))
+    return same
+
+
+def _joined(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return base.withColumn("_b", F.lit(True)).alias("b").join(updates.withColumn("_u", F.lit(True)).alias("u"), _same(keys), "full_outer")
 
 
 def upsert_replace(base: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,7 +35,7 @@ def upsert_patch(base: DataFrame, updates: DataFrame, keys: Sequence[str], colum
     """(patched base, out-of-scope updates): non-null columns of an update overlay the row; unknown keys are errors."""
     joined = _joined(base, updates, keys).where(F.col("_b").isNotNull())
     patched = joined.select(*((F.coalesce(F.col(f"u.{c}"), F.col(f"b.{c}")) if c in columns else F.col(f"b.{c}")).alias(c) for c in base.columns))
-    return patched, updates.join(base.select(*keys), list(keys), "left_anti")
+    return patched, updates.alias("b").join(base.alias("u"), _same(keys), "left_anti")
 
 
 def queue_key(id_col: Column, row: Column) -> Column:
