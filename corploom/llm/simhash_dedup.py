@@ -248,10 +248,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     marks = cut(fingerprints(docs, width, id_col, text_col))
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("least")
     codes = cut(marks.groupBy("code").agg(least))
-    linked = components(links(codes.select("code"), radius))
+    return _components_of(marks, codes, links(codes.select("code"), radius))
+
+
+def _components_of(marks: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of ``marks`` with the component of their code; ``codes`` has the least row of each code."""
+    linked = components(edges)
     heads = codes.join(linked, codes["code"] == linked["u"]).groupBy("component").agg(F.min("least").alias("head"))
     moved = linked.join(heads, "component").select(F.col("u").alias("code"), "head")
-    of_code = codes.join(moved, "code", "left").select("code", F.coalesce("head", "least").alias("head"))
+    # Computed anew, the code has no partitioning that Spark could take over, so
+    # both sides of the last join get their own exchange and a hot code splits.
+    of_code = codes.join(moved, "code", "left").select(F.col("code").bitwiseXOR(F.lit(0)).alias("code"), F.coalesce("head", "least").alias("head"))
     return marks.join(of_code, "code").select("_row", "doc_id", "code", F.col("head.doc_id").alias("component_id"), (F.col("head._row") == F.col("_row")).alias("first"))
 
 
@@ -261,7 +268,106 @@ def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# -- near copies by similarity -------------------------------------------------
+
+#: Words of a shingle and the Jaccard similarity of shingle sets from which texts are near copies.
+WIDTH, SIMILARITY = 5, 0.8
+#: 64-bit words of a long fingerprint: the first is compared, the others give the tables' keys.
+LONG = 4
+#: Bytes of texts whose shingle sets a task holds at once.
+SET_BYTES = 4 << 20
+#: Bits in which the first words of near copies may differ: about 10 are expected at 0.8.
+NEAR = 14
+#: Share of the bits that differ at a similarity of 0.8, and of the pairs there that no table may bring together.
+APART, MISSED = 0.1514, 0.03
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of a text's word shingles; none without words."""
+    return np.unique(np.fromiter(_hashes(text.encode("utf-8", "surrogatepass").lower().split(), width), np.uint64))
+
+
+def long_fingerprint(hashes: np.ndarray, words: int = LONG) -> np.ndarray:
+    """A SimHash of 64 * words bits of a set of hashes; zeros for none."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words if len(hashes) else 0):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            with np.errstate(over="ignore"):
+                h = (hashes[at : at + CHUNK] ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 | 1 << 2 * k)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def tables_for(n: int) -> tuple[int, int]:
+    """(bits, tables) for n texts: buckets of about 64 unlike texts, and tables enough to miss few pairs."""
+    bits = max(8, int(np.ceil(np.log2(max(n, 2) / 64))))
+    return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - APART) ** bits))))
+
+
+def _table_masks(bits: int, tables: int) -> list[list[int]]:
+    """For each table one mask for each word but the first, together ``bits`` bits; the same on each run."""
+    rng, masks = np.random.default_rng(SEED), []
+    for _ in range(tables):
+        chosen = rng.choice(64 * (LONG - 1), bits, replace=False)
+        masks.append([_signed(sum(1 << int(b % 64) for b in chosen if b // 64 == w)) for w in range(LONG - 1)])
+    return masks
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: _row, doc_id, component_id, first, as near_duplicates().
+
+    Texts link whose sets of ``width``-word shingles have a Jaccard similarity
+    of ``similarity`` or more. Three bits of a 64-bit SimHash are too few for
+    that, so a longer one gives each text a bucket in each of some tables of
+    sampled bits; the Gray-order index links the near codes of a bucket, and
+    every link is verified on the shingle sets. Texts with the same first word
+    of the fingerprint count as copies. Null and empty texts are copies of each
+    other; ids, repeats and other columns as in near_duplicates().
+    """
+
+    def codes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in texts_of(batches, 2):
+            found = np.array([long_fingerprint(shingle_hashes(t, width)) for t in texts]).reshape(-1, LONG).view(np.int64)
+            yield arrow_rows(part, (0, 1), ["_row", "doc_id", *names], [pa.array(np.ascontiguousarray(found[:, k])) for k in range(LONG)])
+
+    def linked_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            code, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, v = link_buckets(code.view(np.uint64), bucket, NEAR)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in texts_of(batches, 1, SET_BYTES):
+            sets = [shingle_hashes(t, width).view(np.int64) for t in texts]
+            yield arrow_rows(part, (0,), ["code", "set"], [pa.array(sets, pa.list_(pa.int64()))])
+
+    names = ["code", *(f"w{k}" for k in range(1, LONG))]
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))).select("_row", "doc_id", "_text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    marks = cut(rows.mapInArrow(codes_of, f"_row long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
+    bits, tables = tables_for(marks.count())
+    keys = F.array(*(F.xxhash64(F.lit(t), *(F.col(f"w{k + 1}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks))) for t, masks in enumerate(_table_masks(bits, tables))))
+    pairs = marks.select(*names).distinct().select("code", F.explode(keys).alias("bucket")).distinct()
+    busy = pairs.join(pairs.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi").select("code", "bucket")
+    edges = cut(busy.repartition("bucket").mapInArrow(linked_in, "u long, v long").distinct())
+
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("least")
+    codes = cut(marks.groupBy("code").agg(least))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("code")).distinct()
+    named = codes.join(nodes, "code").select("code", F.col("least._row").alias("_row"))
+    sets = cut(rows.select("_row", "_text").join(named, "_row").select("code", "_text").mapInArrow(sets_of, "code long, set array<long>"))
+    both = edges.join(sets.select(F.col("code").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("code").alias("v"), F.col("set").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    near = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return _components_of(marks, codes, near)
+
+
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays; all columns as they came."""
-    gone = near_duplicates(docs).where("NOT first").select("_row")
+    gone = similar_documents(docs).where("NOT first").select("_row")
     return numbered(docs).join(gone, "_row", "left_anti").drop("_row")

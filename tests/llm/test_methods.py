@@ -254,6 +254,15 @@ def test_index_finds_all_links(spark):
         assert {r["u"]: r["component"] for r in got} == wanted
 
 
+def test_similar_documents_find_jaccard_components(spark):
+    docs = table(spark, MEDIUM, "documents")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
+    want = _near({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert sum(found[i] != c for i, c in want.items()) <= 0.005 * len(want)
+    near = [i for i, c in want.items() if i != c]
+    assert near and sum(found[i] == want[i] for i in near) >= 0.9 * len(near)
+
+
 def test_fingerprints_by_definition(spark):
     for text in ["", "One", "a B c", "a b c d  e\nÄ É", "x y " * 50_000]:
         words = text.encode().lower().split()
@@ -342,5 +351,5 @@ def test_pipeline_equals_its_operators_one_by_one(spark):
 
 
 def _near(texts):
-    codes = {i: simhash_dedup.fingerprint(t) for i, t in texts.items()}
-    return reach(codes, [(i, j) for i in codes for j in codes if (codes[i] ^ codes[j]).bit_count() <= 3])
+    sets = {i: set(simhash_dedup.shingle_hashes(t).tolist()) for i, t in texts.items()}
+    return reach(sets, [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
