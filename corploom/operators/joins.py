@@ -66,6 +66,23 @@ def resolve_evidence(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
     return joined.select(*refs.columns, F.coalesce(verdict, F.lit("OK")).alias("verdict"))
 
 
+def resolve_blocks(refs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """refs (source_id, asset_id, block_ids) with a verdict: the asset is known, approved, and has all blocks named."""
+    b = blocks.select("source_id", "asset_id", F.col("block_ids").alias("_has"), "review_status")
+    joined = refs.join(b, ["source_id", "asset_id"], "left")
+    verdict = F.when(F.col("_has").isNull(), "UNKNOWN_ASSET").when(F.col("review_status") != "approved", "NOT_APPROVED")
+    verdict = verdict.when(F.size("block_ids") == 0, "NO_BLOCKS").when(~F.forall("block_ids", lambda x: F.array_contains("_has", x)), "UNKNOWN_BLOCK")
+    return joined.select(*refs.columns, F.coalesce(verdict, F.lit("OK")).alias("verdict"))
+
+
+def resolve_verifications(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """refs (verification_id, claim_id, source_id) with a verdict: the record is known, of this claim and source, and approved."""
+    r = records.select("verification_id", F.col("claim_id").alias("_claim"), F.col("source_id").alias("_source"), "review_status")
+    joined = refs.join(r, "verification_id", "left")
+    verdict = F.when(F.col("_claim").isNull(), "UNKNOWN_RECORD").when((F.col("_claim") != F.col("claim_id")) | (F.col("_source") != F.col("source_id")), "OTHER_CLAIM").when(F.col("review_status") != "approved", "NOT_APPROVED")
+    return joined.select(*refs.columns, F.coalesce(verdict, F.lit("OK")).alias("verdict"))
+
+
 def pairwise_jaccard(sets: DataFrame) -> DataFrame:
     """(a, b, jaccard) of a < b that share a term, from (id, term): an equi-join on terms, never all pairs.
 

@@ -83,3 +83,11 @@ def reshape(row: DataFrame) -> DataFrame:
 
 def catalog_projection(rows: DataFrame, hidden: Sequence[str] = ("audit", "changes", "warnings")) -> DataFrame:
     return rows.drop(*hidden).withColumn("path", F.concat(F.lit("sources/"), F.col("doc_id").cast("string"), F.lit(".json")))
+
+
+def summary_skeleton(catalog: DataFrame) -> DataFrame:
+    """An empty summary per source, bound to its cleaned hash, to be filled in by a reviewer."""
+    claim = F.lit(None).cast("struct<claim_id:string,text:string,claim_status:string>")
+    none = F.array().cast("array<struct<claim_id:string,text:string,claim_status:string>>")
+    names = ("mechanisms", "use_cases", "limitations", "unique_contributions")
+    return catalog.select("source_id", "cleaned_sha256", F.lit("draft").alias("summary_status"), claim.alias("core_question"), claim.alias("core_conclusion"), *(none.alias(n) for n in names))

@@ -103,3 +103,8 @@ def relation_checks(edges: DataFrame, nodes: DataFrame, symmetric: Sequence[str]
     back = sym.select(F.col("to").alias("from"), F.col("from").alias("to"), "type")
     lone = sym.join(back, ["from", "to", "type"], "left_anti").select(F.lit("UNPAIRED").alias("rule"), "from", "to")
     return loops.unionByName(dangling).unionByName(lone)
+
+
+def one_canonical(rows: DataFrame, model: str, canonical: str) -> DataFrame:
+    """Ready models without exactly one canonical row."""
+    return rows.where("status = 'ready'").groupBy(model).agg(F.count_if(canonical).alias("n_canonical")).where("n_canonical <> 1")

@@ -85,6 +85,30 @@ def resolve_evidence(spark, d):
     return J.resolve_evidence(refs, artifacts).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+@register("resolve_blocks", """WITH b AS (SELECT l_orderkey AS source_id, list(l_linenumber) AS has FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY 1)
+    SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN has IS NULL THEN 'UNKNOWN_ASSET' WHEN source_id % 5 = 0 THEN 'NOT_APPROVED' WHEN NOT list_contains(has, 2) THEN 'UNKNOWN_BLOCK' ELSE 'OK' END AS verdict FROM orders LEFT JOIN b ON o_orderkey = source_id) GROUP BY verdict""")
+def resolve_blocks(spark, d):
+    n = F.col("source_id")
+    x = _t(spark, d, "lineitem").where("l_orderkey % 9 <> 0").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("block_ids"))
+    blocks = x.select("source_id", F.concat(F.lit("a"), n).alias("asset_id"), "block_ids", F.when(n % 5 == 0, "open").otherwise("approved").alias("review_status"))
+    refs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"), F.concat(F.lit("a"), "o_orderkey").alias("asset_id"), F.array(F.lit("2")).alias("block_ids"))
+    return J.resolve_blocks(refs, blocks).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@register("resolve_verifications", """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN c_custkey IS NULL THEN 'UNKNOWN_RECORD' WHEN o_orderkey % 6 = 0 THEN 'OTHER_CLAIM' WHEN c_custkey % 4 = 0 THEN 'NOT_APPROVED' ELSE 'OK' END AS verdict FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) ON o_custkey = c_custkey) GROUP BY verdict""")
+def resolve_verifications(spark, d):
+    n = F.col("c_custkey")
+    records = _t(spark, d, "customer").where("c_custkey % 10 <> 0").select(n.alias("verification_id"), F.lit("c").alias("claim_id"), n.alias("source_id"), F.when(n % 4 == 0, "open").otherwise("approved").alias("review_status"))
+    refs = _t(spark, d, "orders").select(F.col("o_custkey").alias("verification_id"), F.when(F.col("o_orderkey") % 6 == 0, "x").otherwise("c").alias("claim_id"), F.col("o_custkey").alias("source_id"))
+    return J.resolve_verifications(refs, records).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@register("one_canonical", "SELECT p_name, count(*) FILTER (p_partkey % 7 = 0) AS n_canonical FROM part WHERE p_size > 25 GROUP BY p_name HAVING count(*) FILTER (p_partkey % 7 = 0) <> 1")
+def one_canonical(spark, d):
+    x = _t(spark, d, "part").select("p_name", (F.col("p_partkey") % 7 == 0).alias("canonical"), F.when(F.col("p_size") > 25, "ready").otherwise("draft").alias("status"))
+    return Q.one_canonical(x, "p_name", "canonical")
+
+
 LONG_WORDS = r"[a-zäöüéèñ]{12,}"
 SETS_SQL = f"sets AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '{LONG_WORDS}')) AS term FROM documents), sz AS (SELECT id, count(*) AS n FROM sets GROUP BY id), pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sets a JOIN sets b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2), jac AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b)"
 

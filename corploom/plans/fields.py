@@ -340,6 +340,14 @@ def catalog_projection(spark, d):
     return P.catalog_projection(rows)
 
 
+@register("summary_skeleton", "SELECT doc_id AS source_id, sha256(text) AS cleaned_sha256, 'draft' AS summary_status, CAST(0 AS INTEGER) AS n_claims FROM documents")
+def summary_skeleton(spark, d):
+    catalog = _docs(spark, d).select(F.col("doc_id").alias("source_id"), T.sha256(F.col("text")).alias("cleaned_sha256"))
+    x = P.summary_skeleton(catalog)
+    n = F.size("mechanisms") + F.when(F.col("core_question").isNotNull(), 1).otherwise(0)
+    return x.select("source_id", "cleaned_sha256", "summary_status", n.alias("n_claims"))
+
+
 ANSWERS = [("ring", "q1"), ("gear", "q2"), ("red", "q3")]
 
 

@@ -111,3 +111,15 @@ def ingest_stream(spark, d):
 @register("apply_cleaner", "SELECT doc_id, substr(text, 1, 20) AS head, length(text) AS n FROM documents")
 def apply_cleaner_(spark, d):
     return apply_cleaner(table(spark, d, "documents"), lambda key, text: {"doc_id": key, "head": text[:20], "n": len(text)}, "doc_id long, head string, n long")
+
+
+@register("dedup_stream")
+def dedup_stream(spark, d):
+    """Events as a stream: a user's repeats of an event type within the watermark are dropped."""
+    source, out, marks = (_folder(spark, x) for x in ("events", "fresh", "marks"))
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(source)
+    rows = spark.readStream.schema(events.schema).parquet(source).withColumn("fingerprint", F.concat_ws("|", "user_id", "event_type"))
+    query = G.dedup_stream(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
