@@ -30,6 +30,8 @@ MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 #: Words, or prefixes, whose counts a task remembers; then it starts afresh.
 REMEMBERED = 600_000
+#: Bytes at a prefix's end that are encoded anew for the next one.
+KEPT = 64
 #: Stands for the table of a word too long for byte counts.
 WIDE = b""
 #: Bytes of texts that a task holds at once; their tables take four to eight times as much.
@@ -95,6 +97,40 @@ class Counter:
         table = self.tables[word] = bytes(found)
         return table
 
+    def long_prefixes(self, word: str) -> list[int]:
+        """prefixes() of a normalised word in time linear in its length.
+
+        A row of BPE tokens is the encoding of its text if each two neighbours
+        are the encoding of theirs. So the tokens of word[:i] are those of an
+        earlier prefix up to some token m, followed by the encoding of the rest,
+        provided that this begins with the same token m: that pair was neighbours
+        before. Otherwise the prefix is encoded whole.
+        """
+        ends, signs = [], []
+        for c in word:
+            signs.append(c if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_SIGNS))
+        ends = np.cumsum([len(x) for x in signs]).tolist()
+        text, counts = "".join(signs), []
+        tokens: list[tuple[str, int]] = []  # of the prefix before: (token, where it ends)
+        for end in ends:
+            m = len(tokens)
+            while m and tokens[m - 1][1] > end - KEPT:
+                m -= 1
+            found = self._from(text, tokens[m - 1][1] if m else 0, end)
+            if m and not (m < len(tokens) - 1 and found[0][0] == tokens[m][0]):
+                m, found = 0, self._from(text, 0, end)
+            del tokens[m:]
+            tokens += found
+            counts.append(len(tokens))
+        return counts
+
+    def _from(self, text: str, start: int, end: int) -> list[tuple[str, int]]:
+        out, at = [], start
+        for token in self.merge(text[start:end]):
+            at += len(token.value)
+            out.append((token.value, at))
+        return out
+
     def parts(self, text: str) -> tuple[str, list[str] | None]:
         """(normalised text, its words), words None where the fast split holds."""
         if not _UNUSUAL.search(text):
@@ -154,10 +190,11 @@ class Counter:
             start = plain.index(word, at)
             out[at + 1 : start + 1] = total
             at = start + len(word)
-            if word in self.special:
-                out[start + 1 : at + 1] = [total + self._encoded(word[:i]) for i in range(1, len(word) + 1)]
+            if word.isalpha() and self.library.normalizer.normalize_str(word) == word:
+                own = self.long_prefixes(word)
             else:
-                out[start + 1 : at + 1] = [total + self._encoded(word[:i]) for i in range(1, len(word) + 1)]
+                own = [self._encoded(word[:i]) for i in range(1, len(word) + 1)]
+            out[start + 1 : at + 1] = np.array(own) + total
             total = int(out[at])
         out[at + 1 :] = total
         out[-1] = self._encoded(text)

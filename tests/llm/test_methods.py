@@ -172,6 +172,20 @@ def test_prefix_counts_equal_the_library():
             assert got.tolist() == [size(text[:k]) for k in range(len(text) + 1)]
 
 
+def test_long_words_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(prefix_tokens.MODEL)
+    library, counter, rng = Tokenizer.from_file(file), prefix_tokens.Counter(file), random.Random(2)
+    parts = ["ing", "the", "tion", "q", "zz", "er", "é", "ü", "an", "straße", "思", "ก"]
+    for n in (40, 300):
+        word = "".join(rng.choice(parts) for _ in range(n))
+        want = [len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)]
+        assert counter.table(word).tolist() == [0, *want]
+    assert counter.table("ab" * 20_000)[-1] == len(library.encode("ab" * 20_000, add_special_tokens=False).ids)
+
+
 def test_budget_and_prefix_lookups(spark):
     import public_tokenizers
 
