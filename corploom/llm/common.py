@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corploom.session import cut
 from corploom.sources.tables import table
 
-__all__ = ["WORD", "arrow_rows", "crc_remainder", "cut", "numbered", "table", "text_or_empty", "texts_of"]
+__all__ = ["WORD", "arrow_rows", "crc_remainder", "cut", "documents", "numbered", "table", "text_or_empty", "texts_of"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

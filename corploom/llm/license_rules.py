@@ -100,12 +100,6 @@ OTHER = r"[^a-z0-9.-]+"
 EDGES = r"^[ .-]+|[ .-]+$"
 
 
-def normalised_sentences(text: Column) -> Column:
-    """array<string>: the sentences of a text, normalised; some may be empty."""
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
-    return F.transform(cut, normalised)
-
-
 def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(sentence), OTHER, " "), EDGES, "")
 
