@@ -1 +1 @@
-"""See the package docstring."""
+"""Column functions."""

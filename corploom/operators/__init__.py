@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators: DataFrame in, DataFrame out."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corploom.functions.text import sha256, smart_slice
 from corploom.operators import lines as L
 from corploom.plans.registry import register
-from corploom.rules import LINE_PATTERNS, sql_values
+from corploom.rules import LINE_PATTERNS
 from corploom.sources.tables import table
 
 LINES_SQL = r"""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers and sinks."""

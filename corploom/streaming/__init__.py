@@ -1 +1 @@
-"""See the package docstring."""
+"""Structured Streaming jobs."""
