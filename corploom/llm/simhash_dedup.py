@@ -94,6 +94,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []  # edges that joined two trees
 
     def _flatten(self) -> None:
         while not np.array_equal(up := self.parent[self.parent], self.parent):
@@ -105,7 +106,11 @@ class Forest:
             if not len(apart := np.flatnonzero(a != b)):
                 return
             u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.parent, high, low)
+            won = np.flatnonzero(self.parent[high] == low)
+            won = won[np.unique(high[won], return_index=True)[1]]
+            self.used.append((u[won], v[won]))
             self._flatten()
 
 
@@ -133,7 +138,7 @@ def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def link_buckets(codes: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (u, v) of codes that span, bucket by bucket, the links of at most ``radius`` bits."""
+    """Links (u, v) of at most ``radius`` bits that span, bucket by bucket, all of them."""
     order = np.lexsort((gray_rank(codes), bucket))
     codes, bucket = codes[order], bucket[order]
     if len(codes):
@@ -170,8 +175,8 @@ def link_buckets(codes: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np
         if level == 1:
             once &= forest.parent[x] != forest.parent[y]
         pending.append((level - 1, x[once], y[once]))
-    linked = np.flatnonzero(forest.parent != np.arange(len(codes)))
-    return codes[linked], codes[forest.parent[linked]]
+    u, v = (np.concatenate(x) for x in zip(*forest.used, strict=True)) if forest.used else (np.arange(0),) * 2
+    return codes[u], codes[v]
 
 
 # -- on Spark ---------------------------------------------------------------
