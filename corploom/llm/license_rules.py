@@ -1,8 +1,11 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (lower case, every run
-of other characters than letters, digits, '.' and '-' one space, no '.' at the
-end) and looked up among the known licence sentences. The identifiers found, in
+A text is cut into pieces, each piece is normalised (lower case, every run of
+other characters than letters, digits, '.' and '-' one space, no '.' at the end)
+and known licence sentences are looked up among the pieces. A piece that ends at
+':', ';', 'v.' or a single line end may go on in the next, so a sentence may take
+several pieces: hard-wrapped and commented notices read like those in one line.
+Blank lines and '.', '!' and '?' end a sentence. The identifiers found, in
 order, are then matched against ordered rules: a rule names the identifiers that
 must follow one another, other sentences of the text between them or not. The
 tables are code, so their size is fixed; the scan is one narrow pass of built-in
@@ -11,6 +14,7 @@ column functions, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,25 +98,44 @@ RULES: tuple[tuple[str, str, tuple[int, ...]], ...] = (
     ("Proprietary", "reserved", (52,)),
 )
 
-#: A sentence ends at . ! ? : or ; before white space, and at a line's end.
-SENTENCE_END = r"([.!?:;])[ \t]+"
-OTHER = r"[^a-z0-9.-]+"
-EDGES = r"^[ .-]+|[ .-]+$"
+#: Marks put into the text: a sentence ends here; a piece ends here, which a sentence may or may not.
+END, SOFT = "\x01", "\x02"
+#: In this order: (pattern, replacement). Each edge pattern is possessive and starts at a run's start, so long runs take linear time.
+STEPS: tuple[tuple[str, str], ...] = (
+    (r"(?<!\b[vV])([.!?])[ \t]++", END),
+    (r"([.:;!?])[ \t]++", SOFT),
+    (r"(?<!\b[vV])([.!?])\r?\n|\n(?:[ \t\r]*+\n)++", END),
+    (r"\n", SOFT),
+)
+OTHER = rf"[^a-z0-9.{END}{SOFT}-]+"
+EDGES = rf"(?<![ .-])[ .-]++(?=[{END}{SOFT}])|(?<=[{END}{SOFT}])[ .-]++"
+
+
+def normalised(text: Column) -> Column:
+    """The text's pieces, normalised, each between marks."""
+    text = F.translate(text, END + SOFT, "  ")
+    for pattern, mark in STEPS:
+        text = F.regexp_replace(text, pattern, mark)
+    text = F.concat(F.lit(END), F.regexp_replace(F.lower(text), OTHER, " "), F.lit(END))
+    return F.regexp_replace(text, EDGES, "")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), OTHER, " "), EDGES, "")
+def _key(sentence: str) -> str:
+    """A sentence without the full stops before blanks, which the edges of pieces lose."""
+    return sentence.replace(". ", " ")
 
 
 def _identifiers(text: Column, sentences: Sequence[tuple[int, str]]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known = F.array(*(F.lit(s) for _, s in sentences))
+    """Identifiers of the known sentences of a text, in order; of those that start at one piece the longest."""
+    if not sentences:
+        return F.array().cast("array<int>")
+    keys = F.array(*(F.lit(_key(s)) for _, s in sentences))
     ids = F.array(*(F.lit(i) for i, _ in sentences))
-    # Only sentences of a known length are normalised: normalising shortens.
-    least = min((len(s) for _, s in sentences), default=0)
-    cut = F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"), lambda s: F.length(s) >= least)
-    hits = F.filter(F.transform(cut, normalised), lambda s: s.isin(*(x for _, x in sentences)))
-    return F.transform(hits, lambda s: F.element_at(ids, F.array_position(known, s).cast("int")))
+    longest = sorted((s for _, s in sentences), key=len, reverse=True)
+    forms = "|".join(re.escape(s).replace(r"\.\ ", r"\.?[ %s]" % SOFT).replace(r"\ ", f"[ {SOFT}]") for s in longest)
+    hits = F.regexp_extract_all(normalised(text), F.lit(f"(?<=[{END}{SOFT}])(?:{forms})(?=[{END}{SOFT}])"), F.lit(0))
+    plain = F.transform(hits, lambda s: F.replace(F.translate(s, SOFT, " "), F.lit(". "), F.lit(" ")))
+    return F.transform(plain, lambda s: F.element_at(ids, F.array_position(keys, s).cast("int")))
 
 
 def scan_licenses(

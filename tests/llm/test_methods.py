@@ -240,6 +240,76 @@ def test_license_rules_need_their_order(spark):
     assert got == {1: ([5, 6, 7], ["MIT"]), 2: ([6, 5], []), 3: ([1, 30], ["CC-BY-NC-4.0", "MIT"]), 4: ([], [])}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL_2 = """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details. */
+"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_standard_notices_as_they_are_wrapped(spark):
+    rows = list(enumerate([MIT, BSD, GPL_3, GPL_2, MPL, MPL.replace(" v. 2", " v.\n# 2"), "Permission is hereby granted.\n\nThis work\n\nis licensed under CC BY-NC 4.0", "-" * 300_000]))
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        0: ([5, 6, 7], ["MIT"]),
+        1: ([40, 41, 42, 43], ["BSD-2-Clause", "BSD-3-Clause"]),
+        2: ([22, 24], ["GPL-3.0-or-later"]),
+        3: ([23, 24], ["GPL-2.0-or-later"]),
+        4: ([51], ["MPL-2.0"]),
+        5: ([51], ["MPL-2.0"]),
+        6: ([], []),
+        7: ([], []),
+    }
+
+
 # -- 9 ----------------------------------------------------------------------
 
 
