@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -281,10 +282,16 @@ WIDTH, SIMILARITY = 5, 0.8
 LONG = 4
 #: Bytes of texts whose shingle sets a task holds at once.
 SET_BYTES = 4 << 20
-#: Bits in which the first words of near copies may differ: about 10 are expected at 0.8.
+#: Bits in which first words may differ for the first links; what these miss the later search finds.
 NEAR = 14
+#: Bits in which the first two words of near copies may differ: about 19 are expected at 0.8, and more than 38 in 1 of 100,000 pairs.
+WITHIN = 38
 #: Share of the bits that differ at a similarity of 0.8, and of the pairs there that no table may bring together.
-APART, MISSED = 0.1514, 0.03
+APART, MISSED = 0.1514, 0.001
+#: Unlike texts in a bucket; tables that give the first links; pairs that a task returns of each of its rows in the first search.
+UNLIKE, FIRST_TABLES, PAIRS = 512, 8, 8
+#: Pairs compared at a time.
+COMPARED = 1 << 21
 
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -308,8 +315,8 @@ def long_fingerprint(hashes: np.ndarray, words: int = LONG) -> np.ndarray:
 
 
 def tables_for(n: int) -> tuple[int, int]:
-    """(bits, tables) for n texts: buckets of about 64 unlike texts, and tables enough to miss few pairs."""
-    bits = max(8, int(np.ceil(np.log2(max(n, 2) / 64))))
+    """(bits, tables) for n texts: buckets of about UNLIKE unlike texts, and tables enough to miss few pairs."""
+    bits = max(8, int(np.ceil(np.log2(max(n, 2) / UNLIKE))))
     return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - APART) ** bits))))
 
 
@@ -322,6 +329,36 @@ def _table_masks(bits: int, tables: int) -> list[list[int]]:
     return masks
 
 
+def pairs_apart(words: np.ndarray, component: np.ndarray, bucket: np.ndarray, within: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places (i, j) of pairs of one bucket and different components whose words differ in at most ``within`` bits.
+
+    The third result tells whether the search ended at ``most`` pairs; else all are found.
+    """
+    order = np.lexsort((component, bucket))
+    words, component, bucket = words[order], component[order], bucket[order]
+    n = len(order)
+    new = np.ones(n + 1, bool)
+    new[1:-1] = bucket[1:] != bucket[:-1]
+    ends = np.flatnonzero(new)
+    new[1:-1] |= component[1:] != component[:-1]
+    runs = np.flatnonzero(new)
+    after = np.repeat(runs[1:], np.diff(runs))  # where the next component starts
+    left, right, found = [], [], 0
+    for at, end in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        while at < end and (start := int(after[at])) < end:
+            stop = min(end, at + max(1, COMPARED // (end - start)))
+            apart = sum(np.bitwise_count(w[at:stop, None] ^ w[start:end]).astype(np.uint16) for w in words.T)
+            i, j = np.nonzero((apart <= within) & (np.arange(start, end) >= after[at:stop, None]))
+            left.append(order[i + at])
+            right.append(order[j + start])
+            found += len(i)
+            if found > most:
+                return np.concatenate(left)[:most], np.concatenate(right)[:most], True
+            at = stop
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), False
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: _row, doc_id, component_id, first, as near_duplicates().
 
@@ -329,7 +366,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     of ``similarity`` or more. Three bits of a 64-bit SimHash are too few for
     that, so a longer one gives each text a bucket in each of some tables of
     sampled bits; the Gray-order index links the near codes of a bucket, and
-    every link is verified on the shingle sets. Texts with the same first word
+    every link is verified on the shingle sets. Then all pairs of a bucket that
+    no verified links join are searched and verified, in searches of growing
+    size, until none is left untested. Texts with the same first word
     of the fingerprint count as copies. Null and empty texts are copies of each
     other; ids, repeats and other columns as in near_duplicates().
     """
@@ -346,6 +385,19 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
             u, v = link_buckets(code.view(np.uint64), bucket, NEAR)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
+    def apart_in(most: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table_ = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+            if table_ is not None:
+                code, w1, bucket = (table_[n].to_numpy() for n in ("code", "w1", "bucket"))
+                component = pc.coalesce(table_["component"], table_["code"]).to_numpy()
+                i, j, more = pairs_apart(np.column_stack([code, w1]).view(np.uint64), component, bucket, WITHIN, most * len(code))
+                # A last row without codes tells that the task has more pairs.
+                u, v = (pa.array([*code[x].tolist(), *[None] * more], pa.int64()) for x in (i, j))
+                yield pa.RecordBatch.from_arrays([u, v, pa.array([False] * len(i) + [True] * more)], names=["u", "v", "more"])
+
+        return run
+
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches, 1, SET_BYTES):
             sets = [shingle_hashes(t, width).view(np.int64) for t in texts]
@@ -356,19 +408,33 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     kind = rows.schema["doc_id"].dataType.simpleString()
     marks = cut(rows.mapInArrow(codes_of, f"_row long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
     bits, tables = tables_for(marks.count())
-    keys = F.array(*(F.xxhash64(F.lit(t), *(F.col(f"w{k + 1}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks))) for t, masks in enumerate(_table_masks(bits, tables))))
-    pairs = marks.select(*names).distinct().select("code", F.explode(keys).alias("bucket")).distinct()
-    busy = pairs.join(pairs.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi").select("code", "bucket")
-    edges = cut(busy.repartition("bucket").mapInArrow(linked_in, "u long, v long").distinct())
-
+    keys = [F.xxhash64(F.lit(t), *(F.col(f"w{k + 1}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks))) for t, masks in enumerate(_table_masks(bits, tables))]
+    distinct = marks.select(*names).distinct()
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("least")
     codes = cut(marks.groupBy("code").agg(least))
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("code")).distinct()
-    named = codes.join(nodes, "code").select("code", F.col("least._row").alias("_row"))
-    sets = cut(rows.select("_row", "_text").join(named, "_row").select("code", "_text").mapInArrow(sets_of, "code long, set array<long>"))
-    both = edges.join(sets.select(F.col("code").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("code").alias("v"), F.col("set").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    near = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        nodes = edges.select(F.explode(F.array("u", "v")).alias("code")).distinct()
+        named = codes.join(nodes, "code").select("code", F.col("least._row").alias("_row"))
+        sets = cut(rows.select("_row", "_text").join(named, "_row").select("code", "_text").mapInArrow(sets_of, "code long, set array<long>"))
+        both = edges.join(sets.select(F.col("code").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("code").alias("v"), F.col("set").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    first = distinct.select("code", F.explode(F.array(*keys[:FIRST_TABLES])).alias("bucket"))
+    tested = cut(first.repartition("bucket").mapInArrow(linked_in, "u long, v long").select(*ends).distinct())
+    near, most = verified(tested), PAIRS
+    while True:
+        joined = components(near)
+        placed = distinct.join(joined.withColumnRenamed("u", "code"), "code", "left").select("code", "w1", "component", F.explode(F.array(*keys)).alias("bucket"))
+        found = cut(placed.repartition("bucket").mapInArrow(apart_in(most), "u long, v long, more boolean").select(*ends, "more").distinct())
+        untested = cut(found.where("NOT more").select("u", "v").join(tested, ["u", "v"], "left_anti"))
+        if not untested.isEmpty():
+            near = cut(near.union(verified(untested)))
+        if found.where("more").isEmpty():
+            break
+        tested, most = cut(tested.union(untested)), most * 8
     return _components_of(marks, codes, near)
 
 

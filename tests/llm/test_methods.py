@@ -22,6 +22,7 @@ from corploom.llm import (
     pu_toxicity,
     simhash_dedup,
 )
+from corploom.session import cut
 from corploom.sources.tables import table
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -347,6 +348,36 @@ def test_similar_documents_find_jaccard_components(spark):
     assert near and sum(found[i] == want[i] for i in near) >= 0.9 * len(near)
 
 
+def test_links_behind_rejected_ones_are_found(spark):
+    """Graded copies of one text: all are near in the index, but only the two of a pair are similar enough."""
+    rng = random.Random(4)
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(5, len(out) - 5, 6), n):
+            out[i] = f"e{rng.randrange(10**9)}"
+        return out
+
+    base, texts = [f"w{i}" for i in range(304)], {}
+    for i in range(100):
+        first = edited(base, 6)
+        texts[2 * i], texts[2 * i + 1] = " ".join(first), " ".join(edited(first, 5))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(cut(docs)).collect()}
+    assert found == _near(texts) and len(set(found.values())) == 100
+
+
+def test_search_of_pairs_equals_brute_force():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 2**63, (4, 2)).astype(np.uint64)[rng.integers(0, 4, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 2)).astype(np.uint64))
+    component, bucket = rng.integers(0, 5, 300), rng.integers(0, 3, 300)
+    want = {(i, j) for i in range(300) for j in range(i) if bucket[i] == bucket[j] and component[i] != component[j] and np.bitwise_count(words[i] ^ words[j]).sum() <= 3}
+    i, j, more = simhash_dedup.pairs_apart(words, component, bucket, 3, 10**9)
+    assert not more and len(i) == len(want) and {(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
+    i, j, more = simhash_dedup.pairs_apart(words, component, bucket, 3, 50)
+    assert more and len(i) == 50
+
+
 def test_fingerprints_by_definition(spark):
     for text in ["", "One", "a B c", "a b c d  e\nÄ É", "x y " * 50_000]:
         words = text.encode().lower().split()
