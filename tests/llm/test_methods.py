@@ -1,6 +1,7 @@
 """Each method against brute force, an exact round trip or held-out rows."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -159,32 +160,51 @@ def test_toxicity_on_held_out_rows(spark):
 TEXTS = ["", "'re it's I'VE !'re 12³ ½x", "<|startoftext|>Hi<|endoftext|> <|foo", "İstanbul ΣΑΣ é K ẞ ﬁ", "日本語 nbsp em\u0085x\x1cy", "🙂🙂!!", "ȺȾ ŉ ǅ ǰ", "x" * 150, " lead\n\n trail \t", "c'est ''s'''t"]
 
 
-def test_prefix_counts_equal_the_library():
+@pytest.fixture(scope="module")
+def counter():
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    file = public_tokenizers.path(prefix_tokens.MODEL)
-    library, counter = Tokenizer.from_file(file), prefix_tokens.Counter(file)
-    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    for text in [*TEXTS, "Thatble eroure, ndin ERONTIHE!! anheblewh 4111 façade"]:
-        got = counter.table(text)
-        assert got[0] == 0 and got[-1] == size(text)
-        if len(got) == len(text) + 1 and text.isascii():
-            assert got.tolist() == [size(text[:k]) for k in range(len(text) + 1)]
+    return prefix_tokens.Counter(public_tokenizers.path(prefix_tokens.MODEL))
 
 
-def test_long_words_equal_the_library():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    file = public_tokenizers.path(prefix_tokens.MODEL)
-    library, counter, rng = Tokenizer.from_file(file), prefix_tokens.Counter(file), random.Random(2)
-    parts = ["ing", "the", "tion", "q", "zz", "er", "é", "ü", "an", "straße", "思", "ก"]
-    for n in (40, 300):
-        word = "".join(rng.choice(parts) for _ in range(n))
-        want = [len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)]
-        assert counter.table(word).tolist() == [0, *want]
-    assert counter.table("ab" * 20_000)[-1] == len(library.encode("ab" * 20_000, add_special_tokens=False).ids)
+def by_library(counter, text):
+    return [len(counter.library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+PARTS = [*"ab!'1½ß…", "The", "ing", " ", "\n", "é", "e\u0301", "q\u0323\u0301", "İ", "'s", "'re", "'ll", "===", "日本", "ก", "ำ", "हिन्दी", "👍🏽", "ﬁ", "Σ", "가", "\u1100\u1161\u11a8", "\xa0", "　", "<|endoftext|>", "<|start", "\x00", "\x1c", "\x85", "ẞ", "\u0308", "\U0001d160"]
+
+
+def test_prefix_counts_equal_the_library(counter):
+    rng = random.Random(1)
+    mixed = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 30))) for _ in range(2_000)]
+    for text in [*TEXTS, "Thatble eroure, ndin ERONTIHE!! anheblewh 4111 façade", "'re\u0308\u0301", *mixed]:
+        assert counter.table(text).tolist() == by_library(counter, text), text
+
+
+def test_long_words_equal_the_library(counter):
+    rng = random.Random(2)
+    black = [p for p in PARTS if not p.isspace() and "<" not in p]
+    pools = [["ing", "the", "tion", "q", "zz", "er", "é", "e\u0301", "ü", "straße", "思", "ก"], *(rng.sample(black, 3) for _ in range(40))]
+    for pool in pools:
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(100, 220)))
+        assert counter.table(text).tolist() == by_library(counter, text), text
+
+
+@pytest.mark.parametrize("text", ["=" * 10**6, "日1、" * 143_000, "👍🏽" * 125_000, "ab" * 200_000, "e\u0301" * 50_000, "İ" * 50_000], ids="signs cjk emoji letters marks expanding".split())
+def test_very_long_words_take_linear_time(counter, text):
+    began = time.process_time()
+    table_ = counter.table(text)
+    assert time.process_time() - began < 20  # seconds here; hours if the time grew with the square
+    assert len(table_) == len(text) + 1 and table_[-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
+
+
+def test_documents_count_as_in_the_library(spark, counter):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, MEDIUM, "documents").collect()}
+    rows = prefix_tokens.op6_prefix_tokens(spark, MEDIUM).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        n = len(counter.library.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 2048, len(docs[r["doc_id"]].encode()))
 
 
 def test_budget_and_prefix_lookups(spark):
