@@ -7,7 +7,8 @@ and known licence sentences are looked up among the pieces. A piece that ends at
 several pieces: hard-wrapped and commented notices read like those in one line.
 Blank lines and '.', '!' and '?' end a sentence. The identifiers found, in
 order, are then matched against ordered rules: a rule names the identifiers that
-must follow one another, other sentences of the text between them or not. The
+must follow one another, unknown sentences of the text between them or not. That
+all rights are reserved is a licence only of a text that states no other one. The
 tables are code, so their size is fixed; the scan is one narrow pass of built-in
 column functions, without a shuffle.
 """
@@ -62,6 +63,12 @@ SENTENCES: tuple[tuple[int, str], ...] = (
     (50, "this is free and unencumbered software released into the public domain"),
     (51, "this source code form is subject to the terms of the mozilla public license v. 2.0"),
     (52, "all rights reserved"),
+    (60, "gnu general public license version 3 29 june 2007"),
+    (61, "gnu general public license version 2 june 1991"),
+    (62, "gnu lesser general public license version 3 29 june 2007"),
+    (63, "gnu affero general public license version 3 19 november 2007"),
+    (64, "apache license version 2.0 january 2004"),
+    (65, "mozilla public license version 2.0"),
 )
 
 #: Ordered rules: (licence, kind, identifiers that follow one another). All that match count: a BSD-3-Clause text states the terms of BSD-2-Clause too.
@@ -95,8 +102,16 @@ RULES: tuple[tuple[str, str, tuple[int, ...]], ...] = (
     ("BSD-2-Clause", "permissive", (45,)),
     ("Unlicense", "permissive", (50,)),
     ("MPL-2.0", "copyleft", (51,)),
+    ("GPL-3.0", "copyleft", (60,)),
+    ("GPL-2.0", "copyleft", (61,)),
+    ("LGPL-3.0", "copyleft", (62,)),
+    ("AGPL-3.0", "copyleft", (63,)),
+    ("Apache-2.0", "permissive", (64,)),
+    ("MPL-2.0", "copyleft", (65,)),
     ("Proprietary", "reserved", (52,)),
 )
+#: Kinds that count only in a text without licences of other kinds.
+YIELDING = ("reserved",)
 
 #: Marks put into the text: a sentence ends here; a piece ends here, which a sentence may or may not.
 END, SOFT = "\x01", "\x02"
@@ -142,6 +157,7 @@ def scan_licenses(
     docs: DataFrame,
     sentences: Sequence[tuple[int, str]] = SENTENCES,
     rules: Sequence[tuple[str, str, tuple[int, ...]]] = RULES,
+    yielding: Sequence[str] = YIELDING,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -149,13 +165,16 @@ def scan_licenses(
 
     sentence_ids are the known sentences in the order of the text, repeats
     included; licenses and kinds, sorted and without repeats, are those of all
-    rules whose identifiers follow one another in it. Null and empty texts, and
+    rules whose identifiers follow one another in it, those of the ``yielding``
+    kinds only where there are no others. Null and empty texts, and
     texts without a known sentence, have empty arrays; repeated rows each give
     a row; no rows give none. Other columns are not read.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), _identifiers(text_or_empty(text_col), sentences).alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     matched = F.array_compact(F.array(*(F.when(F.contains(line, F.lit("," + ",".join(map(str, ids)) + ",")), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))) for name, kind, ids in rules)))
+    others = F.filter(matched, lambda r: ~r["kind"].isin(*yielding)) if yielding else matched
+    matched = F.when(F.size(others) > 0, others).otherwise(matched)
     found = found.withColumn("_rules", F.when(F.size("sentence_ids") > 0, matched).otherwise(F.array().cast("array<struct<name:string,kind:string>>")))
     return found.select("doc_id", "sentence_ids", F.array_sort(F.array_distinct(F.col("_rules.name"))).alias("licenses"), F.array_sort(F.array_distinct(F.col("_rules.kind"))).alias("kinds"))
 
@@ -170,19 +189,26 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
 
+#: The same rows by lists of pieces: a hit is a run of pieces that, joined by blanks, is a known sentence.
 SQL = {
     "op8_license_rules": rf"""
-        WITH known(id, s) AS (VALUES {_values(SENTENCES)}),
+        WITH known(id, s) AS (VALUES {_values((i, _key(s)) for i, s in SENTENCES)}),
         rules(name, kind, ids) AS (VALUES {_values((n, k, "," + ",".join(map(str, i)) + ",") for n, k, i in RULES)}),
-        cut AS (
-            SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS s
-            FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents)),
-        hits AS (
-            SELECT doc_id, i, id FROM (SELECT doc_id, i, regexp_replace(regexp_replace(lower(s), '[^a-z0-9.-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g') AS s FROM cut)
-            JOIN known USING (s)),
-        seq AS (SELECT doc_id, count(*) AS n, ',' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) || ',' AS ids FROM hits GROUP BY doc_id),
+        v AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '   '), '\b([vV])\.([ \t]|\r?\n)', '\1' || chr(3) || '\2', 'g') AS t FROM documents),
+        ends AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[.!?](?:[ \t]+|\r?\n)', chr(1), 'g'), '\n(?:[ \t\r]*\n)+', chr(1), 'g') AS t FROM v),
+        parts AS (SELECT doc_id, generate_subscripts(l, 1) AS part, unnest(l) AS t
+                  FROM (SELECT doc_id, string_split(regexp_replace(t, '[:;' || chr(3) || '][ \t]+|\n', chr(2), 'g'), chr(1)) AS l FROM ends)),
+        cut AS (SELECT doc_id, part, list_transform(string_split(t, chr(2)), lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9.-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g')) AS p FROM parts),
+        starts AS (SELECT doc_id, part, p, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM cut),
+        hits AS (SELECT doc_id, part, i, id, list_filter(generate_series(i, least(i + 100, len(p))), lambda j: array_to_string(p[i:j], ' ') = s)[1] AS j
+                 FROM starts JOIN known ON piece <> '' AND starts_with(s, piece)),
+        best AS (SELECT doc_id, part, i, arg_max(id, j) AS id, max(j) AS j FROM hits WHERE j IS NOT NULL GROUP BY doc_id, part, i),
+        apart AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM best c WHERE c.doc_id = b.doc_id AND c.part = b.part AND c.i < b.i AND b.i <= c.j)),
+        seq AS (SELECT doc_id, count(*) AS n, ',' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY part, i) || ',' AS ids FROM apart GROUP BY doc_id),
+        met AS (SELECT doc_id, name, kind, max(CASE WHEN kind IN ({", ".join(f"'{k}'" for k in YIELDING)}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS other
+                FROM seq JOIN rules ON contains(seq.ids, rules.ids)),
         got AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds
-                FROM seq JOIN rules ON contains(seq.ids, rules.ids) GROUP BY doc_id)
+                FROM met WHERE other = 0 OR kind NOT IN ({", ".join(f"'{k}'" for k in YIELDING)}) GROUP BY doc_id)
         SELECT d.doc_id, coalesce(seq.n, 0) AS n_sentences, coalesce(licenses, '') AS licenses, coalesce(kinds, '') AS kinds
         FROM documents d LEFT JOIN seq USING (doc_id) LEFT JOIN got USING (doc_id)
     """
