@@ -18,15 +18,26 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def own_exchange(df: DataFrame, key: str) -> DataFrame:
+    """The same rows with ``key`` computed anew.
+
+    Grouped rows are partitioned by their key already. A join would take that
+    over and send all rows of a hot key to the group's task; a computed key has
+    no partitioning, so both sides of the join get an exchange of their own and
+    adaptive execution splits the hot key.
+    """
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _directed(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = own_exchange(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = own_exchange(down.groupBy("u").agg(F.min("v").alias("m")), "u")
     return down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corploom.llm.common import arrow_rows, cut, documents, numbered, text_or_empty, texts_of
-from corploom.llm.components import components
+from corploom.llm.components import components, own_exchange
 
 SEED = 42
 #: Fingerprints in a bucket that a task takes; larger ones are split by further bits.
@@ -261,11 +261,9 @@ def _components_of(marks: DataFrame, codes: DataFrame, edges: DataFrame) -> Data
     """Rows of ``marks`` with the component of their code; ``codes`` has the least row of each code."""
     linked = components(edges)
     heads = codes.join(linked, codes["code"] == linked["u"]).groupBy("component").agg(F.min("least").alias("head"))
-    moved = linked.join(heads, "component").select(F.col("u").alias("code"), "head")
-    # Computed anew, the code has no partitioning that Spark could take over, so
-    # both sides of the last join get their own exchange and a hot code splits.
-    of_code = codes.join(moved, "code", "left").select(F.col("code").bitwiseXOR(F.lit(0)).alias("code"), F.coalesce("head", "least").alias("head"))
-    return marks.join(of_code, "code").select("_row", "doc_id", "code", F.col("head.doc_id").alias("component_id"), (F.col("head._row") == F.col("_row")).alias("first"))
+    moved = linked.join(own_exchange(heads, "component"), "component").select(F.col("u").alias("code"), "head")
+    of_code = codes.join(moved, "code", "left").select("code", F.coalesce("head", "least").alias("head"))
+    return marks.join(own_exchange(of_code, "code"), "code").select("_row", "doc_id", "code", F.col("head.doc_id").alias("component_id"), (F.col("head._row") == F.col("_row")).alias("first"))
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
