@@ -1,6 +1,8 @@
 """Each method against brute force, an exact round trip or held-out rows."""
 
 import random
+import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from compare import assert_same
 from pyspark.sql import functions as F
 
 from corploom.llm import (
@@ -331,6 +334,73 @@ def test_standard_notices_as_they_are_wrapped(spark):
     }
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+TITLES = {
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n",
+}
+COPYRIGHT = "Copyright (c) 2001, The Authors. All rights reserved.\n\n"
+TWO_CLAUSES = BSD[: BSD.index("3. ")]
+
+
+def unwrapped(text):
+    return "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {x}".rstrip() for x in text.splitlines())
+
+
+def test_licence_texts_however_they_are_set(spark):
+    plain = re.sub(r"(?m)^( \* ?|/\* ?|# ?)| \*/$", "", "%s").replace  # noqa: F841
+    notices = {"MIT": MIT, "BSD-2-Clause": TWO_CLAUSES, "BSD-3-Clause": BSD, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL_3, "GPL-2.0-or-later": re.sub(r"(?m)^( \* ?|/\* )|\*/$", "", GPL_2), "MPL-2.0": re.sub("(?m)^# ", "", MPL)}
+    rows, want = [], {}
+    for name, text in notices.items():
+        for whole in (text, COPYRIGHT + text):
+            for form in (whole, unwrapped(whole), wrapped(whole, 72), wrapped(whole, 40), *(commented(wrapped(whole, 72), m) for m in ("#", " *", "//")), whole.replace("\n", "\r\n")):
+                want[len(rows)] = {name, *(["BSD-2-Clause"] if name == "BSD-3-Clause" else [])}
+                rows.append((len(rows), form))
+    for name, text in TITLES.items():
+        for form in (text, COPYRIGHT + text, commented(text, "#")):
+            want[len(rows)] = {name}
+            rows.append((len(rows), form))
+    want[len(rows)] = {"Proprietary"}
+    rows.append((len(rows), COPYRIGHT))
+    got = {r["doc_id"]: set(r["licenses"]) for r in license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (got[i], rows[i][1]) for i in want if got[i] != want[i]} == {}
+
+
+def test_each_known_sentence_is_found(spark):
+    rows = [(i, f"Some text. {s[0].upper()}{s[1:]}.\nMore text.") for i, s in license_rules.SENTENCES]
+    got = {r["doc_id"]: r["sentence_ids"] for r in license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [i] for i, _ in rows}
+
+
+def test_licences_of_set_texts_equal_the_sql(spark, stored):
+    texts = [MIT, BSD, COPYRIGHT + BSD, GPL_3, GPL_2, MPL, APACHE, COPYRIGHT, commented(wrapped(MIT, 50), "//"), wrapped(COPYRIGHT + GPL_3, 30), *TITLES.values(), None, "", "MIT: released under the mit license"]
+    folder = stored({"documents": (list(enumerate(texts)), "doc_id long, text string")})
+    assert_same(spark, folder, license_rules.op8_license_rules, license_rules.SQL["op8_license_rules"])
+
+
 # -- 9 ----------------------------------------------------------------------
 
 
@@ -414,6 +484,32 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_large_star(spark):
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    got = components.components(star)
+    assert (got.count(), got.where("component <> 0").count()) == (100_001, 0)
+
+
+def test_a_hot_node_gets_its_own_exchange(spark):
+    star = spark.range(1, 1000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = components._large_star(star)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(u") == 3  # the group, and both sides of the join
+
+
+def test_simhash_components_by_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, MEDIUM, "documents").collect()}
+    codes = {i: simhash_dedup.fingerprint(t or "") for i, t in texts.items()}
+    ids, array = list(codes), np.array(list(codes.values()), np.uint64)
+    edges = [(ids[i], ids[j]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(array ^ array[i]) <= 3)]
+    want = reach(ids, edges)
+    rows = simhash_dedup.op9_simhash_dedup(spark, MEDIUM).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{codes[i]:016x}", want[i]) for i in ids}
+
+
 # -- 10 ---------------------------------------------------------------------
 
 
