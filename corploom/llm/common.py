@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from corploom.session import cut
 from corploom.sources.tables import table
 
-__all__ = ["WORD", "arrow_rows", "crc_remainder", "cut", "documents", "numbered", "table", "text_or_empty", "texts_of"]
+__all__ = ["WORD", "arrow_rows", "crc_remainder", "cut", "documents", "numbered", "table", "text_or_empty", "texts_of", "unused", "where_text"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,14 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it if the rows have such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -61,3 +70,18 @@ def texts_of(batches: Iterable[pa.RecordBatch], column: int = 0, most: int = SLI
 def arrow_rows(part: pa.RecordBatch, keep: Iterable[int], names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     """Kept input columns (by position), then new ones, as one batch."""
     return pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *columns], names=names)
+
+
+def where_text(docs: DataFrame, judge: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts (null: empty) are judged true, with their columns as they came, in one narrow pass.
+
+    Each task calls ``judge`` once for its function from texts to booleans.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for part, texts in texts_of(batches, at):
+            yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
