@@ -16,120 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corploom.llm.common import cut, documents, numbered, text_or_empty
-
-#: Distinct digests in a shard, about: 1 MB of filter.
-SHARD_KEYS = 500_000
-FILTER_SCHEMA = "shard long, seed long, segment long, segments long, fingerprints binary"
-
-
-# -- the filter -------------------------------------------------------------
-
-
-def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
-    """Murmur's 64-bit finaliser over key + seed."""
-    with np.errstate(over="ignore"):
-        h = keys + np.uint64(seed)
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        h ^= h >> np.uint64(33)
-    return h
-
-
-def _slots(h: np.ndarray, segment: int, segments: int) -> np.ndarray:
-    """The three slots of each hash: one in each of three segments next to each other."""
-    mask = np.uint64(segment - 1)
-    first = ((h >> np.uint64(32)) * np.uint64(segment * segments)) >> np.uint64(32)
-    second = (first + np.uint64(segment)) ^ ((h >> np.uint64(18)) & mask)
-    third = (first + np.uint64(2 * segment)) ^ (h & mask)
-    return np.stack([first, second, third]).astype(np.int64)
-
-
-def _prints(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(0xFF)).astype(np.uint8)
-
-
-def build_filter(keys: np.ndarray) -> tuple[int, int, int, bytes]:
-    """A binary fuse filter of distinct 64-bit keys: (seed, segment length, segments, fingerprints)."""
-    keys = np.unique(keys.astype(np.uint64))
-    n = max(len(keys), 2)
-    segment = min(1 << int(np.floor(np.log(n) / np.log(3.33) + 2.25)), 1 << 18)
-    room = int(n * max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(n)))
-    segments = max(1, -(-room // segment) - 2)
-    size = (segments + 2) * segment
-    for seed in range(1, 200):
-        h = _mix(keys, seed * 0x9E3779B97F4A7C15 % (1 << 64))
-        at = _slots(h, segment, segments)
-        count = np.bincount(at.ravel(), minlength=size)
-        owner = np.zeros(size, np.int64)
-        for row in at:
-            np.bitwise_xor.at(owner, row, np.arange(len(keys)))
-        layers, left = [], len(keys)
-        while left:
-            lone = np.flatnonzero(count == 1)
-            who, first = np.unique(owner[lone], return_index=True)
-            if not len(who):
-                break
-            layers.append((who, lone[first]))
-            left -= len(who)
-            for row in at[:, who]:
-                np.subtract.at(count, row, 1)
-                np.bitwise_xor.at(owner, row, who)
-        if left:
-            continue
-        table, prints = np.zeros(size, np.uint8), _prints(h)
-        for who, slot in reversed(layers):
-            table[slot] = 0
-            table[slot] = prints[who] ^ np.bitwise_xor.reduce(table[at[:, who]], axis=0)
-        return seed, segment, segments, table.tobytes()
-    raise ValueError("no seed peels these keys; are they 64-bit hashes?")
-
-
-def probe_filter(keys: np.ndarray, seed: int, segment: int, segments: int, fingerprints: bytes) -> np.ndarray:
-    """True for every key of the set, and for about 1 in 256 others."""
-    h = _mix(keys.astype(np.uint64), seed * 0x9E3779B97F4A7C15 % (1 << 64))
-    table = np.frombuffer(fingerprints, np.uint8)
-    return np.bitwise_xor.reduce(table[_slots(h, segment, segments)], axis=0) == _prints(h)
-
-
-# -- on Spark ---------------------------------------------------------------
-
-
-def _sharded(digests: DataFrame, shards: int) -> DataFrame:
-    key = F.xxhash64("digest")
-    return digests.withColumn("_key", key).withColumn("_shard", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shards)))
-
-
-def snapshot_filters(digests: DataFrame, shards: int) -> DataFrame:
-    """Static filters of a snapshot's distinct ``digest`` values, one row a shard; store them beside the snapshot."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed, segment, segments, table = build_filter(pdf["_key"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"shard": [pdf["_shard"].iloc[0]], "seed": [seed], "segment": [segment], "segments": [segments], "fingerprints": [table]})
-
-    return _sharded(digests.select("digest"), shards).select("_shard", "_key").groupBy("_shard").applyInPandas(build, FILTER_SCHEMA)
-
-
-def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The distinct incoming ``digest`` values that a snapshot's filters can't rule out."""
-
-    def probe(incoming: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if held.empty or incoming.empty:
-            return incoming[["digest"]].iloc[:0]
-        f = held.iloc[0]
-        hit = probe_filter(incoming["_key"].to_numpy().view(np.uint64), int(f["seed"]), int(f["segment"]), int(f["segments"]), f["fingerprints"])
-        return incoming.loc[hit, ["digest"]]
-
-    kind = digests.schema["digest"].dataType.simpleString()
-    return _sharded(digests.select("digest"), shards).groupBy("_shard").cogroup(filters.groupBy(F.col("shard"))).applyInPandas(probe, f"digest {kind}")
-
+from corploom.llm.common import cut, documents, numbered, text_or_empty, unused
+from corploom.llm.fuse_filter import SHARD_KEYS, may_be_in, rows_not_in, screen, snapshot_filters
 
 def exact_dedup(
     docs: DataFrame,
@@ -157,15 +48,16 @@ def exact_dedup(
     positives = screen(new, snapshot_filters(old, shards), shards)
     both = positives.join(old.select("digest"), "digest", "left_semi")
     twice = old.where("n > 1").select("digest").union(new.where("n > 1").select("digest"))
-    # Computed anew, the digest has no partitioning that Spark could take over:
-    # both sides of the join below get their own exchange, so hot digests split.
-    candidates = both.union(twice).select(F.concat("digest", F.lit("")).alias("digest"))
+    # Stored, the digests have no partitioning that Spark could take over: both
+    # sides of the join below get their own exchange, so hot digests split.
+    candidates = cut(both.union(twice).distinct())
 
     # Byte check: group the candidates' texts by content. The tag keeps Spark
     # from grouping inside the join's partitioning, so copies are first counted
     # where the join leaves them.
     texts = rows.select("_row", "doc_id", digest(F.col("_text")).alias("digest"), "_text")
-    suspects = texts.join(candidates.hint("shuffle_hash"), "digest", "left_semi")
+    maybe = may_be_in(candidates, "digest")  # texts that this rules out aren't shuffled
+    suspects = (texts if maybe is None else texts.where(maybe)).join(candidates.hint("shuffle_hash"), "digest", "left_semi")
     groups = cut(
         suspects.groupBy(F.struct("digest").alias("tag"), "_text")
         .agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", -F.col("_row"))).alias("top"))
@@ -200,9 +92,15 @@ def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts one document stays; all columns as they came."""
-    gone = exact_dedup(docs, second_half()).where("NOT kept").select("_row")
-    return numbered(docs).join(gone, "_row", "left_anti").drop("_row")
+    """Pipeline stage: of equal texts one document stays, that with the largest id; all columns as they came.
+
+    Null and empty texts are equal, of repeated rows the first stays, a null id
+    loses to any other; no rows give none. Rows are told apart by a column whose
+    name no column of ``docs`` has.
+    """
+    row = unused(docs, "_row")
+    gone = cut(exact_dedup(docs, second_half()).where("NOT kept").select(F.col("_row").alias(row)))
+    return rows_not_in(numbered(docs, row), gone, row).drop(row)
 
 
 SQL = {
