@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corploom.llm.common import WORD, cut, documents, numbered, text_or_empty
+from corploom.llm.common import WORD, cut, documents, numbered, text_or_empty, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -173,9 +173,16 @@ def op7_curriculum_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix in training order, a row for each copy: the columns of documents, copy and position."""
-    order = curriculum_mix(docs).select("_row", F.posexplode("positions").alias("copy", "position"))
-    return numbered(docs).join(order, "_row").drop("_row").orderBy("position", "doc_id", "copy")
+    """Pipeline stage: the mix in training order, a row for each copy: the columns of documents, copy and position.
+
+    Where ``docs`` has a column named copy or position, that of the mix gets an
+    underscore behind its name. Null and empty texts have no words and cost no
+    part of the target; repeated rows are documents of their own; no rows
+    give none.
+    """
+    row, copy, position = (unused(docs, name) for name in ("_row", "copy", "position"))
+    order = curriculum_mix(docs).select(F.col("_row").alias(row), F.posexplode("positions").alias(copy, position))
+    return numbered(docs, row).join(order, row).drop(row).orderBy(position, "doc_id", copy)
 
 
 SQL = {

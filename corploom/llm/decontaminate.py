@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corploom.llm.common import documents, numbered, table, text_or_empty, texts_of
+from corploom.llm.common import documents, numbered, table, text_or_empty, texts_of, where_text
 
 #: ASCII other than letters, digits and _ parts words; so does punctuation of some other blocks.
 _ASCII = bytes.maketrans(SEPARATORS := bytes(c for c in range(128) if not (chr(c).isalnum() or c == 95)), b" " * len(SEPARATORS))
@@ -40,8 +40,6 @@ ENTRY = 48
 SHARE = 0.6
 #: Words of a shingle, and the share of shingles that must recur.
 SHINGLE, OVERLAP = 5, 0.8
-#: Items of fewer words can't be told from chance.
-MIN_WORDS = 5
 #: Bounds of a shard.
 SHARD_ITEMS, SHARD_CHARS = 2_000, 1_000_000
 #: Entries of a block.
@@ -81,7 +79,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str, str]], share: float = SHARE):
         parts = [(i, tokens(q or ""), tokens(a or "")) for i, q, a in items]
-        self.items = [x for x in parts if len(x[1]) + len(x[2]) >= MIN_WORDS]
+        self.items = [x for x in parts if x[1] or x[2]]
         self.of, bags = [], []  # of each entry: its item, its words
         for k, (_, q, a) in enumerate(self.items):
             words, pieces = q + a, -(-len(q + a) // ENTRY)
@@ -189,6 +187,8 @@ class Index:
                 _, question, answer = self.items[k]
                 reach = len(question) + len(answer)
                 around = words[max(0, first - reach) : max(0, first) + size + reach]
+                if reach < SHINGLE:  # few words tell little, so that all must come one after another
+                    question, answer = question + answer, []
                 q, a = overlap(question, around), overlap(answer, around)
                 if q >= OVERLAP and a >= OVERLAP:
                     best[k] = (k, score, q, a, max(0, first))
@@ -208,26 +208,32 @@ def leaked_items(docs: DataFrame, items: DataFrame, share: float = SHARE, passag
 
     ``docs`` must be a scan of stored data (see ``numbered``); ``items`` has
     item_id, question, answer. Null texts, questions and answers count as
-    empty; an item without an answer is judged by its question; items of fewer
-    than five words match nothing. Equal items and repeated rows each give
-    their own rows; no rows or no items give none. Other columns are not read.
+    empty; an item without an answer is judged by its question; of an item of
+    fewer than five words all must recur one after another; items without words
+    match nothing. Equal items and repeated rows each give their own rows; no
+    rows or no items give none. Other columns are not read.
     """
-    items = items.select("item_id", text_or_empty("question").alias("question"), text_or_empty("answer").alias("answer"))
-    chars = F.coalesce(F.sum(F.length("question") + F.length("answer")), F.lit(0))
-    n, total = items.agg(F.count("*"), chars).first()
-    shards = max(1, -(-n // SHARD_ITEMS), -(-total // SHARD_CHARS))
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))).select("_row", "doc_id", "_text")
     id_type, item_type = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"_row long, doc_id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double, word int"
     out = None
-    for shard in range(shards):
-        of = F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)) == shard
-        held = sorted(map(tuple, items.where(of).collect()), key=lambda x: (x[0] is None, x))
-        found = rows.mapInArrow(_leaks_in(docs.sparkSession.sparkContext.broadcast(Index(held, share)), passage), schema)
+    for index in indexes(items, share):
+        found = rows.mapInArrow(_leaks_in(docs.sparkSession.sparkContext.broadcast(index), passage), schema)
         out = found if out is None else out.union(found)
     return out
 
 
+def indexes(items: DataFrame, share: float = SHARE) -> Iterator[Index]:
+    """The index of (item_id, question, answer), a bounded shard at a time; one shard at least."""
+    items = items.select("item_id", text_or_empty("question").alias("question"), text_or_empty("answer").alias("answer"))
+    chars = F.coalesce(F.sum(F.length("question") + F.length("answer")), F.lit(0))
+    n, total = items.agg(F.count("*"), chars).first()
+    shards = max(1, -(-n // SHARD_ITEMS), -(-total // SHARD_CHARS))
+    for shard in range(shards):
+        of = F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(shards)) == shard
+        yield Index(sorted(map(tuple, items.where(of).collect()), key=lambda x: (x[0] is None, x)), share)
+
+
 def _leaks_in(shared, passage: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -249,6 +255,16 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a leaked test item go; all columns as they came."""
-    gone = leaked_items(docs, with_answer(table(spark, sf_dir, "benchmark"))).select("_row")
-    return numbered(docs).join(gone, "_row", "left_anti").drop("_row")
+    """Pipeline stage: documents with a leaked test item go; all columns as they came.
+
+    One narrow pass for each shard of the items, without a shuffle or new
+    columns, so no name can clash. Null and empty texts leak nothing; repeated
+    rows share their fate; no rows, or no items, drop none.
+    """
+    for index in indexes(with_answer(table(spark, sf_dir, "benchmark"))):
+        docs = where_text(docs, _clean_of(spark.sparkContext.broadcast(index)))
+    return docs
+
+
+def _clean_of(shared):
+    return lambda: lambda texts: np.array([not shared.value.leaks(t) for t in texts], bool)

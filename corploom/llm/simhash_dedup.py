@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corploom.llm.common import arrow_rows, cut, documents, numbered, text_or_empty, texts_of
+from corploom.llm.common import arrow_rows, cut, documents, numbered, text_or_empty, texts_of, unused
 from corploom.llm.components import components, own_exchange
+from corploom.llm.fuse_filter import rows_in, rows_not_in
 
 SEED = 42
 #: Fingerprints in a bucket that a task takes; larger ones are split by further bits.
@@ -413,8 +414,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
     def verified(edges: DataFrame) -> DataFrame:
         nodes = edges.select(F.explode(F.array("u", "v")).alias("code")).distinct()
-        named = codes.join(nodes, "code").select("code", F.col("least._row").alias("_row"))
-        sets = cut(rows.select("_row", "_text").join(named, "_row").select("code", "_text").mapInArrow(sets_of, "code long, set array<long>"))
+        named = cut(codes.join(nodes, "code").select("code", F.col("least._row").alias("_row")))
+        sets = cut(rows_in(rows.select("_row", "_text"), named, "_row").select("code", "_text").mapInArrow(sets_of, "code long, set array<long>"))
         both = edges.join(sets.select(F.col("code").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("code").alias("v"), F.col("set").alias("b")), "v")
         common = F.size(F.array_intersect("a", "b"))
         return cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
@@ -437,6 +438,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays; all columns as they came."""
-    gone = similar_documents(docs).where("NOT first").select("_row")
-    return numbered(docs).join(gone, "_row", "left_anti").drop("_row")
+    """Pipeline stage: one document of each component stays, that with the smallest id; all columns as they came.
+
+    Null and empty texts are one component, of repeated rows the first stays, a
+    null id loses to any other; no rows give none. Rows are told apart by a
+    column whose name no column of ``docs`` has.
+    """
+    row = unused(docs, "_row")
+    gone = cut(similar_documents(docs).where("NOT first").select(F.col("_row").alias(row)))
+    return rows_not_in(numbered(docs, row), gone, row).drop(row)
