@@ -9,6 +9,7 @@ from corploom.llm import (
     curriculum_mix,
     decontaminate,
     exact_dedup,
+    fuse_filter,
     license_rules,
     ordinal_quality,
     prefix_tokens,
@@ -16,6 +17,7 @@ from corploom.llm import (
     queries,
     simhash_dedup,
 )
+from corploom.session import cut
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _row long, score double, keep_id string"
 LONG = "word " * 30_000 + "end"
@@ -86,8 +88,11 @@ def test_mix_of_odd_rows(spark, odd):
 
 
 def test_decontamination_of_odd_rows(spark, odd):
-    rows = decontaminate.leaked_items(spark.read.parquet(f"{odd}/documents.parquet"), spark.createDataFrame([(9, "alpha beta gamma", "delta"), (8, None, None)], "item_id long, question string, answer string")).collect()
-    assert rows == []  # four words can't be told from chance
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    items = [(9, "alpha beta gamma", "delta"), (8, None, None), (7, "gamma alpha", None), (6, "other", "text"), (5, "SAME", None), (4, "word", "end"), (3, "...", "!")]
+    rows = decontaminate.leaked_items(docs, spark.createDataFrame(items, "item_id long, question string, answer string")).collect()
+    found = sorted((r["item_id"], r["doc_id"] is None, r["doc_id"] or 0) for r in rows)
+    assert found == [(4, False, 5), (5, False, 5), (6, False, 5), (9, False, 1), (9, False, 1), (9, True, 0)]
 
 
 def test_scores_of_empty_texts(spark, odd):
@@ -107,3 +112,76 @@ def test_tokens_of_empty_and_long_texts(spark, odd):
 def test_licenses_of_odd_rows(spark, odd):
     df = license_rules.scan_licenses(spark.read.parquet(f"{odd}/documents.parquet"))
     assert df.where(F.size("licenses") > 0).count() == 0
+
+
+# -- stages of the pipeline -----------------------------------------------------
+
+CLASH = DOC + ", copy string, position double, confirmed boolean, _text string, train boolean, code long"
+STAGE_ROWS = [(*r, "c", 2.0, True, "t", False, 9) for r in ROWS]
+
+
+@pytest.fixture(scope="module")
+def clashing(stored):
+    return stored({"documents": (STAGE_ROWS, CLASH), "labels": (LABELS, "doc_id long, quality int, toxic int"), "benchmark": (ITEMS, "item_id long, text string")})
+
+
+def kept_rows(df, columns):
+    return sorted(map(repr, (tuple(r) for r in df.select(columns).collect())))
+
+
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize(
+    ("name", "dropped"),
+    [
+        ("toxicity", []),
+        ("exact_dedup", [1, 2, 4]),  # the first with the largest id stays
+        ("simhash_near_dedup", [1, 3, 4, 8]),  # the first with the smallest id stays; the words of row 8 are none
+        ("decontaminate", []),
+    ],
+)
+def test_stages_on_odd_and_clashing_rows(spark, clashing, name, dropped):
+    docs = spark.read.parquet(f"{clashing}/documents.parquet")
+    got = stages()[name](spark, docs, clashing)
+    assert got.columns == docs.columns and got.schema == docs.schema
+    assert kept_rows(got, docs.columns) == sorted(repr(tuple(r)) for i, r in enumerate(STAGE_ROWS) if i not in dropped)
+
+
+def test_decontamination_stage_drops_what_the_query_finds(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r["doc_id"] for r in decontaminate.op2_decontaminate(spark, sf_dir).collect()}
+    kept = {r["doc_id"] for r in stages()["decontaminate"](spark, docs, sf_dir).select("doc_id").collect()}
+    assert found and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - found
+
+
+def test_mix_stage_on_odd_and_clashing_rows(spark, clashing):
+    docs = spark.read.parquet(f"{clashing}/documents.parquet")
+    got = stages()["mix_sources"](spark, docs, clashing)
+    assert got.columns == [*docs.columns, "copy_", "position_"]
+    mix = curriculum_mix.curriculum_mix(docs).agg(F.sum("copies")).first()[0]
+    rows = got.collect()
+    assert len(rows) == mix and {r["copy"] for r in rows} <= {"c"}
+    assert [r["position_"] for r in rows] == sorted(r["position_"] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "simhash_near_dedup", "decontaminate", "mix_sources"])
+def test_stages_of_empty_tables(spark, none, name):
+    got = stages()[name](spark, spark.read.parquet(f"{none}/documents.parquet"), none)
+    assert got.collect() == [] and set(DOC.replace(",", "").split()[::2]) <= set(got.columns)
+
+
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_row_screens_with_few_and_many_keys(spark, most):
+    rows = cut(spark.range(2_000).select(F.col("id").alias("k"), F.lit("x").alias("v")))
+    keys = cut(spark.range(100, 2_000, 7).select(F.col("id").alias("k")))
+    found = fuse_filter.may_be_in(keys, "k", most)
+    assert (found is None) == (most == 3)
+    if found is not None:
+        passed = {r["k"] for r in rows.where(found).collect()}
+        assert set(range(100, 2_000, 7)) <= passed and len(passed) < 330
+    assert fuse_filter.rows_in(rows, keys, "k").count() == keys.count()
+    assert fuse_filter.rows_not_in(rows, keys, "k").count() == 2_000 - keys.count()
