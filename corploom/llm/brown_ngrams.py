@@ -316,34 +316,54 @@ def _flat(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _block_sums(texts: DataFrame, add: Callable[[np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Sums over all training texts of the arrays, by block, that ``add`` makes of numbers in a row.
+#: Numbers that a task adds up at a time.
+ADDED = 1 << 21
+
+
+def _block_sums(texts: DataFrame, add: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all training texts of the matrix of ``width`` columns that ``add`` makes of numbers in a row.
 
     Each text ends with the end, so texts in a row lead each other in. Tasks add
-    up all of theirs; their sums are added in two levels, so that no group has
-    more than about twice the square root of the tasks' number.
+    up all of theirs and pass on blocks of rows, of which only the cells above
+    0; their sums are added in two levels, so that no group has more than about
+    twice the square root of the tasks' number.
     """
 
+    def packed(block: int, sums: np.ndarray) -> tuple[int, bytes, bytes]:
+        at = np.flatnonzero(sums)
+        return block, at.astype(np.int32).tobytes(), sums.ravel()[at].astype(np.int64).tobytes()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        total, held, size = None, [], 0
         for batch in batches:
-            for block, data in add(_flat(batch.column(0))).items() if batch.num_rows else ():
-                if block in sums:
-                    sums[block] += data
-                else:
-                    sums[block] = data
-        for block, data in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data.astype(np.int64).tobytes()], pa.binary())], names=["block", "data"])
+            held.append(_flat(batch.column(0)))
+            size += len(held[-1])
+            if size >= ADDED:
+                found = add(np.concatenate(held))
+                total, held, size = found if total is None else total + found, [], 0
+        if size:
+            found = add(np.concatenate(held))
+            total = found if total is None else total + found
+        for start in range(0, 0 if total is None else len(total), BLOCK):
+            block, at, n = packed(start // BLOCK, total[start : start + BLOCK])
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at], pa.binary()), pa.array([n], pa.binary())], names=["block", "at", "n"])
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["data"].iloc[0]) // 8, np.int64)
-        for data in pdf["data"]:
-            total += np.frombuffer(data, np.int64)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
-
-    parts = texts.where("train").select("numbers").mapInArrow(run, "block int, data binary")
-    once = parts.withColumn("salt", F.floor(F.sqrt(F.spark_partition_id()))).groupBy("block", "salt").applyInPandas(together, "block int, data binary")
-    return {r["block"]: np.frombuffer(r["data"], np.int64) for r in once.groupBy("block").applyInPandas(together, "block int, data binary").toLocalIterator()}
+        total = np.zeros(BLOCK * width, np.int64)
+        for at, n in zip(pdf["at"], pdf["n"], strict=True):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        return pd.DataFrame([packed(pdf["block"].iloc[0], total)], columns=["block", "at", "n"])
+
+    schema = "block int, at binary, n binary"
+    parts = texts.where("train").select("numbers").mapInArrow(run, schema)
+    once = parts.withColumn("salt", F.floor(F.sqrt(F.spark_partition_id()))).groupBy("block", "salt").applyInPandas(together, schema)
+    rows = once.groupBy("block").applyInPandas(together, schema).toArrow().to_pylist()  # at most the cells of the matrix
+    out = np.zeros(((max((r["block"] for r in rows), default=0) + 1) * BLOCK, width), np.int64)
+    for r in rows:
+        start = r["block"] * BLOCK * width
+        out.ravel()[start + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return out
 
 
 def _before(units: np.ndarray) -> np.ndarray:
@@ -351,43 +371,39 @@ def _before(units: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, units.dtype), units[:-1]])
 
 
+def _rows(found: np.ndarray, n: int) -> np.ndarray:
+    """Exactly n rows."""
+    return np.concatenate([found, np.zeros((max(0, n - len(found)), found.shape[1]), found.dtype)])[:n]
+
+
 def first_pairs(texts: DataFrame, units: Units) -> np.ndarray:
     """Dense counts of pairs of units of the first clustering, each text led in by the end."""
     shared = texts.sparkSession.sparkContext.broadcast(units.first[units.unit].astype(np.int64))
     n = units.firsts
-    rows = BLOCK * max(1, 1 + n // BLOCK)  # blocks of rows of the matrix
 
-    def add(numbers: np.ndarray) -> dict[int, np.ndarray]:
+    def add(numbers: np.ndarray) -> np.ndarray:
         u = shared.value[numbers]
-        found = np.bincount(_before(u) * n + u, minlength=rows * n)
-        return {b: found[b * BLOCK * n : (b + 1) * BLOCK * n] for b in range(rows // BLOCK)}
+        return np.bincount(_before(u) * n + u, minlength=n * n).reshape(n, n)
 
-    got = _block_sums(texts, add)
-    out = np.zeros((rows, n))
-    for b, data in got.items():
-        out[b * BLOCK : (b + 1) * BLOCK] = data.reshape(BLOCK, n)
-    return out[:n]
+    return _rows(_block_sums(texts, add, n), n).astype(float)
 
 
 def context_counts(texts: DataFrame, units: Units, of: np.ndarray, classes: int) -> np.ndarray:
     """A row for each unit: how often each class is behind it, before it, and it behind itself."""
     shared = texts.sparkSession.sparkContext.broadcast((units.unit.astype(np.int64), of))  # bounded by LOOKUP and the units
-    rows = BLOCK * (1 + units.size // BLOCK)
+    n = units.size
 
-    def add(numbers: np.ndarray) -> dict[int, np.ndarray]:
+    def add(numbers: np.ndarray) -> np.ndarray:
         unit, of_ = shared.value
         u = unit[numbers]
         before = _before(u)
-        found = np.zeros((rows, 2 * classes + 1), np.int64)
-        found[:, :classes] = np.bincount(before * classes + of_[u], minlength=rows * classes).reshape(rows, classes)
-        found[:, classes:-1] = np.bincount(u * classes + of_[before], minlength=rows * classes).reshape(rows, classes)
-        found[:, -1] = np.bincount(u[u == before], minlength=rows)
-        return {b: found[b * BLOCK : (b + 1) * BLOCK] for b in range(rows // BLOCK)}
-
-    out = np.zeros((rows, 2 * classes + 1), np.int64)
-    for b, data in _block_sums(texts, add).items():
-        out[b * BLOCK : (b + 1) * BLOCK] = data.reshape(BLOCK, -1)
-    return out[: units.size]
+        found = np.empty((n, 2 * classes + 1), np.int64)
+        found[:, :classes] = np.bincount(before * classes + of_[u], minlength=n * classes).reshape(n, classes)
+        found[:, classes:-1] = np.bincount(u * classes + of_[before], minlength=n * classes).reshape(n, classes)
+        found[:, -1] = np.bincount(u[u == before], minlength=n)
+        return found
+
+    return _rows(_block_sums(texts, add, 2 * classes + 1), n)
 
 
 def fit(texts: DataFrame, units: Units, open_sizes: np.ndarray, total: int, distinct: int, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
