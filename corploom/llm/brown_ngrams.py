@@ -243,7 +243,15 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def units_of(counts: DataFrame, unit_words: int = UNIT_WORDS, unit_endings: int = UNIT_ENDINGS, lookup: int = LOOKUP, first_words: int = FIRST_WORDS) -> tuple[Units, np.ndarray]:
     """(units, distinct words of each unit that words share) from stored word_counts(); the driver gets ``lookup`` words."""
     words = counts.where(F.length("word") > 0)
-    top = words.orderBy(F.desc("n"), "word").limit(max(lookup, unit_words)).toArrow()
+    wanted = max(lookup, unit_words)
+    # A histogram of the counts, at most 1,024 bars, tells from where on words are
+    # frequent enough, so that the sort sees few more words than it keeps.
+    bar = F.floor(F.log2("n") * 16)
+    bars, enough, so_far = sorted(words.groupBy(bar.alias("bar")).count().collect(), reverse=True), 0, 0
+    for r in bars:
+        if so_far < wanted:
+            enough, so_far = r["bar"], so_far + r["count"]
+    top = words.where(bar >= enough).orderBy(F.desc("n"), "word").limit(wanted).toArrow()
     ranked = top["word"].to_pylist()
     numbers = {END: 0} | {w: i for i, w in enumerate(ranked, 1)}
     at_end = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
