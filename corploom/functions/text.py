@@ -36,22 +36,59 @@ def keyed_id(kind: str, locator: Column, key: bytes, prefix: str = "src_") -> Co
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(pads[1], inner), 256), 1, 32))
 
 
-URL = r"^([A-Za-z]+)://([^/?#:@]+)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
+URL = r"^([A-Za-z]+)://(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]\\\s]+)(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(?:#.*)?$"
+
+
+def _encoded(part: Column, also: str) -> Column:
+    """Signs beyond printing ASCII, and those of ``also``, as %XX of their UTF-8 bytes."""
+    code = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    signs = F.transform(F.split(part, ""), lambda c: F.when(F.rlike(c, F.lit(r"^[\x21-\x7e]$")) & ~F.contains(F.lit(also), c), c).when(c == "", c).otherwise(code(c)))
+    return F.when(F.rlike(part, F.lit("[^\\x21-\\x7e]|[" + "".join("\\" + x for x in also) + "]")), F.array_join(signs, "")).otherwise(part)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without '.' and '..' segments, %2e counting as a dot."""
+    parts = F.transform(F.split(F.substr(path, F.lit(2)), "/", -1), lambda x: F.struct(x.alias("x"), F.regexp_replace(x, "(?i)%2e", ".").alias("plain")))
+
+    def step(kept: Column, p: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(p["plain"] == "..", up).when(p["plain"] == ".", kept).otherwise(F.concat(kept, F.array(p["x"])))
+
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends = F.element_at(parts, -1)["plain"].isin(".", "..")
+    clean = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(ends & (F.size(folded) > 0), "/").otherwise(""))
+    return F.when(F.rlike(path, F.lit(r"(?i)/(\.|%2e){1,2}(/|\z)")), clean).otherwise(path)
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, no fragment, '/' for no path; null unless plain http(s)."""
-    part = lambda i: F.regexp_extract(url, URL, i)
-    scheme, port = F.lower(part(1)), part(3)
+    """Scheme and host in lower case, no default port, no fragment, '/' for no path, dot segments resolved; null unless plain http(s).
+
+    Backslashes in the path count as slashes; what may not stand in a path or
+    query as it is comes as %XX; the query is kept. Hosts in brackets are IPv6
+    addresses. A host beyond ASCII gives null: put it into its ASCII form first.
+    """
+    plain = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    part = lambda i: F.regexp_extract(plain, URL, i)
+    scheme, host, port = F.lower(part(1)), F.lower(part(2)), F.regexp_replace(part(3), "^0+(?=[0-9])", "")
     default = F.when(scheme == "http", "80").otherwise("443")
     shown = F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.when(part(4) == "", "/").otherwise(part(4))
-    return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), F.lower(part(2)), shown, path, part(5)))
+    path = F.when(part(4) == "", "/").otherwise(_without_dots(_encoded(F.translate(part(4), "\\", "/"), "\"<>`{}^")))
+    query = F.when(part(5).isin("", "?"), part(5)).otherwise(_encoded(part(5), "\"<>'"))
+    fine = scheme.isin("http", "https") & F.rlike(host, F.lit(r"^[\x21-\x7e]+$")) & (F.length(port) < 6)
+    return F.when(fine, F.concat(scheme, F.lit("://"), host, shown, path, query))
 
 
 def url_allowed(url: Column, scheme: str, host: str) -> Column:
     """Whether the canonical URL has exactly this scheme and host."""
-    return F.coalesce(F.regexp_extract(canonical_url(url), URL, 1) == scheme, F.lit(False)) & (F.regexp_extract(canonical_url(url), URL, 2) == host)
+    rest = F.lit(f"{scheme}://{host}/")
+    return F.coalesce(F.startswith(canonical_url(url), rest), F.lit(False))
+
+
+def html_escape(text: Column) -> Column:
+    """The text with & < > " and ' as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
 
 
 def slug(name: Column, keep: str = "a-z0-9", most: int = 40) -> Column:

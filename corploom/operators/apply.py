@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def apply_cleaner(docs: DataFrame, cleaner: Callable[[str, str], dict], schema: str, id_col: str = "doc_id") -> DataFrame:
     """cleaner(id, text) -> dict of the schema's columns, Arrow-batched; an error or another shape fails the run and names the source."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = [f.name for f in _parse_datatype_string(schema).fields]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corploom.session import small
+
 
 def drop_consecutive_duplicates(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
     before = F.lag(name).over(Window.partitionBy(group).orderBy(*order))
@@ -37,7 +39,7 @@ def assign_problem_types(rows: DataFrame, rules: DataFrame, least: int = 3) -> D
     """(chain columns, type), many to many: the chain's head equals or is part of a rule's head, or the source has the keyword."""
     head = F.element_at("names", 1)
     hit = F.contains(head, F.col("head")) | F.contains(F.col("head"), head) | F.contains(F.col("source").cast("string"), F.col("keyword"))
-    return rows.where(F.size("names") >= least).join(F.broadcast(rules.select("type", "keyword", "head")), hit).drop("keyword", "head").distinct()
+    return rows.where(F.size("names") >= least).join(small(rules.select("type", "keyword", "head")), hit).drop("keyword", "head").distinct()
 
 
 def with_catch_all(rows: DataFrame, typed: DataFrame, key: Sequence[str], name: str = "general") -> DataFrame:
@@ -68,8 +70,13 @@ def select_panel(names: Column, combos: Sequence[tuple[int, Sequence[str]]], anc
     return out
 
 
-def build_panel(rows: DataFrame, roles: DataFrame, id_col: str, panel: str, default: tuple[str, str] = ("participant", "open")) -> DataFrame:
-    """(id, participants, quality): names with role and stance, in order; quality counts known roles."""
-    seats = rows.select(id_col, F.posexplode(panel).alias("seat", "name")).join(F.broadcast(roles), "name", "left")
-    one = F.struct("seat", "name", F.coalesce("role", F.lit(default[0])).alias("role"), F.coalesce("stance", F.lit(default[1])).alias("stance"))
+def build_panel(rows: DataFrame, roles: DataFrame, id_col: str, panel: str, default: tuple[str, str, str] = ("participant", "open", "What does {name} overlook?")) -> DataFrame:
+    """(id, participants, quality): names with role, stance and challenge, in order; quality counts known roles.
+
+    ``roles``: name, role, stance, challenge; names without a role have the
+    default, with their name put in for {name}.
+    """
+    seats = rows.select(id_col, F.posexplode(panel).alias("seat", "name")).join(small(roles), "name", "left")
+    asked = F.coalesce("challenge", F.replace(F.lit(default[2]), F.lit("{name}"), F.col("name")))
+    one = F.struct("seat", "name", F.coalesce("role", F.lit(default[0])).alias("role"), F.coalesce("stance", F.lit(default[1])).alias("stance"), asked.alias("challenge"))
     return seats.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("participants"), F.count("role").alias("quality"))

@@ -37,13 +37,28 @@ def is_generic(prompt: Column, layer: str, stock: Sequence[str]) -> Column:
     return (said == "") | said.isin(*stock)
 
 
-def fidelity(prompt: Column, name: Column, protocol: str, gate: str) -> Column:
-    """0 .. 100 in tens: length, a protocol word, a gate word, the name not too often; 0 for very short prompts."""
+def fidelity(prompt: Column, name: Column, protocol: str, gate: str, layers: Sequence[str] = ("mode", "protocol", "gate", "format")) -> Column:
+    """struct<value, reasons>: 0 .. 100 in tens for the length (2 or 1), a protocol word (3), a gate word (2), the name at most three times (1) and all layers (2).
+
+    Protocol and gate are looked for in what is left without the name and the
+    rest of its sentence. A reason says what was met (+), nearly (~) or not (-);
+    a prompt of fewer than 50 code points has value 0 and the reason 'short'.
+    """
     n = F.length(prompt)
-    times = F.when(name == "", 0).otherwise((n - F.length(F.replace(prompt, name, F.lit("")))) / F.length(name))
-    points = F.when(n >= 150, 2).when(n >= 100, 1).otherwise(0) + F.when(F.rlike(prompt, F.lit(protocol)), 3).otherwise(0) + F.when(F.rlike(prompt, F.lit(gate)), 2).otherwise(0) + F.when(times <= 3, 1).otherwise(0)
-    points = points + F.when(F.rlike(prompt, F.lit(r"\n")), 2).otherwise(0)
-    return F.when(n < 50, 0).otherwise(points * 10).cast("int")
+    named = F.coalesce(name, F.lit("")) != ""
+    bare = F.when(named, F.regexp_replace(F.replace(prompt, name, F.lit("\x01")), "\x01[^.\n]*", "")).otherwise(prompt)
+    times = F.when(named, (n - F.length(F.replace(prompt, name, F.lit("")))) / F.length(name)).otherwise(0)
+    every = F.lit(True)
+    for layer in layers:
+        every = every & F.contains(prompt, F.lit(f"[{layer}]"))
+    rules = [("protocol", F.rlike(bare, F.lit(protocol)), 3), ("gate", F.rlike(bare, F.lit(gate)), 2), ("name", times <= 3, 1), ("layers", every, 2)]
+    points = F.when(n >= 150, 2).when(n >= 100, 1).otherwise(0)
+    reasons = [F.when(n >= 150, "+length").when(n >= 100, "~length").otherwise("-length")]
+    for label, met, worth in rules:
+        points = points + F.when(met, worth).otherwise(0)
+        reasons.append(F.concat(F.when(met, "+").otherwise("-"), F.lit(label)))
+    short = n < 50
+    return F.struct(F.when(short, 0).otherwise(points * 10).cast("int").alias("value"), F.when(short, F.array(F.lit("short"))).otherwise(F.array(*reasons)).alias("reasons"))
 
 
 def signature_terms(text: Column, pattern: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corploom.functions.text import first_match
+from corploom.session import small
 
 
 def split_sections(docs: DataFrame, heading: str, chapter: str, least: int = 80, parts: int = 3) -> DataFrame:
@@ -40,12 +41,20 @@ def first_sentence(text: Column, least: int = 12, most: int = 150) -> Column:
     return F.get(F.filter(sentences(text), lambda x: F.length(x).between(least, most)), F.lit(0))
 
 
-def extract_bullets(text: Column, anchor: str, item: str, least: int, most: int, exclude: str, k: int) -> Column:
-    """Items of the section behind an anchor (to the next blank line), without marker, of fitting length, k at most."""
+def extract_bullets(text: Column, anchor: str, item: str, least: int, most: int, exclude: str, k: int, fallback: Sequence[str] = ()) -> Column:
+    """Items of the section behind an anchor (to the next blank line), without marker, of fitting length, k at most.
+
+    Where that gives none, the matches of the first of the ``fallback`` patterns
+    that gives some, of fitting length.
+    """
     section = F.regexp_extract(text, f"(?s){anchor}[^\\n]*\\n(.*?)(?:\\n\\n|\\z)", 1)
     items = F.regexp_extract_all(section, F.lit(f"(?m)^{item}(.+)$"), 1)
-    fit = F.filter(items, lambda x: F.length(x).between(least, most) & ~F.rlike(x, F.lit(exclude)))
-    return F.slice(fit, 1, k)
+    fits = lambda found: F.slice(F.filter(found, lambda x: F.length(x).between(least, most) & ~F.rlike(x, F.lit(exclude))), 1, k)
+    found = fits(items)
+    for pattern in fallback:
+        other = fits(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.trim(x)))
+        found = F.when(F.size(found) > 0, found).otherwise(other)
+    return found
 
 
 def prefix_dedup(items: Column, n: int) -> Column:
@@ -54,9 +63,15 @@ def prefix_dedup(items: Column, n: int) -> Column:
     return F.aggregate(items, start, lambda kept, x: F.when(F.exists(kept, lambda y: F.substring(y, 1, n) == F.substring(x, 1, n)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def extract_steps(text: Column, noise: str = "http", k: int = 5) -> Column:
-    """array<struct<step, name, action>> of numbered items, split at a colon in places 2 to 10, without noise and names twice in a row; two at least, or none."""
-    items = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*[0-9]+[.)][ \t]*(.+)$"), 1), lambda x: ~F.rlike(x, F.lit(noise)))
+def extract_steps(text: Column, noise: str = "http", k: int = 5, anchor: str | None = None, least: int = 15) -> Column:
+    """array<struct<step, name, action>> of numbered items, split at a colon in places 2 to 10, without noise and names twice in a row; two at least, or none.
+
+    With an ``anchor`` the items are those behind it, to the next blank line;
+    where that gives none, three or more numbered items of ``least`` code points
+    anywhere in the text are steps, the first seven distinct ones.
+    """
+    body = text if anchor is None else F.regexp_extract(text, f"(?s){anchor}[^\\n]*\\n(.*?)(?:\\n\\n|\\z)", 1)
+    items = F.filter(F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*[0-9]+[.)][ \t]*(.+)$"), 1), lambda x: ~F.rlike(x, F.lit(noise)))
     at = lambda x: F.instr(x, ":")
     parts = F.transform(items, lambda x: F.struct(F.trim(F.when(at(x).between(2, 10), F.substring_index(x, ":", 1)).otherwise(F.substring(x, 1, 10))).alias("name"), F.trim(F.when(at(x).between(2, 10), F.substr(x, at(x) + 1)).otherwise(x)).alias("action")))
     # A fold, so that the items are computed once: the name before, and the first k fresh ones.
@@ -69,7 +84,14 @@ def extract_steps(text: Column, noise: str = "http", k: int = 5) -> Column:
 
     kept = F.aggregate(parts, start, add, lambda state: state["kept"])
     steps = F.transform(kept, lambda x, i: F.struct((i + 1).alias("step"), x["name"].alias("name"), x["action"].alias("action")))
-    return F.when(F.size(items) >= 2, steps).otherwise(F.array().cast("array<struct<step:int,name:string,action:string>>"))
+    none = F.array().cast("array<struct<step:int,name:string,action:string>>")
+    found = F.when(F.size(items) >= 2, steps).otherwise(none)
+    if anchor is None:
+        return found
+    anywhere = F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*[0-9]+[.)][ \t]*(.{{{least},}})$"), 1)
+    some = F.slice(F.array_distinct(anywhere), 1, 7)
+    other = F.transform(some, lambda x, i: F.struct((i + 1).alias("step"), F.trim(F.substring(x, 1, 25)).alias("name"), F.trim(F.substring(x, 1, 150)).alias("action")))
+    return F.when(F.size(found) > 0, found).when(F.size(anywhere) >= 3, other).otherwise(none)
 
 
 def mine_steps(text: Column, verbs: str, k: int = 6) -> Column:
@@ -94,10 +116,12 @@ def extract_tags(text: Column, k: int = 7) -> Column:
 
 
 def kwic(docs: DataFrame, terms: DataFrame, around: int = 60) -> DataFrame:
-    """(doc_id, term, context): the first hit of each term of a small table in each document, with its surroundings."""
-    hits = docs.join(F.broadcast(terms.select("term")), F.contains(docs["text"], F.col("term")))  # rule tables are fixed in size
+    """(doc_id, term, context, sentences): the first hit of each term of a small table in each document, with its surroundings and their sentences of more than ten code points."""
+    hits = docs.join(small(terms.select("term")), F.contains(docs["text"], F.col("term")))
     at = F.instr("text", F.col("term"))
-    return hits.select("doc_id", "term", F.substring("text", F.greatest(at - around, F.lit(1)), F.least(at, F.lit(around + 1)) + F.length("term") + around - 1).alias("context"))
+    cut_out = F.substring("text", F.greatest(at - around, F.lit(1)), F.least(at, F.lit(around + 1)) + F.length("term") + around - 1)
+    found = hits.select("doc_id", "term", cut_out.alias("context"))
+    return found.withColumn("sentences", F.filter(sentences(F.col("context")), lambda x: F.length(x) > 10))
 
 
 def mechanism_paragraph(text: Column, cause: str, least: int, most: int) -> Column:
@@ -107,6 +131,24 @@ def mechanism_paragraph(text: Column, cause: str, least: int, most: int) -> Colu
     return F.coalesce(F.get(F.filter(fit, lambda x: F.rlike(x, F.lit(cause))), F.lit(0)), F.get(fit, F.lit(0)), F.get(parts, F.lit(0)))
 
 
+#: Headings: chapters, roman, numbered and twice numbered parts, steps; and bold names.
+HEADINGS: tuple[tuple[str, str, int], ...] = (
+    ("heading", r"(?m)^(?:Chapter|Part) [0-9]+[:. ]+([^(),\n]{3,40})", 1),
+    ("heading", r"(?m)^[IVX]+[.)] +([^(),\n]{3,40})", 1),
+    ("heading", r"(?m)^[0-9]+[.)] +([^(),\n0-9][^(),\n]{2,39})", 1),
+    ("heading", r"(?m)^[0-9]+\.[0-9]+[. ]+([^(),\n0-9][^(),\n]{2,39})", 1),
+    ("heading", r"(?m)^Step [0-9]+[: ]+([^(),\n]{3,40})", 1),
+    ("bold", r"\*\*([^*]{3,40})\*\*", 1),
+)
+#: Words that end the name of a method.
+SUFFIXES: tuple[str, ...] = ("model", "law", "principle", "rule", "effect", "analysis", "theory", "thinking")
+
+
+def name_patterns(suffixes: Sequence[str] = SUFFIXES) -> list[tuple[str, str, int]]:
+    """The heading and bold patterns, and one for each suffix."""
+    return [*HEADINGS, *(("suffix", rf"([^.,\n]{{2,20}} {s})", 1) for s in suffixes)]
+
+
 def candidates(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], known: Sequence[str], least: int = 3, most: int = 40) -> DataFrame:
     """(doc_id, type, name): matches of each (type, pattern, group), and known names that occur."""
     def named(kind: str, found: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corploom.functions.text import canonical_url, sha256, trim_white
-from corploom.operators.lines import IMAGE
+from corploom.operators.lines import IMAGE, META
 
 
 def id_collisions(rows: DataFrame, id_col: str, locator_col: str) -> DataFrame:
@@ -29,11 +29,10 @@ def parse_fixed_header(docs: DataFrame) -> DataFrame:
     '> label: [url](url)', where the shown URL must equal the target. What does
     not match is null.
     """
-    meta = r"^(\S+) (\S+) ([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}) (\S+)[ \t]*$"
     link = r"^> [^:]+: \[([^\]]+)\]\(([^)]+)\)$"
     part = lambda n, p, i: F.nullif(F.regexp_extract(F.coalesce(line_of(F.col("text"), n), F.lit("")), p, i), F.lit(""))
     url = F.when(part(8, link, 1) == part(8, link, 2), part(8, link, 2))
-    return docs.select("doc_id", F.nullif(trim_white(line_of(F.col("text"), 3)), F.lit("")).alias("title"), part(6, meta, 1).alias("status"), part(6, meta, 2).alias("author"), part(6, meta, 3).alias("published_at"), part(6, meta, 4).alias("location"), url.alias("source_url"))
+    return docs.select("doc_id", F.nullif(trim_white(line_of(F.col("text"), 3)), F.lit("")).alias("title"), part(6, META, 1).alias("status"), part(6, META, 2).alias("author"), part(6, META, 3).alias("published_at"), part(6, META, 4).alias("location"), url.alias("source_url"))
 
 
 def parse_loose_header(docs: DataFrame, host: str = "example.com") -> DataFrame:
@@ -69,6 +68,11 @@ def sniff_title(text: Column) -> Column:
     return F.coalesce(F.get(headings, F.lit(0)), F.get(lines, F.lit(0)))
 
 
+def first_url(text: Column, pattern: str = r"https?://[^\s\"')>]+") -> Column:
+    """The first match of a URL pattern; null without one."""
+    return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
+
+
 def content_mode(html: Column) -> Column:
     """text without images, mixed with some, image_dominant with little else."""
     images = F.regexp_count(html, F.lit("<img"))
@@ -76,4 +80,4 @@ def content_mode(html: Column) -> Column:
     return F.when(images == 0, "text").when(shown <= 100, "image_dominant").otherwise("mixed")
 
 
-__all__ = ["asset_id", "canonical_url", "content_mode", "extract_images", "id_collisions", "line_of", "parse_fixed_header", "parse_loose_header", "sniff_title"]
+__all__ = ["asset_id", "canonical_url", "content_mode", "extract_images", "first_url", "id_collisions", "line_of", "parse_fixed_header", "parse_loose_header", "sniff_title"]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corploom.functions.arrays import let, starts
+from corploom.session import small
+
 
 def assign_ids(catalog: DataFrame, known: DataFrame, key: str, minted: Column) -> DataFrame:
     """Keeps a key's id, mints one where there is none."""
@@ -34,20 +37,20 @@ def fuzzy_source(names: DataFrame, files: DataFrame, stop: list[str], least: int
 
 
 def mentions(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, term, position from 1): all occurrences, overlapping ones too, of the terms of a rule table."""
-    hits = docs.join(F.broadcast(lexicon.select("term")), F.contains(docs["text"], F.col("term")))
+    """(doc_id, term, position from 1): all occurrences, overlapping ones too, of the terms of a small rule table; no shuffle."""
+    hits = docs.join(small(lexicon.select("term")), F.contains(docs["text"], F.col("term")))
     # A look-ahead splits at every start; the parts' lengths add up to the places.
     parts = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)")), -1)
+    places = starts(F.transform(parts, lambda x: F.length(x).cast("long")))
     led = F.startswith("text", F.col("term"))  # a split gives no empty part before the first
-    rows = hits.select("doc_id", "term", led.alias("led"), F.posexplode(parts).alias("i", "part"))
-    before = Window.partitionBy("doc_id", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("position", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int") + 1)
-    return rows.where("i > 0 OR led").select("doc_id", "term", "position")
+    found = let(places, lambda p: F.when(led, p).otherwise(F.slice(p, F.lit(2), F.size(p))))
+    rows = hits.select("doc_id", "term", F.explode(found).alias("position"))
+    return rows.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 def match_status(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(name, status): already_exists, partial_match (one contains the other) or new; ``existing`` is a bounded name list."""
-    old = F.broadcast(existing.select(F.col("name").alias("old")).distinct())
+    """(name, status): already_exists, partial_match (one contains the other) or new; ``existing`` is a list of names small enough to broadcast."""
+    old = small(existing.select(F.col("name").alias("old")).distinct())
     hit = F.contains(F.col("name"), F.col("old")) | F.contains(F.col("old"), F.col("name"))
     ranked = new.select("name").distinct().join(old, hit, "left").groupBy("name").agg(F.max(F.when(F.col("old") == F.col("name"), 2).when(F.col("old").isNotNull(), 1).otherwise(0)).alias("r"))
     return ranked.select("name", F.when(F.col("r") == 2, "already_exists").when(F.col("r") == 1, "partial_match").otherwise("new").alias("status"))
@@ -83,26 +86,55 @@ def resolve_verifications(refs: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select(*refs.columns, F.coalesce(verdict, F.lit("OK")).alias("verdict"))
 
 
-def pairwise_jaccard(sets: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of a < b that share a term, from (id, term): an equi-join on terms, never all pairs.
+def term_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (id, rep), classes (rep, terms, n)) of (id, term): ids with the same terms are one class, named by the least."""
+    own = sets.select("id", "term").distinct().groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    classes = own.groupBy("terms").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    return own.join(classes.select("terms", "rep"), "terms").select("id", "rep"), classes.select("rep", "terms", "n")
+
+
+def pairwise_jaccard(sets: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b, jaccard) of classes a < b of (id, term) that share a term, from ``least`` on; see term_classes().
 
-    Pairs without a common term have 0 and give no row.
+    Equal sets are one class, so copies give no pairs. With ``least`` above 0
+    only the rarest terms of a set are joined on: two sets that similar share
+    one of those. Pairs without a common term have 0 and give no row.
     """
-    sets = sets.select("id", "term").distinct()
-    size = sets.groupBy("id").agg(F.count("*").alias("n"))
-    left, right = sets.select(F.col("id").alias("a"), "term"), sets.select(F.col("id").alias("b"), "term")
-    both = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    both = both.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    _, classes = term_classes(sets)
+    size = F.size("terms")
+    terms = classes.select("rep", size.alias("n"), F.explode("terms").alias("term"))
+    if least > 0:
+        times = terms.groupBy("term").agg(F.count("*").alias("times"))
+        ranked = terms.join(times, "term").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "term"))).alias("t"))
+        kept = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+        terms = ranked.select("rep", "n", F.inline(kept)).where("times > 1").select("rep", "n", "term")
+    left, right = terms.select(F.col("rep").alias("a"), F.col("n").alias("na"), "term"), terms.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "term")
+    pairs = left.join(right, "term").where("a < b")
+    if least > 0:
+        pairs = pairs.where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
+        both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("terms").alias("ta")), "a").join(classes.select(F.col("rep").alias("b"), F.col("terms").alias("tb")), "b")
+        common = F.size(F.array_intersect("ta", "tb"))
+        return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
+    both = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
 
 
-def differentiation(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, score): round((1 - mean Jaccard to all others) * 100), 0 at least; pairs without a row count as 0."""
-    ids = sets.select("id").distinct()
+def differentiation(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, score) of every id: round((1 - mean Jaccard to all others) * 100), 0 at least.
+
+    Ids of one class have a Jaccard of 1 to each other; ids without a term, and
+    pairs without a common one, have 0.
+    """
+    members, classes = term_classes(sets)
+    pairs = pairwise_jaccard(sets)
+    sizes = classes.select(F.col("rep").alias("other"), F.col("n").alias("times"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "jaccard").union(pairs.select("b", "a", "jaccard"))
+    each = both.join(sizes, "other").groupBy("rep").agg(F.sum(F.col("jaccard") * F.col("times")).alias("s"))
+    sums = classes.select("rep", "n").join(each, "rep", "left").select("rep", (F.coalesce("s", F.lit(0.0)) + F.col("n") - 1).alias("s"))
+    ids = ids.select("id").distinct()
     n = ids.agg((F.count("*") - 1).alias("others"))
-    each = pairs.select(F.explode(F.array("a", "b")).alias("id"), "jaccard").groupBy("id").agg(F.sum("jaccard").alias("s"))
-    joined = ids.join(each, "id", "left").crossJoin(F.broadcast(n))  # one row
-    mean = F.when(F.col("others") > 0, F.coalesce("s", F.lit(0.0)) / F.col("others")).otherwise(0.0)
+    joined = ids.join(members.join(sums, "rep").select("id", "s"), "id", "left").crossJoin(F.broadcast(n))  # one row
+    mean = F.when(F.col("others") > 0, F.round(F.coalesce("s", F.lit(0.0)) / F.col("others"), 12)).otherwise(0.0)
     return joined.select("id", F.greatest(F.round((1 - mean) * 100), F.lit(0)).cast("int").alias("score"))
 
 

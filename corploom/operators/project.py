@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corploom.functions.text import slug, smart_slice
+from corploom.operators.classify import is_shell
+from corploom.operators.inventory import ranks
+from corploom.session import small
+
 
 def assemble_prompt(steps: Column, stock: str) -> Column:
     """'Step i - name: action' parted by blank lines; the stock sentence without steps."""
@@ -32,7 +37,7 @@ def replace_layer(prompt: Column, layer: str, steps: Column) -> Column:
 
 def expand_domains(rows: DataFrame, templates: DataFrame, key: str, name: str) -> DataFrame:
     """(key, scenarios map<domain, text>): each template with the row's name put in for {name}."""
-    both = rows.select(key, name).crossJoin(F.broadcast(templates))  # a template per domain, a handful
+    both = rows.select(key, name).crossJoin(small(templates))  # a template per domain
     said = F.replace("template", F.lit("{name}"), F.col(name))
     return both.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", said.alias("text"))))).alias("scenarios"))
 
@@ -62,22 +67,61 @@ def band(score: Column, high: int = 40, middle: int = 20) -> Column:
     return F.when(score >= high, "high").when(score >= middle, "mid").otherwise("low")
 
 
+def report_rows(rows: DataFrame, key: str, score: str, pair_score: str, high: int = 40, middle: int = 20) -> DataFrame:
+    """A row for each entity: its score, its band, that of its closest pair, and a verdict of both."""
+    own, pair = band(F.col(score), high, middle), band(F.col(pair_score), high, middle)
+    verdict = F.when((own == "high") & (pair != "high"), "keep").when(own == "low", "rework").otherwise("review")
+    return rows.select(key, score, own.alias("band"), pair.alias("pair_band"), verdict.alias("verdict"))
+
+
 def chapter_pages(rows: DataFrame, chapters: DataFrame, order: str) -> DataFrame:
     """Rank by descending order inside the chapter, with neighbours; unknown chapters count as '00'."""
-    known = rows.join(F.broadcast(chapters.select(F.col("chapter").alias("_known"))), F.col("chapter") == F.col("_known"), "left")
+    known = rows.join(small(chapters.select(F.col("chapter").alias("_known"))), F.col("chapter") == F.col("_known"), "left")
     placed = known.withColumn("chapter", F.coalesce("_known", F.lit("00"))).drop("_known")
-    w = Window.partitionBy("chapter").orderBy(F.desc(order), "id")
-    return placed.withColumn("rank", F.row_number().over(w)).withColumn("before", F.lag("id").over(w)).withColumn("after", F.lead("id").over(w))
-
-
-def reshape(row: DataFrame) -> DataFrame:
-    """Flat V2 columns (id, name, definition, triggers, steps, stops, pitfalls) to the nested V3 row."""
-    return row.select(
-        F.struct("id", "name").alias("meta"),
-        F.struct(F.col("triggers").alias("use"), F.col("stops").alias("avoid")).alias("when_to_use"),
-        F.transform("steps", lambda s, i: F.struct((i + 1).alias("order"), s["name"].alias("name"), s["action"].alias("action"))).alias("reasoning_steps"),
-        F.coalesce("pitfalls", F.array().cast("array<string>")).alias("pitfalls"),
-        F.coalesce(F.nullif("definition", F.lit("")), F.col("name")).alias("definition"),
+    key = F.struct((-F.col(order)).alias("o"), F.col("id").alias("i"))
+    ranked = ranks(placed.withColumn("_key", key), "chapter", "_key").drop("_key")
+    beside = lambda name, step: ranked.select("chapter", (F.col("rank") + step).alias("rank"), F.col("id").alias(name))
+    return ranked.join(beside("before", 1), ["chapter", "rank"], "left").join(beside("after", -1), ["chapter", "rank"], "left")
+
+
+def reshape(row: DataFrame, protocol: str = "step|check|list") -> DataFrame:
+    """Flat V2 columns to the nested V3 row.
+
+    V2: id, name, category, definition, triggers, steps array<struct<name, action,
+    check>>, stops, pitfalls, prompt, quality. Names lose a broken end; triggers
+    and stops of eight code points or fewer go; every part has a fallback; a
+    prompt that says little is written anew in layers.
+    """
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("name", "_+$", ""), "_{2,}", "_"), r"\([^)]*$", ""))
+    base = row.withColumn("_name", F.coalesce(F.nullif(name, F.lit("")), F.col("name")))
+    said = F.coalesce(F.nullif("definition", F.lit("")), F.concat(F.lit("How to use "), F.col("_name")))
+    long_ = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.length(x) > 8)
+    triggers = F.slice(long_("triggers"), 1, 5)
+    base = base.withColumn("_definition", said).withColumn("_triggers", F.when(F.size(triggers) > 0, triggers).otherwise(F.array(F.concat(F.lit("When "), F.col("_name"), F.lit(" helps")))))
+    steps = F.transform(F.slice("steps", 1, 6), lambda s, i: F.struct((i + 1).alias("step"), F.coalesce(F.nullif(s["action"], F.lit("")), s["name"]).alias("action"), F.coalesce(F.nullif(s["check"], F.lit("")), F.lit("Is the result clear?")).alias("checkpoint")))
+    one = F.array(F.struct(F.lit(1).alias("step"), F.concat(F.lit("Apply "), F.col("_name")).alias("action"), F.lit("Is its idea clear?").alias("checkpoint")))
+    base = base.withColumn("_steps", F.when(F.coalesce(F.size("steps"), F.lit(0)) > 0, steps).otherwise(one))
+    prompt = F.coalesce("prompt", F.lit(""))
+    written = assemble_layers([("mode", F.col("_definition"), "-"), ("protocol", F.array_join(F.transform("_steps", lambda s: s["action"]), "; "), "-"), ("gate", F.get("_steps", F.lit(0))["checkpoint"], "-"), ("format", F.lit(""), "Text")])
+    base = base.withColumn("_shell", is_shell(prompt, F.col("_name"), protocol))
+    overall = F.coalesce("quality", F.lit(3))
+    return base.select(
+        F.lit("3.0.0").alias("schema_version"),
+        slug(F.coalesce(F.col("id").cast("string"), F.col("_name")), most=50).alias("id"),
+        F.struct(F.col("_name").alias("name"), F.coalesce("category", F.lit("00")).alias("category"), slug(F.col("_name")).alias("skill_name")).alias("meta"),
+        smart_slice(F.col("_definition"), 150).alias("core_definition"),
+        F.struct(F.col("_triggers").alias("triggers"), F.slice(long_("stops"), 1, 3).alias("anti_triggers")).alias("when_to_use"),
+        F.struct(F.concat(F.lit("Without "), F.col("_name"), F.lit(": "), F.get("_triggers", F.lit(0))).alias("without_model"), F.concat(F.lit("With "), F.col("_name"), F.lit(": "), smart_slice(F.col("_definition"), 60)).alias("with_model")).alias("before_after"),
+        F.col("_steps").alias("reasoning_steps"),
+        F.struct(F.concat(F.lit("Use "), F.col("_name"), F.lit(" on: ")).alias("activation"), F.when(F.col("_shell"), written).otherwise(prompt).alias("system_prompt")).alias("codex_integration"),
+        F.slice(F.coalesce("pitfalls", F.array().cast("array<string>")), 1, 3).alias("pitfalls"),
+        F.struct(
+            F.least(overall, F.lit(5)).alias("definition_clarity"),
+            F.when(F.size("_triggers") >= 3, 4).otherwise(2).alias("trigger_precision"),
+            F.when(F.size("_steps") >= 3, 4).otherwise(3).alias("step_completeness"),
+            F.when(F.col("_shell"), 3).otherwise(4).alias("prompt_effectiveness"),
+            F.ceil(overall / 5 * 3 + 2).cast("int").alias("overall"),
+        ).alias("quality"),
     )
 
 

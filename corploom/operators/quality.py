@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 
 def check_contract(rows: DataFrame, key: str, rules: Sequence[tuple[str, str, object]]) -> DataFrame:
-    """(rule, key, path, message) for rules (column, kind, argument); kinds: required, min_length, regex, enum, range.
+    """(rule, key, path, message) for rules (column, kind, argument); kinds: type, required, min_length, regex, enum, range, nullable.
 
-    A column that is not there, or not named by any rule, is a violation of the schema: one row with a null key.
+    A null breaks min_length, regex, enum and range, unless the column is
+    nullable. A column that is not there, not named by any rule, or of another
+    type than its type rule says (as Spark names it), is a violation of the
+    schema: one row with a null key.
     """
     known = set(rows.columns)
+    nullable = {c for c, kind, _ in rules if kind == "nullable"}
     checks = []
     for column, kind, arg in rules:
-        if column not in known:
+        if column not in known or kind in ("type", "nullable"):
             continue
         c = F.col(column)
         bad = {
@@ -26,10 +30,12 @@ def check_contract(rows: DataFrame, key: str, rules: Sequence[tuple[str, str, ob
             "enum": lambda c=c, arg=arg: ~c.isin(*arg),
             "range": lambda c=c, arg=arg: ~c.between(*arg),
         }[kind]()
+        bad = F.coalesce(bad, F.lit(column not in nullable))
         checks.append(F.when(bad, F.struct(F.lit(kind).alias("rule"), F.lit(column).alias("path"), F.lit(f"{column}: {kind} {arg}").alias("message"))))
-    found = rows.select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(F.array(*checks))).alias("v")).select("v.rule", "key", "v.path", "v.message")
+    found = rows.select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(F.array(*checks) if checks else F.array().cast("array<struct<rule:string,path:string,message:string>>"))).alias("v")).select("v.rule", "key", "v.path", "v.message")
     named = {c for c, _, _ in rules} | {key}
     schema = [("missing_column", c) for c in sorted(named - known)] + [("unknown_column", c) for c in sorted(known - named)]
+    schema += [("type", c) for c, kind, arg in rules if kind == "type" and c in known and rows.schema[c].dataType.simpleString() != arg]
     if not schema:
         return found
     extra = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(None).cast("string").alias("key"), F.lit(c).alias("path"), F.lit(r).alias("message")) for r, c in schema)))
@@ -54,14 +60,49 @@ def ready_gate(rows: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -
 
 def flatten_claims(rows: DataFrame, key: str, single: Sequence[str], many: Sequence[str]) -> DataFrame:
     """(key, path, claim) from claim columns and claim arrays."""
-    out = None
-    for c in single:
-        one = rows.where(F.col(c).isNotNull()).select(key, F.lit(c).alias("path"), F.col(c).alias("claim"))
-        out = one if out is None else out.unionByName(one)
-    for c in many:
-        one = rows.select(key, F.posexplode(c).alias("i", "claim")).select(key, F.concat(F.lit(c + "["), F.col("i").cast("string"), F.lit("]")).alias("path"), "claim")
-        out = one if out is None else out.unionByName(one)
-    return out
+    ones = [F.array(F.struct(F.lit(c).alias("path"), F.col(c).alias("claim"))) for c in single]
+    kind = rows.schema[single[0]].dataType if single else rows.schema[many[0]].dataType.elementType
+    none = F.array().cast(f"array<struct<path:string,claim:{kind.simpleString()}>>")
+
+    def listed(c: str) -> Column:
+        return F.coalesce(F.transform(c, lambda x, i: F.struct(F.concat(F.lit(c + "["), i.cast("string"), F.lit("]")).alias("path"), x.alias("claim"))), none)
+
+    found = F.filter(F.concat(none, *ones), lambda x: x["claim"].isNotNull())
+    return rows.select(key, F.inline(F.concat(found, *map(listed, many))))
+
+
+def redaction_check(rows: DataFrame, key: str, hidden: Sequence[str] = ("author", "url", "published_at", "fingerprint")) -> DataFrame:
+    """(key, path) for each field that a redacted row still shows."""
+    shown = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), c) for c in hidden)))
+    return rows.where("status = 'redacted'").select(key, F.explode(shown).alias("path"))
+
+
+def check_claims(claims: DataFrame, refs: DataFrame, statuses: Sequence[str] = ("source_statement", "cross_source_consensus", "independently_verified")) -> DataFrame:
+    """(claim_id, rule): the first rule in order that each claim breaks.
+
+    ``claims``: claim_id, text, claim_status; ``refs``: claim_id, source_id, kind,
+    ord, verdict (of the resolve operators). In order: the id and status are
+    valid; a text needs a reference; every reference is OK, else the verdict of
+    the first that isn't; a consensus needs two sources, a verified claim an
+    OK verification record.
+    """
+    grouped = refs.groupBy("claim_id").agg(
+        F.count("*").alias("_n"),
+        F.min_by("verdict", "ord").alias("_any"),
+        F.min(F.when(F.col("verdict") != "OK", F.struct("ord", "verdict"))).alias("_bad"),
+        F.count_distinct("source_id").alias("_sources"),
+        F.count_if((F.col("kind") == "verification_record") & (F.col("verdict") == "OK")).alias("_verified"),
+    )
+    status = F.col("claim_status")
+    rules = [
+        ("CLAIM_ID", F.coalesce(F.col("claim_id").cast("string"), F.lit("")) == ""),
+        ("STATUS", ~F.coalesce(status.isin(*statuses), F.lit(False))),
+        ("NO_REFS", (F.trim(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("_n", F.lit(0)) == 0)),
+        (F.col("_bad.verdict"), F.col("_bad").isNotNull()),
+        ("QUORUM", (status == "cross_source_consensus") & (F.coalesce("_sources", F.lit(0)) < 2)),
+        ("VERIFICATION", (status == "independently_verified") & (F.coalesce("_verified", F.lit(0)) == 0)),
+    ]
+    return first_failing(claims.join(grouped, "claim_id", "left"), "claim_id", rules)
 
 
 def first_failing(rows: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -96,9 +137,11 @@ def strict_gate(rows: DataFrame, key: str) -> DataFrame:
 
 
 def relation_checks(edges: DataFrame, nodes: DataFrame, symmetric: Sequence[str]) -> DataFrame:
-    """(rule, from, to): loops, ends that don't exist, symmetric edges without their counterpart."""
+    """(rule, from, to): loops, edges with an end that doesn't exist, symmetric edges without their counterpart."""
     loops = edges.where(F.col("from") == F.col("to")).select(F.lit("SELF").alias("rule"), "from", "to")
-    dangling = edges.join(nodes.select(F.col("id").alias("to")), "to", "left_anti").select(F.lit("DANGLING").alias("rule"), "from", "to")
+    known = lambda end: nodes.select(F.col("id").alias(end)).distinct().withColumn(f"_{end}", F.lit(True))
+    ends = edges.join(known("from"), "from", "left").join(known("to"), "to", "left")
+    dangling = ends.where("_from IS NULL OR _to IS NULL").select(F.lit("DANGLING").alias("rule"), "from", "to")
     sym = edges.where(F.col("type").isin(*symmetric) & (F.col("from") != F.col("to")))
     back = sym.select(F.col("to").alias("from"), F.col("from").alias("to"), "type")
     lone = sym.join(back, ["from", "to", "type"], "left_anti").select(F.lit("UNPAIRED").alias("rule"), "from", "to")

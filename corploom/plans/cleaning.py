@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from corploom.functions.text import sha256, smart_slice
@@ -42,14 +44,22 @@ def explode_lines(spark, d):
 
 @register("collapse_blank_runs", f"WITH {SPACED_SQL}, {COLLAPSED_SQL} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (text = '') AS n_blank, CAST(sum(line) AS BIGINT) AS line_sum FROM kept GROUP BY doc_id")
 def collapse_blank_runs(spark, d):
+    x = _spaced(spark, d).select("doc_id", L.collapse_blanks(L.line_array(F.col("text"))).alias("l")).where(F.size("l") > 0)
+    blank = F.size(F.filter("l", lambda x: x["text"] == "")).cast("long")
+    return x.select("doc_id", F.size("l").cast("long").alias("n_lines"), blank.alias("n_blank"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["line"]).alias("line_sum"))
+
+
+@register("collapsed_line_rows", f"WITH {SPACED_SQL}, {COLLAPSED_SQL} SELECT doc_id, line, sha256(text) AS line_sha256 FROM kept")
+def collapsed_line_rows(spark, d):
+    """The same on a table of lines."""
     x = L.collapse_blank_runs(L.explode_lines(_spaced(spark, d)))
-    return x.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("text") == "").alias("n_blank"), F.sum("line").alias("line_sum"))
+    return x.select("doc_id", F.col("line").cast("long"), sha256(F.col("text")).alias("line_sha256"))
 
 
 @register("reassemble_hash", f"WITH {SPACED_SQL}, {COLLAPSED_SQL} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY line) || chr(10)) AS clean_sha256 FROM kept GROUP BY doc_id")
 def reassemble_hash(spark, d):
-    x = L.reassemble(L.collapse_blank_runs(L.explode_lines(_spaced(spark, d))))
-    return x.select("doc_id", sha256(F.col("text")).alias("clean_sha256"))
+    x = _spaced(spark, d).select("doc_id", L.joined(L.collapse_blanks(L.line_array(F.col("text")))).alias("text"))
+    return x.where("text IS NOT NULL").select("doc_id", sha256(F.col("text")).alias("clean_sha256"))
 
 
 @register("normalize_nbsp", f"WITH {LINES_SQL} SELECT doc_id, line, sha256(replace(t, chr(160), ' ')) AS line_sha256 FROM (SELECT doc_id, line, replace(text, ' th', chr(160) || 'th') AS t FROM lines) WHERE contains(t, chr(160)) AND trim(replace(t, chr(160), ' ')) <> ''")
@@ -101,13 +111,44 @@ def change_ledger(spark, d):
     return L.change_ledger(_changes(spark, d)).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 
 
-@register("verify_changes", f"""WITH {CHANGES_SQL}, s AS (SELECT *, unnest(lines) AS line FROM ledger WHERE doc_id % 2 = 0),
+@register("verify_changes", f"""WITH {CHANGES_SQL}, s AS (SELECT *, unnest(lines) AS line FROM ledger),
     g AS (SELECT *, line - lag(line) OVER (PARTITION BY doc_id, rule_id, kind ORDER BY line) AS step FROM s)
     SELECT 'DELETE_NOT_CONTIGUOUS' AS rule, doc_id, rule_id FROM g WHERE kind = 'delete' GROUP BY doc_id, rule_id HAVING max(step) > 1
-    UNION ALL SELECT 'KIND', doc_id, rule_id FROM ledger WHERE kind <> 'delete' AND doc_id % 2 = 0""")
+    UNION ALL SELECT 'KIND', doc_id, rule_id FROM ledger WHERE kind <> 'delete'""")
 def verify_changes(spark, d):
     kinds = spark.createDataFrame([("blank_runs", "delete")], "rule_id string, kind string")
-    return L.verify_changes(L.change_ledger(_changes(spark, d)).where("doc_id % 2 = 0"), kinds)
+    return L.verify_changes(L.change_ledger(_changes(spark, d)), kinds)
+
+
+@register("verify_spans", f"""WITH {SPACED_SQL}, {COLLAPSED_SQL}
+    SELECT 'SOURCE_HASH' AS rule, doc_id, line FROM kept WHERE line % 7 = 0 UNION ALL SELECT 'OUTPUT_HASH', doc_id, line FROM kept WHERE line % 5 = 0 UNION ALL SELECT 'VISIBLE', doc_id, line FROM kept WHERE line % 11 = 0""")
+def verify_spans(spark, d):
+    """An audit of which some rows are changed, checked against both texts."""
+    docs = _spaced(spark, d)
+    source = L.explode_lines(docs)
+    kept = L.collapse_blank_runs(source)
+    audit = L.span_audit(source, kept)
+    changed = audit.withColumn("source_sha256", F.when(F.col("line") % 7 == 0, "x").otherwise(F.col("source_sha256"))).withColumn("out_sha256", F.when(F.col("line") % 5 == 0, "x").otherwise(F.col("out_sha256"))).withColumn("visible", F.col("visible") + F.when(F.col("line") % 11 == 0, 1).otherwise(0))
+    output = docs.select("doc_id", L.joined(L.collapse_blanks(L.line_array(F.col("text")))).alias("text"))
+    return L.verify_spans(changed, docs, output).select("rule", "doc_id", F.col("line").cast("long"))
+
+
+@register("revert_failed", "SELECT doc_id, sha256(text) AS text_sha256, doc_id % 3 = 0 AND contains(split_part(text, chr(10), 1), 'the') AS reverted FROM documents WHERE text <> ''")
+def revert_failed(spark, d):
+    docs = _docs(spark, d).where("text <> ''")
+    bad = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?s)\A([^\n]*?)the", "$1THE")).otherwise(F.col("text"))
+    cleaned = docs.select("doc_id", bad.alias("text"))
+    checks = L.postcheck(L.explode_lines(docs), L.explode_lines(cleaned))
+    x = L.revert_failed(docs, cleaned, checks)
+    return x.select("doc_id", sha256(F.col("text")).alias("text_sha256"), "reverted")
+
+
+@register("span_overlaps", f"""WITH {LINES_SQL}, s AS (SELECT doc_id, byte_start AS "start", CAST(byte_start + strlen(text) + CASE WHEN line % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS "end" FROM lines),
+    m AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s) SELECT doc_id, "start", "end" FROM m WHERE "start" < b""")
+def span_overlaps(spark, d):
+    longer = F.when(F.col("line") % 3 == 0, 2).otherwise(0)
+    x = L.explode_lines(_docs(spark, d)).select("doc_id", F.col("byte_start").alias("start"), (F.col("byte_end") + longer).cast("long").alias("end"))
+    return L.overlaps(x)
 
 
 @register("span_audit", f"""WITH {SPACED_SQL}, {COLLAPSED_SQL},
@@ -144,6 +185,30 @@ def match_template(spark, d):
     return L.match_template(L.explode_lines(docs), F.broadcast(known))
 
 
+CSS = "* {margin: 0}"
+ICONS = "data:image/svg+xml" * 5
+
+
+@register("match_export", """SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'FINGERPRINT_MISMATCH' WHEN doc_id % 6 = 2 THEN 'FINGERPRINT_MISMATCH' WHEN doc_id % 6 = 3 THEN 'FINGERPRINT_MISMATCH' WHEN doc_id % 2 = 0 THEN 'square' ELSE 'round' END AS template FROM documents""")
+def match_export(spark, d):
+    """Documents in the envelope of an exported page; of six, one has another rule in its header, one another link, one an icon less."""
+    n, text = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    icons = F.when(n == 3, ICONS[: -len("data:image/svg+xml")]).otherwise(ICONS)
+    css = F.when(n == 1, "other").otherwise(CSS)
+    link = F.concat(F.lit("> from: [https://h/"), text, F.lit("](https://h/"), text, F.when(n == 2, "x").otherwise(""), F.lit(")"))
+    foot = F.when(n % 2 == 0, "square").otherwise("round")
+    lines = (F.concat(F.lit("     Title "), css), F.lit(""), F.lit("Title"), F.lit("===="), F.lit(""), F.lit("original me 2024-01-02 03:04 here"), F.lit(""), link, F.col("text"), F.lit(""), foot, F.lit(""), icons)
+    whole = F.concat(*(x for line in lines for x in (line, F.lit("\n"))))
+    hashes = [(name, 4, 5, hashlib.sha256(f"\n{name}\n\n{ICONS}".encode()).hexdigest()) for name in ("square", "round")]
+    return _docs(spark, d).select("doc_id", L.match_export(whole, hashlib.sha256(CSS.encode()).hexdigest(), hashes).alias("template"))
+
+
+@register("drop_preamble", r"""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 2 THEN 'lead' || chr(10) || text ELSE CASE doc_id % 3 WHEN 0 THEN '# Title' || chr(10) ELSE 'Long title' || chr(10) || '====' || chr(10) END || text END) AS clean_sha256 FROM documents""")
+def drop_preamble(spark, d):
+    head = F.when(F.col("doc_id") % 3 == 0, "share\nlead\n# Title\n").when(F.col("doc_id") % 3 == 1, "share\nLong title\n====\n").otherwise("lead\n")
+    return _docs(spark, d).select("doc_id", sha256(L.drop_preamble(F.concat(head, "text"))).alias("clean_sha256"))
+
+
 BOIL = "|".join(f"(?:{p})" for p in LINE_PATTERNS)
 
 
@@ -158,7 +223,9 @@ def clean_card(spark, d):
     return table(spark, d, "pages").select("page_id", sha256(L.clean_card(F.col("html"))).alias("card_sha256"))
 
 
-@register("clean_book")
+@register("clean_book", r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(html, '<[^>]+>', ' ', 'g'), chr(10)), lambda x: NOT contains(lower(x), 'all rights reserved')) AS l FROM pages),
+    j AS (SELECT page_id, array_to_string(list_transform(l, lambda x, i: x || CASE WHEN i = len(l) OR (length(x) = 1 AND length(l[i + 1]) = 1 AND i + 1 < len(l)) THEN '' ELSE chr(10) END), '') AS t FROM p)
+    SELECT page_id, sha256(trim(regexp_replace(coalesce(t, ''), '\n{3,}', chr(10) || chr(10), 'g'))) AS book_sha256 FROM j""")
 def clean_book(spark, d):
     return table(spark, d, "pages").select("page_id", sha256(L.clean_book(F.col("html"))).alias("book_sha256"))
 
@@ -175,9 +242,9 @@ def smart_slice_(spark, d):
     return _docs(spark, d).select("doc_id", sha256(smart_slice(F.col("text"), 200, ".!")).alias("cut_sha256"))
 
 
-@register("eligibility", """SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'BAD_MODE' WHEN doc_id % 7 = 0 THEN 'HAS_CR' WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'NO_FINAL_LF' END AS warning FROM documents""")
+@register("eligibility", """SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'BAD_MODE' WHEN doc_id % 13 = 0 THEN 'BAD_CONFIG' WHEN doc_id % 7 = 0 THEN 'HAS_CR' WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'NO_FINAL_LF' END AS warning FROM documents""")
 def eligibility(spark, d):
     n = F.col("doc_id")
     text = F.concat(F.rtrim("text", F.lit("\n")), F.when(n % 7 == 0, "\r\n").when(n % 3 == 0, "\n").otherwise(""))
     mode = F.when(n % 5 == 4, "other").when(n % 2 == 0, "strict").otherwise("loose")
-    return _docs(spark, d).select("doc_id", L.eligibility(text.cast("binary"), mode).alias("warning"))
+    return _docs(spark, d).select("doc_id", L.eligibility(text.cast("binary"), mode, configured=n % 13 != 0).alias("warning"))

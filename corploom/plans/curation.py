@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corploom.functions.text import sha256
+from corploom.functions.text import nfkc, sha256
+from corploom.functions.text import normalize_text as normal
 from corploom.operators import chains as H
 from corploom.operators import inventory as N
 from corploom.operators import joins as J
 from corploom.operators import merge as M
 from corploom.operators import quality as Q
 from corploom.operators import search as S
+from corploom.operators.identity import sniff_title
 from corploom.plans.registry import register
-from corploom.rules import ALIASES, ANCHORS, COMBOS, HTML_RULES, LEXICON, NOISE, PROBLEM_RULES, ROLES, ROUTE_EXCLUDES, ROUTE_TERMS, ROUTES, SAFETY, SECRET_RULES, sql_values
+from corploom.rules import ALIASES, ANCHORS, COMBOS, HTML_RULES, LEXICON, NOISE, PROBLEM_RULES, ROLES, ROUTE_EXCLUDES, ROUTE_TERMS, ROUTES, SAFETY, SECRET_RULES, SIGNATURE, sql_values
 from corploom.sources.tables import table
 
 
@@ -109,23 +111,37 @@ def one_canonical(spark, d):
     return Q.one_canonical(x, "p_name", "canonical")
 
 
-LONG_WORDS = r"[a-zäöüéèñ]{12,}"
-SETS_SQL = f"sets AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '{LONG_WORDS}')) AS term FROM documents), sz AS (SELECT id, count(*) AS n FROM sets GROUP BY id), pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sets a JOIN sets b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2), jac AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b)"
+LETTERS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: list_contains([" + ", ".join(f"'{x}'" for x in SIGNATURE) + "], x))"
+SETS_SQL = f"""sets AS (SELECT DISTINCT doc_id AS id, unnest({LETTERS_SQL}) AS term FROM documents), own AS (SELECT id, list(term ORDER BY term) AS terms FROM sets GROUP BY id),
+    cl AS (SELECT min(id) AS rep, terms FROM own GROUP BY terms)"""
 
 
 def _sets(spark, d):
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LONG_WORDS), 0))).alias("term"))
+    """The marking words of each document."""
+    words = F.array_intersect(F.split(F.lower("text"), "[^a-z]+", -1), F.array(*map(F.lit, SIGNATURE)))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(words).alias("term"))
 
 
-@register("pairwise_jaccard", f"WITH {SETS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM jac")
+@register("pairwise_jaccard", f"WITH {SETS_SQL} SELECT x.rep AS a, y.rep AS b, round(len(list_intersect(x.terms, y.terms)) / (len(x.terms) + len(y.terms) - len(list_intersect(x.terms, y.terms))), 6) AS jaccard FROM cl x JOIN cl y ON x.rep < y.rep WHERE len(list_intersect(x.terms, y.terms)) > 0")
 def pairwise_jaccard(spark, d):
     return J.pairwise_jaccard(_sets(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@register("differentiation", f"WITH {SETS_SQL}, e AS (SELECT id, sum(j) AS s FROM (SELECT a AS id, jaccard AS j FROM jac UNION ALL SELECT b, jaccard FROM jac) GROUP BY id) SELECT sz.id, CAST(greatest(round((1 - round(coalesce(s, 0) / ((SELECT count(*) FROM sz) - 1), 12)) * 100), 0) AS INTEGER) AS score FROM sz LEFT JOIN e USING (id)")
+@register("term_classes", f"WITH {SETS_SQL} SELECT id, rep FROM own JOIN cl USING (terms)")
+def term_classes(spark, d):
+    return J.term_classes(_sets(spark, d))[0]
+
+
+@register("similar_sets", f"WITH {SETS_SQL}, j AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.terms, y.terms)) / (len(x.terms) + len(y.terms) - len(list_intersect(x.terms, y.terms))) AS jaccard FROM cl x JOIN cl y ON x.rep < y.rep) SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.75")
+def similar_sets(spark, d):
+    return J.pairwise_jaccard(_sets(spark, d), 0.75).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@register("differentiation", f"""WITH {SETS_SQL}, a AS (SELECT doc_id AS id, coalesce(terms, CAST([] AS VARCHAR[])) AS terms FROM documents LEFT JOIN own ON id = doc_id),
+    j AS (SELECT x.id, sum(len(list_intersect(x.terms, y.terms)) / greatest(len(x.terms) + len(y.terms) - len(list_intersect(x.terms, y.terms)), 1)) AS s FROM a x JOIN a y ON x.id <> y.id GROUP BY x.id)
+    SELECT id, CAST(greatest(round((1 - round(s / ((SELECT count(*) FROM documents) - 1), 12)) * 100), 0) AS INTEGER) AS score FROM j""")
 def differentiation(spark, d):
-    sets = _sets(spark, d)
-    return J.differentiation(sets, J.pairwise_jaccard(sets))
+    return J.differentiation(_t(spark, d, "documents").select(F.col("doc_id").alias("id")), _sets(spark, d))
 
 
 @register("continuity_diff", """SELECT o_orderkey, CASE WHEN p AND NOT i THEN 'missing' WHEN i AND NOT p AND NOT d THEN 'unexpected' WHEN d AND (p OR NOT i) THEN 'wrongly_declared' END AS problem
@@ -184,9 +200,17 @@ def top_by_weight(spark, d):
     return _inventory(spark, d).select("norm", (F.col("frequency") * 2 + F.size("sources") * 3).alias("weight")).orderBy(F.desc("weight"), "norm").limit(10)
 
 
-@register("pilot_set", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 16")
+@register("pilot_set", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS ord FROM customer ORDER BY c_custkey LIMIT 16")
 def pilot_set(spark, d):
-    return _t(spark, d, "customer").select("c_custkey").orderBy("c_custkey").limit(16)
+    return N.pilot_set(_t(spark, d, "customer"), "c_custkey", 16)
+
+
+PILOT = [7, 3, 11, 2]
+
+
+@register("pilot_explicit", f"SELECT c_custkey, CAST(list_position({PILOT}, c_custkey) AS INTEGER) AS ord FROM customer WHERE list_contains({PILOT}, c_custkey)")
+def pilot_explicit(spark, d):
+    return N.pilot_set(_t(spark, d, "customer"), "c_custkey", 16, PILOT)
 
 
 @register("status_counts", "SELECT 'o_orderstatus' AS dim, coalesce(o_orderstatus, '_null') AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', CASE WHEN o_orderkey % 9 = 0 THEN '_null' ELSE o_orderpriority END, count(*) FROM orders GROUP BY 2")
@@ -212,15 +236,66 @@ def chapter_drift(spark, d):
     return N.drift(c, s, "chapter")
 
 
-@register("corpus_version", """WITH h AS (SELECT sha256(doc_id || '=' || '{"doc_id":' || doc_id || ',"lang":"' || lang || '"}') AS h FROM documents), p AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h GROUP BY 1)
-    SELECT substr(sha256(string_agg(p || ':' || h, ',' ORDER BY p)), 1, 16) AS version FROM p""")
+VERSION_SQL = "p AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM h GROUP BY 1), v AS (SELECT substr(sha256(string_agg(p || ':' || h, ',' ORDER BY p)), 1, 16) AS version FROM p)"
+#: JSON strings as Spark writes them: control signs and the two that JSON escapes.
+JSON_TEXT = """'"' || replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') || '"'"""
+
+
+@register("corpus_version", f"""WITH h AS (SELECT sha256(doc_id || '=' || '{{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '","text":' || {JSON_TEXT} || '}}') AS h FROM documents), {VERSION_SQL}
+    SELECT version FROM v""")
 def corpus_version(spark, d):
-    return N.corpus_version(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return N.corpus_version(_t(spark, d, "documents"), "doc_id")
+
+
+ARTIFACTS_SQL = "f AS (SELECT 'sources/' || doc_id || '.md' AS relative_path, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes FROM documents)"
+
+
+def _artifacts(spark, d):
+    return N.artifacts(_t(spark, d, "documents"), "doc_id", "text", "sources", ".md")
+
+
+@register("run_artifacts", f"WITH {ARTIFACTS_SQL} SELECT * FROM f")
+def run_artifacts(spark, d):
+    return _artifacts(spark, d)
+
 
+@register("knowledge_version", f"WITH {ARTIFACTS_SQL}, h AS (SELECT sha256(relative_path || chr(10) || sha256) AS h FROM f), {VERSION_SQL} SELECT version FROM v")
+def knowledge_version(spark, d):
+    return N.knowledge_version(_artifacts(spark, d).withColumnRenamed("relative_path", "path"))
 
-@register("batch_summary", "SELECT o_orderstatus AS batch, count(*) AS n, count(DISTINCT o_custkey) AS n_ids, count(DISTINCT o_orderpriority) AS n_kinds FROM orders GROUP BY 1")
+
+@register("run_summary", f"""WITH {ARTIFACTS_SQL}, h AS (SELECT sha256(relative_path || chr(10) || sha256) AS h FROM f), {VERSION_SQL},
+    c AS (SELECT CASE WHEN n_chars > 5000 THEN 'needs_review' ELSE 'cleaned' END AS status, count(*) AS n FROM documents GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS registered, string_agg(status || '=' || n, ',' ORDER BY status) AS by_status, (SELECT count(*) FROM documents WHERE n_chars > 5000) AS n_warnings, (SELECT count(*) FROM f) AS n_artifacts, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM f) AS n_bytes, (SELECT version FROM v) AS version FROM c""")
+def run_summary(spark, d):
+    long_ = F.col("n_chars") > 5000
+    sources = _t(spark, d, "documents").select(F.when(long_, "needs_review").otherwise("cleaned").alias("cleaning_status"), F.when(long_, F.array(F.lit("LONG"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    x = N.run_summary(sources, _artifacts(spark, d))
+    return x.withColumn("by_status", F.array_join(F.transform("by_status", lambda s: F.concat_ws("=", s["cleaning_status"], s["n"])), ","))
+
+
+@register("per_source_sizes", "SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(sha256(text)) AS first_sha256 FROM documents GROUP BY source")
+def per_source_sizes(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(sha256(F.col("text"))).alias("first_sha256"))
+
+
+@register("batch_summary", """WITH b AS (SELECT l_orderkey AS batch_id, count(*) AS n, count(DISTINCT l_partkey) AS ids, count(DISTINCT u) AS us, count(u) AS nu, count(*) FILTER (l_partkey NOT IN (SELECT y.l_partkey FROM lineitem y WHERE y.l_orderkey = x.l_orderkey AND y.l_quantity > 5)) AS gone,
+        count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS nn, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'O') AS routes FROM (SELECT *, CASE WHEN l_quantity > 5 THEN l_partkey END AS u FROM lineitem) x GROUP BY l_orderkey)
+    SELECT batch_id, n AS source_ids, ids AS source_id_set_size, n AS source_updates, us AS source_update_id_set_size, n AS review_decisions, ids = us AS source_id_set_match, n = nu AND gone = 0 AS source_ids_match,
+        concat_ws(',', CASE WHEN a > 0 THEN 'A=' || a END, CASE WHEN nn > 0 THEN 'N=' || nn END, CASE WHEN r > 0 THEN 'R=' || r END) AS decision_by_type, routes AS n_routes, CAST(0 AS BIGINT) AS n_tombstones FROM b""")
 def batch_summary(spark, d):
-    return _t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("batch")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("n_ids"), F.count_distinct("o_orderpriority").alias("n_kinds"))
+    update = F.struct(F.when(F.col("l_quantity") > 5, F.col("l_partkey")).alias("source_id"), F.lit("merge").alias("action"))
+    none = F.lit(None).cast("array<string>")
+    rows = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id")).agg(
+        F.collect_list("l_partkey").alias("source_ids"),
+        F.collect_list(update).alias("source_updates"),
+        F.collect_list(F.struct(F.col("l_returnflag").alias("type"))).alias("review_decisions"),
+        F.collect_list(F.when(F.col("l_linestatus") == "O", "r")).alias("routes"),
+    )
+    x = N.batch_summary(rows.withColumns({"relations": none, "safety_rules": none, "tombstones": none}))
+    sizes = ("source_ids", "source_id_set_size", "source_updates", "source_update_id_set_size", "review_decisions")
+    kinds = F.array_join(F.transform("decision_by_type", lambda k: F.concat_ws("=", k["kind"], k["n"])), ",")
+    return x.select("batch_id", *(F.col(c).cast("long") for c in sizes), "source_id_set_match", "source_ids_match", kinds.alias("decision_by_type"), F.col("n_routes").cast("long"), F.col("n_tombstones").cast("long"))
 
 
 @register("consensus_quorum", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_sources FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 2")
@@ -249,11 +324,18 @@ def round_robin(spark, d):
     return N.round_robin(_t(spark, d, "customer"), "c_custkey", 16)
 
 
-@register("next_sequence", "WITH e AS (SELECT o_orderpriority AS type, CAST(max(o_orderkey % 50) AS BIGINT) AS top FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT o_orderkey, coalesce(top, 0) + row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS number FROM orders LEFT JOIN e ON o_orderpriority = type WHERE o_orderkey % 2 = 1")
+@register("next_sequence", "WITH e AS (SELECT o_orderpriority AS type, CAST(max(o_orderkey % 50) AS BIGINT) AS top FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT o_orderkey, coalesce(top, 0) + row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS number FROM orders LEFT JOIN e ON o_orderpriority = type WHERE o_orderkey % 2 = 1 AND o_orderpriority <> '2-HIGH'")
 def next_sequence(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"))
     existing = o.where("o_orderkey % 2 = 0").select("type", (F.col("o_orderkey") % 50).alias("number"))
-    return N.next_sequence(o.where("o_orderkey % 2 = 1"), existing, "type", "o_orderkey").select("o_orderkey", F.col("number").cast("long"))
+    return N.next_sequence(o.where("o_orderkey % 2 = 1"), existing, "type", "o_orderkey", manual=["2-HIGH"]).select("o_orderkey", F.col("number").cast("long"))
+
+
+@register("first_of_type", "WITH e AS (SELECT c_nationkey AS k, max(c_custkey % 40) AS top FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT min(c_custkey) AS c_custkey, c_nationkey, CAST(coalesce(max(top), 0) + 1 AS BIGINT) AS number FROM customer LEFT JOIN e ON c_nationkey = k WHERE c_custkey % 2 = 1 GROUP BY c_nationkey")
+def first_of_type(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey")
+    existing = c.where("c_custkey % 2 = 0").select("c_nationkey", (F.col("c_custkey") % 40).alias("number"))
+    return N.next_sequence(c.where("c_custkey % 2 = 1"), existing, "c_nationkey", "c_custkey", first_only=True).select("c_custkey", "c_nationkey", F.col("number").cast("long"))
 
 
 @register("exact_duplicates", "WITH k AS (SELECT doc_id, 'raw' AS key, sha256(text) AS value FROM documents UNION ALL SELECT doc_id, 'clean', sha256(lower(trim(text, ' '))) FROM documents) SELECT key, value, min(doc_id) AS keep, count(*) AS n FROM k GROUP BY key, value HAVING count(*) > 1")
@@ -262,15 +344,21 @@ def exact_duplicates(spark, d):
     return N.duplicates_by(x, ["raw", "clean"], "doc_id")
 
 
-@register("review_queue", "SELECT lower(substr(text, 1, 12)) AS title, count(DISTINCT sha256(text)) AS n_bodies FROM documents GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1")
+@register("review_queue", r"""WITH h AS (SELECT text, list_transform(string_split(text, chr(10))[1:8], lambda x: trim(x)) AS h FROM documents),
+    t AS (SELECT text, coalesce(list_filter(list_transform(h, lambda x: regexp_extract(x, '^#+[ \t]*(.+)', 1)), lambda x: x <> '')[1], list_filter(h, lambda x: length(x) > 5 AND NOT regexp_matches(x, '^[=*-]'))[1]) AS title FROM h)
+    SELECT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS title, count(DISTINCT sha256(text)) AS n_bodies FROM t GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1""")
 def review_queue(spark, d):
     x = _t(spark, d, "documents").select("text", sha256(F.col("text")).alias("body"))
-    return N.review_queue(x, F.lower(F.substring("text", 1, 12)), "body")
+    return N.review_queue(x, normal(sniff_title(F.col("text"))), "body")
 
 
-@register("near_copy_candidates")
+@register("near_copy_candidates", r"""WITH t AS (SELECT min(doc_id) AS id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents GROUP BY text, lower(text)),
+    s AS (SELECT id, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM t WHERE len(w) > 0),
+    c AS (SELECT min(id) AS id, s FROM s GROUP BY s), e AS (SELECT id, len(s) AS n, unnest(s) AS h FROM c),
+    p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM e x JOIN e y ON x.h = y.h AND x.id < y.id GROUP BY ALL)
+    SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM p WHERE c / (na + nb - c) >= 0.8""")
 def near_copy_candidates(spark, d):
-    return N.near_copy_candidates(_t(spark, d, "documents").select("doc_id", "text"))
+    return N.near_copy_candidates(_t(spark, d, "documents").select("doc_id", "text")).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # -- chains -------------------------------------------------------------------
@@ -335,10 +423,17 @@ def drop_consecutive(spark, d):
     return H.drop_consecutive_duplicates(_t(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id")
 
 
-@register("panels")
+PANEL_SQL = f"""{CHAIN_SQL}, fd AS (SELECT source, chain_no, names, list_filter({list(ANCHORS)}, lambda a: list_contains(names, a)) AS f FROM ch),
+    pn AS (SELECT source || '-' || chain_no AS id, CASE {" ".join(f"WHEN len(list_intersect(names, {list(c)})) = {len(c)} THEN {list(c)}" for _, c in sorted(COMBOS))} WHEN len(f) >= 3 THEN f[1:3] WHEN len(names) <= 3 THEN names
+        ELSE [names[1], names[CAST(floor(len(names) / 2) AS INTEGER) + 1], names[len(names)]] END AS panel FROM fd),
+    st AS (SELECT id, unnest(panel) AS name, generate_subscripts(panel, 1) AS seat FROM pn), ro(name, role, stance, challenge) AS (VALUES {sql_values(ROLES)})"""
+
+
+@register("panels", f"""WITH {PANEL_SQL} SELECT id, string_agg(st.name || ':' || coalesce(role, 'participant') || ':' || coalesce(stance, 'open') || ':' || coalesce(challenge, 'What does ' || st.name || ' overlook?'), ';' ORDER BY seat) AS participants, count(role) AS quality FROM st LEFT JOIN ro ON st.name = ro.name GROUP BY id""")
 def panels(spark, d):
     picked = _chains(spark, d).select(F.concat_ws("-", "source", "chain_no").alias("id"), H.select_panel(F.col("names"), COMBOS, ANCHORS).alias("panel"))
-    return H.build_panel(picked, _rules(spark, ROLES, "name string, role string, stance string"), "id", "panel")
+    x = H.build_panel(picked, _rules(spark, ROLES, "name string, role string, stance string, challenge string"), "id", "panel")
+    return x.withColumn("participants", F.array_join(F.transform("participants", lambda s: F.concat_ws(":", s["name"], s["role"], s["stance"], s["challenge"])), ";"))
 
 
 # -- merges -------------------------------------------------------------------
@@ -406,12 +501,14 @@ def ocr_status(spark, d):
 
 @register("check_contract", """SELECT rule, key, path, message FROM (
     SELECT 'range' AS rule, CAST(p_partkey AS VARCHAR) AS key, 'p_size' AS path, 'p_size: range (5, 45)' AS message FROM part WHERE p_size NOT BETWEEN 5 AND 45
-    UNION ALL SELECT 'enum', CAST(p_partkey AS VARCHAR), 'p_type', 'p_type: enum (''ECONOMY'', ''SMALL'')' FROM part WHERE p_type NOT IN ('ECONOMY', 'SMALL')
-    UNION ALL SELECT 'regex', CAST(p_partkey AS VARCHAR), 'p_brand', 'p_brand: regex ^Brand#[0-9]$' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$')
-    UNION ALL SELECT 'missing_column', NULL, 'p_color', 'missing_column' UNION ALL SELECT 'unknown_column', NULL, 'p_retailprice', 'unknown_column')""")
+    UNION ALL SELECT 'enum', CAST(p_partkey AS VARCHAR), 'p_type', 'p_type: enum (''ECONOMY'', ''SMALL'')' FROM part WHERE p_type NOT IN ('ECONOMY', 'SMALL') OR p_partkey % 10 = 0
+    UNION ALL SELECT 'regex', CAST(p_partkey AS VARCHAR), 'p_brand', 'p_brand: regex ^Brand#[0-9]$' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$') AND p_partkey % 10 <> 1
+    UNION ALL SELECT 'type', NULL, 'p_size', 'type' UNION ALL SELECT 'missing_column', NULL, 'p_color', 'missing_column' UNION ALL SELECT 'unknown_column', NULL, 'p_retailprice', 'unknown_column')""")
 def check_contract(spark, d):
-    rules = [("p_size", "range", (5, 45)), ("p_type", "enum", ("ECONOMY", "SMALL")), ("p_brand", "regex", "^Brand#[0-9]$"), ("p_name", "required", ""), ("p_color", "required", "")]
-    return Q.check_contract(_t(spark, d, "part"), "p_partkey", rules)
+    """Nulls break the enum of p_type; p_brand may be null; p_size should be a string."""
+    rules = [("p_size", "range", (5, 45)), ("p_size", "type", "string"), ("p_type", "enum", ("ECONOMY", "SMALL")), ("p_brand", "regex", "^Brand#[0-9]$"), ("p_brand", "nullable", None), ("p_name", "required", ""), ("p_name", "type", "string"), ("p_color", "required", "")]
+    n = F.col("p_partkey") % 10
+    return Q.check_contract(_t(spark, d, "part").withColumn("p_type", F.when(n != 0, F.col("p_type"))).withColumn("p_brand", F.when(n != 1, F.col("p_brand"))), "p_partkey", rules)
 
 
 @register("unique_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -430,9 +527,13 @@ def ready_gate(spark, d):
     return Q.ready_gate(o, "o_orderkey", [("price", F.col("o_totalprice") > 100000), ("priority", F.col("o_orderpriority") != "1-URGENT")])
 
 
-@register("redaction_check", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND source = 'src3'")
+@register("redaction_check", "SELECT doc_id, 'author' AS path FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 = 0 UNION ALL SELECT doc_id, 'url' FROM documents WHERE doc_id % 3 = 0 AND source = 'src3' UNION ALL SELECT doc_id, 'fingerprint' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 = 0")
 def redaction_check(spark, d):
-    return _t(spark, d, "documents").where("doc_id % 3 = 0 AND source = 'src3'").select("doc_id")
+    """Redacted rows of which some still show a field."""
+    n = F.col("doc_id")
+    hidden = n % 3 == 0
+    rows = _t(spark, d, "documents").select("doc_id", F.when(hidden, "redacted").otherwise("public").alias("status"), F.when(~hidden | (n % 4 == 0), F.col("lang")).alias("author"), F.when(~hidden | (F.col("source") == "src3"), F.col("source")).alias("url"), F.when(~hidden, F.lit("2024-01-02")).alias("published_at"), F.when(~hidden | (n % 7 == 0), sha256(F.col("text"))).alias("fingerprint"))
+    return Q.redaction_check(rows, "doc_id")
 
 
 @register("flatten_claims", "SELECT doc_id, 'core' AS path, lang AS claim FROM documents UNION ALL SELECT doc_id, 'limits[' || i || ']', CASE i WHEN 0 THEN source ELSE lang END FROM documents, range(0, 2) r(i) WHERE doc_id % 2 = 0")
@@ -441,11 +542,20 @@ def flatten_claims(spark, d):
     return Q.flatten_claims(rows, "doc_id", ["core"], ["limits"])
 
 
-@register("check_claims", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'NO_REFS' WHEN l_discount > 0.08 THEN 'STATUS' ELSE 'QUORUM' END AS rule FROM lineitem WHERE l_quantity < 5 OR l_discount > 0.08 OR l_tax > 0.07")
+@register("check_claims", """WITH a AS (SELECT l_orderkey AS k, max(l_linenumber) AS line_count FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1),
+    r AS (SELECT l_orderkey AS claim_id, l_linenumber AS ord, l_suppkey AS s, CASE WHEN line_count IS NULL THEN 'UNKNOWN_SOURCE' WHEN l_linenumber + l_suppkey % 2 > line_count THEN 'LINE_RANGE' ELSE 'OK' END AS verdict, l_partkey % 3 = 0 AS record FROM lineitem LEFT JOIN a ON k = l_orderkey WHERE l_orderkey % 7 <> 0),
+    g AS (SELECT claim_id, count(*) AS n, arg_min(verdict, ord) FILTER (verdict <> 'OK') AS bad, count(DISTINCT s) AS sources, count(*) FILTER (record AND verdict = 'OK') AS verified FROM r GROUP BY claim_id)
+    SELECT o_orderkey AS claim_id, rule FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'STATUS' WHEN o_orderkey % 9 <> 0 AND n IS NULL THEN 'NO_REFS' WHEN bad IS NOT NULL THEN bad WHEN o_orderstatus = 'F' AND coalesce(sources, 0) < 2 THEN 'QUORUM' WHEN o_orderstatus = 'O' AND coalesce(verified, 0) = 0 THEN 'VERIFICATION' END AS rule
+        FROM orders LEFT JOIN g ON claim_id = o_orderkey) WHERE rule IS NOT NULL""")
 def check_claims(spark, d):
-    x = _t(spark, d, "lineitem").withColumn("key", F.struct("l_orderkey", "l_linenumber"))
-    found = Q.first_failing(x, "key", [("NO_REFS", F.col("l_quantity") < 5), ("STATUS", F.col("l_discount") > 0.08), ("QUORUM", F.col("l_tax") > 0.07)])
-    return found.select("key.l_orderkey", "key.l_linenumber", "rule")
+    """Claims of orders, whose references are lines of their artifacts."""
+    status = F.when(F.col("o_orderstatus") == "F", "cross_source_consensus").when(F.col("o_orderstatus") == "O", "independently_verified").otherwise("hearsay")
+    claims = _t(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).otherwise(" ").alias("text"), status.alias("claim_status"))
+    x = _t(spark, d, "lineitem")
+    artifacts = x.where("l_orderkey % 10 <> 0").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.max("l_linenumber").alias("line_count")).withColumn("sha256", F.lit("h"))
+    refs = x.where("l_orderkey % 7 <> 0").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + F.col("l_suppkey") % 2).alias("end_line"), F.lit("h").alias("sha256"), F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_partkey") % 3 == 0, "verification_record").otherwise("artifact").alias("kind"))
+    checked = J.resolve_evidence(refs, artifacts).select("claim_id", F.col("supplier").alias("source_id"), "kind", "ord", "verdict")
+    return Q.check_claims(claims, checked)
 
 
 @register("count_reconcile", "SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM labels) AS n_labels, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS n_orphans")
@@ -478,13 +588,13 @@ def strict_gate(spark, d):
 
 
 @register("relation_checks", """WITH e AS (SELECT n_nationkey AS f, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey ELSE n_nationkey + n_regionkey END AS t FROM nation)
-    SELECT 'SELF' AS rule, f AS "from", t AS "to" FROM e WHERE f = t UNION ALL SELECT 'DANGLING', f, t FROM e WHERE t NOT IN (SELECT n_nationkey FROM nation)
+    SELECT 'SELF' AS rule, f AS "from", t AS "to" FROM e WHERE f = t UNION ALL SELECT 'DANGLING', f, t FROM e WHERE t NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 6 <> 1) OR f NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 6 <> 1)
     UNION ALL SELECT 'UNPAIRED', f, t FROM e WHERE f <> t AND (t, f) NOT IN (SELECT f, t FROM e)""")
 def relation_checks(spark, d):
     n = _t(spark, d, "nation")
     to = F.when(F.col("n_nationkey") % 5 == 0, F.col("n_nationkey")).otherwise(F.col("n_nationkey") + F.col("n_regionkey"))
     edges = n.select(F.col("n_nationkey").alias("from"), to.alias("to"), F.lit("related").alias("type"))
-    return Q.relation_checks(edges, n.select(F.col("n_nationkey").alias("id")), ["related"])
+    return Q.relation_checks(edges, n.where("n_nationkey % 6 <> 1").select(F.col("n_nationkey").alias("id")), ["related"])
 
 
 # -- search and routing -------------------------------------------------------
@@ -494,31 +604,35 @@ NORMAL = r"trim(regexp_replace(lower(TEXT), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 @register("normalize_text", f"SELECT doc_id, sha256({NORMAL.replace('TEXT', 'text')}) AS normal_sha256 FROM documents")
 def normalize_text(spark, d):
-    from corploom.functions.text import normalize_text as normal
-
     return _t(spark, d, "documents").select("doc_id", sha256(normal(F.col("text"))).alias("normal_sha256"))
 
 
-@register("nfkc_differs", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+@register("nfkc_differs", "SELECT doc_id, sha256(text) AS nfkc_sha256, contains(text, 'fi') OR contains(text, '1') AS changed FROM documents")
 def nfkc_differs(spark, d):
-    from corploom.functions.text import nfkc
-
-    x = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "ﬁ").otherwise("fi").alias("t"))
-    return x.where(nfkc(F.col("t")) != F.col("t")).select("doc_id")
+    """Whole texts with ligatures and full-width digits put in: NFKC takes them out again."""
+    odd = F.replace(F.replace("text", F.lit("fi"), F.lit("\ufb01")), F.lit("1"), F.lit("\uff11"))
+    x = _t(spark, d, "documents").select("doc_id", odd.alias("odd")).withColumn("plain", nfkc(F.col("odd")))
+    return x.select("doc_id", sha256(F.col("plain")).alias("nfkc_sha256"), (F.col("plain") != F.col("odd")).alias("changed"))
 
 
-def _words_sql(text, n=None):
+def _words_sql(text):
     return f"unnest(list_distinct(list_filter(string_split({NORMAL.replace('TEXT', text)}, ' '), lambda x: x <> '')))"
 
 
-@register("search_topk", f"""WITH dt AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, text FROM documents), q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query FROM benchmark),
-    t AS (SELECT doc_id, title, {_words_sql('title')} AS term, 12 AS w FROM dt UNION ALL SELECT doc_id, title, {_words_sql('text')}, 1 FROM dt),
+FIELDS = [("title", 12), ("source", 10), ("lang", 8), ("lead", 7), ("second", 6), ("last", 4), ("text", 1)]
+FIELDS_SQL = "SELECT doc_id, split_part(text, chr(10), 1) AS title, source, lang, split_part(text, '.', 1) AS lead, split_part(text, chr(10), 2) AS second, list_last(string_split(text, chr(10))) AS last, text FROM documents"
+
+
+@register("search_topk", f"""WITH dt AS ({FIELDS_SQL}), q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+    t AS ({" UNION ALL ".join(f"SELECT doc_id, title, {_words_sql(f)} AS term, {w} AS w FROM dt" for f, w in FIELDS)}),
     a AS (SELECT query_id, {_words_sql('query')} AS term FROM q), s AS (SELECT query_id, doc_id, title, CAST(sum(w) AS BIGINT) AS score FROM t JOIN a USING (term) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 20""")
 def search_topk(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " ", -1), 1, 3), " ").alias("query"))
-    return S.search(docs, asked, [("title", 12), ("text", 1)]).withColumn("rank", F.col("rank").cast("long"))
+    """Whole items as queries against all fields."""
+    lines = F.split("text", "\n", -1)
+    docs = _t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "source", "lang", F.substring_index("text", ".", 1).alias("lead"), F.get(lines, F.lit(1)).alias("second"), F.element_at(lines, -1).alias("last"), "text")
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return S.search(docs, asked, FIELDS).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("route_match", f"""WITH i AS (SELECT conv_id || '-' || turn AS id, lower(text) AS text FROM conversations), routes(route, priority, least, "primary", aux) AS (VALUES {sql_values(r[:4] + (",".join(r[4][:2]),) for r in ROUTES)}),

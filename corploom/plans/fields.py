@@ -166,9 +166,70 @@ def extract_steps(spark, d):
     return _items(spark, d).select("doc_id", F.size(s).cast("long").alias("n_steps"), F.array_join(F.transform(s, lambda x: x["name"]), "|").alias("names"))
 
 
-@register("mine_steps")
+VERBS = "(^| )(is|was|are|ist|est)( |$)"
+#: Items without numbers, so that every strategy has its turn: numbered, with a colon, with a verb.
+MIXED = f"(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {ITEMS} WHEN 1 THEN regexp_replace({ITEMS}, '(?m)^[0-9]+[.] ', '', 'g') ELSE text END AS text FROM documents)"
+
+
+@register("mine_steps", rf"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '(?m)^[ \t]*[0-9]+[.)][ \t]*(.+)$', 1) AS n, regexp_extract_all(text, '(?m)^([^:\n]{{2,12}}: .+)$', 1) AS c,
+        list_filter(list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_matches(x, '{VERBS}')) AS v FROM {MIXED}),
+    b AS (SELECT doc_id, v, CASE WHEN len(n) >= 3 THEN n ELSE list_concat(n, c) END AS f FROM a),
+    e AS (SELECT doc_id, list_filter(CASE WHEN len(f) >= 2 THEN f ELSE list_concat(f, v) END, lambda x: length(x) >= 12 AND NOT contains(x, 'http')) AS f FROM b),
+    u AS (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS f FROM e)
+    SELECT doc_id, array_to_string(list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: substr(y, 1, 15)), substr(x, 1, 15)) = i)[1:6], '|') AS steps FROM u""")
 def mine_steps(spark, d):
-    return _items(spark, d).select("doc_id", X.mine_steps(F.col("text"), r"\b(is|was|are)\b").alias("steps"))
+    n = F.col("doc_id") % 3
+    texts = _docs(spark, d).join(_items(spark, d).withColumnRenamed("text", "items"), "doc_id")
+    mixed = texts.select("doc_id", F.when(n == 0, F.col("items")).when(n == 1, F.regexp_replace("items", r"(?m)^[0-9]+[.] ", "")).otherwise(F.col("text")).alias("text"))
+    return mixed.select("doc_id", F.array_join(X.mine_steps(F.col("text"), VERBS), "|").alias("steps"))
+
+
+@register("bullets_or_sentences", r"""WITH s AS (SELECT doc_id, list_filter(regexp_extract_all(text, '(?m)^- (.+)$', 1), lambda x: length(x) BETWEEN 10 AND 60 AND NOT contains(x, 'tion'))[1:3] AS a,
+        list_filter(list_transform(regexp_extract_all(text, '(?:with|der|que) [^.\n]{10,40}'), lambda x: trim(x)), lambda x: length(x) BETWEEN 10 AND 60 AND NOT contains(x, 'tion'))[1:3] AS b,
+        list_filter(list_transform(regexp_extract_all(text, '[A-Z][^.\n]{9,50}'), lambda x: trim(x)), lambda x: length(x) BETWEEN 10 AND 60 AND NOT contains(x, 'tion'))[1:3] AS c FROM documents)
+    SELECT doc_id, array_to_string(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END, '|') AS bullets FROM s""")
+def bullets_or_sentences(spark, d):
+    """Texts without bullets behind the anchor, so that the fallbacks have their turn."""
+    found = X.extract_bullets(F.col("text"), "No such anchor", "- ", 10, 60, "tion", 3, ["(?:with|der|que) [^.\\n]{10,40}", "[A-Z][^.\\n]{9,50}"])
+    return _docs(spark, d).select("doc_id", F.array_join(found, "|").alias("bullets"))
+
+
+@register("steps_anywhere", rf"""WITH t AS (SELECT doc_id, regexp_extract_all({ITEMS}, '(?m)^[ \t]*[0-9]+[.)][ \t]*(.{{15,}})$', 1) AS i FROM documents),
+    f AS (SELECT doc_id, len(i) AS c, list_filter(i, lambda x, k: list_position(i, x) = k)[1:7] AS i FROM t)
+    SELECT doc_id, CASE WHEN c >= 3 THEN array_to_string(list_transform(i, lambda x: trim(substr(x, 1, 25))), '|') ELSE '' END AS names FROM f""")
+def steps_anywhere(spark, d):
+    """Texts without the anchor, so that numbered items anywhere are the steps."""
+    s = X.extract_steps(F.col("text"), anchor="No such anchor")
+    return _items(spark, d).select("doc_id", F.array_join(F.transform(s, lambda x: x["name"]), "|").alias("names"))
+
+
+NAMED = "'Chapter ' || (doc_id % 9) || ': The ' || lang || ' way' || chr(10) || (doc_id % 5) || '. First ' || source || chr(10) || 'Step 2: Look at ' || lang || chr(10) || 'See **Bold ' || source || '** and the ' || lang || ' effect, the ' || source || ' law.'"
+
+
+@register("candidate_names", "SELECT doc_id, t AS type, n AS name FROM (SELECT doc_id, unnest([{'t': 'heading', 'n': 'The ' || lang || ' way'}, {'t': 'heading', 'n': 'First ' || source}, {'t': 'heading', 'n': 'Look at ' || lang}, {'t': 'bold', 'n': 'Bold ' || source}, {'t': 'suffix', 'n': 'e **Bold ' || source || '** and the ' || lang || ' effect'}, {'t': 'suffix', 'n': 'the ' || source || ' law'}], recursive := true) FROM documents) WHERE length(n) BETWEEN 3 AND 40 AND t <> 'suffix'")
+def candidate_names(spark, d):
+    """All pattern families on texts in which each has its match; of the suffixes, whose names reach back twenty letters, a test has the cases."""
+    n = F.col("doc_id")
+    text = F.concat(F.lit("Chapter "), n % 9, F.lit(": The "), "lang", F.lit(" way\n"), n % 5, F.lit(". First "), "source", F.lit("\nStep 2: Look at "), "lang", F.lit("\nSee **Bold "), "source", F.lit("** and the "), "lang", F.lit(" effect, the "), "source", F.lit(" law."))
+    found = X.candidates(table(spark, d, "documents").select("doc_id", text.alias("text")), X.name_patterns(), [])
+    return found.where("type <> 'suffix'")
+
+
+@register("first_url", "SELECT page_id, nullif(regexp_extract(html, 'https?://[^\\s\"'')>]+'), '') AS url FROM pages")
+def first_url(spark, d):
+    return _pages(spark, d).select("page_id", I.first_url(F.col("html")).alias("url"))
+
+
+@register("html_escape", "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')) AS escaped_sha256 FROM pages")
+def html_escape(spark, d):
+    return _pages(spark, d).select("page_id", T.sha256(T.html_escape(F.col("html"))).alias("escaped_sha256"))
+
+
+@register("dotted_url", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://h.org/a/c%20d?q=' || page_id WHEN 1 THEN 'https://h.org/x/' WHEN 2 THEN 'http://[::1]:81/%C3%A9' END AS url FROM pages")
+def dotted_url(spark, d):
+    n = F.col("page_id")
+    u = F.when(n % 4 == 0, F.concat(F.lit("HTTPS://H.org:443/a/./b/../c d?q="), n, F.lit("#f"))).when(n % 4 == 1, "https://h.org/../x/y/%2E%2e").when(n % 4 == 2, "http://[::1]:81/é").otherwise("https://u:p@h.org/")
+    return _pages(spark, d).select("page_id", T.canonical_url(u).alias("url"))
 
 
 @register("prefix_dedup", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
@@ -191,9 +252,10 @@ def extract_tags(spark, d):
 KWIC = [("tionan",), ("heiter",), ("moron",), ("token =",)]
 
 
-@register("kwic", f"SELECT doc_id, term, substr(text, greatest(instr(text, term) - 60, 1), least(instr(text, term), 61) + length(term) + 59) AS context FROM documents, (VALUES {sql_values(KWIC)}) t(term) WHERE contains(text, term)")
+@register("kwic", f"SELECT *, array_to_string(list_filter(list_transform(regexp_split_to_array(context, '[.!?\\n]+'), lambda x: trim(x)), lambda x: length(x) > 10), '|') AS sentences FROM (SELECT doc_id, term, substr(text, greatest(instr(text, term) - 60, 1), least(instr(text, term), 61) + length(term) + 59) AS context FROM documents, (VALUES {sql_values(KWIC)}) t(term) WHERE contains(text, term))")
 def kwic(spark, d):
-    return X.kwic(_docs(spark, d), spark.createDataFrame(KWIC, "term string"))
+    x = X.kwic(_docs(spark, d), spark.createDataFrame(KWIC, "term string"))
+    return x.withColumn("sentences", F.array_join("sentences", "|"))
 
 
 @register("mechanism_paragraph", r"SELECT doc_id, coalesce(list_filter(f, lambda x: regexp_matches(x, 'for|que|der'))[1], f[1], p[1]) AS paragraph FROM (SELECT doc_id, p, list_filter(p, lambda x: length(x) BETWEEN 60 AND 200) AS f FROM (SELECT doc_id, regexp_split_to_array(text, '\n+') AS p FROM documents))")
@@ -273,10 +335,18 @@ def is_generic(spark, d):
     return _prompts(spark, d).where(~F.trim("text").isin("", "do it well")).select("conv_id", "turn", C.is_generic(prompt, "protocol", ["do it well"]).alias("generic"))
 
 
-@register("fidelity", rf"""SELECT conv_id, turn, CASE WHEN length(text) < 50 THEN 0 ELSE 10 * (CASE WHEN length(text) >= 150 THEN 2 WHEN length(text) >= 100 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, ' the | der | la ') THEN 3 ELSE 0 END
-    + CASE WHEN regexp_matches(text, ' of | und | de ') THEN 2 ELSE 0 END + CASE WHEN name = '' OR (length(text) - length(replace(text, name, ''))) / length(name) <= 3 THEN 1 ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 2 ELSE 0 END) END AS fidelity FROM ({PROMPT_SQL})""")
+LAYERED = "CASE WHEN conv_id % 2 = 0 THEN '[mode] [protocol] [gate] [format] ' ELSE '' END || text"
+
+
+@register("fidelity", rf"""WITH p AS (SELECT conv_id, turn, name, {LAYERED} AS t FROM ({PROMPT_SQL})),
+    b AS (SELECT *, CASE WHEN name = '' THEN t ELSE regexp_replace(replace(t, name, chr(1)), '\x01[^.\n]*', '', 'g') END AS bare, CASE WHEN name = '' THEN 0 ELSE (length(t) - length(replace(t, name, ''))) / length(name) END AS times FROM p),
+    r AS (SELECT *, regexp_matches(bare, ' the | der | la ') AS r1, regexp_matches(bare, ' of | und | de ') AS r2, times <= 3 AS r3, contains(t, '[mode]') AND contains(t, '[protocol]') AND contains(t, '[gate]') AND contains(t, '[format]') AS r4 FROM b)
+    SELECT conv_id, turn, CASE WHEN length(t) < 50 THEN 0 ELSE 10 * (CASE WHEN length(t) >= 150 THEN 2 WHEN length(t) >= 100 THEN 1 ELSE 0 END + CASE WHEN r1 THEN 3 ELSE 0 END + CASE WHEN r2 THEN 2 ELSE 0 END + CASE WHEN r3 THEN 1 ELSE 0 END + CASE WHEN r4 THEN 2 ELSE 0 END) END AS fidelity,
+        CASE WHEN length(t) < 50 THEN 'short' ELSE CASE WHEN length(t) >= 150 THEN '+' WHEN length(t) >= 100 THEN '~' ELSE '-' END || 'length,' || CASE WHEN r1 THEN '+' ELSE '-' END || 'protocol,' || CASE WHEN r2 THEN '+' ELSE '-' END || 'gate,' || CASE WHEN r3 THEN '+' ELSE '-' END || 'name,' || CASE WHEN r4 THEN '+' ELSE '-' END || 'layers' END AS reasons FROM r""")
 def fidelity(spark, d):
-    return _prompts(spark, d).select("conv_id", "turn", C.fidelity(F.col("text"), F.col("name"), " the | der | la ", " of | und | de ").alias("fidelity"))
+    prompt = F.concat(F.when(F.col("conv_id") % 2 == 0, "[mode] [protocol] [gate] [format] ").otherwise(""), F.col("text"))
+    x = _prompts(spark, d).select("conv_id", "turn", C.fidelity(prompt, F.col("name"), " the | der | la ", " of | und | de ").alias("f"))
+    return x.select("conv_id", "turn", F.col("f.value").alias("fidelity"), F.array_join("f.reasons", ",").alias("reasons"))
 
 
 @register("signature_terms", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,12}'))), ' ') AS terms FROM documents")
@@ -334,9 +404,9 @@ def public_projection(spark, d):
     return P.public_projection(table(spark, d, "documents").select("doc_id", F.col("lang").alias("author"), F.col("source").alias("url"), T.sha256(F.col("text")).alias("fingerprint"), policy.alias("policy")))
 
 
-@register("catalog_projection", "SELECT doc_id, lang, 'sources/' || doc_id || '.json' AS path FROM documents")
+@register("catalog_projection", "SELECT doc_id, text, lang, source, n_chars, 'sources/' || doc_id || '.json' AS path FROM documents")
 def catalog_projection(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.lit("a").alias("audit"), F.array().alias("changes"), F.array().alias("warnings"))
+    rows = table(spark, d, "documents").withColumns({"audit": F.lit("a"), "changes": F.array(), "warnings": F.array()})
     return P.catalog_projection(rows)
 
 
@@ -361,6 +431,12 @@ def report_bands(spark, d):
     return table(spark, d, "part").groupBy(P.band(F.col("p_size")).alias("band")).agg(F.count("*").alias("n"))
 
 
+@register("report_rows", "SELECT p_partkey, p_size, CASE WHEN p_size >= 40 THEN 'high' WHEN p_size >= 20 THEN 'mid' ELSE 'low' END AS band, CASE WHEN p_partkey % 50 >= 40 THEN 'high' WHEN p_partkey % 50 >= 20 THEN 'mid' ELSE 'low' END AS pair_band, CASE WHEN p_size >= 40 AND p_partkey % 50 < 40 THEN 'keep' WHEN p_size < 20 THEN 'rework' ELSE 'review' END AS verdict FROM part")
+def report_rows(spark, d):
+    x = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 50).alias("pair"))
+    return P.report_rows(x, "p_partkey", "p_size", "pair")
+
+
 @register("chapter_pages", """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 30 < 25 THEN CAST(o_custkey % 30 AS VARCHAR) ELSE '00' END AS chapter, o_totalprice AS score FROM orders)
     SELECT id, chapter, row_number() OVER w AS rank, lag(id) OVER w AS before, lead(id) OVER w AS after FROM o WINDOW w AS (PARTITION BY chapter ORDER BY score DESC, id)""")
 def chapter_pages(spark, d):
@@ -369,9 +445,18 @@ def chapter_pages(spark, d):
     return P.chapter_pages(rows, chapters, "score").select("id", "chapter", F.col("rank").cast("long"), "before", "after")
 
 
-@register("reshape_v3", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS definition, 2 AS last_order FROM documents")
+@register("reshape_v3", r"""WITH b AS (SELECT doc_id, source || '_' AS name, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'How to use ' || source || '_' END AS def, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS n, text FROM documents),
+    q AS (SELECT *, CASE WHEN length(def) <= 150 THEN def WHEN cut_at > 75 THEN substr(def, 1, cut_at) ELSE substr(def, 1, 150) END AS core FROM (SELECT *, greatest(
+        151 - instr(reverse(substr(def, 1, 150)), '.') - CASE WHEN contains(substr(def, 1, 150), '.') THEN 0 ELSE 1501 END, 151 - instr(reverse(substr(def, 1, 150)), '!') - CASE WHEN contains(substr(def, 1, 150), '!') THEN 0 ELSE 1501 END,
+        151 - instr(reverse(substr(def, 1, 150)), '?') - CASE WHEN contains(substr(def, 1, 150), '?') THEN 0 ELSE 1501 END, 151 - instr(reverse(substr(def, 1, 150)), ';') - CASE WHEN contains(substr(def, 1, 150), ';') THEN 0 ELSE 1501 END) AS cut_at FROM b))
+    SELECT CAST(doc_id AS VARCHAR) AS id, name, sha256(core) AS core_sha256, CASE WHEN n = 2 THEN 'do it,then that' ELSE 'Apply ' || name END AS steps, CASE WHEN doc_id % 5 = 0 THEN 'a long enough sign' ELSE 'When ' || name || ' helps' END AS triggers,
+        CASE WHEN doc_id % 4 = 0 THEN sha256(text) ELSE 'layers' END AS prompt, CAST(ceil(CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 3 END / 5.0 * 3 + 2) AS INTEGER) AS overall FROM q WHERE length(text) >= 200 AND contains(text, ' ')""")
 def reshape_v3(spark, d):
-    steps = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("do").alias("action")) for n in "ab"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("definition"), F.array("lang").alias("triggers"), steps.alias("steps"), F.array("source").alias("stops"), F.lit(None).cast("array<string>").alias("pitfalls"))
-    x = P.reshape(rows)
-    return x.select(F.col("meta.id").alias("doc_id"), "definition", F.element_at("reasoning_steps", -1)["order"].alias("last_order"))
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents").where((F.length("text") >= 200) & F.contains("text", F.lit(" ")))
+    step = lambda name, action: F.struct(F.lit(name).alias("name"), F.lit(action).alias("action"), F.lit("").alias("check"))
+    steps = F.when(n % 3 == 0, F.array(step("a", "do it"), step("then that", "")))
+    rows = docs.select(n.alias("id"), F.concat("source", F.lit("__ (cut")).alias("name"), F.lit(None).cast("string").alias("category"), F.when(n % 2 == 0, F.col("text")).otherwise("").alias("definition"), F.when(n % 5 == 0, F.array(F.lit("short"), F.lit("a long enough sign"))).alias("triggers"), steps.alias("steps"), F.array("source").alias("stops"), F.lit(None).cast("array<string>").alias("pitfalls"), F.when(n % 4 == 0, F.col("text")).otherwise("shell").alias("prompt"), F.when(n % 7 == 0, 5).alias("quality"))
+    x = P.reshape(rows, protocol=" ")
+    prompt = F.col("codex_integration.system_prompt")
+    return x.select("id", "meta.name", T.sha256(F.col("core_definition")).alias("core_sha256"), F.array_join(F.transform("reasoning_steps", lambda s: s["action"]), ",").alias("steps"), F.array_join("when_to_use.triggers", ",").alias("triggers"), F.when(F.startswith(prompt, F.lit("[mode] ")), "layers").otherwise(T.sha256(prompt)).alias("prompt"), "quality.overall")

@@ -22,55 +22,62 @@ def _folder(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@register("scan_corpus", "SELECT doc_id % 8 AS part, count(*) AS n FROM documents WHERE doc_id % 8 NOT IN (3) GROUP BY 1")
+@register("scan_corpus", "SELECT doc_id FROM documents WHERE doc_id % 8 <> 3")
 def scan_corpus(spark, d):
-    """Documents written as text files, one per id remainder; one file is excluded by name."""
+    """Documents written as text files of a bounded number of rows; folders with 'draft' in their name are excluded."""
     base = _folder(spark, "corpus")
-    lines = table(spark, d, "documents").select((F.col("doc_id") % 8).alias("part"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
-    lines.write.partitionBy("part").text(base, lineSep="\n")
-    files = spark.read.text(base, wholetext=True, pathGlobFilter="*.txt").where("part <> 3")
-    return files.select(F.col("part").cast("long"), (F.size(F.split("value", "\n", -1)) - 1).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    number = F.col("doc_id")
+    book = F.concat(F.when(number % 8 == 3, "draft-").otherwise("book-"), F.floor(number / 500).cast("string"))
+    table(spark, d, "documents").select(book.alias("book"), F.concat_ws("\t", "doc_id", F.translate("text", "\n\r", "  ")).alias("value")).repartition("book").write.partitionBy("book").text(base, lineSep="\n")
+    files = R.scan_corpus(spark, base, ".txt", exclude=["draft"])
+    lines = files.select(F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''")
+    return lines.select(F.substring_index("line", "\t", 1).cast("long").alias("doc_id"))
 
 
-@register("json_docs", "SELECT r_name, r_regionkey FROM region WHERE r_regionkey <> 3")
+@register("json_docs", "SELECT r_name, r_regionkey, FALSE AS bad FROM region WHERE r_regionkey <> 3 UNION ALL SELECT 'bad files', CAST(count(*) AS INTEGER), TRUE FROM region WHERE r_regionkey = 3")
 def json_docs(spark, d):
-    """One JSON file per region; a bad one is left out."""
+    """One JSON file per region; bad ones are left out and counted."""
     base = _folder(spark, "json")
     region = table(spark, d, "region").repartition(5, "r_regionkey").withColumn("_part", F.col("r_regionkey"))
     body = F.when(F.col("r_regionkey") == 3, "{bad").otherwise(F.to_json(F.struct("r_name", "r_regionkey")))
     region.select("_part", body.alias("value")).write.partitionBy("_part").text(base)
-    return R.scan_json_docs(spark, f"{base}/*", "r_name string, r_regionkey int")[0].select("r_name", "r_regionkey")
+    rows, bad = R.scan_json_docs(spark, f"{base}/*", "r_name string, r_regionkey int")
+    counted = bad.agg(F.lit("bad files").alias("r_name"), F.count("*").cast("int").alias("r_regionkey"))
+    return rows.select("r_name", "r_regionkey", F.lit(False).alias("bad")).union(counted.withColumn("bad", F.lit(True)))
 
 
 @register("jsonl_strict", "SELECT CASE WHEN event_id % 20 = 0 THEN 'EMPTY_LINE' WHEN event_id % 7 = 0 THEN 'BAD_JSON' ELSE 'OK' END AS code, count(*) AS n, CAST(sum(CASE WHEN event_id % 20 <> 0 AND event_id % 7 <> 0 THEN CAST(props->>'k' AS BIGINT) END) AS BIGINT) AS k FROM events GROUP BY 1")
 def jsonl_strict(spark, d):
-    n = F.col("event_id")
+    n = F.col("event_id")  # files of 1,000 events
     line = F.when(n % 20 == 0, "").when(n % 7 == 0, F.lit("{k")).otherwise(F.col("props"))
-    files = table(spark, d, "events").select((n % 16).alias("file"), n, line.alias("line")).groupBy("file").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+    files = table(spark, d, "events").select(F.floor(n / 1_000).alias("file"), n, line.alias("line")).groupBy("file").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
     x = R.jsonl_lines(files, "k long")
     return x.groupBy(F.coalesce("code", F.lit("OK")).alias("code")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("code").isNull(), F.col("row.k"))).alias("k"))
 
 
-@register("json_array", "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS n_accepted FROM orders GROUP BY o_custkey")
+@register("json_array", "SELECT o_custkey, count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS n_accepted, CAST(sum(i) FILTER (o_totalprice > 100000) AS BIGINT) AS places FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY o_custkey")
 def json_array(spark, d):
-    arrays = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))).alias("text"))
-    rows = arrays.select("o_custkey", F.posexplode(F.from_json("text", "array<struct<id long, price double>>")).alias("index", "entry"))
-    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("entry.price") > 100000).alias("n_accepted"))
+    entry = F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    arrays = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("text"))
+    rows = R.scan_json_array(arrays, "id long, price double", F.col("entry.price") > 100000, keep=["o_custkey"])
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"), F.sum(F.when(F.col("accepted"), F.col("index"))).cast("long").alias("places"))
 
 
-@register("taxonomy_tags", "SELECT r_name AS title, CAST(count(n_name) AS BIGINT) AS n_tags FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
+@register("taxonomy_tags", "SELECT r_name AS title, CAST(count(n_name) AS BIGINT) AS n_tags, CAST(count(n_name) FILTER (n_nationkey % 2 = 0) AS BIGINT) AS n_parts FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def taxonomy_tags(spark, d):
-    tags = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("allowed_tags"))
-    chapter = F.struct(F.col("r_regionkey").cast("string").alias("id"), F.col("r_regionkey").alias("order"), F.col("r_name").alias("title"), "allowed_tags", F.array().cast("array<struct<title:string>>").alias("subchapters"))
+    part = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_nationkey").alias("order"), F.col("n_name").alias("title"))
+    tags = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("allowed_tags"), F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, part)).alias("subchapters"))
+    chapter = F.struct(F.col("r_regionkey").cast("string").alias("id"), F.col("r_regionkey").alias("order"), F.col("r_name").alias("title"), "allowed_tags", "subchapters")
     text = table(spark, d, "region").join(tags, "r_regionkey", "left").agg(F.to_json(F.struct(F.collect_list(chapter).alias("chapters"))).alias("text"))  # a rule table of fixed size
-    chapters, listed = R.load_taxonomy(text)
-    return chapters.join(listed, "id", "left").groupBy("title").agg(F.count("tag").alias("n_tags"))
+    chapters, listed, parts = R.load_taxonomy(text)
+    counted = parts.groupBy(F.col("chapter_id").alias("id")).agg(F.count("*").alias("n_parts"))
+    return chapters.join(listed, "id", "left").groupBy("id", "title").agg(F.count("tag").alias("n_tags")).join(counted, "id", "left").select("title", "n_tags", F.coalesce("n_parts", F.lit(0)).cast("long").alias("n_parts"))
 
 
 @register("markup_text", r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n]+', ' ', 'g')) AS part FROM pages)
-    SELECT page_id % 50 AS book, sha256(string_agg(part, chr(10) || '---' || chr(10) ORDER BY page_id)) AS text_sha256 FROM p WHERE length(part) > 100 GROUP BY 1""")
+    SELECT CAST(floor(page_id / 200) AS BIGINT) AS book, sha256(string_agg(part, chr(10) || '---' || chr(10) ORDER BY page_id)) AS text_sha256 FROM p WHERE length(part) > 100 GROUP BY 1""")
 def markup_text(spark, d):
-    x = R.extract_markup_text(table(spark, d, "pages").withColumn("book", F.col("page_id") % 50), "book", "page_id")
+    x = R.extract_markup_text(table(spark, d, "pages").withColumn("book", F.floor(F.col("page_id") / 200)), "book", "page_id")
     return x.select("book", sha256(F.col("text")).alias("text_sha256"))
 
 
@@ -87,12 +94,16 @@ def write_models(spark, d):
     return spark.read.parquet(base).groupBy("category").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
 
 
-@register("publish_and_read", "SELECT count(*) AS n_rows, 0 AS n_violations FROM documents")
+@register("publish_and_read", "SELECT count(*) AS n_rows, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, 0 AS n_violations, TRUE AS same_run, count(*) AS n_reported FROM documents")
 def publish_and_read(spark, d):
+    """Whole documents published, published again (the same run), and read back against the catalog."""
     base = _folder(spark, "run")
-    K.publish_run(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", base)
+    docs = table(spark, d, "documents")
+    first, again = K.publish_run(docs, "doc_id", base), K.publish_run(docs.repartition(3), "doc_id", base)
     rows, violations = K.read_current_run(spark, base, "doc_id")
-    return rows.agg(F.count("*").alias("n_rows")).crossJoin(violations.agg(F.count("*").cast("int").alias("n_violations")))  # one row each
+    report = spark.read.parquet(f"{base}/runs/{first}/report").select(F.col("n_rows").alias("n_reported"))
+    counted = rows.agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    return counted.crossJoin(violations.agg(F.count("*").cast("int").alias("n_violations"))).crossJoin(report).withColumn("same_run", F.lit(first == again))  # one row each
 
 
 @register("ingest_stream", rf"""WITH cut AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{BOIL}')) AS l FROM documents),

@@ -15,6 +15,8 @@ TAXONOMY: tuple[tuple[str, int, tuple[str, ...], tuple[str, ...]], ...] = (
 )
 #: Patterns of boilerplate lines, plain for every regex dialect: junk signs, cells, shouting.
 LINE_PATTERNS: tuple[str, ...] = (r"%%%|\$\$\$|&&&|\*\*\*|###", r" \| ", r"!! [A-Z]+!!")
+#: Words that mark what a text is like.
+SIGNATURE: tuple[str, ...] = ("the", "and", "that", "with", "this", "from", "der", "die", "das", "und", "ein", "nicht", "que", "les", "dans", "pour", "est", "los", "por", "para", "una", "con", "idiot", "moron")
 #: Terms looked for in texts: (term, place).
 LEXICON: tuple[tuple[str, int], ...] = (("tion", 1), ("erin", 2), ("heit", 3), ("elle", 4), ("mente", 5), ("thor", 6))
 #: Names that mean the same: (variant, name), both normalised.
@@ -47,8 +49,12 @@ PROBLEM_RULES: tuple[tuple[str, int, str, str], ...] = (
     ("sales", 3, "purchase", "purchase"),
     ("interest", 4, "view", "view"),
 )
-#: Roles of names: (name, role, stance).
-ROLES: tuple[tuple[str, str, str], ...] = (("error", "critic", "against"), ("purchase", "advocate", "for"), ("view", "observer", "neutral"))
+#: Roles of names: (name, role, stance, challenge).
+ROLES: tuple[tuple[str, str, str, str], ...] = (
+    ("error", "critic", "against", "What breaks first?"),
+    ("purchase", "advocate", "for", "What is it worth?"),
+    ("view", "observer", "neutral", "What is not seen?"),
+)
 #: Full combinations in order of priority, and single anchors.
 COMBOS: tuple[tuple[int, tuple[str, ...]], ...] = ((1, ("error", "purchase", "signup")), (2, ("click", "view", "purchase")))
 ANCHORS: tuple[str, ...] = ("error", "click", "view")

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -41,6 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast, after a check of its size: more than ``most`` rows are an error."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a table to broadcast has more than {most} rows")
+    return F.broadcast(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

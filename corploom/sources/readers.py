@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 
 def scan_corpus(spark: SparkSession, folder: str, suffix: str = ".txt", exclude: Sequence[str] = ()) -> DataFrame:
-    """(file, text) of whole files with the suffix whose name has none of the excluded words."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    """(file, text) of whole files with the suffix whose path below the folder has none of the excluded words."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}").select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    below = F.substring_index("_path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     for word in exclude:
-        files = files.where(~F.contains("file", F.lit(word)))
-    return files
+        files = files.where(~F.contains(below, F.lit(word)))
+    return files.select("file", "text")
 
 
 def scan_json_docs(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): one JSON object per file; bad has the files that don't parse."""
-    docs = spark.read.schema(f"{schema}, _corrupt STRING").json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").withColumn("file", F.col("_metadata.file_name"))
-    return docs.where("_corrupt IS NULL").drop("_corrupt"), docs.where("_corrupt IS NOT NULL").select("file")
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    row = F.from_json("value", f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    docs = files.select("file", row.alias("row"))
+    bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull()
+    return docs.where(~bad).select("row.*", "file").drop("_corrupt"), docs.where(bad).select("file")
 
 
 def jsonl_lines(files: DataFrame, schema: str) -> DataFrame:
@@ -36,17 +40,18 @@ def jsonl_lines(files: DataFrame, schema: str) -> DataFrame:
     return lines.withColumn("row", parsed).select("file", (F.col("i") + 1).alias("line_no"), "row", code.alias("code"))
 
 
-def scan_json_array(text: DataFrame, element: str, ok: Column) -> DataFrame:
-    """(index, entry, accepted): entries of a JSON array column ``text``; ``ok`` is a condition on ``entry``."""
-    rows = text.select(F.posexplode(F.from_json("text", f"array<struct<{element}>>")).alias("index", "entry"))
+def scan_json_array(text: DataFrame, element: str, ok: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """(columns kept, index, entry, accepted): entries of a JSON array column ``text``; ``ok`` is a condition on ``entry``."""
+    rows = text.select(*keep, F.posexplode(F.from_json("text", f"array<struct<{element}>>")).alias("index", "entry"))
     return rows.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
 
-def load_taxonomy(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chapters, tags) of one taxonomy document in JSON."""
-    schema = "chapters array<struct<id string, order int, title string, allowed_tags array<string>, subchapters array<struct<title string>>>>"
+def load_taxonomy(text: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chapters, tags, subchapters) of one taxonomy document in JSON."""
+    schema = "chapters array<struct<id string, order int, title string, allowed_tags array<string>, subchapters array<struct<id string, order int, title string>>>>"
     chapters = text.select(F.inline(F.from_json("text", schema)["chapters"]))
-    return chapters.select("id", "order", "title"), chapters.select("id", F.explode("allowed_tags").alias("tag"))
+    parts = chapters.select(F.col("id").alias("chapter_id"), F.inline("subchapters")).select("chapter_id", "id", "order", "title")
+    return chapters.select("id", "order", "title"), chapters.select("id", F.explode("allowed_tags").alias("tag")), parts
 
 
 def extract_markup_text(pages: DataFrame, by: str, order: str, least: int = 100) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +17,10 @@ def _sorted(c: Column, kind: T.DataType) -> Column:
 
 
 def canonical_json(df: DataFrame) -> Column:
-    """The row as JSON with sorted keys, nulls kept, without blanks."""
+    """The row as JSON with sorted keys, nulls kept, without blanks; a number that JSON can't hold fails the run."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    return F.to_json(F.struct(*(_sorted(F.col(f.name), f.dataType).alias(f.name) for f in fields)), {"ignoreNullFields": "false"})
+    text = F.to_json(F.struct(*(_sorted(F.col(f.name), f.dataType).alias(f.name) for f in fields)), {"ignoreNullFields": "false"})
+    return F.when(not_finite(df), F.raise_error(F.lit("a number is not finite")).cast("string")).otherwise(text)
 
 
 def not_finite(df: DataFrame) -> Column:
@@ -48,20 +50,45 @@ def run_id(df: DataFrame, key: str) -> DataFrame:
 
 
 def publish_run(df: DataFrame, key: str, root: str) -> str:
-    """Writes rows, catalog and pointer under a content-addressed folder and returns the run id; an existing run is not written over."""
+    """Writes rows, catalog, report and pointer under a content-addressed folder and returns the run id.
+
+    A run that is there and verifies is not written again, only pointed to; one
+    that a crash left unfinished, without its report, is written over.
+    """
     spark = df.sparkSession
     run = run_id(df, key).first()["run_id"]
     folder = f"{root}/runs/{run}"
-    df.write.mode("errorifexists").parquet(f"{folder}/rows")
-    df.select(key, F.sha2(canonical_json(df), 256).alias("sha256")).write.parquet(f"{folder}/catalog")
+    if not _finished(spark, folder, key):
+        df.write.mode("overwrite").parquet(f"{folder}/rows")
+        df.select(key, F.sha2(canonical_json(df), 256).alias("sha256")).write.mode("overwrite").parquet(f"{folder}/catalog")
+        # The report comes last, so it tells that the run is whole.
+        spark.read.parquet(f"{folder}/catalog").agg(F.lit(run).alias("run_id"), F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys")).write.mode("overwrite").parquet(f"{folder}/report")
     spark.createDataFrame([(run,)], "run_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
     return run
 
 
+def _finished(spark: SparkSession, folder: str, key: str) -> bool:
+    """Whether a run's report is there and its rows equal its catalog."""
+    try:
+        report = spark.read.parquet(f"{folder}/report").first()
+    except AnalysisException:
+        return False
+    if report is None:
+        return False
+    rows, catalog = spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/catalog")
+    if catalog.count() != report["n_rows"] or not _differences(rows, catalog, key).isEmpty():
+        raise ValueError(f"{folder} is not what its report says")
+    return True
+
+
+def _differences(rows: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    got = rows.select(key, F.sha2(canonical_json(rows), 256).alias("got"))
+    both = got.join(catalog, key, "full_outer")
+    return both.where(~F.col("got").eqNullSafe(F.col("sha256"))).select(key)
+
+
 def read_current_run(spark: SparkSession, root: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows, violations): the current run, and keys whose row differs from the catalog's hash or is not in it."""
     run = spark.read.parquet(f"{root}/current").first()["run_id"]
     rows, catalog = spark.read.parquet(f"{root}/runs/{run}/rows"), spark.read.parquet(f"{root}/runs/{run}/catalog")
-    got = rows.select(key, F.sha2(canonical_json(rows), 256).alias("got"))
-    both = got.join(catalog, key, "full_outer")
-    return rows, both.where(~F.col("got").eqNullSafe(F.col("sha256"))).select(key)
+    return rows, _differences(rows, catalog, key)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corploom.operators.classify import classify
 from corploom.operators.lines import doc_gate, strip_boilerplate
@@ -24,14 +25,15 @@ def append_new(catalog: str) -> Callable[[DataFrame, int], None]:
     """Appends a batch's rows whose fingerprint the catalog lacks, one row per fingerprint.
 
     Each batch has its own folder, written over if the batch runs again, and
-    reads only earlier ones; so a batch that is retried gives the same rows.
+    reads only the fingerprints of earlier ones, as one partitioned table; so a
+    batch that is retried gives the same rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.groupBy("fingerprint").agg(F.min_by(F.struct(*batch.columns), "doc_id").alias("r")).select("r.*")
         if number:
-            known = batch.sparkSession.read.schema(batch.schema).option("basePath", catalog).parquet(*(f"{catalog}/batch={i}" for i in range(number)))
-            fresh = fresh.join(known.select("fingerprint"), "fingerprint", "left_anti")
+            known = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", IntegerType())])).parquet(catalog)
+            fresh = fresh.join(known.where(F.col("batch") < number).select("fingerprint"), "fingerprint", "left_anti")
         fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{catalog}/batch={number}")
 
     return write

@@ -2,10 +2,12 @@
 
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from corploom import session
 from corploom.functions import text as T
 from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, project, quality, search
 from corploom.operators.apply import apply_cleaner
@@ -36,6 +38,13 @@ def test_keyed_id_is_hmac(spark):
         ("ftp://a.b/", None),
         ("https://user@a.b/", None),
         ("no url", None),
+        ("https://a.b/x/../y/./z/..", "https://a.b/y/"),
+        ("https://a.b/%2e%2E/a b/é?q=a b'", "https://a.b/a%20b/%C3%A9?q=a%20b%27"),
+        ("http://[2001:DB8::1]:80/a", "http://[2001:db8::1]/a"),
+        ("https:\\\\a.b", None),
+        (" https://a.b/\\x ", "https://a.b//x"),
+        ("https://a.b:0443/..", "https://a.b/"),
+        ("https://b\u00fccher.de/", None),
         (None, None),
     ],
 )
@@ -90,11 +99,48 @@ def test_eligibility_in_order(spark):
 
 
 def test_changes_are_checked(spark):
-    rows = [(1, "r", "delete", [2, 3]), (2, "r", "delete", [2, 4]), (3, "r", "normalize", [1]), (4, "r", "delete", [3, 3]), (5, "no", "delete", [1])]
-    ledger = spark.createDataFrame(rows, "doc_id long, rule_id string, kind string, lines array<int>")
-    kinds = spark.createDataFrame([("r", "delete")], "rule_id string, kind string")
+    none, lf = lines.EMPTY_SHA256, lines.LF_SHA256
+    assert (none, lf) == tuple(hashlib.sha256(x).hexdigest() for x in (b"", b"\n"))
+    rows = [
+        (1, "r", "delete", [2, 3], "a", none),
+        (2, "r", "delete", [2, 4], "a", none),
+        (3, "r", "normalize", [1], "a", "b"),
+        (4, "r", "delete", [3, 3], "a", none),
+        (5, "no", "delete", [1], "a", none),
+        (6, "r", "delete", [1], "a", "left"),
+        (7, "eof", "append_eof", None, none, lf),
+        (8, "eof", "append_eof", [4], none, lf),
+        (9, "eof", "append_eof", None, none, none),
+        (10, "r", "delete", None, "a", none),
+    ]
+    ledger = spark.createDataFrame(rows, "doc_id long, rule_id string, kind string, lines array<int>, before_sha256 string, after_sha256 string")
+    kinds = spark.createDataFrame([("r", "delete"), ("eof", "append_eof")], "rule_id string, kind string")
     got = sorted((r["doc_id"], r["rule"]) for r in lines.verify_changes(ledger, kinds).collect())
-    assert got == [(2, "DELETE_NOT_CONTIGUOUS"), (3, "KIND"), (4, "LINES_NOT_INCREASING"), (5, "KIND")]
+    assert got == [(2, "DELETE_NOT_CONTIGUOUS"), (3, "KIND"), (4, "LINES_NOT_INCREASING"), (5, "KIND"), (6, "DELETE_LEAVES_TEXT"), (8, "EOF"), (9, "EOF"), (10, "NO_LINES")]
+
+
+def test_last_lf_in_the_ledger(spark):
+    rows = [(1, "eof", "append_eof", None, "", "\n"), (1, "r", "delete", 2, "x", None)]
+    ledger = lines.change_ledger(spark.createDataFrame(rows, "doc_id long, rule_id string, kind string, line int, before string, after string"))
+    kinds = spark.createDataFrame([("r", "delete"), ("eof", "append_eof")], "rule_id string, kind string")
+    assert lines.verify_changes(ledger, kinds).collect() == []
+
+
+def test_arrays_of_lines_equal_tables_of_lines(spark):
+    docs = spark.createDataFrame([*TEXTS, (7, "x\n" * 500 + "\n\n \n" + "é\n" * 300)], "doc_id long, text string")
+    lines_of = docs.select("doc_id", lines.line_array(F.col("text")).alias("l"))
+    exploded = {(r["doc_id"], r["line"]): tuple(r) for r in lines.explode_lines(docs).collect()}
+    raw = {r["doc_id"]: r["text"].encode() for r in docs.where("text IS NOT NULL").collect()}
+    assert all(raw[i][r[4] : r[5]].decode() == r[2] for (i, _), r in exploded.items()) and len(exploded) > 800
+    got = {r["doc_id"]: r["t"] for r in lines_of.select("doc_id", lines.joined(lines.collapse_blanks(F.col("l"))).alias("t")).collect() if r["t"]}
+    assert got == {r["doc_id"]: r["text"] for r in lines.reassemble(lines.collapse_blank_runs(lines.explode_lines(docs))).collect()}
+
+
+def test_lines_are_cut_without_a_shuffle(spark, sf_dir):
+    from corploom.plans import QUERIES
+
+    for name in ("explode_lines", "collapse_blank_runs", "reassemble_hash", "mentions"):
+        assert "Exchange hashpartitioning" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
 # -- fields ----------------------------------------------------------------------
@@ -118,7 +164,13 @@ def test_classify_ties_and_default(spark):
 def test_prompts(spark):
     assert one(spark, project.replace_layer(F.col("p"), "x", F.col("s")), p="a [x] b", s=["1", "2"]) == "a [x] 1; 2"
     assert one(spark, project.replace_layer(F.col("p"), "x", F.col("s")), p="a", s=["1"]) is None
-    assert one(spark, classify.fidelity(F.col("p"), F.col("n"), "must", "stop"), p="short", n="") == 0
+    assert tuple(one(spark, classify.fidelity(F.col("p"), F.col("n"), "must", "stop"), p="short", n="")) == (0, ["short"])
+    # What the name's own sentence says doesn't count.
+    rest = " and so on with more words for the length of it"
+    got = one(spark, classify.fidelity(F.col("p"), F.col("n"), "must", "stop"), p="Use Name, which must stop." + rest, n="Name")
+    assert tuple(got) == (10, ["-length", "-protocol", "-gate", "+name", "-layers"])
+    whole = "[mode] a [protocol] you must [gate] stop if [format] b" + rest * 3
+    assert one(spark, classify.fidelity(F.col("p"), F.col("n"), "must", "stop"), p=whole, n="")["value"] == 100
 
 
 # -- joins, inventories, chains ---------------------------------------------------
@@ -138,9 +190,45 @@ def test_chains_break(spark):
 
 def test_jaccard_and_differentiation(spark):
     sets = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "z"), ("c", "q")], "id string, term string")
-    pairs = joins.pairwise_jaccard(sets)
-    assert [tuple(r) for r in pairs.collect()] == [("a", "b", pytest.approx(1 / 3))]
-    assert {r["id"]: r["score"] for r in joins.differentiation(sets, pairs).collect()} == {"a": 83, "b": 83, "c": 100}
+    assert [tuple(r) for r in joins.pairwise_jaccard(sets).collect()] == [("a", "b", pytest.approx(1 / 3))]
+    ids = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    assert {r["id"]: r["score"] for r in joins.differentiation(ids, sets).collect()} == {"a": 89, "b": 89, "c": 100, "d": 100}
+    copies = sets.union(sets.where("id = 'a'").select(F.lit("z"), "term"))
+    assert sorted(tuple(r) for r in joins.term_classes(copies)[0].collect()) == [("a", "a"), ("b", "b"), ("c", "c"), ("z", "a")]
+    both = joins.differentiation(copies.select("id"), copies)
+    assert {r["id"]: r["score"] for r in both.collect()} == {"a": 56, "z": 56, "b": 78, "c": 100}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_rarest_terms_find_all_similar_sets(spark, least):
+    rng = random.Random(5)
+    sets = {i: {rng.randrange(12) for _ in range(rng.randrange(1, 9))} for i in range(120)}
+    rows = spark.createDataFrame([(i, f"t{x}") for i, s in sets.items() for x in s], "id long, term string")
+    reps = {r["id"] for r in joins.term_classes(rows)[0].where("id = rep").collect()}
+    want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9}
+    assert {(r["a"], r["b"]) for r in joins.pairwise_jaccard(rows, least).collect()} == want
+
+
+def test_sizes_of_broadcast_tables_are_checked(spark):
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        session.small(spark.range(11), 10)
+
+
+def test_ranks_number_groups_over_ranges(spark):
+    rows = spark.range(1_000).select((F.col("id") * 37 % 1_000).alias("o"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"))
+    got = inventory.ranks(rows, "g", "o").collect()
+    for g in ("a", "b", None):
+        mine = sorted((r["o"], r["rank"]) for r in got if r["g"] == g)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1)) and len(mine) > 300
+
+
+def test_pilot_ids_are_known_and_listed_once(spark):
+    ids = spark.range(5).withColumnRenamed("id", "k")
+    assert [tuple(r) for r in inventory.pilot_set(ids, "k", 9, [3, 1]).orderBy("ord").collect()] == [(1, 3), (2, 1)]
+    with pytest.raises(ValueError, match="twice"):
+        inventory.pilot_set(ids, "k", 9, [1, 1])
+    with pytest.raises(Exception, match="unknown id 7"):
+        inventory.pilot_set(ids, "k", 9, [7]).collect()
 
 
 def test_near_copies(spark):
@@ -164,9 +252,9 @@ def test_merges_with_null_keys(spark):
 
 
 def test_relations(spark):
-    edges = spark.createDataFrame([(1, 1, "s"), (1, 2, "s"), (2, 1, "s"), (2, 3, "s"), (1, 9, "o")], "from long, to long, type string")
+    edges = spark.createDataFrame([(1, 1, "s"), (1, 2, "s"), (2, 1, "s"), (2, 3, "s"), (1, 9, "o"), (8, 1, "o")], "from long, to long, type string")
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
-    assert sorted(tuple(r) for r in quality.relation_checks(edges, nodes, ["s"]).collect()) == [("DANGLING", 1, 9), ("SELF", 1, 1), ("UNPAIRED", 2, 3)]
+    assert sorted(tuple(r) for r in quality.relation_checks(edges, nodes, ["s"]).collect()) == [("DANGLING", 1, 9), ("DANGLING", 8, 1), ("SELF", 1, 1), ("UNPAIRED", 2, 3)]
 
 
 def test_route_ties(spark):
@@ -186,6 +274,65 @@ def test_jsonl_codes(spark):
     assert [(r["line_no"], r["code"]) for r in readers.jsonl_lines(files, "k long").orderBy("line_no").collect()] == [(1, None), (2, "EMPTY_LINE"), (3, "BAD_JSON"), (4, "NO_FINAL_LF")]
 
 
+def test_numbers_that_json_cannot_hold_fail(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, float("nan"))], "id long, v double")
+    assert rows.where("id = 1").select(sinks.canonical_json(rows).alias("j")).first()["j"] == '{"id":1,"v":2.0}'
+    with pytest.raises(Exception, match="not finite"):
+        rows.select(sinks.canonical_json(rows)).collect()
+
+
+def test_publishing_again_points_to_the_run_that_is_there(spark, tmp_path):
+    one_, two = (spark.createDataFrame([(1, t)], "id long, a string") for t in "ab")
+    first = sinks.publish_run(one_, "id", str(tmp_path))
+    sinks.publish_run(two, "id", str(tmp_path))
+    assert sinks.publish_run(one_, "id", str(tmp_path)) == first
+    assert sinks.read_current_run(spark, str(tmp_path), "id")[0].first()["a"] == "a"
+    # Without its report a run counts as unfinished and is written over.
+    (tmp_path / "runs" / first / "report").rename(tmp_path / "gone")
+    spark.createDataFrame([(9, "x")], "id long, a string").write.mode("overwrite").parquet(f"{tmp_path}/runs/{first}/rows")
+    assert sinks.publish_run(one_, "id", str(tmp_path)) == first
+    assert sinks.read_current_run(spark, str(tmp_path), "id")[1].count() == 0
+    # One that isn't what its report says is not published.
+    spark.createDataFrame([(9, "x")], "id long, a string").write.mode("overwrite").parquet(f"{tmp_path}/runs/{first}/rows")
+    with pytest.raises(ValueError, match="report"):
+        sinks.publish_run(one_, "id", str(tmp_path))
+
+
+def test_names_of_all_pattern_families(spark):
+    text = "Chapter 2: The long way (x)\nIV. Roman part\n3. Third thing, more\n2.1 Sub part\nStep 4: Do it\n**Bold name** here.\nWe use the halo effect, a rule of law."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(r["type"], r["name"]) for r in extract.candidates(docs, extract.name_patterns(), ["halo"]).collect()}
+    names = {("heading", n) for n in ("The long way", "Roman part", "Third thing", "Sub part", "Do it")}
+    assert got == {*names, ("bold", "Bold name"), ("suffix", "We use the halo effect"), ("suffix", "a rule of law"), ("suffix", "a rule"), ("known", "halo")}
+
+
+def test_claims_break_their_first_rule(spark):
+    ok, seen, sure = "source_statement", "cross_source_consensus", "independently_verified"
+    claims = [("a", "t", ok), ("b", "t", ok), ("c", "", ok), ("d", "t", seen), ("e", "t", seen), ("f", "t", sure), ("g", "t", sure), ("h", "t", "rumour"), ("", "t", ok), ("i", "t", ok)]
+    refs = [("a", 1, "x", 0, "OK"), ("d", 1, "x", 0, "OK"), ("d", 1, "x", 1, "OK"), ("e", 1, "x", 0, "OK"), ("e", 2, "x", 1, "OK"), ("f", 1, "x", 0, "OK"), ("g", 1, "verification_record", 0, "OK"), ("i", 1, "x", 0, "OK"), ("i", 1, "x", 1, "LINE_RANGE"), ("i", 1, "x", 2, "UNKNOWN_SOURCE")]
+    found = quality.check_claims(spark.createDataFrame(claims, "claim_id string, text string, claim_status string"), spark.createDataFrame(refs, "claim_id string, source_id long, kind string, ord int, verdict string"))
+    assert {r["claim_id"]: r["rule"] for r in found.collect()} == {"b": "NO_REFS", "d": "QUORUM", "f": "VERIFICATION", "h": "STATUS", "": "CLAIM_ID", "i": "LINE_RANGE"}
+
+
+def test_contract_types_and_nulls(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "x", None)], "k long, a string, b string")
+    got = quality.check_contract(rows, "k", [("a", "min_length", 1), ("b", "regex", "."), ("b", "nullable", None), ("a", "type", "int")]).collect()
+    assert sorted((r["rule"], r["key"] or "", r["path"]) for r in got) == [("min_length", "1", "a"), ("type", "", "a")]
+
+
+def test_search_orders_ties_and_counts_terms_once(spark):
+    docs = [(3, "b", "x x y"), (1, "b", "x"), (2, "a", "x"), (4, "c", "z"), (5, None, "x")]
+    found = search.search(spark.createDataFrame(docs, "doc_id long, title string, text string"), spark.createDataFrame([(1, "X y"), (2, ""), (3, None)], "query_id long, query string"), [("title", 5), ("text", 2)], k=4)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [(1, 3, 4, 1), (1, 5, 2, 2), (1, 2, 2, 3), (1, 1, 2, 4)]
+
+
+def test_search_keeps_the_best_of_many(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lpad((F.col("id") * 7919 % 3_000).cast("string"), 5, "0").alias("title"), F.when(F.col("id") % 10 == 0, "x y").otherwise("x").alias("text"))
+    found = search.search(docs, spark.createDataFrame([(1, "x y")], "query_id long, query string"), [("text", 1)], k=5).collect()
+    best = sorted((f"{i * 7919 % 3_000:05}", i) for i in range(0, 3_000, 10))[:5]
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["rank"])] == [i for _, i in best]
+
+
 def test_runs_are_checked(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2.0, "b"), (2, None, "a")], "id long, v double, a string")
     run = sinks.publish_run(rows, "id", str(tmp_path))
@@ -203,8 +350,9 @@ def test_cleaner_errors_name_the_source(spark):
 
 
 def test_taxonomy_and_markup(spark):
-    text = spark.createDataFrame([('{"chapters":[{"id":"01","order":1,"title":"t","allowed_tags":["a","b"],"subchapters":[]}]}',)], "text string")
-    chapters, tags = readers.load_taxonomy(text)
+    text = spark.createDataFrame([('{"chapters":[{"id":"01","order":1,"title":"t","allowed_tags":["a","b"],"subchapters":[{"id":"1","order":2,"title":"p"}]}]}',)], "text string")
+    chapters, tags, parts = readers.load_taxonomy(text)
     assert chapters.count() == 1 and [r["tag"] for r in tags.collect()] == ["a", "b"]
+    assert [tuple(r) for r in parts.collect()] == [("01", "1", 2, "p")]
     pages = spark.createDataFrame([(1, 2, "<style>p{}</style><p>" + "b" * 101), (1, 1, "<p>" + "a" * 101), (1, 3, "<p>short")], "book long, n long, html string")
     assert readers.extract_markup_text(pages, "book", "n").first()["text"] == "a" * 101 + "\n---\n" + "b" * 101
