@@ -7,8 +7,9 @@ copies lie one after another on the source's word axis; inverting the demand at
 a copy's midpoint gives its training position, and a range sort by position
 gives the order of the whole mix. All of it is built-in column functions.
 
-Cumulative sizes never need a source in one task: sums go up two levels of hash
-buckets (256 x 256 a source) and running sums come down again.
+Cumulative sizes never need a source, or an id, in one task: documents are
+ranged by source and order, each range adds up its own, and the ranges' sums add
+up by source, a row for each source and range.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.llm.common import WORD, cut, documents, numbered, text_or_empty, unused
+from corploom.operators.inventory import ranks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -57,20 +59,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     Sources by code point, null last, take the weights in turn. Targets share
     the total of all sizes by weight; one that would pass ``cap`` times its
     source's size stops there, and the excess goes to the others by weight until
-    none is above. That is one water level: a source stops if its cap over its
-    weight lies below the level. The windows run over one row a source.
+    none is above. That is one water level, which rises while sources stop: each
+    step is one sum over all sources.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)
-    ranked = ranked.withColumn("_w", _pick(F.col("rank"), weights, F.lit)).withColumn("_cap", F.col("source_size") * F.lit(cap))
-    ranked = ranked.withColumn("_full_at", F.col("_cap") / F.col("_w"))
-    order = Window.orderBy("_full_at", "rank")
-    below = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_w = F.sum("_w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    leveled = ranked.withColumn("_level", (F.sum("source_size").over(everything) - below) / open_w)
-    level = F.min(F.when(F.col("_level") <= F.col("_full_at"), F.struct("_full_at", "rank", "_level"))).over(everything)
-    target = F.least("_cap", F.coalesce(level["_level"] * F.col("_w"), F.col("_cap")))
-    return leveled.withColumn("target", target).select("source", "source_size", "rank", "target")
+    order = F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("source"))
+    ranked = ranks(sizes.select("source", "source_size", order.alias("_order")), None, "_order").withColumn("rank", F.col("rank") - 1)
+    ranked = cut(ranked.withColumn("_w", _pick(F.col("rank"), weights, F.lit)).withColumn("_cap", F.col("source_size") * F.lit(cap)))
+    level, stopped = 0.0, -1
+    while True:
+        full = F.col("_cap") < F.lit(level) * F.col("_w")
+        r = ranked.agg(F.count_if(full), F.sum("source_size"), F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("_w")))).first()
+        if r[0] == stopped or not r[3]:  # none stops any more, or all have
+            break
+        stopped, level = r[0], (r[1] - r[2]) / r[3]
+    target = F.least(F.col("_cap"), F.lit(level) * F.col("_w")) if r[3] else F.col("_cap")
+    return ranked.withColumn("target", target).select("source", "source_size", "rank", "target")
 
 
 def curriculum_mix(
@@ -88,25 +91,25 @@ def curriculum_mix(
     null and empty texts have none and are free to take. A null source is a
     source of its own, the last. copies is the number of whole passes over the
     source that fit its target, plus one for documents, in the order of the md5
-    of their id, whose middle lies within the rest; so a source misses its
+    of their id (without one, of their place), whose middle lies within the rest; so a source misses its
     target by half a document at most, and none is taken more than ``cap``
     times (rounded down) its size. Equal ids are ordered by size, then by place.
     positions holds a training time in 0 .. 1 for each copy. No rows give no
     rows. Other columns are not read, so their names can't clash.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.col("_row").cast("string")))
     sized = numbered(docs).select(
         "_row",
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-        key.alias("_key"),
+        F.md5(name.cast("binary")).alias("_key"),
     )
-    sized = cut(sized.withColumn("_fine", F.substring("_key", 1, 4)))
-
-    fine = sized.groupBy("source", "_fine").agg(F.sum("size").alias("_n")).withColumn("_coarse", F.substring("_fine", 1, 2))
-    coarse = fine.groupBy("source", "_coarse").agg(F.sum("_n").alias("_n"))
-    targets = source_targets(coarse.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, cap)
+    # Stored, so that all uses see the same ranges.
+    order = ["_key", "size", "_row"]
+    ranged = cut(sized.repartitionByRange("source", *order).withColumn("_range", F.spark_partition_id()))
+    sums = cut(ranged.groupBy("source", "_range").agg(F.sum("size").alias("_n")))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, cap)
     rank = F.col("rank")
     targets = targets.select(
         "source",
@@ -116,20 +119,15 @@ def curriculum_mix(
         _pick(rank, schedules, lambda s: _doubles([w for _, w in s])).alias("_w"),
         _pick(rank, schedules, lambda s: _doubles(_areas(s))).alias("_a"),
     )
-
-    def starts(df: DataFrame, by: list[str], order: str) -> Column:
-        return F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-
-    coarse = coarse.select("source", "_coarse", starts(coarse, ["source"], "_coarse").alias("_from"))
-    coarse = coarse.alias("c").join(targets.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
-    fine = fine.withColumn("_in", starts(fine, ["source", "_coarse"], "_fine")).drop("_n")
-    placed = fine.alias("f").join(coarse.alias("c"), F.col("f.source").eqNullSafe(F.col("c.source")) & (F.col("f._coarse") == F.col("c._coarse")))
-    placed = placed.select("f.source", "f._fine", (F.col("_in") + F.col("_from")).alias("_bucket"), "source_size", "target", "_t", "_w", "_a")
-
-    found = sized.alias("d").join(placed.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._fine") == F.col("p._fine")))
-    found = found.drop(F.col("p.source")).drop(F.col("p._fine"))
-    inside = Window.partitionBy("source", "_fine").orderBy("_key", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("_bucket") + F.sum("size").over(inside) - F.col("size") / 2
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.withColumn("_from", F.sum("_n").over(before) - F.col("_n")).alias("c")
+    starts = starts.join(targets.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
+    starts = starts.select("c.source", "_range", "_from", "source_size", "target", "_t", "_w", "_a")
+
+    found = ranged.alias("d").join(starts.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._range") == F.col("p._range")))
+    found = found.drop(F.col("p.source")).drop(F.col("p._range"))
+    inside = Window.partitionBy("source", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("_from") + F.sum("size").over(inside) - F.col("size") / 2
     passes = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rest = F.col("target") - passes * F.col("source_size")
     found = found.withColumn("_middle", middle).withColumn("copies", (passes + F.when(F.col("_middle") < rest, 1).otherwise(0)).cast("int"))

@@ -1,5 +1,6 @@
 """Each method against brute force, an exact round trip or held-out rows."""
 
+import hashlib
 import random
 import re
 import textwrap
@@ -277,6 +278,22 @@ def test_mix_meets_targets_and_schedules(spark):
     assert abs(early - 0.625) < 0.1
 
 
+def test_mix_of_one_id_for_a_third_of_all_rows(spark, stored):
+    """Hot and missing ids are spread over ranges, and the mix is that of one running sum."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join("w" * (1 + i % 4)), "hot" if i % 5 else None) for i in range(900)]
+    folder = stored({"documents": (rows, "doc_id long, text string, source string")})
+    found = curriculum_mix.curriculum_mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    for source in ("hot", None):
+        mine = [r for r in found if r["source"] == source]
+        key = lambda r: hashlib.md5((f"row {r['_row']}" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()
+        at, passes = 0, mine[0]["target"] // mine[0]["source_size"]
+        for r in sorted(mine, key=lambda r: (key(r), r["size"], r["_row"])):
+            middle = at + r["size"] / 2
+            at += r["size"]
+            assert r["copies"] == passes + (middle < r["target"] - passes * r["source_size"])
+        assert at == mine[0]["source_size"]
+
+
 def test_targets_stop_at_the_cap_and_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in curriculum_mix.source_targets(sizes).collect()}
