@@ -14,6 +14,12 @@ def assign_ids(catalog: DataFrame, known: DataFrame, key: str, minted: Column) -
     return catalog.join(known.select(key, "id"), key, "left").withColumn("reused", F.col("id").isNotNull()).withColumn("id", F.coalesce("id", minted))
 
 
+def id_conflicts(known: DataFrame, key: str) -> DataFrame:
+    """(rule, value): keys with more than one id, and ids of more than one key; assign_ids() wants neither."""
+    twice = lambda a, b, rule: known.groupBy(F.col(a).cast("string").alias("value")).agg(F.count_distinct(b).alias("n")).where("n > 1").select(F.lit(rule).alias("rule"), "value")
+    return twice(key, "id", "KEY_TWICE").unionByName(twice("id", key, "ID_TWICE"))
+
+
 def assets_for(catalog: DataFrame, id_map: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assets, errors): an asset per URL of each mapped source, with its status (default queued); errors are unmapped sources."""
     mapped = catalog.join(id_map, "catalog_id").join(baseline, "source_id", "left")

@@ -31,10 +31,20 @@ def upsert_replace(base: DataFrame, updates: DataFrame, keys: Sequence[str]) ->
     return joined.select(*(F.when(F.col("_u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in base.columns))
 
 
-def upsert_patch(base: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(patched base, out-of-scope updates): non-null columns of an update overlay the row; unknown keys are errors."""
+def upsert_patch(base: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str], provided: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(patched base, out-of-scope updates): the columns that an update provides overlay the row; unknown keys are errors.
+
+    Provided are the columns that are not null or, with a column ``provided`` of
+    names in the updates, those it lists; so a null can be provided too.
+    """
     joined = _joined(base, updates, keys).where(F.col("_b").isNotNull())
-    patched = joined.select(*((F.coalesce(F.col(f"u.{c}"), F.col(f"b.{c}")) if c in columns else F.col(f"b.{c}")).alias(c) for c in base.columns))
+
+    def overlaid(c: str) -> Column:
+        if provided is None:
+            return F.coalesce(F.col(f"u.{c}"), F.col(f"b.{c}"))
+        return F.when(F.array_contains(F.col(f"u.{provided}"), c), F.col(f"u.{c}")).otherwise(F.col(f"b.{c}"))
+
+    patched = joined.select(*((overlaid(c) if c in columns else F.col(f"b.{c}")).alias(c) for c in base.columns))
     return patched, updates.alias("b").join(base.alias("u"), _same(keys), "left_anti")
 
 

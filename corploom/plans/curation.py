@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corploom.functions.text import nfkc, sha256
+from corploom.functions.text import canonical_url, nfkc, sha256
 from corploom.functions.text import normalize_text as normal
 from corploom.operators import chains as H
 from corploom.operators import inventory as N
@@ -36,6 +36,11 @@ def assign_ids(spark, d):
     return J.assign_ids(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey", minted).select("o_orderkey", "id", "reused")
 
 
+@register("id_conflicts", "SELECT 'KEY_TWICE' AS rule, CAST(c_custkey % 50 AS VARCHAR) AS value FROM customer GROUP BY 2 HAVING count(DISTINCT c_nationkey) > 1 UNION ALL SELECT 'ID_TWICE', CAST(c_nationkey AS VARCHAR) FROM customer GROUP BY 2 HAVING count(DISTINCT c_custkey % 50) > 1")
+def id_conflicts(spark, d):
+    return J.id_conflicts(_t(spark, d, "customer").select((F.col("c_custkey") % 50).alias("key"), F.col("c_nationkey").alias("id")), "key")
+
+
 @register("assets_for", r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS u FROM pages WHERE page_id % 4 <> 0)
     SELECT 's' || page_id AS source_id, CASE WHEN page_id % 5 = 0 THEN 'fetched' ELSE 'queued' END AS status, i AS ordinal, u[i] AS url FROM (SELECT page_id, u, unnest(generate_series(1, len(u))) AS i FROM l)""")
 def assets_for(spark, d):
@@ -344,6 +349,13 @@ def exact_duplicates(spark, d):
     return N.duplicates_by(x, ["raw", "clean"], "doc_id")
 
 
+@register("duplicate_pages", "WITH k AS (SELECT page_id, 'url' AS key, regexp_replace(url, '#.*$', '') AS value FROM pages UNION ALL SELECT page_id, 'html', sha256(html) FROM pages) SELECT key, value, min(page_id) AS keep, count(*) AS n FROM k GROUP BY key, value HAVING count(*) > 1")
+def duplicate_pages(spark, d):
+    """Pages with the same canonical URL or the same bytes."""
+    x = _t(spark, d, "pages").select("page_id", canonical_url(F.col("url")).alias("url"), sha256(F.col("html")).alias("html"))
+    return N.duplicates_by(x, ["url", "html"], "page_id")
+
+
 @register("review_queue", r"""WITH h AS (SELECT text, list_transform(string_split(text, chr(10))[1:8], lambda x: trim(x)) AS h FROM documents),
     t AS (SELECT text, coalesce(list_filter(list_transform(h, lambda x: regexp_extract(x, '^#+[ \t]*(.+)', 1)), lambda x: x <> '')[1], list_filter(h, lambda x: length(x) > 5 AND NOT regexp_matches(x, '^[=*-]'))[1]) AS title FROM h)
     SELECT trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS title, count(DISTINCT sha256(text)) AS n_bodies FROM t GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1""")
@@ -452,6 +464,15 @@ def upsert_patch(spark, d):
     return M.upsert_patch(c.where("c_custkey % 5 <> 0"), updates, ["c_custkey"], ["c_mktsegment"])[0]
 
 
+@register("upsert_provided", "SELECT c_custkey, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 6 = 3 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def upsert_provided(spark, d):
+    """Updates that provide a null segment, or a balance and no segment."""
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    even = F.col("c_custkey") % 2 == 0
+    updates = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"), F.when(even, F.array(F.lit("c_mktsegment"))).otherwise(F.array(F.lit("c_acctbal"))).alias("fields"))
+    return M.upsert_patch(c, updates, ["c_custkey"], ["c_mktsegment", "c_acctbal"], provided="fields")[0]
+
+
 @register("merge_routes", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_orderkey % 4 = 0 THEN 'X' ELSE min(l_returnflag) END AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber, l_suppkey")
 def merge_routes(spark, d):
     keys = ["l_orderkey", "l_linenumber", "l_suppkey"]

@@ -124,9 +124,9 @@ def apply_cleaner_(spark, d):
     return apply_cleaner(table(spark, d, "documents"), lambda key, text: {"doc_id": key, "head": text[:20], "n": len(text)}, "doc_id long, head string, n long")
 
 
-@register("dedup_stream")
+@register("dedup_stream", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 def dedup_stream(spark, d):
-    """Events as a stream: a user's repeats of an event type within the watermark are dropped."""
+    """Events as a stream of one batch: a user's repeats of an event type are dropped, as no state ends within a batch."""
     source, out, marks = (_folder(spark, x) for x in ("events", "fresh", "marks"))
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(source)
