@@ -28,6 +28,7 @@ from corploom.llm import (
     pu_toxicity,
     simhash_dedup,
 )
+from corploom.operators.inventory import near_copy_candidates
 from corploom.session import cut
 from corploom.sources.tables import table
 
@@ -63,6 +64,23 @@ def test_chat_round_trip(spark):
         assert r["reply"] == (last[3] if last[2] == "assistant" else "")
 
 
+def test_chat_of_no_rows_and_clashing_columns(spark, stored):
+    schema = "conv_id long, turn long, role string, text string, turns string, last string, example string, loss_start string"
+    folder = stored({"conversations": ([], schema)})
+    assert [r["conv_id"] for r in chat_format.op1_chat_format(spark, folder).collect()] == [-1]
+    rows = [(1, 0, "user", "a", "x", "x", "x", "x"), (1, None, None, None, "x", "x", "x", "x"), (1, 1, "assistant", "b", "x", "x", "x", "x"), (1, 1, "assistant", "b", "x", "x", "x", "x"), (None, 0, "assistant", "", "x", "x", "x", "x")]
+    examples = chat_format.prefix_target_examples(spark.createDataFrame(rows, schema))
+    got = sorted(((r["conv_id"] or 0, r["example"], r["n_turns"], r["reply"]) for r in examples.select("conv_id", "example", "n_turns", chat_format.trained_text().alias("reply")).collect()))
+    assert got == [(0, 0, 1, ""), (1, 0, 3, "b"), (1, 1, 4, "b")]
+
+
+def test_chat_of_a_hot_conversation(spark):
+    """A conversation with most of all turns: an example for each reply, with the turns before it."""
+    rows = spark.range(400).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    got = chat_format.prefix_target_examples(rows).select("example", "n_turns", chat_format.trained_text().alias("reply")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 2 * i + 2, f"t{2 * i + 1}") for i in range(200)]
+
+
 # -- 2 ----------------------------------------------------------------------
 
 
@@ -141,6 +159,40 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["expected_grade"] <= 2 for r in rows)
 
 
+def test_cumulative_link_fit_is_the_likeliest():
+    """No small change of weights or thresholds makes the grades likelier, but for the decay of weights."""
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 3))
+    grade = np.digitize(x @ [3.0, -2.0, 0.0] + rng.logistic(size=300), [0.0, 1.5])
+    row, at = np.repeat(np.arange(300), 3), np.tile(np.arange(3), 300)
+    model = ordinal_quality.cumulative_link_fit(row, at, x.ravel(), grade, 3, 3, epochs=3_000, rate=0.02, decay=0)
+
+    def likelihood(w, theta):
+        above = 1 / (1 + np.exp(-(x @ w)[:, None] + theta))
+        p = np.column_stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]])
+        return np.log(p[np.arange(300), grade]).sum()
+
+    best = likelihood(model.weights.astype(float), model.thresholds)
+    for k in range(3):
+        for step in (-0.1, 0.1):
+            assert likelihood(model.weights + step * np.eye(3)[k], model.thresholds) < best + 1e-3
+            if k < 2:
+                assert likelihood(model.weights.astype(float), model.thresholds + step * np.eye(2)[k]) < best + 1e-3
+    assert model.weights[0] > 1 and model.weights[1] < -1 and abs(model.weights[2]) < 1
+
+
+def test_grades_of_documents_by_their_definition(spark):
+    docs = table(spark, MEDIUM, "documents")
+    model = ordinal_quality.fit_quality(docs, ordinal_quality.grades(table(spark, MEDIUM, "labels")), 3)
+    features = ordinal_quality.Features(len(model.weights))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in ordinal_quality.op4_ordinal_quality(spark, MEDIUM).collect():
+        at, values = features.text(texts[r["doc_id"]] or "")
+        z = sum(float(model.weights[a]) * v for a, v in zip(at.tolist(), values.tolist(), strict=True))
+        tails = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert (r["expected_grade"], r["tail"], r["selected"]) == (pytest.approx(sum(tails), abs=1e-4), pytest.approx(tails[0], abs=1e-4), tails[0] >= 0.5)
+
+
 def bags_of(rows):
     return pu_toxicity.Bags(pa.array(rows, pa.list_(pa.int32())))
 
@@ -495,6 +547,15 @@ def test_similar_documents_find_jaccard_components(spark):
     assert near and sum(found[i] == want[i] for i in near) >= 0.9 * len(near)
 
 
+def test_recall_of_near_copies_on_the_large_table(spark):
+    """All pairs of at least 0.8 by an exact join on the rarest shingles, against the components of the stage."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
+    pairs = [(r["a"], r["b"]) for r in near_copy_candidates(docs).collect()]
+    missed = [p for p in pairs if found[p[0]] != found[p[1]]]
+    assert len(pairs) > 40 and len(missed) <= 0.02 * len(pairs)
+
+
 def test_links_behind_rejected_ones_are_found(spark):
     """Graded copies of one text: all are near in the index, but only the two of a pair are similar enough."""
     rng = random.Random(4)
