@@ -255,12 +255,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     marks = cut(fingerprints(docs, width, id_col, text_col))
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("least")
     codes = cut(marks.groupBy("code").agg(least))
-    return _components_of(marks, codes, links(codes.select("code"), radius))
+    return _components_of(marks, codes, components(links(codes.select("code"), radius)))
 
 
-def _components_of(marks: DataFrame, codes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows of ``marks`` with the component of their code; ``codes`` has the least row of each code."""
-    linked = components(edges)
+def _components_of(marks: DataFrame, codes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows of ``marks`` with the component of their code, by (u, component); ``codes`` has the least row of each code."""
     heads = codes.join(linked, codes["code"] == linked["u"]).groupBy("component").agg(F.min("least").alias("head"))
     moved = linked.join(own_exchange(heads, "component"), "component").select(F.col("u").alias("code"), "head")
     of_code = codes.join(moved, "code", "left").select("code", F.coalesce("head", "least").alias("head"))
@@ -425,16 +424,18 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     tested = cut(first.repartition("bucket").mapInArrow(linked_in, "u long, v long").select(*ends).distinct())
     near, most = verified(tested), PAIRS
     while True:
-        joined = components(near)
+        joined = cut(components(near))
         placed = distinct.join(joined.withColumnRenamed("u", "code"), "code", "left").select("code", "w1", "component", F.explode(F.array(*keys)).alias("bucket"))
         found = cut(placed.repartition("bucket").mapInArrow(apart_in(most), "u long, v long, more boolean").select(*ends, "more").distinct())
         untested = cut(found.where("NOT more").select("u", "v").join(tested, ["u", "v"], "left_anti"))
-        if not untested.isEmpty():
-            near = cut(near.union(verified(untested)))
+        more = verified(untested) if not untested.isEmpty() else None
+        if more is not None and not more.isEmpty():
+            # A star for each component is as good as its links, and shallower.
+            near, joined = cut(joined.select("u", F.col("component").alias("v")).union(more)), None
         if found.where("more").isEmpty():
             break
         tested, most = cut(tested.union(untested)), most * 8
-    return _components_of(marks, codes, near)
+    return _components_of(marks, codes, components(near) if joined is None else joined)
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
