@@ -123,7 +123,7 @@ def bin_edges(margins: np.ndarray) -> np.ndarray:
 def estimate_prior(share_p: np.ndarray, share_u: np.ndarray, n_p: int) -> float:
     """The least ratio of the tails of unlabelled and confirmed margins, with an allowance for few confirmed ones."""
     tail_p, tail_u = np.cumsum(share_p[::-1]), np.cumsum(share_u[::-1])
-    some = tail_p * n_p >= max(min(10, n_p), 0.1 * n_p)
+    some = tail_p * n_p > max(min(10, n_p), 0.1 * n_p) - 0.5
     ratio = tail_u[some] / tail_p[some] * (1 + 2 / np.sqrt(tail_p[some] * n_p))
     return float(np.clip(ratio.min(), 0.001, 0.5))
 

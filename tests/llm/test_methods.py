@@ -237,6 +237,15 @@ def test_prior_and_posterior_from_margins():
     assert ((values[np.searchsorted(edges, unlabelled)] >= 0.7) == toxic).mean() > 0.98
 
 
+@pytest.mark.parametrize("n", [2, 3, 7, 10, 11, 40])
+def test_prior_and_posterior_of_few_confirmed_texts(n):
+    margins = np.arange(n) * 0.1
+    edges = pu_toxicity.bin_edges(margins)
+    share = np.bincount(np.searchsorted(edges, margins), minlength=len(edges) + 1) / n
+    assert 0.001 <= pu_toxicity.estimate_prior(share, share, n) <= 0.5
+    assert len(pu_toxicity.posterior(share, share, 0.1)) == len(edges) + 1
+
+
 @pytest.mark.parametrize(("size", "recall", "precision"), [("sf0.01", 0.6, 0.9), ("sf0.1", 0.7, 0.95)])
 def test_toxicity_on_held_out_rows(spark, size, recall, precision):
     rows = pu_toxicity.op5_pu_toxicity(spark, f"/root/testdata/{size}").join(table(spark, f"/root/testdata/{size}", "labels"), "doc_id").where("held_out").collect()
