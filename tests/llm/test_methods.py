@@ -22,6 +22,7 @@ from corploom.llm import (
     curriculum_mix,
     decontaminate,
     exact_dedup,
+    fuse_filter,
     license_rules,
     ordinal_quality,
     prefix_tokens,
@@ -124,17 +125,17 @@ def test_long_item_is_found_in_parts():
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 20_000])
 def test_binary_fuse_filter(n):
     keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
-    held = exact_dedup.build_filter(keys)
-    assert exact_dedup.probe_filter(keys, *held).all()
+    held = fuse_filter.build_filter(keys)
+    assert fuse_filter.probe_filter(keys, *held).all()
     others = np.random.default_rng(n + 1).integers(0, 2**63, 20_000).astype(np.uint64)
-    assert exact_dedup.probe_filter(others, *held).mean() < 0.02
+    assert fuse_filter.probe_filter(others, *held).mean() < 0.02
 
 
 def test_screen_lets_all_held_digests_through(spark):
     digests = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     held = digests.limit(1000)
-    filters = exact_dedup.snapshot_filters(held, 3)
-    passed = exact_dedup.screen(digests, filters, 3)
+    filters = fuse_filter.snapshot_filters(held, 3)
+    passed = fuse_filter.screen(digests, filters, 3)
     assert passed.join(held, "digest").count() == 1000 and passed.count() < 1100
 
 
