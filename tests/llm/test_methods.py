@@ -24,6 +24,7 @@ from corploom.llm import (
     exact_dedup,
     fuse_filter,
     license_rules,
+    merkle_manifest,
     ordinal_quality,
     prefix_tokens,
     pu_toxicity,
@@ -778,3 +779,56 @@ def test_pipeline_equals_its_operators_one_by_one(spark):
 def _near(texts):
     sets = {i: set(simhash_dedup.shingle_hashes(t).tolist()) for i, t in texts.items()}
     return reach(sets, [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+
+
+# -- 11 ---------------------------------------------------------------------
+
+
+def tree_by_hand(leaves, fanout):
+    """(root, proof of each leaf as lists of siblings with their side)."""
+    h = lambda xs: hashlib.sha256("".join(xs).encode()).hexdigest()
+    nodes, proofs, at = list(leaves), [[] for _ in leaves], list(range(len(leaves)))
+    while len(nodes) > 1:
+        runs = [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
+        for leaf, place in enumerate(at):
+            run, slot = runs[place // fanout], place % fanout
+            proofs[leaf].append(("".join(run[:slot]), "".join(run[slot + 1 :])))
+        nodes, at = [h(r) for r in runs], [p // fanout for p in at]
+    return nodes[0], proofs
+
+
+@pytest.mark.parametrize(("fanout", "most"), [(2, 4), (3, 9), (7, 7), (2, 256)])
+def test_merkle_paths_equal_a_tree_by_hand(spark, stored, monkeypatch, fanout, most):
+    monkeypatch.setattr(merkle_manifest, "BLOCK_LEAVES", most)
+    rows = [(i, g, "é" * (i % 3) or None) for g, n in ((None, 1), ("", 2), ("a", 37), ("b", 1), ("ü", 10), ("z", 64)) for i in range(n)]
+    rows += [(3, "a", None)] * 3 + [(None, "a", "x")]
+    folder = stored({"documents": (rows, "doc_id long, lang string, text string")})
+    got = merkle_manifest.merkle_manifest(spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id", "text"], "lang", "doc_id", fanout, {"g": F.col("lang")}).collect()
+    wrote = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    groups = defaultdict(list)
+    for i, g, t in rows:
+        groups[g].append((i is not None, i or 0, hashlib.sha256((wrote(i) + wrote(t)).encode()).hexdigest()))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    below = {g: tree_by_hand([leaf for *_, leaf in sorted(groups[g])], fanout) for g in order}
+    root, above = tree_by_hand([below[g][0] for g in order], fanout)
+    wanted = sorted((str(g), leaf, below[g][0], root, repr(below[g][1][k] + above[order.index(g)])) for g in order for k, (*_, leaf) in enumerate(sorted(groups[g])))
+    assert wanted == sorted((str(r["g"]), r["leaf"], r["subroot"], r["root"], repr([tuple(s) for s in r["path"]])) for r in got)
+
+
+def test_merkle_folding_finds_changes(spark, sf_dir):
+    rows = merkle_manifest.op11_merkle_manifest(spark, sf_dir).collect()
+    changed = {r["doc_id"] for r in rows if not r["verified"]}
+    assert changed == {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0} and 0 < len(changed) < len(rows) / 4
+
+
+def test_merkle_of_odd_rows(spark, odd_rows):
+    rows = merkle_manifest.op11_merkle_manifest(spark, odd_rows).collect()
+    assert len(rows) == 4 and len({r["root"] for r in rows}) == 1
+    assert [r["verified"] for r in rows if r["doc_id"] is None] == [True]
+    lone = next(r for r in rows if r["doc_id"] == 8)
+    assert lone["leaf"] == lone["subroot"] == hashlib.sha256(b"1:8---0:").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def odd_rows(stored):
+    return stored({"documents": ([(8, "", None, None, None, 1), (None, None, "x", "s", 1, 2), (7, "a", "x", "s", None, 3), (7, "a", "x", "s", None, 3)], "doc_id long, text string, lang string, source string, n_chars long, leaf long")})
