@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corploom.llm import brown_ngrams, chat_format, collocations, curriculum_mix, decontaminate, exact_dedup, license_rules, merkle_manifest, ordinal_quality, prefix_tokens, pu_toxicity, simhash_dedup
+from corploom.llm import brown_ngrams, chat_format, collocations, curriculum_mix, decontaminate, exact_dedup, language_id, license_rules, merkle_manifest, ordinal_quality, prefix_tokens, pu_toxicity, simhash_dedup
 
-MODULES = (chat_format, decontaminate, exact_dedup, ordinal_quality, pu_toxicity, prefix_tokens, curriculum_mix, license_rules, simhash_dedup, brown_ngrams, merkle_manifest, collocations)
+MODULES = (chat_format, decontaminate, exact_dedup, ordinal_quality, pu_toxicity, prefix_tokens, curriculum_mix, license_rules, simhash_dedup, brown_ngrams, merkle_manifest, language_id, collocations)
 
 
 def queries() -> dict:
