@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corploom.functions.text import first_match
-from corploom.session import small
+from corploom.operators.lexicon import lexicon_terms, scan_terms
 
 
 def split_sections(docs: DataFrame, heading: str, chapter: str, least: int = 80, parts: int = 3) -> DataFrame:
@@ -116,11 +116,13 @@ def extract_tags(text: Column, k: int = 7) -> Column:
 
 
 def kwic(docs: DataFrame, terms: DataFrame, around: int = 60) -> DataFrame:
-    """(doc_id, term, context, sentences): the first hit of each term of a small table in each document, with its surroundings and their sentences of more than ten code points."""
-    hits = docs.join(small(terms.select("term")), F.contains(docs["text"], F.col("term")))
-    at = F.instr("text", F.col("term"))
-    cut_out = F.substring("text", F.greatest(at - around, F.lit(1)), F.least(at, F.lit(around + 1)) + F.length("term") + around - 1)
-    found = hits.select("doc_id", "term", cut_out.alias("context"))
+    """(doc_id, term, context, sentences): the first hit of each of a lexicon's terms in each document, with its surroundings and their sentences of more than ten code points."""
+
+    def first(text: str, hits: list[tuple[int, str]]) -> list[tuple[str, str]]:
+        places = {t: at for at, t in reversed(hits)}
+        return [(t, text[max(at - around, 0) : at + len(t) + around]) for t, at in places.items()]
+
+    found = scan_terms(docs, lexicon_terms(terms), first, "term string, context string")
     return found.withColumn("sentences", F.filter(sentences(F.col("context")), lambda x: F.length(x) > 10))
 
 
@@ -150,11 +152,14 @@ def name_patterns(suffixes: Sequence[str] = SUFFIXES) -> list[tuple[str, str, in
 
 
 def candidates(docs: DataFrame, patterns: Sequence[tuple[str, str, int]], known: Sequence[str], least: int = 3, most: int = 40) -> DataFrame:
-    """(doc_id, type, name): matches of each (type, pattern, group), and known names that occur."""
+    """(doc_id, type, name): matches of each (type, pattern, group), and known names that occur, these by one automaton."""
     def named(kind: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("name")))
 
     arrays = [named(kind, F.regexp_extract_all("text", F.lit(p), g)) for kind, p, g in patterns]
-    arrays.append(named("known", F.filter(F.array(*map(F.lit, known)), lambda k: F.contains(F.col("text"), k))))
-    rows = docs.select("doc_id", F.inline(F.concat(*arrays)))
+    rows = docs.select("doc_id", F.inline(F.concat(*arrays))) if arrays else None
+    if known:
+        named_known = scan_terms(docs, sorted({k for k in known if k}), lambda text, hits: [(t,) for t in dict.fromkeys(t for _, t in hits)], "name string")
+        named_known = named_known.select("doc_id", F.lit("known").alias("type"), F.trim("name").alias("name"))
+        rows = named_known if rows is None else rows.unionByName(named_known)
     return rows.where(F.length("name").between(least, most))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corploom.functions.arrays import let, starts
+from corploom.operators.lexicon import lexicon_terms, scan_terms
+from corploom.operators.overlap import overlap_sums, overlapping_pairs
 from corploom.session import small
 
 
@@ -43,15 +44,12 @@ def fuzzy_source(names: DataFrame, files: DataFrame, stop: list[str], least: int
 
 
 def mentions(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, term, position from 1): all occurrences, overlapping ones too, of the terms of a small rule table; no shuffle."""
-    hits = docs.join(small(lexicon.select("term")), F.contains(docs["text"], F.col("term")))
-    # A look-ahead splits at every start; the parts' lengths add up to the places.
-    parts = F.split("text", F.concat(F.lit(r"(?=\Q"), F.col("term"), F.lit(r"\E)")), -1)
-    places = starts(F.transform(parts, lambda x: F.length(x).cast("long")))
-    led = F.startswith("text", F.col("term"))  # a split gives no empty part before the first
-    found = let(places, lambda p: F.when(led, p).otherwise(F.slice(p, F.lit(2), F.size(p))))
-    rows = hits.select("doc_id", "term", F.explode(found).alias("position"))
-    return rows.withColumn("position", (F.col("position") + 1).cast("int"))
+    """(doc_id, term, position from 1): all occurrences, overlapping ones too, of a lexicon's terms, in one pass and without a shuffle.
+
+    Null texts have none; null and empty terms are in no text.
+    """
+    found = scan_terms(docs, lexicon_terms(lexicon), lambda text, hits: [(t, at + 1) for at, t in hits], "term string, position long")
+    return found.withColumn("position", F.col("position").cast("int"))
 
 
 def match_status(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -104,38 +102,36 @@ def pairwise_jaccard(sets: DataFrame, least: float = 0.0) -> DataFrame:
 
     Equal sets are one class, so copies give no pairs. With ``least`` above 0
     only the rarest terms of a set are joined on: two sets that similar share
-    one of those. Pairs without a common term have 0 and give no row.
+    one of those. Without, the pairs come from products of blocks of classes
+    (operators/overlap.py), which no frequent term can skew. Pairs without a
+    common term have 0 and give no row.
     """
     _, classes = term_classes(sets)
+    if least <= 0:
+        return overlapping_pairs(classes)
     size = F.size("terms")
     terms = classes.select("rep", size.alias("n"), F.explode("terms").alias("term"))
-    if least > 0:
-        times = terms.groupBy("term").agg(F.count("*").alias("times"))
-        ranked = terms.join(times, "term").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "term"))).alias("t"))
-        kept = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-        terms = ranked.select("rep", "n", F.inline(kept)).where("times > 1").select("rep", "n", "term")
+    times = terms.groupBy("term").agg(F.count("*").alias("times"))
+    ranked = terms.join(times, "term").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "term"))).alias("t"))
+    kept = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    terms = ranked.select("rep", "n", F.inline(kept)).where("times > 1").select("rep", "n", "term")
     left, right = terms.select(F.col("rep").alias("a"), F.col("n").alias("na"), "term"), terms.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "term")
     pairs = left.join(right, "term").where("a < b")
-    if least > 0:
-        pairs = pairs.where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
-        both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("terms").alias("ta")), "a").join(classes.select(F.col("rep").alias("b"), F.col("terms").alias("tb")), "b")
-        common = F.size(F.array_intersect("ta", "tb"))
-        return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
-    both = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
+    pairs = pairs.where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
+    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("terms").alias("ta")), "a").join(classes.select(F.col("rep").alias("b"), F.col("terms").alias("tb")), "b")
+    common = F.size(F.array_intersect("ta", "tb"))
+    return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def differentiation(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, score) of every id: round((1 - mean Jaccard to all others) * 100), 0 at least.
 
     Ids of one class have a Jaccard of 1 to each other; ids without a term, and
-    pairs without a common one, have 0.
+    pairs without a common one, have 0. The sums are taken where the blocks of
+    classes are multiplied, so no pair leaves its task.
     """
     members, classes = term_classes(sets)
-    pairs = pairwise_jaccard(sets)
-    sizes = classes.select(F.col("rep").alias("other"), F.col("n").alias("times"))
-    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "jaccard").union(pairs.select("b", "a", "jaccard"))
-    each = both.join(sizes, "other").groupBy("rep").agg(F.sum(F.col("jaccard") * F.col("times")).alias("s"))
+    each = overlap_sums(classes)
     sums = classes.select("rep", "n").join(each, "rep", "left").select("rep", (F.coalesce("s", F.lit(0.0)) + F.col("n") - 1).alias("s"))
     ids = ids.select("id").distinct()
     n = ids.agg((F.count("*") - 1).alias("others"))

@@ -59,24 +59,25 @@ def line_array(text: Column) -> Column:
 
 def collapse_blanks(lines: Column) -> Column:
     """collapse_blank_runs() of a line_array()."""
-    blank = lambda x: is_blank(x["text"])
-    emptied = lambda x: F.when(blank(x), x.withField("text", F.lit(""))).otherwise(x)
 
-    def kept(lines: Column, last: Column) -> Column:
-        first = lambda i: ~F.coalesce(blank(F.get(lines, i - 1)), F.lit(False))
-        return F.filter(lines, lambda x, i: ~blank(x) | (first(i) & (i < last)))
+    def kept(lines: Column, blank: Column) -> Column:
+        later = F.array_position(F.reverse(blank), F.lit(False))  # from the end; 0 if all are blank
+        last = F.when(later > 0, F.size(blank) - later).otherwise(-1)
+        emptied = F.transform(lines, lambda x, i: F.when(F.get(blank, i), x.withField("text", F.lit(""))).otherwise(x))
+        before = lambda i: F.coalesce(F.get(blank, i - 1), F.lit(False))
+        return let(last, lambda n: F.filter(emptied, lambda x, i: ~F.get(blank, i) | (~before(i) & (i < n))))
 
-    last = lambda a: F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(~blank(x), i))), F.lit(-1))
-    return F.transform(let(lines, lambda a: let(last(a), lambda n: kept(a, n))), emptied)
+    return let(lines, lambda a: let(F.transform(a, lambda x: is_blank(x["text"])), lambda b: kept(a, b)))
 
 
 def joined(lines: Column) -> Column:
     """The text of a line_array(): lines in order, each ended by LF; null without lines."""
-    return F.when(F.size(lines) > 0, F.concat(F.array_join(F.transform(lines, lambda x: x["text"]), "\n"), F.lit("\n")))
+    return let(lines, lambda a: F.when(F.size(a) > 0, F.concat(F.array_join(F.transform(a, lambda x: x["text"]), "\n"), F.lit("\n"))))
 
 
 def is_blank(text: Column) -> Column:
-    return trim_blanks(F.translate(text, NBSP, " ")) == ""
+    """Whether a line has nothing but blanks, tabs and no-break spaces."""
+    return F.btrim(text, F.lit(f" \t{NBSP}")) == ""
 
 
 def normalize_nbsp(lines: DataFrame) -> DataFrame:
@@ -250,16 +251,20 @@ def eligibility(text: Column, mode: Column, modes: Sequence[str] = ("strict", "l
 
 
 def verify_audit(spans: DataFrame, retained: DataFrame) -> DataFrame:
-    """Violations (rule, doc_id, span): spans of a document that are out of order, or in no retained span.
+    """Violations (rule, doc_id, start, end): spans of a document that are out of order, or in no retained span.
 
-    Both: doc_id, start, end (half open). Containment joins within the document.
+    Both: doc_id, start, end (half open). One sweep over both tables by start: a
+    span lies in a retained one if the largest end of those that have begun isn't
+    before its own, so no span meets more than its neighbours. A null bound is in
+    no span; repeated spans overlap.
     """
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    bad = spans.withColumn("_end", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    overlap = bad.where("start < _end OR end < start").select(F.lit("SPAN_ORDER").alias("rule"), "doc_id", "start", "end")
-    held = retained.select("doc_id", F.col("start").alias("_a"), F.col("end").alias("_b"))
-    outside = spans.join(held, (spans["doc_id"] == held["doc_id"]) & (held["_a"] <= spans["start"]) & (spans["end"] <= held["_b"]), "left_anti")
-    return overlap.union(outside.select(F.lit("SPAN_OUTSIDE"), "doc_id", "start", "end"))
+    kinds = (retained.select("doc_id", "start", "end", F.lit(0).alias("_kind")), spans.select("doc_id", "start", "end", F.lit(1).alias("_kind")))
+    order = Window.partitionBy("doc_id").orderBy("start", "_kind", "end")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    held, before = (F.max(F.when((F.col("_kind") == k) & F.col("start").isNotNull(), F.col("end"))).over(upto) for k in (0, 1))
+    swept = kinds[0].unionByName(kinds[1]).withColumns({"_held": held, "_before": before}).where("_kind = 1")
+    rules = F.array(F.when((F.col("start") < F.col("_before")) | (F.col("end") < F.col("start")), "SPAN_ORDER"), F.when(~F.coalesce(F.col("end") <= F.col("_held"), F.lit(False)), "SPAN_OUTSIDE"))
+    return swept.select(F.explode(F.array_compact(rules)).alias("rule"), "doc_id", "start", "end")
 
 
 def verify_spans(audit: DataFrame, source: DataFrame, output: DataFrame) -> DataFrame:

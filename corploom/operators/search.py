@@ -2,91 +2,22 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corploom.functions.text import nfkc, normalize_text
-from corploom.session import small
-
-#: Queries that are searched for in one pass over the documents.
-QUERIES = 2_000
-
-
-def tokenize(text: Column, compatible: bool = False) -> Column:
-    """Distinct words of the normalised text, runs of Han letters also as bigrams; ``compatible``: of its NFKC form, by a pandas UDF."""
-    plain = normalize_text(nfkc(text) if compatible else text)
-    words = F.filter(F.split(plain, " ", -1), lambda x: x != "")
-    runs = F.regexp_extract_all(plain, F.lit(r"\p{IsHan}{2,}"), 0)
-    bigrams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(words, bigrams))
+from corploom.operators.search_index import add_version, search_index, tokenize
+from corploom.session import checkpoint_dir
 
+__all__ = ["match_route", "render_prompt", "search", "tokenize"]
 
 def search(docs: DataFrame, queries: DataFrame, weights: Sequence[tuple[str, int]], k: int = 20, least: int = 1) -> DataFrame:
-    """(query_id, doc_id, score, rank): for each query the k best documents by the summed weights of fields with its terms.
-
-    ``docs``: doc_id, title and the fields. A term counts once per field. Order:
-    score, title, id. Queries without terms find nothing. Queries go to the
-    tasks ``QUERIES`` at a time; a task keeps the k best of each, so what is
-    shuffled doesn't grow with the documents that share a word.
-    """
-    asked = queries.select("query_id", tokenize(F.col("query")).alias("terms"))
-    passes = max(1, -(-asked.count() // QUERIES))
-    kinds = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    found = None
-    for number in range(passes):
-        held = [(r["query_id"], list(r["terms"] or ())) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).collect()]
-        terms = sorted({t for _, ts in held for t in ts})
-        rule = docs.sparkSession.createDataFrame([(terms,)], "asked array<string>")
-        one = docs.crossJoin(small(rule, 1))  # one row: the terms of at most QUERIES queries
-        rows = one.select("doc_id", "title", *(F.array_intersect(tokenize(F.col(f)), "asked").alias(f"f{i}") for i, (f, _) in enumerate(weights)))
-        part = rows.mapInArrow(_best(held, [w for _, w in weights], k, least), f"query_id {kinds[1]}, doc_id {kinds[0]}, title string, score long")
-        found = part if found is None else found.union(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
-
-
-def _best(held: list[tuple], weights: Sequence[int], k: int, least: int):
-    """A task's k best rows of each query."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[str, list[int]] = defaultdict(list)
-        for q, (_, terms) in enumerate(held):
-            for t in terms:
-                of[t].append(q)
-        where = {t: np.array(q) for t, q in of.items()}
-        best: list[list[tuple]] = [[] for _ in held]
-        bar = np.zeros(len(held), np.int64)  # no lower score can be among the k best
-
-        def order(x: tuple) -> tuple:
-            return (-x[0], x[1] is not None, x[1] or "", x[2] is not None, x[2] or 0)  # nulls first, as Spark sorts
-
-        for batch in batches:
-            ids, titles = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            fields = [c.to_pylist() for c in batch.columns[2:]]
-            for row in range(batch.num_rows):
-                score = np.zeros(len(held), np.int64)
-                for terms, weight in zip(fields, weights, strict=True):
-                    for t in terms[row] or ():
-                        score[where[t]] += weight
-                for q in np.flatnonzero((score >= least) & (score >= bar)).tolist():
-                    mine = best[q]
-                    mine.append((int(score[q]), titles[row], ids[row]))
-                    if len(mine) >= 4 * k:
-                        mine.sort(key=order)
-                        del mine[k:]
-                        bar[q] = mine[-1][0]
-        for q, mine in enumerate(best):
-            mine.sort(key=order)
-            rows = mine[:k]
-            if rows:
-                yield pa.RecordBatch.from_pydict({"query_id": [held[q][0]] * len(rows), "doc_id": [r[2] for r in rows], "title": pa.array([r[1] for r in rows], pa.string()), "score": pa.array([r[0] for r in rows], pa.int64())})
-
-    return run
+    """(query_id, doc_id, score, rank) of a single search in stored ``docs``, which builds an index for it; see search_index()."""
+    path = f"{checkpoint_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+    add_version(docs, weights, path, 1)
+    return search_index(docs.sparkSession, path, queries, k, least)
 
 
 def match_route(inputs: DataFrame, routes, terms, excludes, safety) -> DataFrame:

@@ -637,7 +637,9 @@ def nfkc_differs(spark, d):
 
 
 def _words_sql(text):
-    return f"unnest(list_distinct(list_filter(string_split({NORMAL.replace('TEXT', text)}, ' '), lambda x: x <> '')))"
+    """A text's distinct tokens: its words, and all of it (a long one by its digest)."""
+    whole = NORMAL.replace("TEXT", text)
+    return f"unnest(list_distinct(list_filter(list_append(string_split({whole}, ' '), CASE WHEN length({whole}) > 64 THEN '=' || sha256({whole}) ELSE {whole} END), lambda x: x <> '')))"
 
 
 FIELDS = [("title", 12), ("source", 10), ("lang", 8), ("lead", 7), ("second", 6), ("last", 4), ("text", 1)]

@@ -126,11 +126,12 @@ def apply_cleaner_(spark, d):
 
 @register("dedup_stream", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 def dedup_stream(spark, d):
-    """Events as a stream of one batch: a user's repeats of an event type are dropped, as no state ends within a batch."""
+    """Events as a stream of four files, one a batch: a user's repeats of an event type are dropped, also those of earlier batches."""
     source, out, marks = (_folder(spark, x) for x in ("events", "fresh", "marks"))
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    events.write.parquet(source)
-    rows = spark.readStream.schema(events.schema).parquet(source).withColumn("fingerprint", F.concat_ws("|", "user_id", "event_type"))
-    query = G.dedup_stream(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    events.repartition(4, "event_id").write.parquet(source)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("fingerprint", F.concat_ws("|", "user_id", "event_type"))
+    fresh = G.dedup_stream(rows, late="36500 days")  # no state ends
+    query = G.start_with_state(fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True), spark)
     query.awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))

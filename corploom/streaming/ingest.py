@@ -1,4 +1,10 @@
-"""Incremental ingest with Structured Streaming: gate, clean, classify, append what is new."""
+"""Incremental ingest with Structured Streaming: gate, clean, classify, keep what is new.
+
+What was seen before is keyed state in a RocksDB store: a batch looks up and adds its
+own keys only, so its cost doesn't grow with the batches before it, and the state
+may outgrow memory. State and offsets are in the query's checkpoint, so a query that
+is started again goes on where it ended.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corploom.operators.classify import classify
 from corploom.operators.lines import doc_gate, strip_boilerplate
 from corploom.rules import LINE_PATTERNS, TAXONOMY
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def curate(docs: DataFrame) -> DataFrame:
     """The steps that need no other row, so they run alike on a table and on a stream."""
@@ -21,30 +29,39 @@ def curate(docs: DataFrame) -> DataFrame:
     return kept.withColumn("fingerprint", F.sha2("text", 256)).withColumn("chapter", classify(F.col("text"), TAXONOMY))
 
 
-def append_new(catalog: str) -> Callable[[DataFrame, int], None]:
-    """Appends a batch's rows whose fingerprint the catalog lacks, one row per fingerprint.
-
-    Each batch has its own folder, written over if the batch runs again, and
-    reads only the fingerprints of earlier ones, as one partitioned table; so a
-    batch that is retried gives the same rows.
-    """
+def append_batch(catalog: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own, over what a failed try of the same batch has left."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("fingerprint").agg(F.min_by(F.struct(*batch.columns), "doc_id").alias("r")).select("r.*")
-        if number:
-            known = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", IntegerType())])).parquet(catalog)
-            fresh = fresh.join(known.where(F.col("batch") < number).select("fingerprint"), "fingerprint", "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{catalog}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{catalog}/batch={number}")
 
     return write
 
 
+def start_with_state(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query whose state is in RocksDB; the session's own setting is put back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
 def ingest_stream(spark: SparkSession, source: str, catalog: str, checkpoint: str, schema, files_per_batch: int = 100) -> StreamingQuery:
-    """All new Parquet files of ``source`` through curate() into ``catalog``, then stops."""
+    """All new Parquet files of ``source`` through curate() into ``catalog``, then stops.
+
+    A fingerprint is appended once, ever: of copies in one batch any, of copies in
+    several the first batch's. Rows without text don't pass the gate.
+    """
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return curate(docs).writeStream.foreachBatch(append_new(catalog)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = curate(docs).dropDuplicates(["fingerprint"])
+    return start_with_state(fresh.writeStream.foreachBatch(append_batch(catalog)).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark)
 
 
 def dedup_stream(docs: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Drops rows of a stream whose fingerprint came within the watermark; state ends with it."""
+    """Drops rows of a stream whose fingerprint came within the watermark; state ends with it. Start it by start_with_state()."""
     return docs.withWatermark(time, late).dropDuplicatesWithinWatermark(["fingerprint"])

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from corploom import session
 from corploom.functions import text as T
-from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, project, quality, search
+from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, overlap, project, quality, search, search_index
 from corploom.operators.apply import apply_cleaner
 from corploom.sources import readers, sinks
+from corploom.streaming import ingest
 
 
 def one(spark, column, **values):
@@ -266,7 +267,7 @@ def test_route_ties(spark):
 
 
 def test_tokens_have_han_bigrams(spark):
-    assert one(spark, search.tokenize(F.col("t")), t="ABC 思维模") == ["abc", "思维模", "思维", "维模"]
+    assert one(spark, search.tokenize(F.col("t")), t="ABC 思维模") == ["abc 思维模", "abc", "思维模", "思维", "维模"]
 
 
 def test_jsonl_codes(spark):
@@ -356,3 +357,113 @@ def test_taxonomy_and_markup(spark):
     assert [tuple(r) for r in parts.collect()] == [("01", "1", 2, "p")]
     pages = spark.createDataFrame([(1, 2, "<style>p{}</style><p>" + "b" * 101), (1, 1, "<p>" + "a" * 101), (1, 3, "<p>short")], "book long, n long, html string")
     assert readers.extract_markup_text(pages, "book", "n").first()["text"] == "a" * 101 + "\n---\n" + "b" * 101
+
+
+# -- search index, overlaps ------------------------------------------------------------
+
+
+def by_hand(docs, queries, weights, k):
+    """Top k by plain loops; later rows of an id replace earlier ones."""
+    words = lambda t: set((t or "").lower().split()) | ({(t or "").lower()} if t else set())
+    out = []
+    for q, text in queries:
+        found = []
+        for doc in {d["doc_id"]: d for d in docs}.values():
+            score = sum(w for f, w in weights for t in words(text) if t in words(doc[f]))
+            if score:
+                found.append((-score, doc["title"], doc["doc_id"]))
+        out += [(q, d, -s, i) for i, (s, _, d) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+def test_index_versions_equal_a_search_by_hand(spark, stored, tmp_path):
+    rng = random.Random(3)
+    doc = lambda i: {"doc_id": i, "title": f"t{rng.randrange(40)}", "body": " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randrange(30)))}
+    old, new = [doc(i) for i in range(900)], [doc(i) for i in range(600, 1100)]
+    schema, weights = "doc_id long, title string, body string", [("title", 3), ("body", 1)]
+    folder = stored({"old": ([tuple(d.values()) for d in old], schema), "new": ([tuple(d.values()) for d in new], schema)})
+    queries = [(i, " ".join(f"w{rng.randrange(70)}" for _ in range(1 + i % 6))) for i in range(40)] + [(90, old[5]["body"]), (91, "t7"), (92, ""), (93, None)]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    path = str(tmp_path / "index")
+    found = {}
+    for version, name in ((1, "old"), (2, "new")):
+        search_index.add_version(spark.read.parquet(f"{folder}/{name}.parquet"), weights, path, version, buckets=8, shard=150)
+        found[version] = sorted(tuple(r) for r in search_index.search_index(spark, path, asked, k=7, buckets=8).collect())
+    queries = [(q, t) for q, t in queries if t]
+    assert found[1] == by_hand(old, queries, weights, 7)
+    assert found[2] == by_hand(old + new, queries, weights, 7)
+    one = spark.createDataFrame([(1, "w1")], "query_id long, query string")
+    as_of = search_index.search_index(spark, path, one, k=7, upto=1, buckets=8).collect()
+    assert [tuple(r) for r in as_of] == by_hand(old, [(1, "w1")], weights, 7)
+
+
+def test_index_opens_the_asked_buckets_only(spark, stored, tmp_path):
+    folder = stored({"d": ([(i, f"t{i}", f"a{i} b") for i in range(200)], "doc_id long, title string, body string")})
+    search_index.add_version(spark.read.parquet(f"{folder}/d.parquet"), [("body", 1)], str(tmp_path), 1, buckets=16)
+    held = search_index.index_postings(spark, str(tmp_path), [3, 5])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1] and "IN (3,5)" in plan.replace("INSET", "IN").replace(" 5", "5")
+    assert {f.split("bucket=")[1].split("/")[0] for (f,) in held.select(F.input_file_name()).distinct().collect()} <= {"3", "5"}
+
+
+@pytest.mark.parametrize("rows", [7, 64, 4096])
+def test_blocked_overlaps_equal_brute_force(spark, rows, monkeypatch):
+    rng = random.Random(rows)
+    sets = {i: {f"r{rng.randrange(60)}" for _ in range(rng.randrange(1, 6))} | ({"hot"} if rng.random() < 0.5 else set()) for i in range(120)}
+    monkeypatch.setattr(overlap, "PAIRS", 100)
+    monkeypatch.setattr(overlap, "COLUMNS", 3)
+    classes = spark.createDataFrame([(i, sorted(s), i % 3 + 1) for i, s in sets.items()], "rep long, terms array<string>, n long")
+    jaccard = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items()}
+    found = {(r["a"], r["b"]): r["jaccard"] for r in overlap.overlapping_pairs(classes, rows).collect()}
+    assert found.keys() == {(a, b) for (a, b), j in jaccard.items() if a < b and j} and all(abs(jaccard[p] - j) < 1e-12 for p, j in found.items())
+    sums = {r["rep"]: r["s"] for r in overlap.overlap_sums(classes, rows).collect()}
+    assert all(abs(sums[a] - sum(jaccard[a, b] * (b % 3 + 1) for b in sets if b != a)) < 1e-9 for a in sets)
+
+
+def test_overlaps_of_nothing(spark):
+    none = spark.createDataFrame([], "rep string, terms array<string>, n long")
+    assert overlap.overlapping_pairs(none).collect() == overlap.overlap_sums(none).collect() == []
+
+
+# -- lexicons, sweeps, streams ------------------------------------------------------------
+
+
+def test_one_pass_finds_overlapping_hits_of_many_terms(spark):
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 9))) for _ in range(400)} | {f"none{i}" for i in range(50_000)})
+    texts = [(i, "".join(rng.choice("abé ") for _ in range(rng.randrange(60)))) for i in range(40)] + [(98, ""), (99, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    lexicon = spark.createDataFrame([(t,) for t in [*terms, "", None, "a"]], "term string")
+    found = sorted(tuple(r) for r in joins.mentions(docs, lexicon).collect())
+    assert found == sorted((i, t, at + 1) for i, x in texts for t in terms if x and t in x for at in range(len(x)) if x.startswith(t, at))
+    first = {(r["doc_id"], r["term"]): r["context"] for r in extract.kwic(docs, lexicon, 5).collect()}
+    assert first == {(i, t): x[max(x.index(t) - 5, 0) : x.index(t) + len(t) + 5] for i, x in texts for t in terms if x and t in x}
+    assert joins.mentions(docs, lexicon.limit(0)).collect() == []
+
+
+def test_audit_sweep_equals_all_pairs_and_takes_long_documents(spark):
+    rng = random.Random(9)
+    span = lambda: (rng.randrange(3), (a := rng.randrange(40)), a + rng.randrange(-1, 12))
+    spans, held = [span() for _ in range(150)] + [(0, None, 4), (1, 3, None)], [span() for _ in range(30)] + [(2, None, 99)]
+    schema = "doc_id long, start long, end long"
+    got = [tuple(r) for r in lines.verify_audit(spark.createDataFrame(spans, schema), spark.createDataFrame(held, schema)).collect()]
+    outside = [s for s in spans if not any(h[0] == s[0] and None not in (h[1], s[1], s[2]) and h[1] <= s[1] and s[2] <= h[2] for h in held)]
+    assert sorted((r[1:] for r in got if r[0] == "SPAN_OUTSIDE"), key=repr) == sorted(outside, key=repr)
+    many = spark.range(100_000).select(F.lit(7).alias("doc_id"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 5).alias("end"))
+    kept = spark.createDataFrame([(7, 0, 500_000), (7, 499_990, 2_000_000)], schema)
+    assert lines.verify_audit(many, kept).count() == 0
+
+
+def test_streams_drop_copies_of_earlier_batches_and_after_a_restart(spark, tmp_path):
+    source, catalog, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    text = lambda i: f"document {i} " + "with enough letters to pass the gate " * 5
+    schema = "doc_id long, text string"
+    held = lambda: sorted(r["text"] for r in spark.read.parquet(catalog).collect())
+    want = set()
+    for number, ids in enumerate(([1, 2, 2], [2, 3], [1, 3, 4], [4, 5])):
+        spark.createDataFrame([(10 * number + k, text(i)) for k, i in enumerate(ids)], schema).coalesce(1).write.mode("append").parquet(source)
+        want |= {text(i).strip() for i in ids}
+        if number != 1:  # two files wait for the second start
+            ingest.ingest_stream(spark, source, catalog, marks, schema, files_per_batch=1).awaitTermination()
+            assert held() == sorted(want)
+    assert spark.conf.get(ingest.PROVIDER) != ingest.ROCKSDB
