@@ -79,10 +79,11 @@ class Bits:
         self.held = np.zeros(max(size, ROW_BITS) // 8, np.uint8)
         for k, bits in rows.items():
             self.held[k * ROW_BITS // 8 : (k + 1) * ROW_BITS // 8] = np.frombuffer(bits, np.uint8)
+        self.plain = self.held.tobytes()
 
     def __contains__(self, h: int) -> bool:
         place = h >> self.shift
-        return bool(self.held[place >> 3] >> (place & 7) & 1)
+        return bool(self.plain[place >> 3] >> (place & 7) & 1)
 
     def hit(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes >> np.uint64(self.shift)
@@ -156,25 +157,25 @@ class HatTrie:
             held[rest[4:]] = n
         return node
 
-    def _rows(self, node: dict, lead: bytes) -> Iterator[tuple[bytes, int]]:
+    def _leaves(self, node: dict, lead: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], Container]]:
         if type(node) is Container:
-            for rest, n in node.items():
-                yield lead + rest, n
+            yield lead, node
         else:
             for w, child in node.items():
-                yield from self._rows(child, lead + w.to_bytes(4, "little"))
-
-    def take(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Removes subtrees, the largest first, until at most ``most`` entries are left; yields each as (ids, counts)."""
-        if self.size <= most:
-            return
-        sizes = sorted(((self._count(child), w) for w, child in self.root.items()), reverse=True)
-        for n, w in sizes:
+                yield from self._leaves(child, (*lead, w))
+
+    def take(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Removes whole subtrees of the root, the largest first, until at most ``most`` entries are left: their (ids, counts)."""
+        ids, counts = [np.zeros((0, self.width), np.uint32)], [np.zeros(0, np.int64)]
+        for n, w in sorted(((self._count(child), w) for w, child in self.root.items()), reverse=True):
             if self.size <= most:
-                return
-            rows = list(self._rows(self.root.pop(w), w.to_bytes(4, "little")))
+                break
+            for lead, held in self._leaves(self.root.pop(w), (w,)):
+                rest = np.frombuffer(b"".join(held), np.uint32).reshape(len(held), -1)
+                ids.append(np.concatenate([np.broadcast_to(np.array(lead, np.uint32), (len(held), len(lead))), rest], axis=1))
+                counts.append(np.fromiter(held.values(), np.int64, len(held)))
             self.size -= n
-            yield np.frombuffer(b"".join(r for r, _ in rows), np.uint32).reshape(-1, self.width), np.array([c for _, c in rows], np.int64)
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _count(self, node: dict) -> int:
         return len(node) if type(node) is Container else sum(map(self._count, node.values()))
@@ -185,10 +186,10 @@ class Names(dict):
 
     def __init__(self, lang: bytes, common: list, bits: Bits):
         super().__init__({b".": 0})
-        self.lang, self.common, self.bits = lang, common, bits
+        self.lang, self.seed, self.common, self.bits = lang, xxhash.xxh64_intdigest(lang), common, bits
 
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
+        h = xxhash.xxh64_intdigest(word, self.seed)
         if h in self.bits:
             self.common.append((self.lang, word, h))
             self[word] = found = len(self.common)
@@ -272,21 +273,24 @@ class Counting:
         order = sorted(range(len(self.common)), key=lambda i: self.common[i][:2])
         place = np.zeros(len(order) + 1, np.int64)
         place[np.array(order, np.int64) + 1] = np.arange(1, len(order) + 1)
-        for ids, counts in self.trie.take(most):
-            ranks = place[ids]
-            by = np.lexsort(ranks.T[::-1])
-            ids, counts = ids[by], counts[by]
-            lang = self.common[ids[0, 0] - 1][0]
-            phrases, sums = [], []
-            for k in range(self.least, self.width + 1):
-                full = np.flatnonzero(ids[:, k - 1])
-                if not len(full):
-                    continue
-                held = ids[full, :k]
-                first = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)]))
-                phrases += [b" ".join([self.common[i - 1][1] for i in row]) for row in held[first].tolist()]
-                sums.append(np.add.reduceat(counts[full], first))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.concatenate(sums))], names=["lang", "phrase", "f"])
+        ids, counts = self.trie.take(most)
+        by = np.lexsort(place[ids].T[::-1])
+        ids, counts = ids[by], counts[by]
+        words = [b"", *(w for _, w, _ in self.common)]
+        for k in range(self.least, self.width + 1):
+            full = np.flatnonzero(ids[:, k - 1])
+            if not len(full):
+                continue
+            held = ids[full, :k]
+            first = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)]))
+            rows = held[first].tolist()
+            langs = [self.common[row[0] - 1][0] for row in rows]
+            phrases = [b" ".join([words[i] for i in row]) for row in rows]
+            yield counted(langs, phrases, np.add.reduceat(counts[full], first))
+
+
+def counted(langs: list[bytes], phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()).cast(pa.string()) for x in (langs, phrases)), pa.array(f)], names=["lang", "phrase", "f"])
 
 
 # -- on Spark ---------------------------------------------------------------
@@ -302,7 +306,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, phrase, f) of all single words of (lang, text)."""
 
     def rows(lang: bytes, held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.binary()).cast(pa.string()), pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "f"])
+        return counted([lang] * len(held), list(held), np.fromiter(held.values(), np.int64, len(held)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, Counter] = {}
