@@ -36,6 +36,8 @@ BURST, SHALLOW, ENTRIES = 4096, 3, 1_000_000
 NAMES, CHUNK = 1_000_000, 1 << 20
 #: Bytes of a text that are cut into words at a time.
 SEGMENT = 1 << 22
+#: Parts of a language's phrases that are ranked by themselves first.
+PARTS = 64
 #: Bits of the bitmaps of frequent words and of frequent pairs, at most: 2 MB and 16 MB.
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 27
 #: Bits in a row of Spark's bitmap aggregate.
@@ -232,7 +234,7 @@ class Counting:
     def _anew(self) -> None:
         self.common: list[tuple[bytes, bytes, int]] = []
         self.names: dict[bytes, Names] = {}
-        self.trie = HatTrie(self.width)
+        self.trie = HatTrie(self.width, BURST)
 
     def text(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
         if lang not in self.names:
@@ -286,10 +288,10 @@ class Counting:
             rows = held[first].tolist()
             langs = [self.common[row[0] - 1][0] for row in rows]
             phrases = [b" ".join([words[i] for i in row]) for row in rows]
-            yield counted(langs, phrases, np.add.reduceat(counts[full], first))
+            yield count_batch(langs, phrases, np.add.reduceat(counts[full], first))
 
 
-def counted(langs: list[bytes], phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
+def count_batch(langs: list[bytes], phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()).cast(pa.string()) for x in (langs, phrases)), pa.array(f)], names=["lang", "phrase", "f"])
 
 
@@ -306,7 +308,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, phrase, f) of all single words of (lang, text)."""
 
     def rows(lang: bytes, held: Counter) -> pa.RecordBatch:
-        return counted([lang] * len(held), list(held), np.fromiter(held.values(), np.int64, len(held)))
+        return count_batch([lang] * len(held), list(held), np.fromiter(held.values(), np.int64, len(held)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, Counter] = {}
@@ -370,8 +372,13 @@ def collocations(docs: DataFrame, least: int = 100, width: int = WIDTH, first: i
         cuts = cuts.join(counts.select("lang", F.col("phrase").alias(f"_{side}"), F.col("f").alias(side)), ["lang", f"_{side}"])
     cuts = cuts.join(sizes, "lang").withColumn("score", F.expr("CAST(1000 * (CAST(a AS DECIMAL(19,0)) * CAST(n AS DECIMAL(19,0))) AS DECIMAL(38,0)) div CAST(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)) AS DECIMAL(38,0))"))
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("least")).select("lang", "phrase", "a", "least.l", "least.r", "n", "least.score")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long").alias("rank")
-    ranked = scored.select("lang", place, "phrase", "a", "l", "r", "n", "score")
+    best = F.desc("score"), F.desc("a"), "phrase"
+    place = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*best)).cast("long")
+    if first is not None:
+        # A language's first are among the first of its parts, which are many tasks' work.
+        parts = scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("_place", place("_part"))
+        scored = parts.where(F.col("_place") <= first)
+    ranked = scored.select("lang", place().alias("rank"), "phrase", "a", "l", "r", "n", "score")
     return ranked if first is None else ranked.where(F.col("rank") <= first)
 
 

@@ -19,15 +19,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corploom.llm.common import arrow_rows, crc_remainder, cut, documents, numbered, text_or_empty, texts_of
+from corploom.llm.common import arrow_rows, crc_remainder, cut, documents, text_or_empty, texts_of
 
 MODEL = "piece_bpe_32k.model"
 BEGIN = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Texts of a language that the fit reads at most, rounds of the fit, and letters of a word in it.
+#: Texts of a language that the fit reads, about, rounds of the fit, and letters of a word in it.
 FIT_TEXTS, ROUNDS, FIT_LETTERS = 2_000, 3, 48
 #: Weight of the pieces' shares in all languages, in pieces, and of an even share among those.
 SMOOTH, EVEN = 500.0, 0.05
@@ -223,10 +223,10 @@ class Model:
 
 
 def fit(train: DataFrame, path: str, rounds: int = ROUNDS, fit_texts: int = FIT_TEXTS) -> Model:
-    """Learns from stored rows (lang, text, key); rows of a null lang or text are left out.
+    """Learns from rows (lang, text, key); rows of a null lang or text are left out.
 
-    At most ``fit_texts`` whole texts of each language are read, those with the
-    least hash of ``key``; the languages' shares count all rows. Words are counted
+    Of each language about ``fit_texts`` whole texts are read, chosen by the hash
+    of ``key``, all if there are fewer; the languages' shares count all rows. Words are counted
     and rounds are run in tasks; the driver gets a sum for each piece and language.
     """
     spark = train.sparkSession
@@ -239,10 +239,11 @@ def fit(train: DataFrame, path: str, rounds: int = ROUNDS, fit_texts: int = FIT_
     if not langs:
         return Model(pieces, [], np.zeros(0), np.zeros((len(pieces.names), 0)))
     prior = np.log(np.array([r["count"] for r in shares], float) / sum(r["count"] for r in shares))
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "_row"))
-    rows = numbered(known.select("lang", "text", F.xxhash64("key").alias("_hash")))
-    picks = rows.select("lang", "_hash", "_row").withColumn("_place", least).where(F.col("_place") <= fit_texts).select("_row")
-    words = cut(_fit_words(rows.join(picks, "_row", "left_semi").select("lang", "text")))
+    # Each language's share of hashes that makes its fit's texts: no row is moved to choose them.
+    part = spark.createDataFrame([(r["lang"], min(1.0, fit_texts / r["count"])) for r in shares], "lang string, _part double")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = known.join(F.broadcast(part), "lang").where(place < F.col("_part")).select("lang", "text")  # at most LANGS rows
+    words = cut(_fit_words(chosen))
     shared, at = spark.sparkContext.broadcast(pieces), {g: i for i, g in enumerate(langs)}
 
     def sums(p: np.ndarray | None) -> np.ndarray:

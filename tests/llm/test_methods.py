@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from corploom.llm import (
     brown_ngrams,
     chat_format,
+    collocations,
     components,
     curriculum_mix,
     decontaminate,
     exact_dedup,
     fuse_filter,
+    language_id,
     license_rules,
     merkle_manifest,
     ordinal_quality,
@@ -832,3 +834,163 @@ def test_merkle_of_odd_rows(spark, odd_rows):
 @pytest.fixture(scope="module")
 def odd_rows(stored):
     return stored({"documents": ([(8, "", None, None, None, 1), (None, None, "x", "s", 1, 2), (7, "a", "x", "s", None, 3), (7, "a", "x", "s", None, 3)], "doc_id long, text string, lang string, source string, n_chars long, leaf long")})
+
+
+# -- 12 ---------------------------------------------------------------------
+
+
+def splits(word):
+    if not word:
+        yield []
+    for i in range(1, len(word) + 1):
+        for rest in splits(word[i:]):
+            yield [word[:i], *rest]
+
+
+def test_forward_sums_equal_all_segmentations():
+    rng = np.random.default_rng(3)
+    names = ["▁", "a", "b", "▁a", "ab", "ba", "aba", "▁ab"]
+    pieces = language_id.Pieces(names)
+    p = rng.random((len(names) + 1, 3)) * 0.2 + 1e-4
+    words = ["a", "ab", "abab", "bazab", "zz", "b", "abababa"]
+    place = {n: i for i, n in enumerate(names, 1)}
+    known = lambda x: x in place or (len(x) == 1)
+    ways = {w: [[place.get(x, 0) for x in cut_] for cut_ in splits("▁" + w) if all(map(known, cut_))] for w in words}
+    lattice = language_id.Lattice(pieces, words)
+    got = language_id.log_sums(lattice, p)
+    for i, w in enumerate(words):
+        assert np.allclose(got[i], np.log(sum(np.prod(p[way], axis=0) for way in ways[w])))
+    weight = rng.random(len(words)) * 9
+    uses = np.zeros(len(p))
+    for i, w in enumerate(words):
+        chance = [np.prod(p[way, 1]) for way in ways[w]]
+        for way, c in zip(ways[w], chance, strict=True):
+            np.add.at(uses, way, weight[i] * c / sum(chance))
+    assert np.allclose(language_id.expected(lattice, weight, p[:, 1]), uses)
+
+
+def test_long_words_neither_vanish_nor_take_long():
+    pieces = language_id.Pieces(["▁", "a", "aa", "é"])
+    p = np.array([[1e-6, 1e-5], [0.1, 0.1], [0.3, 1e-3], [0.2, 1e-3], [0.1, 0.2]])
+    began = time.time()
+    got = language_id.log_sums(language_id.Lattice(pieces, ["a" * 50_000, "é", "xé" * 300]), p)
+    assert np.isfinite(got).all() and got[0, 0] > got[0, 1] and time.time() - began < 60
+    assert np.allclose(got[1], np.log(p[1] * p[4])) and np.allclose(got[2], np.log(p[1]) + 300 * np.log(p[0] * p[4]))
+
+
+def test_languages_of_held_out_documents(spark):
+    rows = language_id.op12_language_id(spark, MEDIUM).join(table(spark, MEDIUM, "documents").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
+    assert len(held) > 200 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.99 * len(held)
+
+
+def test_texts_without_letters_have_no_language(spark, stored):
+    rows = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und die katze", "de"), ("und so weiter", None)] * 3)]
+    rows += [(20, None, "en"), (21, "", "en"), (22, "12 ½ _ !", "fr"), (23, "x²", "en"), (None, "the dog", None)]
+    folder = stored({"documents": (rows, "doc_id long, text string, lang string")})
+    got = language_id.op12_language_id(spark, folder).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (20, 21, 22)} == dict.fromkeys((20, 21, 22), ("und", 0.0))
+    assert all(r["lang_pred"] in ("en", "fr", "de") and 0 < r["score"] <= 1 for r in got if r["doc_id"] not in (20, 21, 22))
+    no_langs = stored({"documents": ([(1, "abc", None)], "doc_id long, text string, lang string")})
+    assert [tuple(r)[2:] for r in language_id.op12_language_id(spark, no_langs).collect()] == [("und", 0.0)]
+
+
+# -- 13 ---------------------------------------------------------------------
+
+
+def collocations_by_hand(rows, least, width, first):
+    """The contract in plain loops."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        g = lang or "und"
+        plain = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", plain):
+            words = [w for w in re.split("[ \t]", piece) if w]
+            n[g] += len(words)
+            for k in range(1, width + 1):
+                for i in range(len(words) - k + 1):
+                    f[g][tuple(words[i : i + k])] += 1
+    out = []
+    for g in f:
+        found = {p: a for p, a in f[g].items() if len(p) > 1 and a >= least}
+        covered = Counter()
+        for p, a in found.items():
+            for i in range(len(p)):
+                for j in range(i + 2, len(p) + 1):
+                    if j - i < len(p):
+                        covered[p[i:j]] = max(covered[p[i:j]], a)
+        scored = []
+        for p, a in found.items():
+            if covered[p] >= a:
+                continue
+            score, k = min((1000 * a * n[g] // (f[g][p[:k]] * f[g][p[k:]]), k) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), f[g][p[:k]], f[g][p[k:]]))
+        for i, (s, a, p, left, right) in enumerate(sorted(scored)[:first], 1):
+            out.append((g, i, p.decode(), -a, left, right, n[g], -s))
+    return sorted(out)
+
+
+def phrase_rows(seed):
+    rng = random.Random(seed)
+    word = lambda: f"{'Wé'[rng.randrange(2)]}{min(int(rng.paretovariate(0.6)), 30)}"
+    text = lambda: "".join(word() + rng.choice((" ", " ", " ", "\t", ". ", " ,", "\n", "  ")) for _ in range(rng.randrange(60)))
+    rows = [(rng.choice(("en", "en", "und", None, "ü")), text()) for _ in range(120)]
+    return rows + [("en", "the hot pair " * 90), ("en", None), (None, ""), ("xx", "once only"), ("en", "A" * 3000)]
+
+
+@pytest.mark.parametrize("entries", [10**6, 30])
+def test_collocations_equal_a_count_by_hand(spark, stored, entries):
+    rows = phrase_rows(entries)
+    docs = spark.read.parquet(stored({"documents": (rows, "lang string, text string")}) + "/documents.parquet")
+    for first in (15, None):
+        got = collocations.collocations(docs, 6, 5, first, entries=entries)
+        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+        assert sorted(tuple(r) for r in got.collect()) == collocations_by_hand(rows, 6, 5, first)
+
+
+class Every:
+    """A bitmap with all bits set."""
+
+    def __contains__(self, h):
+        return True
+
+    def hit(self, hashes):
+        return np.ones(len(hashes), bool)
+
+
+@pytest.mark.parametrize(("burst", "entries", "chunk", "segment", "names"), [(4096, 10**6, 1 << 20, 1 << 22, 10**6), (2, 30, 50, 16, 20), (1, 5, 7, 64, 10**6)])
+def test_a_task_counts_all_phrases_in_any_pieces(monkeypatch, burst, entries, chunk, segment, names):
+    for name, value in (("BURST", burst), ("CHUNK", chunk), ("SEGMENT", segment), ("NAMES", names)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = [(g or "und", t or "") for g, t in phrase_rows(burst)]
+    counting, found = collocations.Counting(5, 3, Every(), Every(), entries), Counter()
+    batches = [b for g, t in rows for b in counting.text(g.encode(), t.encode())] + list(counting.end())
+    for b in batches:
+        for g, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[g, p] += n
+    want = Counter()
+    for g, t in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", t):
+            words = [w.lower() if w.isascii() else w.replace("W", "w") for w in re.split("[ \t]", piece) if w]
+            want.update((g, " ".join(words[i : i + k])) for k in (3, 4, 5) for i in range(len(words) - k + 1))
+    assert found == want and (burst > 9 or len(batches) > 5)
+
+
+def test_trie_bursts_and_lets_whole_subtrees_go():
+    rng = np.random.default_rng(4)
+    trie, held = collocations.HatTrie(4, burst=5, shallow=3), Counter()
+    for _ in range(30):
+        rows = rng.integers(1, 6, (200, 4)).astype(np.uint32)
+        rows[rng.random(200) < 0.3, 3] = 0
+        ids, counts = np.unique(rows, axis=0, return_counts=True)
+        trie.add(ids, counts)
+        held.update(map(tuple, rows.tolist()))
+    assert trie.size == len(held) and any(type(x) is dict for x in trie.root.values())
+    ids, counts = trie.take(len(held) // 2)
+    gone = dict(zip(map(tuple, ids.tolist()), counts.tolist(), strict=True))
+    assert trie.size == len(held) - len(gone) <= len(held) // 2 and not {i[0] for i in gone} & set(trie.root)
+    rest, more = trie.take(-1)
+    gone |= dict(zip(map(tuple, rest.tolist()), more.tolist(), strict=True))
+    assert gone == held and trie.size == 0
