@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corploom.functions.arrays import let
+
 #: White space as the Unicode sense has it, besides ASCII: no-break space, BOM and the space separators.
 WHITE = r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -60,16 +62,76 @@ def _without_dots(path: Column) -> Column:
     return F.when(F.rlike(path, F.lit(r"(?i)/(\.|%2e){1,2}(/|\z)")), clean).otherwise(path)
 
 
+#: Dots of a host name: full stop, ideographic, full-width and half-width.
+DOTS = "[.\u3002\uff0e\uff61]"
+
+
+def punycode(label: Column) -> Column:
+    """The Punycode (RFC 3492) of a text, by column functions over its code points.
+
+    The code points beyond ASCII are taken by value, then place. Each is coded as
+    the steps that a decoder counts from the one before: over the values, each
+    with as many places as there are signs so far, to the place among the signs
+    that are no larger. Digits are to a base of 36 with thresholds that follow
+    the size of the steps.
+    """
+
+    def encoded(points: Column, signs: Column) -> Column:
+        beyond = F.array_sort(F.filter(F.transform(points, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"] >= 128))
+        plain = F.array_join(F.filter(signs, lambda x: x < "\u0080"), "")
+        n_plain = F.length(plain)
+        whole = lambda x, by: F.floor(x / by).cast("long")
+
+        def digits(delta: Column, bias: Column) -> Column:
+            start = F.struct(delta.cast("long").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
+
+            def digit(s: Column, k: Column) -> Column:
+                t = F.least(F.greatest(k * 36 - bias, F.lit(1)), F.lit(26)).cast("long")
+                last = s["q"] < t
+                d = F.when(last, s["q"]).otherwise(t + (s["q"] - t) % (36 - t))
+                sign = F.char(F.when(d < 26, d + 97).otherwise(d + 22))
+                return F.when(s["done"], s).otherwise(F.struct(whole(s["q"] - t, 36 - t).alias("q"), F.concat(s["out"], sign).alias("out"), last.alias("done")))
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, digit)["out"]
+
+        def adapted(delta: Column, size: Column, first: Column) -> Column:
+            begun = F.when(first, whole(delta, 700)).otherwise(whole(delta, 2))
+            start = F.struct((begun + whole(begun, size)).alias("d"), F.lit(0).cast("long").alias("k"))
+            end = lambda s: s["k"] + whole(36 * s["d"], s["d"] + 38)
+            step = lambda s, _: F.when(s["d"] > 455, F.struct(whole(s["d"], 35).alias("d"), (s["k"] + 36).alias("k"))).otherwise(s)
+            return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step, end)
+
+        start = F.struct(F.lit(128).cast("long").alias("n"), F.lit(0).cast("long").alias("i"), n_plain.cast("long").alias("h"), F.lit(72).cast("long").alias("bias"), F.lit("").alias("out"))
+
+        def coded(s: Column, x: Column) -> Column:
+            place = F.size(F.filter(F.slice(points, F.lit(1), x["i"]), lambda c: c <= x["c"])).cast("long")
+            delta = (x["c"] - s["n"]) * (s["h"] + 1) + place - s["i"]
+            bias = adapted(delta, s["h"] + 1, s["h"] == n_plain)
+            return F.struct(x["c"].cast("long").alias("n"), (place + 1).alias("i"), (s["h"] + 1).alias("h"), bias.alias("bias"), F.concat(s["out"], digits(delta, s["bias"])).alias("out"))
+
+        return F.concat(plain, F.when(n_plain > 0, "-").otherwise(""), F.aggregate(beyond, start, coded)["out"])
+
+    signs = F.regexp_extract_all(label, F.lit("(?s)."), 0)
+    return let(signs, lambda s: let(F.transform(s, lambda x: F.ascii(x)), lambda p: encoded(p, s)))
+
+
+def ascii_host(host: Column) -> Column:
+    """A host name in lower case, labels beyond ASCII as ``xn--`` and their Punycode; composed letters are expected (NFC)."""
+    labels = F.split(F.lower(host), DOTS, -1)
+    shown = F.transform(labels, lambda x: F.when(F.rlike(x, F.lit("^[\\x00-\\x7f]*$")), x).otherwise(F.concat(F.lit("xn--"), punycode(x))))
+    return F.when(F.rlike(host, F.lit("^[\\x00-\\x7f]*$")), F.lower(host)).otherwise(F.array_join(shown, "."))
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no default port, no fragment, '/' for no path, dot segments resolved; null unless plain http(s).
 
     Backslashes in the path count as slashes; what may not stand in a path or
     query as it is comes as %XX; the query is kept. Hosts in brackets are IPv6
-    addresses. A host beyond ASCII gives null: put it into its ASCII form first.
+    addresses. A host beyond ASCII is shown in its ASCII form.
     """
     plain = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
     part = lambda i: F.regexp_extract(plain, URL, i)
-    scheme, host, port = F.lower(part(1)), F.lower(part(2)), F.regexp_replace(part(3), "^0+(?=[0-9])", "")
+    scheme, host, port = F.lower(part(1)), ascii_host(part(2)), F.regexp_replace(part(3), "^0+(?=[0-9])", "")
     default = F.when(scheme == "http", "80").otherwise("443")
     shown = F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port))
     path = F.when(part(4) == "", "/").otherwise(_without_dots(_encoded(F.translate(part(4), "\\", "/"), "\"<>`{}^")))

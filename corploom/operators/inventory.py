@@ -13,9 +13,29 @@ from corploom.session import cut, small
 
 
 def merge_candidates(rows: DataFrame) -> DataFrame:
-    """(norm, sources, frequency, display, type) from (name, source, type, ord): the longest name (first on ties), the first type."""
-    grouped = rows.withColumn("norm", norm_name(F.col("name"))).groupBy("norm")
-    return grouped.agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("frequency"), F.max_by("name", F.struct(F.length("name"), -F.col("ord"))).alias("display"), F.min_by("type", "ord").alias("type"))
+    """(norm, sources, frequency, display, type) from (name, source, type, ord): the longest name (first on ties), the first type.
+
+    Grouped in two steps, by name and source and then by name: a source's rows
+    are added up before its name's, so a name in all rows is many tasks' work and
+    its list gets each source once. See source_lists() for names whose sources
+    don't fit a row.
+    """
+    named = rows.withColumn("norm", norm_name(F.col("name")))
+    longest, first = F.struct(F.length("name").alias("n"), (-F.col("ord")).alias("o"), "name"), F.struct("ord", "type")
+    each = named.groupBy("norm", "source").agg(F.count("*").alias("times"), F.max(longest).alias("longest"), F.min(first).alias("first"))
+    whole = each.groupBy("norm").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.sum("times").alias("frequency"), F.max("longest").alias("longest"), F.min("first").alias("first"))
+    return whole.select("norm", "sources", "frequency", F.col("longest.name").alias("display"), F.col("first.type").alias("type"))
+
+
+def source_lists(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """(norm, part from 0, n_sources, sources): each name's distinct sources in order, about ``most`` in a row, however many there are."""
+    pairs = rows.select(norm_name(F.col("name")).alias("norm"), "source").where("source IS NOT NULL").distinct()
+    counts = pairs.groupBy("norm").agg(F.count("*").alias("n_sources"))
+    # Ranges of (name, source): a hot name spreads over many, and each makes lists of its own rows.
+    ranged = cut(pairs.repartitionByRange("norm", "source").sortWithinPartitions("norm", "source").withColumn("_i", F.monotonically_increasing_id()))
+    lists = ranged.groupBy("norm", F.expr(f"_i div {most}").alias("_k")).agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    place = F.row_number().over(Window.partitionBy("norm").orderBy("_k")) - 1
+    return lists.withColumn("part", place).join(counts, "norm").select("norm", "part", "n_sources", "sources")
 
 
 def filter_and_alias(inventory: DataFrame, noise: Sequence[str], aliases: DataFrame, least: int = 3, most: int = 30) -> DataFrame:

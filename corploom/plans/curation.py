@@ -11,6 +11,7 @@ from corploom.operators import inventory as N
 from corploom.operators import joins as J
 from corploom.operators import merge as M
 from corploom.operators import quality as Q
+from corploom.operators import pairing as PC
 from corploom.operators import search as S
 from corploom.operators.identity import sniff_title
 from corploom.plans.registry import register
@@ -373,6 +374,25 @@ def near_copy_candidates(spark, d):
     return N.near_copy_candidates(_t(spark, d, "documents").select("doc_id", "text")).withColumn("jaccard", F.round("jaccard", 6))
 
 
+PAIR_DOCS = "SELECT doc_id, split_part(text, chr(10), 1) AS title, DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER) AS date, source AS type, text FROM documents"
+
+
+@register("pair_candidates", rf"""WITH d AS ({PAIR_DOCS}), c AS (SELECT min(doc_id) AS id, title, date, type, text FROM d GROUP BY title, date, type, text),
+    w AS (SELECT id, regexp_replace(lower(title), '[ _-]+', '', 'g') AS title_key, date, type, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM c),
+    s AS (SELECT id, title_key, date, type, list_distinct(CASE WHEN len(w) > 0 THEN list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END) AS s FROM w),
+    f AS (SELECT *, len(s) AS size, coalesce(list_min(list_transform(s, lambda x: md5(x))), '') AS body_key FROM s),
+    r AS (SELECT 1 AS o, id, row_number() OVER (ORDER BY title_key, date, id) AS r FROM f UNION ALL SELECT 2, id, row_number() OVER (ORDER BY type, date, id) FROM f UNION ALL SELECT 3, id, row_number() OVER (ORDER BY body_key, size, id) FROM f),
+    p AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM r x JOIN r y ON x.o = y.o AND y.r > x.r AND y.r <= x.r + 5),
+    k AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS common, x.size AS na, y.size AS nb, x.title_key = y.title_key AND x.title_key <> '' AS same_title, x.type = y.type AS same_type, CAST(abs(date_diff('day', x.date, y.date)) AS INTEGER) AS gap FROM p JOIN f x ON x.id = a JOIN f y ON y.id = b),
+    j AS (SELECT *, CASE WHEN na + nb > common THEN round(common / (na + nb - common), 9) ELSE 0 END AS jaccard, CASE WHEN least(na, nb) > 0 THEN round(common / least(na, nb), 9) ELSE 0 END AS containment FROM k),
+    t AS (SELECT *, CASE WHEN jaccard >= 0.8 THEN 'near_copy' WHEN containment >= 0.8 AND (same_title OR (same_type AND gap <= 3)) THEN 'long_short' WHEN same_title AND same_type AND gap <= 3 THEN 'same_title' END AS kind FROM j)
+    SELECT a, b, kind, jaccard, containment, same_title, same_type, gap FROM t WHERE kind IS NOT NULL""")
+def pair_candidates(spark, d):
+    """By first line, a date made of the id, source and body."""
+    docs = _t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")).alias("date"), F.col("source").alias("type"), "text")
+    return PC.pair_candidates(docs)
+
+
 # -- chains -------------------------------------------------------------------
 
 GAP = 40_000

@@ -12,6 +12,7 @@ from corploom.plans.cleaning import BOIL
 from corploom.plans.fields import CLASSIFY_SQL
 from corploom.plans.registry import register
 from corploom.session import checkpoint_dir
+from corploom.sources import keyed as V
 from corploom.sources import readers as R
 from corploom.sources import sinks as K
 from corploom.sources.tables import table
@@ -135,3 +136,27 @@ def dedup_stream(spark, d):
     query = G.start_with_state(fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True), spark)
     query.awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("upsert_keyed", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer UNION ALL SELECT -1 - c_custkey, 'CAME IN', c_acctbal FROM customer WHERE c_custkey % 7 = 0")
+def upsert_keyed(spark, d):
+    """All customers kept by key ranges; updates and new rows rewrite the ranges that they fall into."""
+    base = f"{_folder(spark, 'keyed')}/customers"
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    V.write_keyed(rows, base, ["c_custkey"])
+    changed = rows.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("NEW"))
+    new = rows.where("c_custkey % 7 = 0").select((-1 - F.col("c_custkey")).cast(rows.schema["c_custkey"].dataType).alias("c_custkey"), F.lit("CAME IN").alias("c_mktsegment"), "c_acctbal")
+    V.upsert_keyed(spark, base, changed.union(new), ["c_custkey"])
+    return spark.read.parquet(base).drop(V.RANGE)
+
+
+@register("version_diff", "SELECT doc_id, CASE WHEN doc_id % 89 = 0 THEN 'removed' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 89 = 0 OR doc_id % 97 = 0 UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 83 = 0")
+def version_diff(spark, d):
+    """Two versions of whole documents, compared from the roots of their hash trees."""
+    old, new = (_folder(spark, x) for x in ("version", "version"))
+    docs = table(spark, d, "documents")
+    kept = docs.where("doc_id % 89 <> 0").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    added = docs.where("doc_id % 83 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    V.write_version(docs, old, ["doc_id"])
+    V.write_version(kept.union(added), new, ["doc_id"])
+    return V.version_diff(spark, old, new, docs.select("doc_id").schema)

@@ -9,27 +9,44 @@ from pyspark.sql import types as T
 
 
 def _sorted(c: Column, kind: T.DataType) -> Column:
+    """The value with fields and keys in order, at any depth; keys of maps become text first."""
     if isinstance(kind, T.StructType):
         return F.when(c.isNotNull(), F.struct(*(_sorted(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
         return F.transform(c, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("key"), _sorted(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
     return c
 
 
+def _not_finite(c: Column, kind: T.DataType) -> Column | None:
+    """Whether the value, or one inside it, is a number that JSON can't hold; None if its kind has no such numbers."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if isinstance(kind, T.StructType):
+        found = [x for f in kind.fields if (x := _not_finite(c[f.name], f.dataType)) is not None]
+        return F.greatest(*found, F.lit(False), F.lit(False)) if found else None
+    if isinstance(kind, T.MapType):
+        parts = [_not_finite(x, T.ArrayType(t)) for x, t in ((F.map_keys(c), kind.keyType), (F.map_values(c), kind.valueType))]
+        found = [x for x in parts if x is not None]
+        return F.greatest(*found, F.lit(False), F.lit(False)) if found else None
+    if isinstance(kind, T.ArrayType) and _not_finite(F.lit(None), kind.elementType) is not None:
+        return F.coalesce(F.exists(c, lambda x: _not_finite(x, kind.elementType)), F.lit(False))
+    return None
+
+
 def canonical_json(df: DataFrame) -> Column:
-    """The row as JSON with sorted keys, nulls kept, without blanks; a number that JSON can't hold fails the run."""
+    """The row as JSON with sorted keys, nulls kept, without blanks; a number that JSON can't hold, at any depth, fails the run."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
     text = F.to_json(F.struct(*(_sorted(F.col(f.name), f.dataType).alias(f.name) for f in fields)), {"ignoreNullFields": "false"})
     return F.when(not_finite(df), F.raise_error(F.lit("a number is not finite")).cast("string")).otherwise(text)
 
 
 def not_finite(df: DataFrame) -> Column:
-    """Whether a row has a number that JSON can't hold."""
-    bad = F.lit(False)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            bad = bad | F.coalesce(F.isnan(f.name) | (F.abs(f.name) == float("inf")), F.lit(False))
-    return bad
+    """Whether a row has, at any depth, a number that JSON can't hold."""
+    found = [x for f in df.schema.fields if (x := _not_finite(F.col(f.name), f.dataType)) is not None]
+    return F.greatest(*found, F.lit(False), F.lit(False))
 
 
 def last_per_id(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -3,15 +3,16 @@
 import hashlib
 import hmac
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corploom import session
 from corploom.functions import text as T
-from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, overlap, project, quality, search, search_index
+from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, overlap, pairing, project, quality, search, search_index
 from corploom.operators.apply import apply_cleaner
-from corploom.sources import readers, sinks
+from corploom.sources import keyed, readers, sinks
 from corploom.streaming import ingest
 
 
@@ -467,3 +468,113 @@ def test_streams_drop_copies_of_earlier_batches_and_after_a_restart(spark, tmp_p
             ingest.ingest_stream(spark, source, catalog, marks, schema, files_per_batch=1).awaitTermination()
             assert held() == sorted(want)
     assert spark.conf.get(ingest.PROVIDER) != ingest.ROCKSDB
+
+
+# -- keyed tables, versions, pairs, hosts, JSON ------------------------------------------------------------
+
+
+def test_upserts_rewrite_only_the_ranges_they_touch(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k long, v string"
+    files = lambda: {f.relative_to(path).as_posix() for f in (tmp_path / "t").rglob("*.parquet")}
+    base = spark.range(500).select(F.col("id").alias("k"), F.lit("old").alias("v")).union(spark.createDataFrame([(None, "none")], schema))
+    keyed.write_keyed(base, path, ["k"])
+    before = files()
+    touched, twice = keyed.upsert_keyed(spark, path, spark.createDataFrame([(3, "new"), (900, "came"), (None, "null"), (7, "a"), (7, "b")], schema), ["k"])
+    assert [r["k"] for r in twice.collect()] == [7] and 1 <= len(touched) <= 3
+    kept = {f for f in before if f.split("/")[0].split("=")[1] not in touched}
+    assert kept and kept == files() & before
+    rows = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert rows == {**dict.fromkeys(range(500), "old"), 3: "new", 900: "came", None: "null"}
+
+
+def test_versions_are_compared_by_the_ranges_that_differ(spark, tmp_path):
+    schema = "k long, v string, m map<string,double>"
+    rows = [(i, f"v{i}", {"b": 1.0, "a": float(i)}) for i in range(300)] + [(None, None, None), (5, "again", None)]
+    one, two, three, none = (str(tmp_path / x) for x in ("1", "2", "3", "0"))
+    first = keyed.write_version(spark.createDataFrame(rows, schema), one, ["k"])
+    assert keyed.write_version(spark.createDataFrame(rows[::-1], schema).repartition(3), two, ["k"]) == first
+    trees = [spark.read.parquet(f"{x}/tree") for x in (one, two)]
+    assert keyed.differing_ranges(*trees) == []
+    changed = [(i, "x" if i == 9 else v, m) for i, v, m in rows if i != 4] + [(1000, "n", None)]
+    assert keyed.write_version(spark.createDataFrame(changed, schema), three, ["k"]) != first
+    ranges = keyed.differing_ranges(trees[0], spark.read.parquet(f"{three}/tree"))
+    want = {(9, "changed"), (4, "removed"), (1000, "added")}
+    at = spark.createDataFrame([(k,) for k, _ in want], "k long").select(keyed.range_of(["k"])).collect()
+    assert ranges == sorted({r[0] for r in at})
+    key = spark.createDataFrame([], "k long").schema
+    assert {tuple(r) for r in keyed.version_diff(spark, one, three, key).collect()} == want
+    assert keyed.write_version(spark.createDataFrame([], schema), none, ["k"]) is None
+    assert keyed.version_diff(spark, none, one, key).where("problem <> 'added'").count() == 0 and keyed.version_diff(spark, none, one, key).count() == 301
+
+
+def test_pairs_of_a_group_of_copies_grow_with_its_rows(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    graded = [(i, "Report", None, "t", " ".join([*words[:40], *(rng.choice(words) for _ in range(3))])) for i in range(3_000)]
+    exact = [(10_000 + i, "Report", None, "t", "all the same text here again") for i in range(10_000)]
+    docs = spark.createDataFrame(graded + exact, "doc_id long, title string, date date, type string, text string")
+    found = pairing.pair_candidates(docs)
+    assert 0 < found.count() <= 3 * 5 * 3_001
+    members = pairing.text_classes(docs).where("rep = 10000").count()
+    assert members == 10_000
+
+
+def test_pairs_equal_brute_force_over_all_four_features(spark):
+    import datetime
+
+    rng = random.Random(6)
+    day = lambda: rng.choice([None, *(datetime.date(2024, 1, k) for k in range(1, 12))])
+    texts = [" ".join(f"a{rng.randrange(60)}" for _ in range(rng.randrange(30))) for _ in range(25)]
+    texts += [t + " " + " ".join("b" for _ in range(k)) for k, t in enumerate(texts)] + [None, ""]
+    rows = [(i, rng.choice(["A b", "a-B", "c", "", None]), day(), rng.choice(["x", "y", None]), rng.choice(texts)) for i in range(160)]
+    got = {(r["a"], r["b"]): tuple(r)[2:] for r in pairing.pair_candidates(spark.createDataFrame(rows, "doc_id long, title string, date date, type string, text string"), 0.8, 3, 4, block=16).collect()}
+    classes = {}
+    for r in rows:
+        classes.setdefault(r[1:], r[0])
+    docs = []
+    for (title, date, kind, text), i in classes.items():
+        w = (text or "").lower().split()
+        s = {" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+        docs.append((i, re.sub("[ _-]+", "", (title or "").lower()), date, kind, s, min((hashlib.md5(x.encode()).hexdigest() for x in s), default="")))
+    first = lambda x: (x is not None, x or "")
+    date_first = lambda x: (x is not None, x or datetime.date.min)
+    want = {}
+    for order in (lambda d: (d[1], date_first(d[2]), d[0]), lambda d: (first(d[3]), date_first(d[2]), d[0]), lambda d: (d[5], len(d[4]), d[0])):
+        placed = sorted(docs, key=order)
+        for k, x in enumerate(placed):
+            for y in placed[k + 1 : k + 5]:
+                p, q = sorted((x, y), key=lambda d: d[0])
+                common, either, small = len(p[4] & q[4]), len(p[4] | q[4]), min(len(p[4]), len(q[4]))
+                j, c = (round(common / of, 9) if of else 0.0 for of in (either, small))
+                title, kind = p[1] == q[1] != "", p[3] is not None and p[3] == q[3]
+                gap = abs((p[2] - q[2]).days) if p[2] and q[2] else None
+                near = gap is not None and gap <= 3
+                found = "near_copy" if j >= 0.8 else "long_short" if c >= 0.8 and (title or kind and near) else "same_title" if title and kind and near else None
+                if found:
+                    want[p[0], q[0]] = (found, j, c, title, kind, gap)
+    assert got == want and {v[0] for v in want.values()} == {"near_copy", "long_short", "same_title"}
+
+
+def test_hosts_beyond_ascii_equal_the_idna_codec(spark):
+    rng = random.Random(8)
+    sign = lambda: chr(rng.choice([rng.randrange(97, 123), rng.randrange(0x430, 0x450), rng.randrange(0x4E00, 0x9000), rng.choice([0xE9, 0xFC, 0xF1, 0x3B1, 0x1F600])]))
+    hosts = ["bücher.example", "EXAMPLE.com", "правительство.рф", "中国。cn", "a-b.c", "xn--p1ai.de"] + [".".join("".join(sign() for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    got = [r["a"] for r in spark.createDataFrame(list(enumerate(hosts)), "i long, h string").orderBy("i").select(T.ascii_host(F.col("h")).alias("a")).collect()]
+    assert got == [h.lower().encode("idna").decode() for h in hosts]
+    assert one(spark, T.canonical_url(F.col("u")), u="HTTPS://Bücher.Example:443/ä#x") == "https://xn--bcher-kva.example/%C3%A4"
+
+
+def test_canonical_json_looks_at_any_depth(spark):
+    df = spark.createDataFrame([(1, {"b": [{"z": 1.0, "a": 2.0}], "a": []})], "id long, m map<string,array<struct<z:double,a:double>>>")
+    assert df.select(sinks.canonical_json(df)).first()[0] == '{"id":1,"m":{"a":[],"b":[{"a":2.0,"z":1.0}]}}'
+    for kind, value in (("struct<x:array<double>>", (([1.0, float("nan")],))), ("map<string,struct<y:float>>", {"k": (float("inf"),)}), ("array<array<double>>", [[0.0], [float("-inf")]])):
+        bad = spark.createDataFrame([(value,), (None,)], f"v {kind}")
+        assert [r[0] for r in bad.select(sinks.not_finite(bad)).collect()] == [True, False]
+
+
+def test_sources_of_a_hot_name_come_in_bounded_lists(spark):
+    rows = spark.range(5_000).select(F.lit("Hot name").alias("name"), F.concat(F.lit("s"), F.col("id") % 2_500).alias("source")).union(spark.createDataFrame([("b", "s1"), ("b", None)], "name string, source string"))
+    lists = inventory.source_lists(rows, 300).collect()
+    assert max(len(r["sources"]) for r in lists) <= 300 and {r["n_sources"] for r in lists if r["norm"] == "hotname"} == {2_500}
+    joined = [s for r in sorted(lists, key=lambda r: (r["norm"], r["part"])) for s in r["sources"] if r["norm"] == "hotname"]
+    assert joined == sorted(f"s{i}" for i in range(2_500))
