@@ -4,9 +4,10 @@ Each task counts phrases in a HAT-trie: a shallow trie over word ids whose leave
 are hash containers of the words that follow; a container that grows too large
 bursts into a node with a container for each next word. When the trie outgrows its
 memory, its largest subtrees leave whole as sorted runs of phrases with their
-counts. The runs are stored, parted by ranges of (language, phrase), so that all
-phrases of a prefix stand together and a prefix with very many is split, and each
-range merges its runs.
+counts. A run is cut by prefix partition, a hash of the first words, into compressed
+blocks, and each prefix partition merges its blocks. There are as many partitions as
+the corpus has words for, and a prefix is three words (of pairs both), so that none
+is much larger than the others.
 
 Counting goes by length: words, then pairs of frequent words, then phrases whose
 pairs are all frequent. What isn't frequent is told by bitmaps of hashed words and
@@ -17,6 +18,7 @@ the merge, so all counts are exact.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +38,8 @@ BURST, SHALLOW, ENTRIES = 4096, 3, 1_000_000
 NAMES, CHUNK = 1_000_000, 1 << 20
 #: Bytes of a text that are cut into words at a time.
 SEGMENT = 1 << 22
+#: Words of the corpus for each prefix partition, and words of a prefix.
+PARTITION_WORDS, PREFIX = 500_000, 3
 #: Parts of a language's phrases that are ranked by themselves first.
 PARTS = 64
 #: Bits of the bitmaps of frequent words and of frequent pairs, at most: 2 MB and 16 MB.
@@ -225,8 +229,8 @@ def windows(ids: np.ndarray, joins: np.ndarray, width: int, least: int, starts:
 class Counting:
     """The phrases of ``least`` to ``width`` words of one task's texts."""
 
-    def __init__(self, width: int, least: int, words: Bits, pairs: Bits | None, entries: int):
-        self.width, self.least, self.words, self.pairs, self.entries = width, least, words, pairs, entries
+    def __init__(self, width: int, least: int, words: Bits, pairs: Bits | None, entries: int, partitions: int):
+        self.width, self.least, self.words, self.pairs, self.entries, self.partitions = width, least, words, pairs, entries, partitions
         self.held: list[np.ndarray] = []
         self.n = 0
         self._anew()
@@ -271,24 +275,45 @@ class Counting:
             yield from self._runs(self.entries // 2)
 
     def _runs(self, most: int) -> Iterator[pa.RecordBatch]:
-        """Subtrees as sorted runs: a row for each phrase, in order of its words."""
+        """Subtrees as sorted runs: (lang, partition, block), the blocks' phrases in order of their words."""
         order = sorted(range(len(self.common)), key=lambda i: self.common[i][:2])
         place = np.zeros(len(order) + 1, np.int64)
         place[np.array(order, np.int64) + 1] = np.arange(1, len(order) + 1)
         ids, counts = self.trie.take(most)
         by = np.lexsort(place[ids].T[::-1])
         ids, counts = ids[by], counts[by]
-        words = [b"", *(w for _, w, _ in self.common)]
+        words, hashes = [b"", *(w for _, w, _ in self.common)], np.array([0, *(h for _, _, h in self.common)], np.uint64)
+        langs = {g: i for i, g in enumerate(self.names)}
+        lang_of, named = np.array([0, *(langs[g] for g, _, _ in self.common)]), list(langs)
         for k in range(self.least, self.width + 1):
             full = np.flatnonzero(ids[:, k - 1])
             if not len(full):
                 continue
             held = ids[full, :k]
             first = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1)]))
-            rows = held[first].tolist()
-            langs = [self.common[row[0] - 1][0] for row in rows]
-            phrases = [b" ".join([words[i] for i in row]) for row in rows]
-            yield count_batch(langs, phrases, np.add.reduceat(counts[full], first))
+            rows, sums = held[first], np.add.reduceat(counts[full], first)
+            prefix = hashes[rows[:, 0]]
+            for column in range(1, min(k, PREFIX)):
+                prefix = pair_hashes(prefix, hashes[rows[:, column]])
+            part, lang = (prefix % np.uint64(self.partitions)).astype(np.int64), lang_of[rows[:, 0]]
+            by = np.lexsort((part, lang))
+            rows, sums, part, lang = rows[by], sums[by], part[by], lang[by]
+            starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])]))
+            phrases = [b" ".join([words[i] for i in row]) for row in rows.tolist()]
+            blocks = [packed(phrases[x:y], sums[x:y]) for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)]
+            shown = pa.array([named[i] for i in lang[starts].tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([shown, pa.array(part[starts]), pa.array(blocks, pa.binary())], names=["lang", "part", "block"])
+
+
+def packed(phrases: list[bytes], counts: np.ndarray) -> bytes:
+    """Phrases and their counts as one compressed block."""
+    return zlib.compress(len(phrases).to_bytes(8, "little") + counts.astype("<i8").tobytes() + b"\n".join(phrases), 1)
+
+
+def unpacked(block: bytes) -> tuple[list[bytes], list[int]]:
+    raw = zlib.decompress(block)
+    n = int.from_bytes(raw[:8], "little")
+    return raw[8 * n + 8 :].split(b"\n"), np.frombuffer(raw, "<i8", n, 8).tolist()
 
 
 def count_batch(langs: list[bytes], phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
@@ -324,17 +349,40 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def phrase_counts(texts: DataFrame, width: int, least: int, words, pairs=None, entries: int = ENTRIES) -> DataFrame:
-    """(lang, phrase, f): phrases of ``least`` to ``width`` words that the bitmaps let through, exactly counted."""
+def phrase_counts(texts: DataFrame, n_words: int, width: int, shortest: int, least: int, words, pairs=None, entries: int = ENTRIES) -> DataFrame:
+    """(lang, phrase, f): phrases of ``shortest`` to ``width`` words with at least ``least`` occurrences, exactly counted.
+
+    The bitmaps let all such phrases through; ``n_words`` is the corpus's number of words.
+    """
+    partitions = max(64, n_words // PARTITION_WORDS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = Counting(width, least, words.value, pairs.value if pairs is not None else None, entries)
+        counting = Counting(width, shortest, words.value, pairs.value if pairs is not None else None, entries, partitions)
         for lang, text in _langs_and_texts(batches):
             yield from counting.text(lang, text)
         yield from counting.end()
 
-    runs = cut(texts.mapInArrow(run, "lang string, phrase string, f long"))
-    return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, {}
+
+        def rows() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in held.items() if n >= least]
+            return count_batch([own[0].encode()] * len(kept), [p for p, _ in kept], np.array([n for _, n in kept], np.int64))
+
+        for b in batches:
+            for lang, part, block in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (lang, part) != own:
+                    if own is not None:
+                        yield rows()
+                    own, held = (lang, part), {}
+                get = held.get
+                for p, n in zip(*unpacked(block), strict=True):
+                    held[p] = get(p, 0) + n
+        if own is not None:
+            yield rows()
+
+    runs = texts.mapInArrow(run, "lang string, part long, block binary")
+    return runs.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(merge, "lang string, phrase string, f long")
 
 
 def collocations(docs: DataFrame, least: int = 100, width: int = WIDTH, first: int | None = 2000, text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES) -> DataFrame:
@@ -354,10 +402,10 @@ def collocations(docs: DataFrame, least: int = 100, width: int = WIDTH, first: i
     sizes = single.groupBy("lang").agg(F.sum("f").alias("n"))
     common = cut(single.where(F.col("f") >= least))
     words = frequent(common, WORD_BITS)
-    found = cut(phrase_counts(texts, 2, 2, words, None, entries).where(F.col("f") >= least))
+    n_words = single.agg(F.sum("f")).first()[0] or 0
+    found = cut(phrase_counts(texts, n_words, 2, 2, least, words, None, entries))
     if width > 2:
-        longer = phrase_counts(texts, width, 3, words, frequent(found, PAIR_BITS), entries).where(F.col("f") >= least)
-        found = cut(found.union(longer))
+        found = cut(found.union(phrase_counts(texts, n_words, width, 3, least, words, frequent(found, PAIR_BITS), entries)))
     counts = common.union(found)
 
     parted = found.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ", -1).alias("w"))

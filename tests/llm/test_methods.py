@@ -965,11 +965,14 @@ def test_a_task_counts_all_phrases_in_any_pieces(monkeypatch, burst, entries, ch
     for name, value in (("BURST", burst), ("CHUNK", chunk), ("SEGMENT", segment), ("NAMES", names)):
         monkeypatch.setattr(collocations, name, value)
     rows = [(g or "und", t or "") for g, t in phrase_rows(burst)]
-    counting, found = collocations.Counting(5, 3, Every(), Every(), entries), Counter()
+    counting, found = collocations.Counting(5, 3, Every(), Every(), entries, 7), Counter()
     batches = [b for g, t in rows for b in counting.text(g.encode(), t.encode())] + list(counting.end())
     for b in batches:
-        for g, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found[g, p] += n
+        for g, part, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            phrases, counts = collocations.unpacked(block)
+            assert phrases and 0 <= part < 7
+            for p, n in zip(phrases, counts, strict=True):
+                found[g, p.decode()] += n
     want = Counter()
     for g, t in rows:
         for piece in re.split("[.,;:!?\n\x0b\x0c\r]", t):
