@@ -20,7 +20,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from corploom.llm.common import arrow_rows, cut, documents, numbered, text_or_empty, texts_of, unused
 from corploom.llm.components import components, own_exchange
 from corploom.llm.fuse_filter import rows_in, rows_not_in
+from corploom.operators.overlap import common_terms
 
 SEED = 42
 #: Fingerprints in a bucket that a task takes; larger ones are split by further bits.
@@ -141,13 +141,19 @@ def _runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def link_buckets(codes: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (u, v) of at most ``radius`` bits that span, bucket by bucket, all of them."""
+    u, v = link_places(codes, bucket, radius)
+    return codes[u], codes[v]
+
+
+def link_places(codes: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links as places of rows; of equal codes in a bucket the first row stands for all."""
     order = np.lexsort((gray_rank(codes), bucket))
     codes, bucket = codes[order], bucket[order]
     if len(codes):
         first = np.concatenate([[True], (codes[1:] != codes[:-1]) | (bucket[1:] != bucket[:-1])])
-        codes, bucket = codes[first], bucket[first]
+        codes, bucket, order = codes[first], bucket[first], order[first]
     if len(codes) < 2:
-        return codes[:0], codes[:0]
+        return order[:0], order[:0]
     levels, forest = _levels(codes, bucket), Forest(len(codes))
     tops = np.arange(len(levels[-1][0]))
     pending = [(len(levels) - 1, tops, tops)]
@@ -178,7 +184,7 @@ def link_buckets(codes: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np
             once &= forest.parent[x] != forest.parent[y]
         pending.append((level - 1, x[once], y[once]))
     u, v = (np.concatenate(x) for x in zip(*forest.used, strict=True)) if forest.used else (np.arange(0),) * 2
-    return codes[u], codes[v]
+    return order[u], order[v]
 
 
 # -- on Spark ---------------------------------------------------------------
@@ -276,20 +282,22 @@ def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: Words of a shingle and the Jaccard similarity of shingle sets from which texts are near copies.
 WIDTH, SIMILARITY = 5, 0.8
-#: 64-bit words of a long fingerprint: the first is compared, the others give the tables' keys.
-LONG = 4
+#: 64-bit words of a long fingerprint.
+LONG = 6
 #: Bytes of texts whose shingle sets a task holds at once.
 SET_BYTES = 4 << 20
-#: Bits in which first words may differ for the first links; what these miss the later search finds.
+#: Bits in which first words may differ for the index to bring texts together.
 NEAR = 14
-#: Bits in which the first two words of near copies may differ: about 19 are expected at 0.8, and more than 38 in 1 of 100,000 pairs.
-WITHIN = 38
+#: Bits in which long fingerprints of near copies may differ: about 58 of 384 are expected at 0.8, and more than 86 in 3 of 100,000 pairs.
+WITHIN = 86
 #: Share of the bits that differ at a similarity of 0.8, and of the pairs there that no table may bring together.
 APART, MISSED = 0.1514, 0.001
-#: Unlike texts in a bucket; tables that give the first links; pairs that a task returns of each of its rows in the first search.
-UNLIKE, FIRST_TABLES, PAIRS = 512, 8, 8
-#: Pairs compared at a time.
+#: Unlike texts in a bucket.
+UNLIKE = 1024
+#: Pairs of fingerprints compared at a time.
 COMPARED = 1 << 21
+#: Shingles of a block of sets that are compared with those of another.
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -327,34 +335,48 @@ def _table_masks(bits: int, tables: int) -> list[list[int]]:
     return masks
 
 
-def pairs_apart(words: np.ndarray, component: np.ndarray, bucket: np.ndarray, within: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places (i, j) of pairs of one bucket and different components whose words differ in at most ``within`` bits.
+def bucket_links(words: np.ndarray, bucket: np.ndarray, within: int = WITHIN) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of links that span, bucket by bucket, all pairs whose ``words`` (one row a text) differ in at most ``within`` bits.
 
-    The third result tells whether the search ended at ``most`` pairs; else all are found.
+    Equal first words of a bucket are linked, near ones by the Gray-order index;
+    then all rows outside a bucket's largest tree are compared with all others. So a large
+    group of alike texts costs about its size, and no pair is left out.
     """
-    order = np.lexsort((component, bucket))
-    words, component, bucket = words[order], component[order], bucket[order]
-    n = len(order)
-    new = np.ones(n + 1, bool)
-    new[1:-1] = bucket[1:] != bucket[:-1]
-    ends = np.flatnonzero(new)
-    new[1:-1] |= component[1:] != component[:-1]
-    runs = np.flatnonzero(new)
-    after = np.repeat(runs[1:], np.diff(runs))  # where the next component starts
-    left, right, found = [], [], 0
-    for at, end in zip(ends.tolist(), ends[1:].tolist(), strict=False):
-        while at < end and (start := int(after[at])) < end:
-            stop = min(end, at + max(1, COMPARED // (end - start)))
-            apart = sum(np.bitwise_count(w[at:stop, None] ^ w[start:end]).astype(np.uint16) for w in words.T)
-            i, j = np.nonzero((apart <= within) & (np.arange(start, end) >= after[at:stop, None]))
-            left.append(order[i + at])
-            right.append(order[j + start])
-            found += len(i)
-            if found > most:
-                return np.concatenate(left)[:most], np.concatenate(right)[:most], True
-            at = stop
+    order = np.argsort(bucket, kind="stable")
+    words, bucket = words[order], bucket[order]
+    ends = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    forest = Forest(len(order))
+    by = np.lexsort((words[:, 0], bucket))
+    same = np.flatnonzero((words[by[1:], 0] == words[by[:-1], 0]) & (bucket[by[1:]] == bucket[by[:-1]]))
+    forest.join(by[same], by[same + 1])
+    forest.join(*link_places(words[:, 0], bucket, NEAR))
+    for at, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        tree = forest.parent[at:end]
+        names, n = np.unique(tree, return_counts=True)
+        if len(names) < 2:
+            continue
+        large = tree == names[n.argmax()]
+        rows = at + np.concatenate([np.flatnonzero(~large), np.flatnonzero(large)])
+        outside = len(rows) - int(large.sum())
+        held = words[rows]
+        start = 0
+        while start < outside:
+            stop = min(outside, start + max(1, COMPARED // (len(rows) - start)))
+            apart = sum(np.bitwise_count(w[start:stop, None] ^ w[None, start:]).astype(np.uint16) for w in held.T)
+            i, j = np.nonzero(apart <= within)
+            forest.join(rows[i + start], rows[j + start])
+            start = stop
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), False
+    i, j = (np.concatenate([none, *x]) for x in zip(*forest.used, strict=True)) if forest.used else (none, none)
+    return order[i], order[j]
+
+
+def alike(left: pa.ListArray, right: pa.ListArray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of left, row of right) of sets at least that similar, all; without ``right`` pairs of left."""
+    c = common_terms(left, left if right is None else right)
+    na, nb = (x.value_lengths().to_numpy().astype(np.float64) for x in (left, left if right is None else right))
+    found = c >= similarity * (na[:, None] + nb[None, :] - c) - 1e-6
+    return np.nonzero(np.triu(found, 1) if right is None else found)
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,79 +385,81 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     Texts link whose sets of ``width``-word shingles have a Jaccard similarity
     of ``similarity`` or more. Three bits of a 64-bit SimHash are too few for
     that, so a longer one gives each text a bucket in each of some tables of
-    sampled bits; the Gray-order index links the near codes of a bucket, and
-    every link is verified on the shingle sets. Then all pairs of a bucket that
-    no verified links join are searched and verified, in searches of growing
-    size, until none is left untested. Texts with the same first word
-    of the fingerprint count as copies. Null and empty texts are copies of each
-    other; ids, repeats and other columns as in near_duplicates().
+    sampled bits, and in a bucket the Gray-order index and comparisons of whole
+    fingerprints find candidates. These only tell which texts might be linked: the
+    shingle sets of each component of candidates then come together in tasks, a
+    pair of bounded blocks each, and all their pairs are decided there by exact
+    similarity. Only links that join two trees leave a task, so neither step
+    gives more rows than texts go in. Texts of the same long fingerprint count as
+    copies. Null and empty texts are copies of each other; ids, repeats and
+    other columns as in near_duplicates().
     """
 
     def codes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_of(batches, 2):
-            found = np.array([long_fingerprint(shingle_hashes(t, width)) for t in texts]).reshape(-1, LONG).view(np.int64)
-            yield arrow_rows(part, (0, 1), ["_row", "doc_id", *names], [pa.array(np.ascontiguousarray(found[:, k])) for k in range(LONG)])
+            sets = [shingle_hashes(t, width) for t in texts]
+            found = np.array([long_fingerprint(s) for s in sets]).reshape(-1, LONG).view(np.int64)
+            yield arrow_rows(part, (0, 1), ["_row", "doc_id", *names, "n"], [*(pa.array(np.ascontiguousarray(found[:, k])) for k in range(LONG)), pa.array(map(len, sets), pa.int64())])
 
     def linked_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        held = [b for b in batches if b.num_rows]
         if held:
-            code, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, v = link_buckets(code.view(np.uint64), bucket, NEAR)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    def apart_in(most: int):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table_ = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-            if table_ is not None:
-                code, w1, bucket = (table_[n].to_numpy() for n in ("code", "w1", "bucket"))
-                component = pc.coalesce(table_["component"], table_["code"]).to_numpy()
-                i, j, more = pairs_apart(np.column_stack([code, w1]).view(np.uint64), component, bucket, WITHIN, most * len(code))
-                # A last row without codes tells that the task has more pairs.
-                u, v = (pa.array([*code[x].tolist(), *[None] * more], pa.int64()) for x in (i, j))
-                yield pa.RecordBatch.from_arrays([u, v, pa.array([False] * len(i) + [True] * more)], names=["u", "v", "more"])
-
-        return run
+            rows = pa.Table.from_batches(held)
+            i, j = bucket_links(np.column_stack([rows[n].to_numpy() for n in names]).view(np.uint64), rows["bucket"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["code"].to_numpy()[x]) for x in (i, j)], names=["u", "v"])
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in texts_of(batches, 1, SET_BYTES):
+        for part, texts in texts_of(batches, 3, SET_BYTES):
             sets = [shingle_hashes(t, width).view(np.int64) for t in texts]
-            yield arrow_rows(part, (0,), ["code", "set"], [pa.array(sets, pa.list_(pa.int64()))])
-
-    names = ["code", *(f"w{k}" for k in range(1, LONG))]
+            yield arrow_rows(part, (0, 1, 2), ["code", "component", "blocks", "set"], [pa.array(sets, pa.list_(pa.int64()))])
+
+    def decided(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+
+        def links_of() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            (_, i, j), codes, block = own, rows["code"].to_numpy(), rows["block"].to_numpy()
+            forest, parts = Forest(len(codes)), [np.flatnonzero(block == b) for b in dict.fromkeys((i, j))]
+            sets = [rows["set"].combine_chunks().take(pa.array(p)) for p in parts]
+            u, v = alike(sets[0], sets[1] if len(sets) > 1 else None, similarity)
+            forest.join(parts[0][u], parts[-1][v])
+            u, v = (np.concatenate(x) for x in zip(*forest.used, strict=True)) if forest.used else (parts[0][:0],) * 2
+            return pa.RecordBatch.from_arrays([pa.array(codes[u]), pa.array(codes[v])], names=["u", "v"])
+
+        for b in batches:
+            key = np.column_stack([b.column(k).to_numpy() for k in range(3)])
+            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else []
+            for x, y in zip(heads, [*heads[1:], len(key)], strict=True):
+                if own != (now := tuple(key[x].tolist())):
+                    if own is not None:
+                        yield links_of()
+                    own, held = now, []
+                held.append(b.slice(x, y - x))
+        if own is not None:
+            yield links_of()
+
+    names = [f"w{k}" for k in range(LONG)]
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))).select("_row", "doc_id", "_text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    marks = cut(rows.mapInArrow(codes_of, f"_row long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names)))
+    marks = rows.mapInArrow(codes_of, f"_row long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", n long")
+    marks = cut(marks.withColumn("code", F.xxhash64(*names)))
     bits, tables = tables_for(marks.count())
     keys = [F.xxhash64(F.lit(t), *(F.col(f"w{k + 1}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks))) for t, masks in enumerate(_table_masks(bits, tables))]
-    distinct = marks.select(*names).distinct()
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("least")
-    codes = cut(marks.groupBy("code").agg(least))
-
-    def verified(edges: DataFrame) -> DataFrame:
-        nodes = edges.select(F.explode(F.array("u", "v")).alias("code")).distinct()
-        named = cut(codes.join(nodes, "code").select("code", F.col("least._row").alias("_row")))
-        sets = cut(rows_in(rows.select("_row", "_text"), named, "_row").select("code", "_text").mapInArrow(sets_of, "code long, set array<long>"))
-        both = edges.join(sets.select(F.col("code").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("code").alias("v"), F.col("set").alias("b")), "v")
-        common = F.size(F.array_intersect("a", "b"))
-        return cut(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    codes = cut(marks.groupBy("code").agg(least, F.max("n").alias("n"), *(F.first(n).alias(n) for n in names)))
 
+    placed = codes.select("code", *names, F.explode(F.array(*keys)).alias("bucket"))
     ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    first = distinct.select("code", F.explode(F.array(*keys[:FIRST_TABLES])).alias("bucket"))
-    tested = cut(first.repartition("bucket").mapInArrow(linked_in, "u long, v long").select(*ends).distinct())
-    near, most = verified(tested), PAIRS
-    while True:
-        joined = cut(components(near))
-        placed = distinct.join(joined.withColumnRenamed("u", "code"), "code", "left").select("code", "w1", "component", F.explode(F.array(*keys)).alias("bucket"))
-        found = cut(placed.repartition("bucket").mapInArrow(apart_in(most), "u long, v long, more boolean").select(*ends, "more").distinct())
-        untested = cut(found.where("NOT more").select("u", "v").join(tested, ["u", "v"], "left_anti"))
-        more = verified(untested) if not untested.isEmpty() else None
-        if more is not None and not more.isEmpty():
-            # A star for each component is as good as its links, and shallower.
-            near, joined = cut(joined.select("u", F.col("component").alias("v")).union(more)), None
-        if found.where("more").isEmpty():
-            break
-        tested, most = cut(tested.union(untested)), most * 8
-    return _components_of(marks, codes, components(near) if joined is None else joined)
+    candidates = components(placed.repartition("bucket").mapInArrow(linked_in, "u long, v long").select(*ends).distinct())
+    members = cut(candidates.join(codes.select(F.col("code").alias("u"), "n", F.col("least._row").alias("_row")), "u").withColumnRenamed("u", "code"))
+    sizes = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    named = cut(members.join(own_exchange(sizes, "component"), "component").select("_row", "code", "component", F.greatest("blocks", F.lit(1)).alias("blocks")))
+    sets = rows_in(rows.select("_row", "_text"), named, "_row").select("code", "component", "blocks", "_text").mapInArrow(sets_of, "code long, component long, blocks int, set array<long>")
+    block = F.pmod(F.xxhash64("code", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+    dealt = sets.select("code", "component", "set", block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = dealt.select("component", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), F.col("block").cast("long").alias("block"), "code", "set")
+    near = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(decided, "u long, v long")
+    return _components_of(marks, codes.select("code", "least"), components(near))
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

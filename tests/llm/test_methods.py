@@ -588,15 +588,49 @@ def test_links_behind_rejected_ones_are_found(spark):
     assert found == _near(texts) and len(set(found.values())) == 100
 
 
-def test_search_of_pairs_equals_brute_force():
+def test_links_of_buckets_span_all_near_pairs():
     rng = np.random.default_rng(6)
-    words = rng.integers(0, 2**63, (4, 2)).astype(np.uint64)[rng.integers(0, 4, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 2)).astype(np.uint64))
-    component, bucket = rng.integers(0, 5, 300), rng.integers(0, 3, 300)
-    want = {(i, j) for i in range(300) for j in range(i) if bucket[i] == bucket[j] and component[i] != component[j] and np.bitwise_count(words[i] ^ words[j]).sum() <= 3}
-    i, j, more = simhash_dedup.pairs_apart(words, component, bucket, 3, 10**9)
-    assert not more and len(i) == len(want) and {(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
-    i, j, more = simhash_dedup.pairs_apart(words, component, bucket, 3, 50)
-    assert more and len(i) == 50
+    for n, kinds, within in ((300, 4, 3), (300, 40, 9), (1, 1, 3), (0, 1, 3)):
+        base = rng.integers(0, 2**63, (kinds, 3)).astype(np.uint64)
+        base[:, 0] = base[0, 0] ^ (rng.integers(0, 2**63, kinds).astype(np.uint64) if kinds > 4 else np.uint64(0))
+        words = base[rng.integers(0, kinds, n)]
+        for _ in range(2):
+            words = words ^ (np.uint64(1) << rng.integers(0, 64, (n, 3)).astype(np.uint64))
+        bucket = rng.integers(0, 3, n)
+        apart = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2)
+        first = np.bitwise_count(words[:, None, 0] ^ words[None, :, 0])
+        near = (bucket[:, None] == bucket[None]) & ((apart <= within) | (first <= simhash_dedup.NEAR))
+        i, j = simhash_dedup.bucket_links(words, bucket, within)
+        assert len(i) < max(n, 1) and reach(range(n), list(zip(i.tolist(), j.tolist(), strict=True))) == reach(range(n), np.argwhere(near).tolist())
+
+
+@pytest.mark.parametrize("shingles", [1 << 20, 20_000])
+def test_large_group_of_graded_copies_in_blocks(spark, stored, monkeypatch, shingles):
+    """Copies of one text with ever more words replaced: about a tenth of the pairs are similar enough, all in one component of candidates."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK_SHINGLES", shingles)
+    rng, base = random.Random(11), [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(1_500):
+        out = list(base)
+        for k in rng.sample(range(150), 1 + i % 14):
+            out[k] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(out)
+    texts |= {5_000 + i: " ".join(f"x{rng.randrange(10**6)}" for _ in range(100)) for i in range(100)}
+    docs = spark.read.parquet(stored({"d": (list(texts.items()), "doc_id long, text string")}) + "/d.parquet")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
+    want = _near(texts)
+    assert 100 < len(set(want.values())) < 1_500
+    assert sum(found[i] != c for i, c in want.items()) <= 0.01 * len(want)
+
+
+def test_blocks_of_sets_decide_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(80)]
+    sets += [np.append(s, 1_000 + k) for k, s in enumerate(sets)] + [np.zeros(0, np.int64)]
+    left, right = (pa.array([s.tolist() for s in x], pa.list_(pa.int64())) for x in (sets[:90], sets[90:]))
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / max(len(np.union1d(x, y)), 1)
+    assert set(zip(*map(np.ndarray.tolist, simhash_dedup.alike(left, right, 0.8)), strict=True)) == {(i, j) for i, x in enumerate(sets[:90]) for j, y in enumerate(sets[90:]) if jaccard(x, y) >= 0.8}
+    assert set(zip(*map(np.ndarray.tolist, simhash_dedup.alike(left, None, 0.8)), strict=True)) == {(i, j) for i, x in enumerate(sets[:90]) for j in range(i + 1, 90) if jaccard(x, sets[j]) >= 0.8}
 
 
 def test_fingerprints_by_definition(spark):
