@@ -81,6 +81,41 @@ def _joining() -> frozenset[str]:
     return frozenset(second | set(map(chr, range(0x1161, 0x1176))) | set(map(chr, range(0x11A8, 0x11C3))))
 
 
+class _Word:
+    """A word into which signs are put; its tokens are found anew from there until they are the old ones again."""
+
+    def __init__(self, counter: Counter, text: str):
+        self.counter, self.text = counter, ""
+        self.size, self.count = bytearray(1), np.zeros(1024, np.int64)
+        self.insert(0, text)
+
+    def insert(self, at: int, signs: str) -> None:
+        counter, width, new, n = self.counter, self.counter.longest, len(signs), len(self.text)
+        text = self.text = self.text[:at] + signs + self.text[at:] if at < n else self.text + signs
+        size, behind = self.size, at + new
+        size[at + 1 : at + 1] = bytes(new)
+        if n + new >= len(self.count):
+            self.count = np.concatenate([self.count, np.zeros(n + new, np.int64)])
+        count = self.count
+        count[behind + 1 : n + new + 1] = count[at + 1 : n + 1].copy()
+        same = 0
+        for j in range(at + 1, n + new + 1):
+            last = counter._last(text, size, j, False)
+            tokens = count[j - last] + 1
+            same = same + 1 if j > behind and size[j] == last else 0
+            more = tokens - count[j]
+            size[j], count[j] = last, tokens
+            # The next sizes follow from these and from signs that are the old ones.
+            if same >= width and all(i - size[i] >= behind for i in range(j - width + 1, j + 1)):
+                count[j + 1 : n + new + 1] += more
+                return
+
+    def total(self) -> int:
+        """Tokens of the whole word."""
+        n = len(self.text)
+        return int(self.count[n - self.counter._last(self.text, self.size, n, True)]) + 1 if n else 0
+
+
 class Counter:
     """Counts of texts and of all their prefixes, for one tokenizer file of the ``tokenizers`` library."""
 
@@ -148,6 +183,16 @@ class Counter:
             known = self.fits[key] = got == [*([before] if before else ()), token + (self.suffix if last else "")]
         return known
 
+    def _last(self, text: str, size: bytearray, j: int, end: bool) -> int:
+        """Size of the last token of text[:j], of whose shorter beginnings ``size`` has the last tokens' sizes; ``end``: as a word's end."""
+        lengths, among = (self.last_lengths, self.at_end) if end else (self.inner_lengths, self.inside)
+        tail, single = text[max(0, j - 2) : j], text[j - 1 : j]
+        for n in (*lengths.get(tail, ()), *lengths.get(single, ())) if j > 1 else lengths.get(single, ()):
+            i = j - n
+            if i >= 0 and text[i:j] in among and self._fit(text[i - size[i] : i] if i else "", text[i:j], end):
+                return n
+        raise ValueError("the vocabulary has no token for a byte")
+
     def _piece(self, text: str, at: int, sizes: bytes, counts: tuple[int, ...]) -> tuple[bytes, list[int], list[int | None]]:
         """For the places of ``text`` after ``at``, all but the last: size of the last token, tokens inside a word, tokens of a word that ends there.
 
@@ -259,7 +304,9 @@ class Counter:
             a, n = (cuts[word][0], before[word]) if held else (m, counts[m])
             if held and m - a < 3 and word and cuts[word - 1] == (a - 1, a) and plain[a - 1] == "'":  # may begin a contraction
                 a, n = a - 1, before[word - 1]
-            for k in range(start + 1, end):
+            if end - start > 2 * SHORT:
+                out[start + SHORT : end - 1] = self._grown(run[start:end], plain[a:m], n)
+            for k in range(start + 1, end if end - start <= 2 * SHORT else start + SHORT + 1):
                 begun = self._normal(run[start:k])
                 if m - a <= SHORT:
                     tail = plain[a:m] + begun
@@ -276,6 +323,40 @@ class Counter:
             self.runs[run] = out
         return out
 
+    def _grown(self, part: str, before: str, n: int) -> list[int]:
+        """Tokens of ``before`` with part[:k] behind it, for k from SHORT + 1 to all but the last code point, and ``n`` more.
+
+        Marks are put in order of their combining class as they come, so the
+        text grows in its middle; only the tokens near that place are found anew.
+        """
+        out, word = [], None
+        for k in range(SHORT + 1, len(part)):
+            for c in unicodedata.normalize("NFD", part[k - 1]):
+                kind = unicodedata.combining(c)
+                # A first mark of its class may join the letter, one without a class whatever is before it.
+                if word is None or not kind or kind not in behind:
+                    word = None
+                    break
+                at = begin + sum(size for x, size in behind.items() if x <= kind)
+                signs = _signs(c)
+                word.insert(at, signs)
+                behind[kind] += len(signs)
+            if word is None:
+                begun = self._normal(part[:k])
+                tail = before + begun
+                cuts = self._cuts(tail)
+                x, y = cuts[-1]
+                word, told = _Word(self, _signs(tail[x:y])), n + sum(len(self.merge(_signs(tail[i:j]))) for i, j in cuts[:-1])
+                marks = len(begun)
+                while marks and unicodedata.combining(begun[marks - 1]):
+                    marks -= 1
+                behind = dict.fromkeys(sorted({unicodedata.combining(c) for c in begun[marks:]}), 0)
+                for c in begun[marks:]:
+                    behind[unicodedata.combining(c)] += len(_signs(c))
+                begin = len(word.text) - sum(behind.values())
+            out.append(told + word.total())
+        return out
+
     def _longer(self, walk: tuple[str, bytearray, list[int], list[int]], at: int, before: str, begun: str) -> int:
         """Tokens of a long word's first ``at`` bytes, which end in ``before``, with ``begun`` behind them."""
         signs, size, count, ends = walk

@@ -1031,3 +1031,29 @@ def test_trie_bursts_and_lets_whole_subtrees_go():
     rest, more = trie.take(-1)
     gone |= dict(zip(map(tuple, rest.tolist()), more.tolist(), strict=True))
     assert gone == held and trie.size == 0
+
+
+# -- 6, long runs of marks ------------------------------------------------------
+
+
+def test_runs_of_marks_equal_the_library_at_every_prefix():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(prefix_tokens.MODEL)
+    counter, library = prefix_tokens.Counter(path), Tokenizer.from_file(path)
+    rng, marks = random.Random(1), "ཱ̣́̈̄ྴ̧〪̈́̀ͅᅡ"
+    texts = ["a" + "́" * 300, "́" * 300, "x=́" * 3 + "=̣́" * 150, "e" + "".join(rng.choice("̣́") for _ in range(350)) + "b'" + "̈" * 250 + "s"]
+    texts += [rng.choice(["a", "I", "=", "'", "ᄒ", "", "q7"]) + "".join(rng.choice(marks[: rng.randrange(1, 13)]) for _ in range(rng.randrange(201, 330))) + rng.choice(["", "z", " z", "'s"]) for _ in range(8)]
+    for text in texts:
+        assert counter.table(text).tolist() == [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+def test_very_long_runs_of_marks_take_seconds():
+    import public_tokenizers
+
+    counter = prefix_tokens.Counter(public_tokenizers.path(prefix_tokens.MODEL))
+    began = time.time()
+    for text in ("́" * 100_000, "a" + "̣́" * 20_000):
+        assert counter.table(text)[-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
+    assert time.time() - began < 90
