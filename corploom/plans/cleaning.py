@@ -10,6 +10,7 @@ from corploom.functions.text import sha256, smart_slice
 from corploom.operators import lines as L
 from corploom.plans.registry import register
 from corploom.rules import LINE_PATTERNS
+from corploom.session import small
 from corploom.sources.tables import table
 
 LINES_SQL = r"""
@@ -182,7 +183,7 @@ def match_template(spark, d):
     foot = F.when(n % 4 == 0, "").when(n % 4 == 1, "B").otherwise(n.cast("string"))
     docs = _docs(spark, d).select("doc_id", F.concat("text", F.lit("\nfoot"), foot, F.lit("\na\nb\nc")).alias("text"))
     known = spark.createDataFrame([("A", 1, "foot\na\nb\nc"), ("B", 2, "footB\na\nb\nc")], "name string, ord int, tail string").select("name", "ord", sha256(F.col("tail")).alias("sha256"))
-    return L.match_template(L.explode_lines(docs), F.broadcast(known))
+    return L.match_template(L.explode_lines(docs), small(known))
 
 
 CSS = "* {margin: 0}"

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("CORPLOOM_DRIVER_MEMORY", "8g"),
         **conf,
     }
