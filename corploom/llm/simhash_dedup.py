@@ -98,6 +98,12 @@ class Forest:
         self.parent = np.arange(n)
         self.used: list[tuple[np.ndarray, np.ndarray]] = []  # edges that joined two trees
 
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, root) of all places but the roots: as connected as the links, and shallower."""
+        self._flatten()
+        places = np.flatnonzero(self.parent != np.arange(len(self.parent)))
+        return places, self.parent[places]
+
     def _flatten(self) -> None:
         while not np.array_equal(up := self.parent[self.parent], self.parent):
             self.parent = up
@@ -336,7 +342,7 @@ def _table_masks(bits: int, tables: int) -> list[list[int]]:
 
 
 def bucket_links(words: np.ndarray, bucket: np.ndarray, within: int = WITHIN) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of links that span, bucket by bucket, all pairs whose ``words`` (one row a text) differ in at most ``within`` bits.
+    """Stars (i, j) of places that join, bucket by bucket, all pairs whose ``words`` (one row a text) differ in at most ``within`` bits.
 
     Equal first words of a bucket are linked, near ones by the Gray-order index;
     then all rows outside a bucket's largest tree are compared with all others. So a large
@@ -366,8 +372,7 @@ def bucket_links(words: np.ndarray, bucket: np.ndarray, within: int = WITHIN) ->
             i, j = np.nonzero(apart <= within)
             forest.join(rows[i + start], rows[j + start])
             start = stop
-    none = np.zeros(0, np.int64)
-    i, j = (np.concatenate([none, *x]) for x in zip(*forest.used, strict=True)) if forest.used else (none, none)
+    i, j = forest.stars()
     return order[i], order[j]
 
 
@@ -389,8 +394,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     fingerprints find candidates. These only tell which texts might be linked: the
     shingle sets of each component of candidates then come together in tasks, a
     pair of bounded blocks each, and all their pairs are decided there by exact
-    similarity. Only links that join two trees leave a task, so neither step
-    gives more rows than texts go in. Texts of the same long fingerprint count as
+    similarity. A task gives stars of what it joined, so neither step has more
+    rows than texts went in, and paths stay short. Texts of the same long fingerprint count as
     copies. Null and empty texts are copies of each other; ids, repeats and
     other columns as in near_duplicates().
     """
@@ -423,7 +428,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
             sets = [rows["set"].combine_chunks().take(pa.array(p)) for p in parts]
             u, v = alike(sets[0], sets[1] if len(sets) > 1 else None, similarity)
             forest.join(parts[0][u], parts[-1][v])
-            u, v = (np.concatenate(x) for x in zip(*forest.used, strict=True)) if forest.used else (parts[0][:0],) * 2
+            u, v = forest.stars()
             return pa.RecordBatch.from_arrays([pa.array(codes[u]), pa.array(codes[v])], names=["u", "v"])
 
         for b in batches:
