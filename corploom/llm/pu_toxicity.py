@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +42,8 @@ POSITIVES, BUCKETS = 4_000, 1 << 20
 LEAST_Z, UNIT_Z = 5.0, 10.0
 #: Unlabelled texts of a part; folds of the confirmed texts.
 PART, FOLDS = 50_000, 4
+#: Steps of a weight of one in whole-number sums.
+STEPS_OF_ONE = 1 << 20
 #: Steps of a fit, and the share of itself that a weight loses in the risk.
 STEPS, DECAY = 100, 3e-3
 #: The prior with which the first fit starts; the second takes that estimated from the first.
@@ -200,18 +201,11 @@ def _columns(rows: DataFrame, place: dict[int, int], buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "confirmed boolean, columns array<int>")
 
 
-def _together(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf["weights"].iloc[0]) // 8)
-    for weights in pdf["weights"]:
-        total += np.frombuffer(weights)
-    return pd.DataFrame({"n": [int(pdf["n"].sum())], "weights": [total.tobytes()]})
-
-
 def _train(parts: DataFrame, positive: pa.Array, scale: np.ndarray, prior: float, folds: int) -> np.ndarray:
     """(fold, column) weights averaged over the parts, each by its number of texts.
 
-    The sums of the parts are added in two levels, so that no group has more
-    than about twice the square root of the parts' number.
+    A part gives a row for each weight, in whole steps, so that Spark adds them up
+    before and after the shuffle, to the same sum in any order.
     """
     shared = parts.sparkSession.sparkContext.broadcast((positive, scale))  # at most POSITIVES texts
 
@@ -221,13 +215,16 @@ def _train(parts: DataFrame, positive: pa.Array, scale: np.ndarray, prior: float
             positive, scale = shared.value
             unlabelled, at = Bags(pa.concat_arrays(held)), np.arange(len(positive)) % folds
             weights = np.array([nnpu_fit(Bags(positive.filter(pa.array(at != f))), unlabelled, scale, prior) for f in range(folds)])
-            n = len(unlabelled.n)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(weights * n).tobytes()], pa.binary())], names=["n", "weights"])
-
-    sums = parts.select("columns").mapInArrow(run, "n long, weights binary")
-    once = sums.groupBy(F.floor(F.sqrt(F.spark_partition_id())).alias("salt")).applyInPandas(_together, "n long, weights binary")
-    row = once.groupBy(F.lit(0).alias("all")).applyInPandas(_together, "n long, weights binary").first()
-    return np.frombuffer(row["weights"]).reshape(folds, -1) / row["n"]
+            steps = np.round(weights.ravel() * (len(unlabelled.n) * STEPS_OF_ONE)).astype(np.int64)
+            cells = np.flatnonzero(steps)
+            cells, steps = np.append(cells, -1), np.append(steps[cells], len(unlabelled.n))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(steps)], names=["cell", "steps"])
+
+    sums = parts.select("columns").mapInArrow(run, "cell long, steps long").groupBy("cell").agg(F.sum(F.col("steps").cast("decimal(38,0)")).cast("double").alias("s"))
+    cells, total = (x.to_numpy() for x in sums.toArrow().columns)  # at most a row for each fold and bucket
+    out = np.zeros(folds * len(scale))
+    out[cells[cells >= 0]] = total[cells >= 0]
+    return out.reshape(folds, -1) / (total[cells < 0][0] * STEPS_OF_ONE)
 
 
 def _shares(parts: DataFrame, weights: np.ndarray, edges: np.ndarray) -> np.ndarray:
