@@ -46,7 +46,7 @@ def test_keyed_id_is_hmac(spark):
         ("https:\\\\a.b", None),
         (" https://a.b/\\x ", "https://a.b//x"),
         ("https://a.b:0443/..", "https://a.b/"),
-        ("https://b\u00fccher.de/", None),
+        ("https://b\u00fccher.de/", "https://xn--bcher-kva.de/"),
         (None, None),
     ],
 )
