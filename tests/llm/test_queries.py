@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corploom.llm import (
     brown_ngrams,
+    collocations,
     curriculum_mix,
     decontaminate,
     exact_dedup,
@@ -59,13 +60,18 @@ def test_empty_tables_give_no_rows(spark, none, name):
     assert queries.queries()[name](spark, none).collect() == []
 
 
-@pytest.mark.parametrize("name", [x for x in DOCUMENT_QUERIES if not x.startswith("op2_")])
+@pytest.mark.parametrize("name", [x for x in DOCUMENT_QUERIES if not x.startswith(("op2_", "op13_"))])
 def test_odd_rows_give_a_row_each(spark, odd, name):
     df = queries.queries()[name](spark, odd)
     assert len(set(df.columns)) == len(df.columns)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.collect()) == sorted((r[0] is None, r[0] or 0) for r in ROWS)
 
 
+def test_collocations_of_odd_rows(spark, odd):
+    rows = collocations.op13_collocations(spark, odd).collect()
+    assert [(r["lang"], r["rank"], r["phrase"], r["a"]) for r in rows] == [("en", 1, "word word", 29_999), ("en", 2, "word word word", 29_998), ("en", 3, "word word word word", 29_997), ("en", 4, "word word word word word", 29_996)]
+
+
 def test_exact_dedup_of_odd_rows(spark, odd):
     found = [tuple(r)[1:] for r in exact_dedup.exact_dedup(spark.read.parquet(f"{odd}/documents.parquet"), exact_dedup.second_half()).select("_row", "doc_id", "keep_id", "group_size", "kept").collect()]
     assert sorted(map(repr, (x for x in found if x[2] == 3))) == sorted(map(repr, [(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False)]))
