@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from corploom.functions.text import nfkc, normalize_text
 from corploom.session import small
 
-#: Documents of a shard and of a block, at most.
+#: Documents of a shard, about, and of a block.
 SHARD, BLOCK = 1 << 15, 128
+#: Shards over which a small version spreads, of a few documents at least.
+SPREAD, FEW = 64, 128
 #: Folders of terms.
 BUCKETS = 64
 #: Queries searched for in one pass over the index.
@@ -67,13 +69,15 @@ def add_version(docs: DataFrame, weights: Sequence[tuple[str, int]], path: str,
     are kept but never found or replaced. The versions before aren't rewritten.
     """
     spark = docs.sparkSession
-    row = F.monotonically_increasing_id()
-    in_part = row.bitwiseAND((1 << 33) - 1)
+    fields = [f for f, _ in weights]
+    n = docs.count()
+    shards = max(1, -(-n // min(shard, max(FEW, n // SPREAD))))
+    # Dealt by content, so both tables below have the same shards, and numbered there; rows of one title and id are alike to them.
+    own = F.pmod(F.xxhash64("doc_id", "title", *fields), F.lit(shards)).alias("shard")
+    dealt = docs.select(own, *(F.col(c) for c in dict.fromkeys(["doc_id", "title", *fields]))).repartition("shard")
+    at = (F.row_number().over(Window.partitionBy("shard").orderBy(F.col("title").cast("string"), "doc_id")) - 1).alias("at")
     terms = F.flatten(F.array(*(_weighed(F.col(f), w) for f, w in weights)))
-    # Numbers depend on a row's place in the stored input, so that both tables below have the same.
-    rows = docs.select(row.alias("_row"), (F.shiftright(row, 33) * (1 << 20) + F.floor(in_part / shard)).cast("long").alias("shard"), "doc_id", F.col("title").cast("string").alias("title"), terms.alias("_terms"))
-    at = (F.row_number().over(Window.partitionBy("shard").orderBy("title", "doc_id", "_row")) - 1).alias("at")
-    rows = rows.select("shard", at, "doc_id", "title", "_terms")
+    rows = dealt.select("*", at).select("shard", "at", "doc_id", F.col("title").cast("string").alias("title"), terms.alias("_terms"))
     rows.select("shard", "at", "doc_id", "title").write.mode("errorifexists").parquet(f"{path}/documents/version={version}")
 
     impacts = rows.select("shard", "at", F.inline("_terms")).groupBy("shard", "term", "at").agg(F.sum("w").cast("int").alias("w"))
