@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.functions.text import norm_name
-from corploom.operators.joins import pairwise_jaccard
+from corploom.operators.similar import first_of_class, shingle_sets, similar_pairs
 from corploom.session import cut, small
 
 
@@ -136,14 +136,11 @@ def near_copy_candidates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
 
     Equal texts, and texts with the same shingles, are one class, represented by
     the least id, so copies give no pairs; a pair of different texts is a result
-    of its own and none is dropped. The pairs come from joins on the rarest
-    shingles of each text and are exact; texts without words give none.
+    of its own and none is dropped. The pairs are exact (see operators/similar.py);
+    texts without words give none. ``docs`` are stored: they are read several times.
     """
-    words = F.filter(F.split(F.lower("text"), r"\s+", -1), lambda x: x != "")
-    rows = docs.groupBy("text").agg(F.min("doc_id").alias("id")).select("id", words.alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    terms = rows.select("id", "w", F.explode(starts).alias("i")).select("id", F.xxhash64(F.array_join(F.slice("w", F.col("i"), width), " ")).alias("term"))
-    return pairwise_jaccard(cut(terms.distinct()), least)
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    return similar_pairs(shingle_sets(first_of_class(rows, width), width), least)
 
 
 def _version(hashes: DataFrame) -> DataFrame:

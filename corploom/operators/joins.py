@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corploom.operators.lexicon import lexicon_terms, scan_terms
 from corploom.operators.overlap import overlap_sums, overlapping_pairs
-from corploom.session import small
+from corploom.operators.similar import similar_pairs
+from corploom.session import cut, small
 
 
 def assign_ids(catalog: DataFrame, known: DataFrame, key: str, minted: Column) -> DataFrame:
@@ -101,26 +102,16 @@ def pairwise_jaccard(sets: DataFrame, least: float = 0.0) -> DataFrame:
     """(a, b, jaccard) of classes a < b of (id, term) that share a term, from ``least`` on; see term_classes().
 
     Equal sets are one class, so copies give no pairs. With ``least`` above 0
-    only the rarest terms of a set are joined on: two sets that similar share
-    one of those. Without, the pairs come from products of blocks of classes
+    only the rarest terms of a set are shuffled: two sets that similar share
+    one of those (operators/similar.py). Without, the pairs come from products of blocks of classes
     (operators/overlap.py), which no frequent term can skew. Pairs without a
     common term have 0 and give no row.
     """
     _, classes = term_classes(sets)
     if least <= 0:
         return overlapping_pairs(classes)
-    size = F.size("terms")
-    terms = classes.select("rep", size.alias("n"), F.explode("terms").alias("term"))
-    times = terms.groupBy("term").agg(F.count("*").alias("times"))
-    ranked = terms.join(times, "term").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("times", "term"))).alias("t"))
-    kept = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    terms = ranked.select("rep", "n", F.inline(kept)).where("times > 1").select("rep", "n", "term")
-    left, right = terms.select(F.col("rep").alias("a"), F.col("n").alias("na"), "term"), terms.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "term")
-    pairs = left.join(right, "term").where("a < b")
-    pairs = pairs.where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
-    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("terms").alias("ta")), "a").join(classes.select(F.col("rep").alias("b"), F.col("terms").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
+    hashed = F.array_sort(F.array_distinct(F.transform("terms", lambda t: F.xxhash64(t))))
+    return similar_pairs(cut(classes.select(F.col("rep").alias("id"), hashed.alias("terms"))), least)
 
 
 def differentiation(ids: DataFrame, sets: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corploom import session
 from corploom.functions import text as T
-from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, overlap, pairing, project, quality, search, search_index
+from corploom.operators import chains, classify, extract, identity, inventory, joins, lines, merge, overlap, pairing, project, quality, search, search_index, similar
 from corploom.operators.apply import apply_cleaner
 from corploom.sources import keyed, readers, sinks
 from corploom.streaming import ingest
@@ -240,6 +240,50 @@ def test_near_copies(spark):
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)]
 
 
+def _shuffled_bytes(spark, df):
+    """Bytes that the stages of ``df``'s own plan write to shuffles (checkpoints taken before are not counted)."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    found, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.metrics().contains("shuffleBytesWritten"):
+            found += node.metrics().apply("shuffleBytesWritten").value()
+        if node.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            todo.append(node.plan())
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    return found
+
+
+def test_similar_pairs_of_a_large_group_and_odd_sets_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(60) for _ in range(40)]
+    group = [sorted({*base[: 40 - rng.randrange(4)], *(rng.getrandbits(60) for _ in range(rng.randrange(4)))}) for _ in range(60)]
+    others = [sorted({rng.randrange(30) for _ in range(rng.randrange(1, 12))}) for _ in range(120)]
+    sets = [list(x) for x in {tuple(s) for s in group + others}]
+    rows = [(f"d{i}", s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id string, terms array<long>")
+    for least in (0.5, 0.8, 1.0):
+        want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in rows for b, y in rows if a < b and len(set(x) & set(y)) >= least * len(set(x) | set(y))}
+        got = similar.similar_pairs(df, least).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == pytest.approx(want)
+
+
+def test_near_copies_shuffle_neither_unlike_texts_nor_pairs(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    core = text(400)
+    docs = [(i, text(400)) for i in range(300)] + [(1_000 + i, f"{core} v{i}") for i in range(200)] + [(2_000 + i, f"{core} V0") for i in range(50)] + [(900, core)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = inventory.near_copy_candidates(spark.read.parquet(str(tmp_path / "docs")))
+    assert df.count() == 201 * 200 // 2 and df.where("a = 900").count() == 200
+    bytes_of_pairs = 201 * 200 // 2 * 400 * 8
+    assert _shuffled_bytes(spark, df) < bytes_of_pairs / 50
+
+
 def test_merges_with_null_keys(spark):
     base = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "k long, v string")
     updates = spark.createDataFrame([(None, "N"), (3, "c")], "k long, v string")
