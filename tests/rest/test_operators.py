@@ -297,6 +297,23 @@ def test_merges_with_null_keys(spark):
 # -- checks, search, io ------------------------------------------------------------
 
 
+def test_a_search_shuffles_no_tokens_and_equals_the_index(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, rng.choice(["b", "a", None, "w3"]), text(rng.randrange(12))) for i in range(700)] + [(700, "c", None), (None, "a", "w1 w2")]
+    spark.createDataFrame(docs, "doc_id long, title string, text string").write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([(i, text(rng.randrange(5))) for i in range(40)] + [(99, "w3"), (98, "none of these")], "query_id long, query string")
+    weights = [("title", 5), ("text", 2)]
+    search_index.add_version(stored, weights, str(tmp_path / "index"), 1)
+    for k, least in ((3, 1), (20, 3)):
+        want = sorted(map(repr, map(tuple, search_index.search_index(spark, str(tmp_path / "index"), queries, k, least).collect())))
+        found = search.search(stored, queries, weights, k, least)
+        assert sorted(map(repr, map(tuple, found.collect()))) == want
+    assert _shuffled_bytes(spark, search.search(stored, queries, weights, 1)) < 20_000
+
+
 def test_relations(spark):
     edges = spark.createDataFrame([(1, 1, "s"), (1, 2, "s"), (2, 1, "s"), (2, 3, "s"), (1, 9, "o"), (8, 1, "o")], "from long, to long, type string")
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
