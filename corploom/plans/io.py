@@ -100,7 +100,7 @@ def publish_and_read(spark, d):
     """Whole documents published, published again (the same run), and read back against the catalog."""
     base = _folder(spark, "run")
     docs = table(spark, d, "documents")
-    first, again = K.publish_run(docs, "doc_id", base), K.publish_run(docs.repartition(3), "doc_id", base)
+    first, again = K.publish_run(docs, "doc_id", base), K.publish_run(K.redealt(docs), "doc_id", base)
     rows, violations = K.read_current_run(spark, base, "doc_id")
     report = spark.read.parquet(f"{base}/runs/{first}/report").select(F.col("n_rows").alias("n_reported"))
     counted = rows.agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("text")).alias("n_bytes"))

@@ -66,6 +66,11 @@ def run_id(df: DataFrame, key: str) -> DataFrame:
     return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "h"))), ","), 256).alias("run_id"))
 
 
+def redealt(df: DataFrame) -> DataFrame:
+    """The same rows in other partitions, whose bytes are bounded by spark.sql.adaptive.advisoryPartitionSizeInBytes and whose number grows with the rows."""
+    return df.hint("rebalance")
+
+
 def publish_run(df: DataFrame, key: str, root: str) -> str:
     """Writes rows, catalog, report and pointer under a content-addressed folder and returns the run id.
 

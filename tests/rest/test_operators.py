@@ -314,6 +314,17 @@ def test_a_search_shuffles_no_tokens_and_equals_the_index(spark, tmp_path):
     assert _shuffled_bytes(spark, search.search(stored, queries, weights, 1)) < 20_000
 
 
+def test_rows_dealt_anew_are_tasks_by_size(spark):
+    df = spark.range(400_000).repartition(8)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        parts = [len(p) for p in sinks.redealt(df).rdd.glom().map(lambda rows: [0] * len(rows)).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before or "64MB")
+    assert sum(parts) == 400_000 and len(parts) > 12 and max(parts) < 100_000
+
+
 def test_relations(spark):
     edges = spark.createDataFrame([(1, 1, "s"), (1, 2, "s"), (2, 1, "s"), (2, 3, "s"), (1, 9, "o"), (8, 1, "o")], "from long, to long, type string")
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
