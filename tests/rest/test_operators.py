@@ -325,6 +325,20 @@ def test_rows_dealt_anew_are_tasks_by_size(spark):
     assert sum(parts) == 400_000 and len(parts) > 12 and max(parts) < 100_000
 
 
+def test_nfkc_holds_one_slice_as_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", "\uff11\ufb01x", *("\ufb01\uff11 a" * 4_000 + str(i) for i in range(300))])
+    tracemalloc.start()
+    got = T.nfkc_array(texts, 1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[:4] == [None, "", "1fix", "fi1 a" * 4_000 + "0"] and len(got) == 303 and peak < 4 << 20
+    assert len(T.nfkc_array(texts.slice(0, 0))) == 0
+
+
 def test_relations(spark):
     edges = spark.createDataFrame([(1, 1, "s"), (1, 2, "s"), (2, 1, "s"), (2, 3, "s"), (1, 9, "o"), (8, 1, "o")], "from long, to long, type string")
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
