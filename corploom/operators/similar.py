@@ -37,7 +37,7 @@ FEW = 16
 SLICE_BYTES, WORDS = 16 << 20, 1 << 18
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     """64-bit hashes of words, those of recent ones kept."""
 
     def __missing__(self, word: bytes) -> int:
@@ -76,7 +76,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHashes()
+        memo = WordHashes()
         for batch in batches:
             for part in slices(batch, 1):
                 sets = [shingle_hashes(t.as_py().encode("utf-8", "surrogatepass").split(), width, memo) for t in part.column(1)]
