@@ -304,7 +304,7 @@ def chapter_counts(spark, d):
     SELECT chapter, count(*) AS n, round(avg(length(text)), 1) AS mean_chars, count(*) FILTER (length(text) >= 1000) AS n_long FROM documents JOIN classes USING (doc_id) GROUP BY chapter""")
 def curate_documents(spark, d):
     """Boilerplate lines go, short documents go, the rest is classified and summed up by chapter; one shuffle, of the sums."""
-    clean = _docs(spark, d).select("doc_id", L.strip_boilerplate(F.col("text"), LINE_PATTERNS).alias("text"))
+    clean = L.strip_documents(_docs(spark, d), LINE_PATTERNS)
     kept = L.doc_gate(clean, 120).withColumn("chapter", C.classify(F.col("text"), TAXONOMY))
     n = F.length("text")
     return kept.groupBy("chapter").agg(F.count("*").alias("n"), F.round(F.avg(n), 1).alias("mean_chars"), F.count_if(n >= 1000).alias("n_long"))

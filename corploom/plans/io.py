@@ -112,11 +112,11 @@ def publish_and_read(spark, d):
     documents AS (SELECT min(doc_id) AS doc_id, text FROM joined WHERE length(text) >= 120 GROUP BY text), {CLASSIFY_SQL}
     SELECT chapter, count(*) AS n FROM classes GROUP BY chapter""")
 def ingest_stream(spark, d):
-    """Documents arrive as four files, one a batch; what a batch or an earlier one has already is dropped."""
+    """Documents arrive in four batches; what a batch or an earlier one has already is dropped."""
     source, catalog, marks = (_folder(spark, x) for x in ("arriving", "catalog", "marks"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(4, "doc_id").write.parquet(source)
-    G.ingest_stream(spark, source, catalog, marks, docs.schema, files_per_batch=1).awaitTermination()
+    files = G.write_arrivals(docs, source, 4, "doc_id")
+    G.ingest_stream(spark, source, catalog, marks, docs.schema, files_per_batch=files).awaitTermination()
     return spark.read.parquet(catalog).groupBy("chapter").agg(F.count("*").alias("n"))
 
 
@@ -127,11 +127,11 @@ def apply_cleaner_(spark, d):
 
 @register("dedup_stream", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 def dedup_stream(spark, d):
-    """Events as a stream of four files, one a batch: a user's repeats of an event type are dropped, also those of earlier batches."""
+    """Events as a stream of four batches: a user's repeats of an event type are dropped, also those of earlier batches."""
     source, out, marks = (_folder(spark, x) for x in ("events", "fresh", "marks"))
     events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    events.repartition(4, "event_id").write.parquet(source)
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("fingerprint", F.concat_ws("|", "user_id", "event_type"))
+    files = G.write_arrivals(events, source, 4, "event_id")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source).withColumn("fingerprint", F.concat_ws("|", "user_id", "event_type"))
     fresh = G.dedup_stream(rows, late="36500 days")  # no state ends
     query = G.start_with_state(fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True), spark)
     query.awaitTermination()

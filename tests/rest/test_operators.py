@@ -556,6 +556,38 @@ def test_streams_drop_copies_of_earlier_batches_and_after_a_restart(spark, tmp_p
     assert spark.conf.get(ingest.PROVIDER) != ingest.ROCKSDB
 
 
+def test_batches_of_arrivals_have_files_for_each_part_of_the_table(spark, tmp_path):
+    text = F.concat(F.lit("document "), (F.col("id") % 500).cast("string"), F.lit(" with enough letters to pass the gate" * 5))
+    docs = spark.range(0, 2_000, 1, 6).select(F.col("id").alias("doc_id"), text.alias("text"))
+    for name, rows, per_batch in (("all", docs, 6), ("one", docs.coalesce(1), 1), ("none", docs.where("false"), 1)):
+        source, catalog, marks = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "marks"))
+        assert ingest.write_arrivals(rows, source, 4, "doc_id") == per_batch
+        query = ingest.ingest_stream(spark, source, catalog, marks, docs.schema, files_per_batch=per_batch)
+        query.awaitTermination()
+        if name != "none":
+            assert sorted(p.name for p in (tmp_path / f"{name}-out").iterdir()) == [f"batch={i}" for i in range(4)]
+            assert len(list((tmp_path / f"{name}-in").glob("*.parquet"))) == 4 * per_batch
+            held = spark.read.parquet(catalog).select("text")
+            assert held.count() == held.distinct().count() == 500
+
+
+def test_documents_are_stripped_once_though_a_gate_follows(spark, sf_dir):
+    from corploom.plans import QUERIES
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for df in (ingest.curate(docs), QUERIES["curate_documents"](spark, sf_dir)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+
+
+def test_stripping_takes_blanks_tabs_and_lf_from_the_ends_only(spark):
+    from corploom.rules import LINE_PATTERNS
+
+    cases = {" \t\nab \n\t": "ab", "ab \r\n": "ab \r", "ab \u2028": "ab \u2028", "ab \u0085": "ab \u0085", "\u00a0ab\u00a0 ": "\u00a0ab\u00a0", " \n\n\n\n\n ": "", "": "", "a\n\n\n\n\nb\n### c\n": "a\n\n\nb", None: None}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    for got in (df.withColumn("text", lines.strip_boilerplate(F.col("text"), LINE_PATTERNS)), lines.strip_documents(df, LINE_PATTERNS)):
+        assert got.columns == ["doc_id", "text"] and [r["text"] for r in got.orderBy("doc_id").collect()] == list(cases.values())
+
+
 # -- keyed tables, versions, pairs, hosts, JSON ------------------------------------------------------------
 
 
