@@ -39,8 +39,10 @@ UNIT_WORDS, UNIT_ENDINGS, FIRST_WORDS, LOOKUP = 20_000, 500, 1_000, 100_000
 CLASSES, ROUNDS = 64, 3
 #: Distinct words that a task counts before it passes the counts on.
 HELD = 200_000
-#: Units in a row of sums.
-BLOCK = 256
+#: Bytes of texts that a task splits at once; numbers that it looks up at once.
+SPLIT_BYTES, AT_ONCE = 4 << 20, 1 << 18
+#: Cells of a matrix in a row of sums; a cell's place in it takes two bytes.
+CELLS = 1 << 15
 #: The token at the end of each text; no word is empty.
 END = b""
 
@@ -229,7 +231,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-        for _, texts in texts_of(batches):
+        for _, texts in texts_of(batches, most=SPLIT_BYTES):
             for text in texts:
                 counts.update(tokens(text))
                 if len(counts) > HELD:
@@ -284,13 +286,12 @@ def encoded(docs: DataFrame, units: Units, train: Column, id_col: str = "doc_id"
     rare has the words that tasks don't hold, each with its times in the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(units)  # at most LOOKUP words and the endings
-    word = pa.struct([("word", pa.binary()), ("times", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = shared.value
         known, memo = u.numbers.get, {}
-        for part, texts in texts_of(batches, 3):
-            sizes, numbers, rare = [], [], []
+        for part, texts in texts_of(batches, 3, SPLIT_BYTES):
+            sizes, numbers, rare, times, ends = [], [], [], [], [0]
             for text in texts:
                 words = tokens(text)
                 found = list(map(known, words))
@@ -308,10 +309,13 @@ def encoded(docs: DataFrame, units: Units, train: Column, id_col: str = "doc_id"
                             found[i] = number
                 sizes.append(len(found))
                 numbers.append(np.array(found, np.int32))
-                rare.append([{"word": w, "times": n} for w, n in open_.items()])
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int32)))
-            yield arrow_rows(part, (0, 1, 2), ["_row", "doc_id", "train", "n_tokens", "numbers", "rare"], [pa.array(sizes, pa.int64()), lists, pa.array(rare, pa.list_(word))])
+                rare.extend(open_)
+                times.extend(open_.values())
+                ends.append(len(rare))
+            starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int32)))
+            open_words = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
+            yield arrow_rows(part, (0, 1, 2), ["_row", "doc_id", "train", "n_tokens", "numbers", "rare"], [pa.array(sizes, pa.int64()), lists, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), open_words)])
 
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_or_empty(text_col).alias("_text"))).select("_row", "doc_id", "train", "_text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -324,64 +328,58 @@ def _flat(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False)
 
 
-#: Numbers that a task adds up at a time.
-ADDED = 1 << 21
-
-
-def _block_sums(texts: DataFrame, add: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """The sum over all training texts of the matrix of ``width`` columns that ``add`` makes of numbers in a row.
+def _block_sums(texts: DataFrame, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all training texts of the matrix to which ``add`` adds, in place and flat, numbers and those before them.
 
     Each text ends with the end, so texts in a row lead each other in. Tasks add
-    up all of theirs and pass on blocks of rows, of which only the cells above
-    0; their sums are added in two levels, so that no group has more than about
-    twice the square root of the tasks' number.
+    up all of theirs in one matrix and pass on blocks of ``CELLS`` cells, of
+    which only those above 0, in as few bytes as their counts need; their sums
+    are added in two levels, so that no group has more than about twice the
+    square root of the tasks' number.
     """
+    size = shape[0] * shape[1]
 
     def packed(block: int, sums: np.ndarray) -> tuple[int, bytes, bytes]:
         at = np.flatnonzero(sums)
-        return block, at.astype(np.int32).tobytes(), sums.ravel()[at].astype(np.int64).tobytes()
+        n = sums[at]
+        return block, at.astype(np.uint16).tobytes(), n.astype(np.min_scalar_type(n.max(initial=0))).tobytes()
+
+    def unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return (cells := np.frombuffer(at, np.uint16)), np.frombuffer(n, f"u{len(n) // len(cells)}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = None, [], 0
+        total, last = np.zeros(size, np.int64), 0
         for batch in batches:
-            held.append(_flat(batch.column(0)))
-            size += len(held[-1])
-            if size >= ADDED:
-                found = add(np.concatenate(held))
-                total, held, size = found if total is None else total + found, [], 0
-        if size:
-            found = add(np.concatenate(held))
-            total = found if total is None else total + found
-        for start in range(0, 0 if total is None else len(total), BLOCK):
-            block, at, n = packed(start // BLOCK, total[start : start + BLOCK])
+            numbers = _flat(batch.column(0))
+            for start in range(0, len(numbers), AT_ONCE):
+                now = numbers[start : start + AT_ONCE]
+                add(total, _before(now, last), now)
+                last = now[-1]
+        for start in range(0, size, CELLS):
+            block, at, n = packed(start // CELLS, total[start : start + CELLS])
             if at:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at], pa.binary()), pa.array([n], pa.binary())], names=["block", "at", "n"])
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK * width, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        total = np.zeros(CELLS, np.int64)
+        for row in zip(pdf["at"], pdf["n"], strict=True):
+            at, n = unpacked(*row)
+            total[at] += n.astype(np.int64)
         return pd.DataFrame([packed(pdf["block"].iloc[0], total)], columns=["block", "at", "n"])
 
     schema = "block int, at binary, n binary"
     parts = texts.where("train").select("numbers").mapInArrow(run, schema)
     once = parts.withColumn("salt", F.floor(F.sqrt(F.spark_partition_id()))).groupBy("block", "salt").applyInPandas(together, schema)
-    rows = once.groupBy("block").applyInPandas(together, schema).toArrow().to_pylist()  # at most the cells of the matrix
-    out = np.zeros(((max((r["block"] for r in rows), default=0) + 1) * BLOCK, width), np.int64)
-    for r in rows:
-        start = r["block"] * BLOCK * width
-        out.ravel()[start + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
-    return out
+    out = np.zeros(size, np.int64)
+    for r in once.groupBy("block").applyInPandas(together, schema).toArrow().to_pylist():  # at most the cells of the matrix
+        at, n = unpacked(r["at"], r["n"])
+        out[r["block"] * CELLS + at.astype(np.int64)] = n
+    return out.reshape(shape)
 
 
-def _before(units: np.ndarray) -> np.ndarray:
-    """What comes before each of some texts' tokens in a row."""
-    return np.concatenate([np.zeros(1, units.dtype), units[:-1]])
-
-
-def _rows(found: np.ndarray, n: int) -> np.ndarray:
-    """Exactly n rows."""
-    return np.concatenate([found, np.zeros((max(0, n - len(found)), found.shape[1]), found.dtype)])[:n]
+def _before(units: np.ndarray, first: int = 0) -> np.ndarray:
+    """What comes before each of some texts' tokens in a row; ``first``, the end unless given, before the first."""
+    return np.concatenate([np.array([first], units.dtype), units[:-1]])
 
 
 def first_pairs(texts: DataFrame, units: Units) -> np.ndarray:
@@ -389,29 +387,26 @@ def first_pairs(texts: DataFrame, units: Units) -> np.ndarray:
     shared = texts.sparkSession.sparkContext.broadcast(units.first[units.unit].astype(np.int64))
     n = units.firsts
 
-    def add(numbers: np.ndarray) -> np.ndarray:
-        u = shared.value[numbers]
-        return np.bincount(_before(u) * n + u, minlength=n * n).reshape(n, n)
+    def add(total: np.ndarray, before: np.ndarray, numbers: np.ndarray) -> None:
+        of_ = shared.value
+        np.add.at(total, of_[before] * n + of_[numbers], 1)
 
-    return _rows(_block_sums(texts, add, n), n).astype(float)
+    return _block_sums(texts, add, (n, n)).astype(float)
 
 
 def context_counts(texts: DataFrame, units: Units, of: np.ndarray, classes: int) -> np.ndarray:
     """A row for each unit: how often each class is behind it, before it, and it behind itself."""
     shared = texts.sparkSession.sparkContext.broadcast((units.unit.astype(np.int64), of))  # bounded by LOOKUP and the units
-    n = units.size
+    width = 2 * classes + 1
 
-    def add(numbers: np.ndarray) -> np.ndarray:
+    def add(total: np.ndarray, before: np.ndarray, numbers: np.ndarray) -> None:
         unit, of_ = shared.value
-        u = unit[numbers]
-        before = _before(u)
-        found = np.empty((n, 2 * classes + 1), np.int64)
-        found[:, :classes] = np.bincount(before * classes + of_[u], minlength=n * classes).reshape(n, classes)
-        found[:, classes:-1] = np.bincount(u * classes + of_[before], minlength=n * classes).reshape(n, classes)
-        found[:, -1] = np.bincount(u[u == before], minlength=n)
-        return found
+        a, b = unit[before], unit[numbers]
+        np.add.at(total, a * width + of_[b], 1)
+        np.add.at(total, b * width + classes + of_[a], 1)
+        np.add.at(total, b[a == b] * width + 2 * classes, 1)
 
-    return _rows(_block_sums(texts, add, 2 * classes + 1), n)
+    return _block_sums(texts, add, (units.size, width))
 
 
 def fit(texts: DataFrame, units: Units, open_sizes: np.ndarray, total: int, distinct: int, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
@@ -457,14 +452,18 @@ def score(texts: DataFrame, model: Model, counts: DataFrame, total: int) -> Data
         of = m.of[u.unit]
         held = ranked & (u.counts > 0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            numbers = _flat(batch.column(4))
-            starts = np.concatenate([[0], np.cumsum(batch.column(3).to_numpy())[:-1]])
-            classes = of[numbers]
-            inside = np.add.reduceat(own[numbers] + m.step[_before(classes), classes], starts)
-            columns = [np.add.reduceat(held[numbers].astype(np.int64), starts), np.add.reduceat(logs[numbers], starts), inside]
-            yield arrow_rows(batch, (0, 1, 2, 3), ["_row", "doc_id", "train", "n_tokens", "known", "base", "inside"], [pa.array(x) for x in columns])
+            ends, start = np.cumsum(batch.column(3).to_numpy()), 0
+            while start < batch.num_rows:
+                begun = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, begun + AT_ONCE, "right")))
+                part = batch.slice(start, stop - start)
+                numbers = _flat(part.column(4))
+                starts = np.concatenate([[0], ends[start : stop - 1] - begun])
+                classes = of[numbers]
+                inside = np.add.reduceat(own[numbers] + m.step[_before(classes), classes], starts)
+                columns = [np.add.reduceat(held[numbers].astype(np.int64), starts), np.add.reduceat(logs[numbers], starts), inside]
+                yield arrow_rows(part, (0, 1, 2, 3), ["_row", "doc_id", "train", "n_tokens", "known", "base", "inside"], [pa.array(x) for x in columns])
+                start = stop
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     parts = texts.select("_row", "doc_id", "train", "n_tokens", "numbers").mapInArrow(run, f"_row long, doc_id {kind}, train boolean, n_tokens long, known long, base double, inside double")

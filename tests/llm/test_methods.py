@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -759,6 +760,48 @@ def test_pairs_and_contexts_by_brute_force(spark):
     assert (brown_ngrams.context_counts(texts, units, of, 5) == around).all()
 
 
+def test_a_task_of_sums_holds_little_and_passes_on_small_rows(spark):
+    class Taken(Exception):
+        pass
+
+    class Texts:
+        sparkSession = spark
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, schema):
+            raise Taken(run)
+
+    n, rng = 1_500, np.random.default_rng(0)
+    units = brown_ngrams.Units({}, {}, n, np.ones(n, np.int64), np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32), n)
+    numbers = rng.integers(0, n, 4_000_000).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.array(numbers))], names=["numbers"])
+    for sums in (lambda x: brown_ngrams.first_pairs(x, units), lambda x: brown_ngrams.context_counts(x, units, np.arange(n) % 64, 64)):
+        with pytest.raises(Taken) as taken:
+            sums(Texts())
+        tracemalloc.start()
+        largest = max(row.nbytes for row in taken.value.args[0]([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert largest < 400_000 and peak < 60_000_000
+
+
+def test_long_and_many_texts_are_scored_alike(spark, stored, monkeypatch):
+    """However texts fall into slices: those of a few numbers, of some bytes, and all at once."""
+    texts = ["a b c A d", "", None, "x " * 500, *(f"a b w{i} w{i}" for i in range(40)), "c d"]
+    docs = table(spark, stored({"documents": ([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")}), "documents")
+    got = []
+    for bytes_, numbers in [(4 << 20, 1 << 18), (50, 3), (1, 1)]:
+        monkeypatch.setattr(brown_ngrams, "SPLIT_BYTES", bytes_, raising=False)
+        monkeypatch.setattr(brown_ngrams, "AT_ONCE", numbers, raising=False)
+        rows, _, _ = brown_ngrams.score_documents(docs, F.col("doc_id") != 5, unit_words=3, unit_endings=2, lookup=5, classes=4)
+        got.append(sorted(map(tuple, rows.drop("_row").collect())))
+    assert len(got[0]) == len(texts) and got[0] == got[1] == got[2]
+
+
 def test_all_units_move_and_the_likelihood_grows(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     docs, got = table(spark, MEDIUM, "documents"), {}
