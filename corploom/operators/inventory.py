@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.functions.text import norm_name
-from corploom.operators.similar import first_of_class, shingle_sets, similar_pairs
+from corploom.operators.similar import similar_pairs
 from corploom.session import cut, small
 
 
@@ -136,11 +136,10 @@ def near_copy_candidates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
 
     Equal texts, and texts with the same shingles, are one class, represented by
     the least id, so copies give no pairs; a pair of different texts is a result
-    of its own and none is dropped. The pairs are exact (see operators/similar.py);
-    texts without words give none. ``docs`` are stored: they are read several times.
+    of its own and none is dropped. Similarities are exact (see operators/similar.py);
+    texts without words give none. ``docs`` are stored: they are read three times.
     """
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    return similar_pairs(shingle_sets(first_of_class(rows, width), width), least)
+    return similar_pairs(docs.select(F.col("doc_id").alias("id"), "text"), least, width)
 
 
 def _version(hashes: DataFrame) -> DataFrame:

@@ -1,40 +1,54 @@
-"""All pairs of sets of at least a given Jaccard similarity, exactly, without a shuffle of pairs or of all sets.
+"""All pairs of sets of at least a given Jaccard similarity, without a shuffle of pairs or of all sets.
 
 Two sets that similar share one of the first terms of each, in any order of all terms;
-the order here is by how full a term's bucket is, so frequent terms come last. Only
-those first terms are shuffled, each with a sketch of its set: 64 counts, whose
-distance is at most that of the sets, so a pair further apart than allowed is no
-candidate. Tasks give stars of the candidates they join, in proportion to their rows.
-The sets of each component of candidates then meet in pairs of bounded blocks, where
-all their pairs are decided by exact similarity.
+the order here is by how full a term's bucket is, so frequent terms come last. A large
+set's first terms are those of the ``SAMPLE`` terms of least hash. Terms go with a
+64-bit code of their set; only those that two codes share are shuffled once more, each
+with a sketch of its set: 64 counts, whose distance is at most that of the sets, and the
+least hash of each of ``BINS`` parts of the set, of which similar sets share many. Tasks
+give stars of the candidates they join, in proportion to their rows. The sets of each
+component of candidates then meet in pairs of bounded blocks, where all their pairs are
+decided by exact similarity.
+
+Sets are told apart by hashes of 64 bits, of terms and of whole sets. Sample and parts
+add to that a chance of at most 2**-64 each, for any pair similar enough, to miss it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corploom.operators.components import components, own_exchange
 from corploom.operators.overlap import common_terms
 from corploom.session import cut
 
-#: Buckets whose terms are counted for the order of terms: 4 MB that go to the tasks.
-BUCKETS = 1 << 20
+#: Buckets whose terms are counted for the order of terms, and those of a row of counts.
+BUCKETS, COUNTED = 1 << 20, 1 << 12
 #: Terms, and sets, of a block that is compared with another.
 BLOCK_TERMS, BLOCK_SETS = 1 << 20, 2048
 #: Rows of first terms, and pairs of sketches, that a task holds at a time.
-ROWS, PAIRS = 1 << 17, 1 << 18
-#: Rows of 16 bytes that are broadcast; against more, texts or sets are shuffled.
+ROWS, PAIRS = 1 << 17, 1 << 16
+#: Rows that are broadcast; against more, the sets that the screen lets through are shuffled.
 SENT = 1_000_000
+#: Bits of the screen for sets of candidates: 8 MB; with more candidates it lets more through, to the same result.
+SCREEN = 1 << 26
 #: Sets with a term whose pairs are all looked at; in more, those of one tree are skipped.
 FEW = 16
+#: Terms of least hash that stand for a large set, and parts of a set in its sketch.
+SAMPLE, BINS = 128, 128
+#: What tells first terms of samples from those of whole sets.
+SALT = np.uint64(0xA24BAED4963EE407)
 #: Bytes of texts sliced off a batch at a time, and different words remembered.
 SLICE_BYTES, WORDS = 16 << 20, 1 << 18
+#: Sets that a task remembers, to give the terms of equal ones once.
+SEEN = 1 << 18
 
 
 class WordHashes(dict):
@@ -71,72 +85,170 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         start += rows
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, terms) of (id, text): the hashes of a text's word shingles in lower case, in one narrow pass; texts without words give no row."""
-    kind = docs.schema["id"].dataType.simpleString()
+def sure(n: int, least: float) -> int:
+    """How many of n terms drawn from the union of two sets of similarity ``least`` both have, at least; fewer by a chance of at most 2**-64 (Hoeffding's bound)."""
+    if least >= 1:
+        return n
+    found = 0
+    for more in range(1, n + 1):
+        x = (more - 1) / n
+        gap = (x * math.log(x / least) if x else 0) + (1 - x) * math.log((1 - x) / (1 - least))
+        if x < least and n * gap >= 64 * math.log(2):
+            found = more
+    return found
+
+
+def _spread(terms: np.ndarray) -> np.ndarray:
+    """The set of 64-bit terms, each in place of another one, which no pattern of the terms shows (a bijection), in order."""
+    x = terms.astype(np.int64, copy=False).view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(x ^ (x >> np.uint64(31)))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            for part in slices(batch, 1):
-                sets = [shingle_hashes(t.as_py().encode("utf-8", "surrogatepass").split(), width, memo) for t in part.column(1)]
-                full = pa.array([len(s) > 0 for s in sets], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "terms"]).filter(full)
 
-    return docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"id {kind}, terms array<long>")
+def _code(terms: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(terms.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def set_key() -> list[Column]:
-    """Two hashes that tell sets of (terms) apart."""
-    return [F.xxhash64("terms").alias("k1"), F.xxhash64(F.lit(1), "terms").alias("k2")]
+def _sets(width: int | None) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]]:
+    """What makes of a batch of (id, terms) or, with a width, (id, text) parts of it with their rows' sets."""
+    memo = WordHashes()
 
+    def one(x: pa.Scalar) -> np.ndarray:
+        if width is None:
+            return _spread(x.values.drop_null().to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64))
+        return _spread(shingle_hashes(x.as_py().encode("utf-8", "surrogatepass").split(), width, memo))
 
-def first_of_class(docs: DataFrame, width: int) -> DataFrame:
-    """(id, text) of (id, text) without the rows whose shingle set one of a smaller id has: only ids of dropped rows are shuffled, unless they are too many to broadcast."""
-    # The text's hash goes along in place of its id, which two texts might share.
-    named = docs.select(F.struct("id", F.xxhash64("text").alias("t")).alias("id"), "text")
-    marks = cut(shingle_sets(named, width).select("id", *set_key()))
-    least = marks.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = cut(marks.join(own_exchange(least, "k1"), ["k1", "k2"]).where("id > least").select(F.col("id.id").alias("_id"), F.col("id.t").alias("_t")).distinct())
-    if gone.count() <= SENT:
-        gone = F.broadcast(gone)
-    return docs.join(gone, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    return lambda batch: ((part, (one(x) for x in part.column(1))) for part in slices(batch, 1))
 
 
 def _bucket(terms: np.ndarray) -> np.ndarray:
-    return terms & (BUCKETS - 1)
+    return (terms & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _counts(rows: DataFrame, width: int | None) -> np.ndarray:
+    """How many terms fall into each bucket. A task gives a row for ``COUNTED`` buckets, in as few bytes as hold its counts."""
+
+    def unpacked(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, f"u{len(x) // COUNTED}").astype(np.uint32)
 
+    def packed(at: Iterable[int], tallies: Iterable[np.ndarray]) -> pa.RecordBatch:
+        of = [t.astype(next(k for k in ("u1", "u2", "u4") if t.max() <= np.iinfo(k).max)).tobytes() for t in tallies]
+        return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array(of, pa.binary())], names=["at", "counts"])
 
-def _counts(sets: DataFrame) -> np.ndarray:
-    """How many terms fall into each bucket."""
-    found = sets.select(F.explode("terms").alias("t")).select(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
-    rows = found.groupBy("b").agg(F.count("*").alias("n")).toArrow()  # at most BUCKETS
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["b"].to_numpy()] = rows["n"].to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, found, held, n = _sets(width), np.zeros(BUCKETS, np.uint32), [], 0
+        for batch in batches:
+            for _, sets in make(batch):
+                for terms in sets:
+                    held.append(_bucket(terms))
+                    n += len(terms)
+                    if n >= BUCKETS:
+                        found += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
+                        held, n = [], 0
+        if held:
+            found += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.uint32)
+        yield packed(range(BUCKETS // COUNTED), found.reshape(-1, COUNTED))
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums[at] + unpacked(x) if at in sums else unpacked(x)
+        yield packed(sums, sums.values())
 
+    kind = "at int, counts binary"
+    found = rows.mapInArrow(count, kind).repartition("at").mapInArrow(add, kind).toArrow()  # BUCKETS counts
+    out = np.zeros((BUCKETS // COUNTED, COUNTED), np.uint32)
+    for at, x in zip(found["at"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        out[at] = unpacked(x)
+    return out.ravel()
 
-def _first_terms(sets: DataFrame, least: float) -> DataFrame:
-    """(term, code, n, sketch): of each set the terms of which a set as similar has one."""
-    shared = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+def _first(terms: np.ndarray, counts: np.ndarray, least: float, shared: int) -> np.ndarray:
+    """The first terms of a set: one is in those of any set as similar.
+
+    Sets of up to ``whole`` terms take them from all, those larger from their sample,
+    of which two sets have ``shared`` in common; sets that may be similar to both do both.
+    """
+    n = len(terms)
+    whole = (SAMPLE - shared + 1) / (1 - least) if shared and least < 1 else math.inf
+    found = []
+    if n <= whole:
+        order = np.lexsort((terms, counts[_bucket(terms)]))
+        found.append(terms[order[: n - math.ceil(n * least - 1e-9) + 1]])
+    if n >= whole * least - 1:
+        some = terms[:SAMPLE]
+        order = np.lexsort((some, counts[_bucket(some)]))
+        found.append(some[order[: SAMPLE - shared + 1]] ^ SALT)
+    return np.concatenate(found)
+
+
+def _sketch(terms: np.ndarray) -> bytes:
+    """64 counts and, for BINS parts of the hashes, what is left of the least (0: none), in 4 bits each."""
+    tally = (np.bincount(((terms >> np.uint64(40)) & np.uint64(63)).astype(np.int64), minlength=64) & 15).astype(np.uint8)
+    part = (terms >> np.uint64(64 - int(math.log2(BINS)))).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    bins = np.zeros(BINS, np.uint8)
+    bins[part[head]] = terms[head] % np.uint64(15) + np.uint64(1)
+    both = np.concatenate([tally, bins])
+    return (both[::2] | both[1::2] << 4).tobytes()
+
+
+def unpacked_sketches(sketches: list[bytes]) -> np.ndarray:
+    """A row for each of _sketch()."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.stack([rows & 15, rows >> 4], axis=2).reshape(len(sketches), -1)
+
+
+def _signatures(rows: DataFrame, least: float, width: int | None) -> DataFrame:
+    """(id, code, n, firsts, sketch) of each set that isn't empty; the last two are null where the task has had an equal set."""
+    kind = rows.schema["id"].dataType.simpleString()
+    shared, counted = sure(SAMPLE, least), rows.sparkSession.sparkContext.broadcast(_counts(rows, width))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        make, counts, seen = _sets(width), counted.value, set()
         for batch in batches:
-            for part in slices(batch, 1):
-                lists, codes = part.column(1), part.column(0).to_numpy()
-                size = lists.value_lengths().to_numpy().astype(np.int64)
-                terms, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((terms, counts[_bucket(terms)], row))
-                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                kept = place < np.repeat(size - np.ceil(size * least - 1e-9).astype(np.int64) + 1, size)
-                cell = row * 64 + (terms.view(np.uint64) >> np.uint64(58)).astype(np.int64)
-                tally = (np.bincount(cell, minlength=64 * len(size)) & 15).astype(np.uint8).reshape(-1, 64)
-                sketch = pa.array([x.tobytes() for x in tally[:, ::2] | tally[:, 1::2] << 4], pa.binary())
-                at = row[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(terms[order][kept]), pa.array(codes[at]), pa.array(size[at].astype(np.int32)), sketch.take(pa.array(at))], names=["term", "code", "n", "sketch"])
-
-    return sets.select("code", "terms").mapInArrow(run, "term long, code long, n int, sketch binary")
+            for part, sets in make(batch):
+                codes, sizes, firsts, sketches = [], [], [], []
+                for terms in sets:
+                    code = _code(terms)
+                    new = len(terms) > 0 and code not in seen
+                    if new:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(code)
+                    codes.append(code)
+                    sizes.append(len(terms))
+                    firsts.append(_first(terms, counts, least, shared).view(np.int64) if new else None)
+                    sketches.append(_sketch(terms) if new else None)
+                columns = [part.column(0), pa.array(codes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "n", "firsts", "sketch"]).filter(pa.array([n > 0 for n in sizes], pa.bool_()))
+
+    return rows.mapInArrow(run, f"id {kind}, code long, n int, firsts array<long>, sketch binary")
+
+
+def _shared(firsts: DataFrame) -> DataFrame:
+    """The distinct (term, code) whose term has another code too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, code, given = np.zeros(0, np.int64), np.zeros(0, np.int64), True  # the last row, and whether it was given
+        for batch in batches:
+            had = len(term)
+            term, code = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((term, code)))
+            new = np.concatenate([[True] * min(len(term), 1), (term[1:] != term[:-1]) | (code[1:] != code[:-1])])
+            term, code = term[new], code[new]
+            if not len(term):
+                continue
+            same = term[1:] == term[:-1]
+            good = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            last = bool(good[-1]) or (len(term) == 1 and had > 0 and given)
+            if had and given:
+                good[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(term[good]), pa.array(code[good])], names=["term", "code"])
+            term, code, given = term[-1:], code[-1:], last
+
+    return firsts.select("term", "code").repartition("term").sortWithinPartitions("term", "code").mapInArrow(run, "term long, code long")
 
 
 class _Trees:
@@ -160,15 +272,22 @@ class _Trees:
 
 
 def candidate_stars(term: np.ndarray, code: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v) codes as stars that join all rows of one term (in order) which may be as similar by size and sketch (64 columns)."""
+    """(u, v) codes as stars that join all rows of one term (in order) which may be as similar by size and sketch."""
     codes, first, own = np.unique(code, return_index=True, return_inverse=True)
-    size, tally, trees = n[first].astype(np.float64), sketch[first], _Trees(len(codes))
+    size, tally, bins, trees = n[first].astype(np.float64), sketch[first, :64], sketch[first, 64:], _Trees(len(codes))
+    enough = np.array([sure(k, least) for k in range(BINS + 1)])
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = (tally[a] - tally[b]) & 15
+        a, b = np.broadcast_arrays(a, b)
+        good = (size[a] >= least * size[b] - 1e-6) & (size[b] >= least * size[a] - 1e-6)
+        x, y = a[good], b[good]
+        d = (tally[x] - tally[y]) & 15
         far = np.minimum(d, 16 - d).sum(axis=-1, dtype=np.int64)
-        both = size[a] + size[b]
-        return (size[a] >= least * size[b] - 1e-6) & (size[b] >= least * size[a] - 1e-6) & (far <= both * (1 - least) / (1 + least) + 1e-6)
+        good[good] = close = far <= (size[x] + size[y]) * (1 - least) / (1 + least) + 1e-6
+        p, q = bins[x[close]], bins[y[close]]
+        either, same = np.count_nonzero(p | q, axis=-1), np.count_nonzero((p == q) & (p > 0), axis=-1)
+        good[good] = same >= enough[either]
+        return good
 
     starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
     sizes = np.diff(np.append(starts, len(term)))
@@ -213,9 +332,8 @@ def _candidates(firsts: DataFrame, least: float) -> DataFrame:
     """(u, v): stars of what may be as similar, of each stretch of a task's terms."""
 
     def stars(rows: pa.Table) -> pa.RecordBatch:
-        packed = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, 32)
-        tally = np.concatenate([packed & 15, packed >> 4], axis=1)
-        u, v = candidate_stars(rows["term"].to_numpy(), rows["code"].to_numpy(), rows["n"].to_numpy(), tally, least)
+        sketches = unpacked_sketches(rows["sketch"].to_pylist())
+        u, v = candidate_stars(rows["term"].to_numpy(), rows["code"].to_numpy(), rows["n"].to_numpy(), sketches, least)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,23 +356,63 @@ def _candidates(firsts: DataFrame, least: float) -> DataFrame:
     return firsts.repartition("term").sortWithinPartitions("term").mapInArrow(run, "u long, v long")
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) of all a < b of (id, terms) whose similarity is ``least`` (above 0) or more; ids, and sets, are distinct, terms are 64-bit.
+def _screen(codes: DataFrame) -> np.ndarray:
+    """Bits of which each of ``codes`` has set one."""
+    place = F.col("code").bitwiseAND(F.lit(SCREEN - 1)).alias("place")
+    words = codes.select(place).groupBy(F.expr("place div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("bits"))
+    rows = words.toArrow()  # at most SCREEN / 64
+    out = np.zeros(SCREEN // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def _screened_sets(rows: DataFrame, width: int | None, codes: DataFrame) -> DataFrame:
+    """(id, code, terms) of the sets with one of ``codes``, and of some others."""
+    kind = rows.schema["id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(_screen(codes))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, bits = _sets(width), shared.value
+        for batch in batches:
+            for part, sets in make(batch):
+                kept, codes, found = [], [], []
+                for k, terms in enumerate(sets):
+                    code = _code(terms)
+                    if int(bits[(code & (SCREEN - 1)) >> 6]) >> (code & 63) & 1:
+                        kept.append(k)
+                        codes.append(code)
+                        found.append(terms.view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(codes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "code", "terms"])
+
+    return rows.mapInArrow(run, f"id {kind}, code long, terms array<long>")
+
+
+def similar_pairs(rows: DataFrame, least: float, width: int | None = None) -> DataFrame:
+    """(a, b, jaccard) of all a < b of (id, terms) whose similarity is ``least`` (above 0) or more; terms are 64-bit.
 
-    ``sets`` is read three times: stored rows or a narrow pass over some.
+    With a ``width``, ``rows`` are (id, text), and a set is a text's runs of so many
+    words in lower case. Equal sets are one, named by the least id; empty ones give no
+    pairs. ``rows`` are read three times: stored rows or a narrow pass over some.
     """
-    kind = sets.schema["id"].dataType.simpleString()
-    named = sets.withColumn("code", F.xxhash64("id"))
-    of = components(_candidates(_first_terms(named, least), least))
-    members = cut(of.withColumnRenamed("u", "code"))
-    held = cut(named.join(F.broadcast(members) if members.count() <= SENT else members, "code").select("id", "code", "component", "terms"))
-    load = F.greatest(F.ceil(F.sum(F.size("terms")) / BLOCK_TERMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
-    blocks = held.groupBy("component").agg(load.alias("blocks"))
-    joined = held.join(own_exchange(blocks, "component"), "component").withColumn("own", F.pmod(F.xxhash64("code", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = joined.select("component", "own", "id", "terms", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "terms")
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.select("id", "terms" if width is None else F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    signed = cut(_signatures(rows, least, width))
+    full = signed.where("firsts IS NOT NULL")
+    shared = _shared(full.select(F.explode("firsts").alias("term"), "code"))
+    drawn = shared.join(full.select("code", "n", "sketch").dropDuplicates(["code"]), "code").select("term", "code", "n", "sketch")
+    of = components(_candidates(drawn, least)).withColumnRenamed("u", "code")
+    named = of.join(signed.groupBy("code").agg(F.min("id").alias("id"), F.max("n").alias("n")), "code")
+    load = F.greatest(F.ceil(F.sum("n") / BLOCK_TERMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    blocks = named.groupBy("component").agg(load.alias("blocks"))
+    placed = named.join(own_exchange(blocks, "component"), "component").withColumn("own", F.pmod(F.xxhash64("code", F.lit(1)), F.col("blocks")).cast("int"))
+    members = cut(placed.select("code", "id", "component", "own", "blocks"))
+    sets = _screened_sets(rows, width, members)
+    joined = sets.join(F.broadcast(members) if members.count() <= SENT else members, ["code", "id"])
+    dealt = joined.select("component", "own", "code", "id", "terms", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "code", "id", "terms")
 
     def pairs_of(rows: pa.Table, i: int, j: int) -> pa.RecordBatch:
+        rows = rows.take(pa.array(np.unique(rows["code"].to_numpy(), return_index=True)[1]))  # an id may have a text twice
         own = rows["own"].to_numpy()
         left, right = (rows.filter(pa.array(own == x)).combine_chunks() for x in (i, j))
         lists = [t["terms"].combine_chunks() if len(t) else pa.array([], t.schema.field("terms").type) for t in (left, right)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import math
 import random
 import re
 
@@ -284,6 +285,56 @@ def test_near_copies_shuffle_neither_unlike_texts_nor_pairs(spark, tmp_path):
     assert _shuffled_bytes(spark, df) < bytes_of_pairs / 50
 
 
+def test_long_texts_of_common_passages_are_no_candidates(spark, tmp_path):
+    """Any two share passages by chance, none four fifths of them; only the sets of the two that do are shuffled."""
+    rng = random.Random(6)
+    passages = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(150)) for _ in range(200)]
+    docs = [(i, " ".join(rng.sample(passages, 10))) for i in range(300)]
+    docs += [(1_000, docs[7][1] + " end"), (1_001, docs[7][1] + " END"), (1_000, docs[7][1] + " end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = inventory.near_copy_candidates(spark.read.parquet(str(tmp_path / "docs")))
+    assert [(r["a"], r["b"]) for r in df.collect()] == [(7, 1_000)]
+    assert _shuffled_bytes(spark, df) < 1500 * 8 * 10
+
+
+def test_similar_sets_of_sizes_around_that_of_samples_equal_brute_force(spark):
+    rng = random.Random(7)
+    sets = []
+    for size in (5, 27, 100, 280, 299, 300, 340, 374, 376, 400, 470, 900):
+        base = [rng.getrandbits(62) for _ in range(size)]
+        for lost, more in ((0, 0), (0.1, 0), (0, 0.11), (0.1, 0.1), (0.11, 0.11), (0.2, 0), (0, 0.25), (0.21, 0)):
+            kept = rng.sample(base, size - int(lost * size))
+            sets.append([*kept, *(rng.getrandbits(62) for _ in range(int(more * size)))])
+    rows = [(i, s) for i, s in enumerate(sets)]
+    want = {(a, b): len({*x} & {*y}) / len({*x} | {*y}) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}) and {*x} != {*y}}
+    equal = {b for a, x in rows for b, y in rows if a < b and {*x} == {*y}}
+    df = spark.createDataFrame([*rows, (99, []), (98, None)], "id long, terms array<long>")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similar.similar_pairs(df, 0.8).collect()}
+    assert len(got) > 80 and got == pytest.approx({k: v for k, v in want.items() if not equal & {*k}})
+
+
+def test_terms_of_one_code_are_not_shared(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(-9, 9), rng.randrange(4)) for _ in range(30)] + [(99, 1)] * 9 + [(98, i % 2) for i in range(9)]
+    codes = {t: {c for x, c in rows if x == t} for t, _ in rows}
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for n in (1, 2, 3, 1000):
+            spark.conf.set(conf, n)
+            got = [tuple(r) for r in similar._shared(spark.createDataFrame(rows, "term long, code long")).collect()]
+            assert sorted(got) == sorted((t, c) for t, cs in codes.items() if len(cs) > 1 for c in cs)
+    finally:
+        spark.conf.set(conf, before)
+
+
+def test_what_similar_sets_surely_share():
+    assert [similar.sure(128, t) for t in (0.1, 0.8, 1.0)] == [0, 54, 128]
+    for n, least in ((128, 0.8), (40, 0.8), (128, 0.5)):
+        few = range(similar.sure(n, least))
+        assert 0 < sum(math.comb(n, k) * least**k * (1 - least) ** (n - k) for k in few) <= 2**-64
+
+
 def test_merges_with_null_keys(spark):
     base = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "k long, v string")
     updates = spark.createDataFrame([(None, "N"), (3, "c")], "k long, v string")
