@@ -61,8 +61,8 @@ class WordHashes(dict):
         return found
 
 
-def shingle_hashes(words: list[bytes], width: int, memo: dict[bytes, int]) -> np.ndarray:
-    """The distinct 64-bit hashes of the runs of ``width`` words in order; of fewer words one of all, of none none."""
+def run_hashes(words: list[bytes], width: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The 64-bit hashes of the runs of ``width`` words, each as often as it occurs; of fewer words one of all, of none none."""
     if not words:
         return np.zeros(0, np.int64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -71,7 +71,12 @@ def shingle_hashes(words: list[bytes], width: int, memo: dict[bytes, int]) -> np
     for k in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]
     out ^= out >> np.uint64(32)
-    return np.unique((out * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+    return (out * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def shingle_hashes(words: list[bytes], width: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The distinct run_hashes() in order."""
+    return np.unique(run_hashes(words, width, memo))
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -99,25 +104,25 @@ def sure(n: int, least: float) -> int:
 
 
 def _spread(terms: np.ndarray) -> np.ndarray:
-    """The set of 64-bit terms, each in place of another one, which no pattern of the terms shows (a bijection), in order."""
+    """Each 64-bit term in place of another one, which no pattern of the terms shows (a bijection)."""
     x = terms.astype(np.int64, copy=False).view(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(x ^ (x >> np.uint64(31)))
+    return x ^ (x >> np.uint64(31))
 
 
 def _code(terms: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(terms.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(width: int | None) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]]:
-    """What makes of a batch of (id, terms) or, with a width, (id, text) parts of it with their rows' sets."""
+def _terms(width: int | None) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]]:
+    """What makes of a batch of (id, terms) or, with a width, (id, text) parts of it with their rows' terms, which may occur again."""
     memo = WordHashes()
 
     def one(x: pa.Scalar) -> np.ndarray:
         if width is None:
             return _spread(x.values.drop_null().to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64))
-        return _spread(shingle_hashes(x.as_py().encode("utf-8", "surrogatepass").split(), width, memo))
+        return _spread(run_hashes(x.as_py().encode("utf-8", "surrogatepass").split(), width, memo))
 
     return lambda batch: ((part, (one(x) for x in part.column(1))) for part in slices(batch, 1))
 
@@ -137,10 +142,10 @@ def _counts(rows: DataFrame, width: int | None) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32()), pa.array(of, pa.binary())], names=["at", "counts"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, found, held, n = _sets(width), np.zeros(BUCKETS, np.uint32), [], 0
+        make, found, held, n = _terms(width), np.zeros(BUCKETS, np.uint32), [], 0
         for batch in batches:
-            for _, sets in make(batch):
-                for terms in sets:
+            for _, lists in make(batch):
+                for terms in lists:
                     held.append(_bucket(terms))
                     n += len(terms)
                     if n >= BUCKETS:
@@ -207,11 +212,11 @@ def _signatures(rows: DataFrame, least: float, width: int | None) -> DataFrame:
     shared, counted = sure(SAMPLE, least), rows.sparkSession.sparkContext.broadcast(_counts(rows, width))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, counts, seen = _sets(width), counted.value, set()
+        make, counts, seen = _terms(width), counted.value, set()
         for batch in batches:
-            for part, sets in make(batch):
+            for part, lists in make(batch):
                 codes, sizes, firsts, sketches = [], [], [], []
-                for terms in sets:
+                for terms in map(np.unique, lists):
                     code = _code(terms)
                     new = len(terms) > 0 and code not in seen
                     if new:
@@ -356,35 +361,30 @@ def _candidates(firsts: DataFrame, least: float) -> DataFrame:
     return firsts.repartition("term").sortWithinPartitions("term").mapInArrow(run, "u long, v long")
 
 
-def _screen(codes: DataFrame) -> np.ndarray:
-    """Bits of which each of ``codes`` has set one."""
-    place = F.col("code").bitwiseAND(F.lit(SCREEN - 1)).alias("place")
-    words = codes.select(place).groupBy(F.expr("place div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("bits"))
+def _screen(ids: DataFrame) -> np.ndarray:
+    """Bits of which the hash of each of ``ids`` has set one."""
+    words = ids.select(F.xxhash64("id").bitwiseAND(F.lit(SCREEN - 1)).alias("place")).groupBy(F.expr("place div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("bits"))
     rows = words.toArrow()  # at most SCREEN / 64
     out = np.zeros(SCREEN // 64, np.int64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
-def _screened_sets(rows: DataFrame, width: int | None, codes: DataFrame) -> DataFrame:
-    """(id, code, terms) of the sets with one of ``codes``, and of some others."""
+def _screened_sets(rows: DataFrame, width: int | None, ids: DataFrame) -> DataFrame:
+    """(id, code, terms) of the rows with one of ``ids``, and of some others."""
     kind = rows.schema["id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(_screen(codes))
+    shared = rows.sparkSession.sparkContext.broadcast(_screen(ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, bits = _sets(width), shared.value
+        make, bits = _terms(width), shared.value
         for batch in batches:
-            for part, sets in make(batch):
-                kept, codes, found = [], [], []
-                for k, terms in enumerate(sets):
-                    code = _code(terms)
-                    if int(bits[(code & (SCREEN - 1)) >> 6]) >> (code & 63) & 1:
-                        kept.append(k)
-                        codes.append(code)
-                        found.append(terms.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(codes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "code", "terms"])
+            place = batch.column(2).to_numpy() & (SCREEN - 1)
+            let = batch.filter(pa.array((bits[place >> 6] >> (place & 63) & 1).astype(bool)))
+            for part, lists in make(let):
+                sets = [np.unique(terms) for terms in lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_code, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "code", "terms"])
 
-    return rows.mapInArrow(run, f"id {kind}, code long, terms array<long>")
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, f"id {kind}, code long, terms array<long>")
 
 
 def similar_pairs(rows: DataFrame, least: float, width: int | None = None) -> DataFrame:

@@ -297,7 +297,10 @@ def test_long_texts_of_common_passages_are_no_candidates(spark, tmp_path):
     assert _shuffled_bytes(spark, df) < 1500 * 8 * 10
 
 
-def test_similar_sets_of_sizes_around_that_of_samples_equal_brute_force(spark):
+@pytest.mark.parametrize(("sent", "block_sets"), [(similar.SENT, similar.BLOCK_SETS), (0, 3)])
+def test_similar_sets_of_sizes_around_that_of_samples_equal_brute_force(spark, monkeypatch, sent, block_sets):
+    monkeypatch.setattr(similar, "SENT", sent)
+    monkeypatch.setattr(similar, "BLOCK_SETS", block_sets)
     rng = random.Random(7)
     sets = []
     for size in (5, 27, 100, 280, 299, 300, 340, 374, 376, 400, 470, 900):
